@@ -1,0 +1,24 @@
+"""Join helpers: broadcast only behind a checked size bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A dimension is broadcast only when the optimizer's size estimate for it is
+# below this many bytes; otherwise the join stays a shuffle join (and AQE may
+# still turn it into a broadcast at runtime from measured sizes).
+BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Optimizer size estimate of a plan (no job is run)."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # pragma: no cover - estimate unavailable
+        return 1 << 62
+
+
+def small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast iff its estimated size is within ``limit``."""
+    return F.broadcast(df) if estimated_bytes(df) <= limit else df
