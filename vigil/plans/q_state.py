@@ -1 +1,80 @@
-"""placeholder"""
+"""State-machine queries: circuit breaker (M01–M04), escalation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vigil.conventions import AS_OF
+from vigil.operators import breaker as B
+from vigil.plans.oracle_views import AS_OF as AS_OF_SQL
+from vigil.plans.oracle_views import register, ts_text as ts_sql, with_views
+from vigil.plans.registry import query, ts_text
+from vigil.sources import fixtures as fx
+
+# --- breaker oracle: recursive CTE over each key's attempts -------------------
+_RUNS = "(s.dis AND (s.dat IS NULL OR e.ts - s.dat < INTERVAL 6 HOUR))"
+_REC = "(s.dis AND NOT " + _RUNS + ")"
+_F0 = f"CASE WHEN {_REC} THEN 0 ELSE s.f END"
+register("o_breaker_steps", ("fx_attempts",), f"""
+WITH RECURSIVE ev AS (
+  SELECT topic_name, adapter, ts, seq, failed,
+         row_number() OVER (PARTITION BY topic_name, adapter ORDER BY ts, seq) AS rn
+  FROM fx_attempts),
+st(topic_name, adapter, rn, seq, ts, f, dis, dat, action) AS (
+  SELECT DISTINCT topic_name, adapter, CAST(0 AS BIGINT), CAST(NULL AS BIGINT),
+         CAST(NULL AS TIMESTAMP), 0, false, CAST(NULL AS TIMESTAMP), 'start'
+  FROM ev
+  UNION ALL
+  SELECT e.topic_name, e.adapter, e.rn, e.seq, e.ts,
+    CASE WHEN {_RUNS} THEN s.f WHEN e.failed THEN least({_F0} + 1, 5) ELSE 0 END,
+    CASE WHEN {_RUNS} THEN true WHEN e.failed AND {_F0} + 1 >= 5 THEN true ELSE false END,
+    CASE WHEN {_RUNS} THEN s.dat WHEN e.failed AND {_F0} + 1 >= 5 THEN e.ts ELSE NULL END,
+    CASE WHEN {_RUNS} THEN 'skip' WHEN e.failed AND {_F0} + 1 >= 5 THEN 'trip'
+         WHEN {_REC} AND e.failed THEN 'recover_fail' WHEN {_REC} THEN 'recover_ok'
+         WHEN e.failed THEN 'fail' ELSE 'ok' END
+  FROM st s JOIN ev e ON e.topic_name = s.topic_name AND e.adapter = s.adapter
+                     AND e.rn = s.rn + 1)
+SELECT * FROM st WHERE rn > 0""")
+
+
+def _breaker(spark, sf_dir):
+    return B.breaker_fold(fx.fx_attempts(spark, sf_dir))
+
+
+@query("breaker_state", with_views("o_breaker_steps") + f"""
+SELECT topic_name, adapter, CAST(f AS INTEGER) AS consecutive_failures, dis AS disabled,
+       {ts_sql('dat')} AS disabled_at, n_skipped, n_trips, n_events
+FROM (SELECT topic_name, adapter, f, dis, dat,
+             CAST(count(*) FILTER (WHERE action = 'skip') OVER w AS BIGINT) AS n_skipped,
+             CAST(count(*) FILTER (WHERE action = 'trip') OVER w AS BIGINT) AS n_trips,
+             CAST(count(*) OVER w AS BIGINT) AS n_events,
+             rn = max(rn) OVER w AS is_last
+      FROM o_breaker_steps WINDOW w AS (PARTITION BY topic_name, adapter))
+WHERE is_last""")
+def breaker_state(spark, sf_dir):
+    _, final = _breaker(spark, sf_dir)
+    return final.select("topic_name", "adapter", "consecutive_failures", "disabled",
+                        ts_text("disabled_at").alias("disabled_at"),
+                        F.col("n_skipped").cast("bigint").alias("n_skipped"),
+                        F.col("n_trips").cast("bigint").alias("n_trips"),
+                        F.col("n_events").cast("bigint").alias("n_events"))
+
+
+@query("breaker_transitions", with_views("o_breaker_steps") + f"""
+SELECT topic_name, adapter, seq, action, CAST(f AS INTEGER) AS consecutive_failures,
+       dis AS disabled, {ts_sql('dat')} AS disabled_at
+FROM o_breaker_steps""")
+def breaker_transitions(spark, sf_dir):
+    trans, _ = _breaker(spark, sf_dir)
+    return trans.select("topic_name", "adapter", "seq", "action", "consecutive_failures",
+                        "disabled", ts_text("disabled_at").alias("disabled_at"))
+
+
+@query("breaker_is_disabled", with_views("o_breaker_steps") + f"""
+SELECT topic_name, adapter,
+       COALESCE(dis, false) AND (dat IS NULL OR {AS_OF_SQL} - dat < INTERVAL 6 HOUR) AS is_disabled
+FROM (SELECT topic_name, adapter, dis, dat, rn = max(rn) OVER (PARTITION BY topic_name, adapter) AS is_last
+      FROM o_breaker_steps) WHERE is_last""")
+def breaker_is_disabled(spark, sf_dir):
+    _, final = _breaker(spark, sf_dir)
+    return B.breaker_is_disabled(final, AS_OF).select("topic_name", "adapter", "is_disabled")
