@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.conventions import BREAKER_COOLDOWN_HOURS, BREAKER_THRESHOLD
-from vigil.operators.folds import blocked_fold
+from vigil.operators.folds import INIT_TS_US, blocked_fold
 
 KEYS = ("topic_name", "adapter")
 
@@ -188,8 +188,8 @@ def breaker_events(attempts: DataFrame, init: DataFrame | None = None,
             F.lit(None).cast("bigint").alias("init_at_us")))
     if init is not None:
         ev = ev.unionByName(init.select(
-            *KEYS, F.lit(-(1 << 62)).cast("bigint").alias("ts_us"),
-            F.lit(-(1 << 62)).cast("bigint").alias("seq"), F.lit("init").alias("kind"),
+            *KEYS, F.lit(INIT_TS_US).cast("bigint").alias("ts_us"),
+            F.lit(INIT_TS_US).cast("bigint").alias("seq"), F.lit("init").alias("kind"),
             F.lit(None).cast("boolean").alias("failed"),
             F.col("consecutive_failures").cast("int").alias("init_failures"),
             F.col("disabled").cast("boolean").alias("init_disabled"),

@@ -37,6 +37,8 @@ from vigil.operators.positions import range_sorted
 from vigil.session import checkpoint_dir
 
 _PID = "_pid"
+# Stored states enter a fold as an event at 1900-01-01, before any real event.
+INIT_TS_US = -2208988800 * 1_000_000
 
 
 def _key_tuple(row: Sequence) -> tuple:

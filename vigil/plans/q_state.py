@@ -78,3 +78,101 @@ FROM (SELECT topic_name, adapter, dis, dat, rn = max(rn) OVER (PARTITION BY topi
 def breaker_is_disabled(spark, sf_dir):
     _, final = _breaker(spark, sf_dir)
     return B.breaker_is_disabled(final, AS_OF).select("topic_name", "adapter", "is_disabled")
+
+
+# --- escalation -------------------------------------------------------------------
+from vigil.operators import escalation as E  # noqa: E402
+
+register("o_esc_matches", ("fx_index", "fx_triggers"), """
+SELECT i.event_id, i.topic_name, i.topic_ord, i.fetched_at, t.tag AS escalation_trigger,
+       t.bump_to, t.duration_hours
+FROM fx_index i JOIN fx_triggers t ON t.topic_ord = i.topic_ord AND t.tag = i.tag
+QUALIFY row_number() OVER (PARTITION BY i.event_id ORDER BY t.pos) = 1""")
+
+_NONE = "(s.lvl IS NULL OR (m.auto_revert AND s.exp IS NOT NULL AND m.ts >= s.exp))"
+_ACC = f"({_NONE} OR m.rk >= s.rk)"
+register("o_esc_steps", ("o_esc_matches", "fx_topics"), f"""
+WITH RECURSIVE m AS (
+  SELECT x.topic_name, x.fetched_at AS ts, x.event_id AS seq, x.bump_to AS level,
+         CASE x.bump_to WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2
+              WHEN 'urgent' THEN 3 ELSE 0 END AS rk,
+         x.fetched_at + to_microseconds(CAST(x.duration_hours * 3600000000 AS BIGINT)) AS own_exp,
+         x.escalation_trigger AS tag, t.auto_revert,
+         row_number() OVER (PARTITION BY x.topic_name ORDER BY x.fetched_at, x.event_id) AS rn
+  FROM o_esc_matches x JOIN fx_topics t USING (topic_ord)),
+st(topic_name, rn, seq, lvl, rk, exp, tag, action) AS (
+  SELECT DISTINCT topic_name, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR),
+         CAST(NULL AS INTEGER), CAST(NULL AS TIMESTAMP), CAST(NULL AS VARCHAR), 'start' FROM m
+  UNION ALL
+  SELECT m.topic_name, m.rn, m.seq,
+         CASE WHEN {_ACC} THEN m.level ELSE s.lvl END,
+         CASE WHEN {_ACC} THEN m.rk ELSE s.rk END,
+         CASE WHEN {_ACC} THEN m.own_exp ELSE s.exp END,
+         CASE WHEN {_ACC} THEN m.tag ELSE s.tag END,
+         CASE WHEN {_NONE} THEN 'set' WHEN {_ACC} THEN 'replace' ELSE 'ignore' END
+  FROM st s JOIN m ON m.topic_name = s.topic_name AND m.rn = s.rn + 1)
+SELECT * FROM st WHERE rn > 0""")
+register("o_esc_state", ("o_esc_steps",), """
+SELECT topic_name, lvl AS bumped_to, exp AS expires_at, tag AS trigger_tag, n_accepted, n_matches
+FROM (SELECT *, rn = max(rn) OVER w AS is_last,
+             CAST(count(*) FILTER (WHERE action IN ('set', 'replace')) OVER w AS BIGINT) AS n_accepted,
+             CAST(count(*) OVER w AS BIGINT) AS n_matches
+      FROM o_esc_steps WINDOW w AS (PARTITION BY topic_name)) WHERE is_last""")
+
+
+def _matches(spark, sf_dir):
+    topics = fx.fx_topics(spark)
+    m = E.match_triggers(fx.fx_index(spark, sf_dir), topics)
+    return m.where(F.col("escalation_trigger").isNotNull())
+
+
+def _esc(spark, sf_dir):
+    m = _matches(spark, sf_dir).withColumn("ts", F.col("fetched_at")).withColumn(
+        "seq", F.col("event_id"))
+    return E.escalation_fold(m)
+
+
+@query("escalation_matches", with_views("o_esc_matches") + """
+SELECT event_id, topic_name, escalation_trigger, bump_to,
+       round(CAST(duration_hours AS DOUBLE), 6) AS duration_hours FROM o_esc_matches""")
+def escalation_matches(spark, sf_dir):
+    return _matches(spark, sf_dir).select("event_id", "topic_name", "escalation_trigger", "bump_to",
+                                          F.round("duration_hours", 6).alias("duration_hours"))
+
+
+@query("escalation_transitions", with_views("o_esc_steps") + f"""
+SELECT topic_name, seq, action, lvl AS bumped_to, {ts_sql('exp')} AS expires_at,
+       tag AS trigger_tag FROM o_esc_steps""")
+def escalation_transitions(spark, sf_dir):
+    trans, _ = _esc(spark, sf_dir)
+    return trans.select("topic_name", "seq", "action", "bumped_to",
+                        ts_text("expires_at").alias("expires_at"), "trigger_tag")
+
+
+@query("escalation_state", with_views("o_esc_state") + f"""
+SELECT topic_name, bumped_to, {ts_sql('expires_at')} AS expires_at, trigger_tag,
+       n_accepted, n_matches FROM o_esc_state""")
+def escalation_state(spark, sf_dir):
+    _, final = _esc(spark, sf_dir)
+    return final.select("topic_name", "bumped_to", ts_text("expires_at").alias("expires_at"),
+                        "trigger_tag", F.col("n_accepted").cast("bigint").alias("n_accepted"),
+                        F.col("n_matches").cast("bigint").alias("n_matches"))
+
+
+_RANK_SQL = "CASE {x} WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 WHEN 'urgent' THEN 3 ELSE 0 END"
+
+
+@query("effective_urgency", with_views("o_esc_state", "fx_topics") + f"""
+SELECT t.name, t.urgency,
+       CASE WHEN s.bumped_to IS NULL AND s.expires_at IS NULL THEN t.urgency
+            WHEN s.expires_at IS NOT NULL AND {AS_OF_SQL} >= s.expires_at THEN t.urgency
+            WHEN {_RANK_SQL.format(x='COALESCE(s.bumped_to, t.urgency)')} > {_RANK_SQL.format(x='t.urgency')}
+              THEN COALESCE(s.bumped_to, t.urgency)
+            ELSE t.urgency END AS effective_urgency,
+       COALESCE(s.expires_at IS NOT NULL AND {AS_OF_SQL} >= s.expires_at AND t.auto_revert, false) AS cleared
+FROM fx_topics t LEFT JOIN o_esc_state s ON s.topic_name = t.name""")
+def effective_urgency(spark, sf_dir):
+    _, final = _esc(spark, sf_dir)
+    eff = E.effective_urgency(fx.fx_topics(spark), final, AS_OF)
+    return eff.select("name", "urgency", "effective_urgency",
+                      F.coalesce(F.col("cleared"), F.lit(False)).alias("cleared"))
