@@ -90,15 +90,20 @@ def passed_items(scored: DataFrame, topics: DataFrame, score: str = "novelty_sco
 
 # R13 -----------------------------------------------------------------------
 def upsert_seen(seen: DataFrame, passed: DataFrame, as_of) -> DataFrame:
-    """Seen set after marking ``passed`` URLs seen at ``as_of``.
+    """Seen set after marking ``passed`` URLs seen at ``as_of`` (a value or a
+    column such as the run time).
 
-    A URL keeps one row, the latest sighting (``max_by``: partial aggregate).
+    A URL keeps one row, the latest sighting — a new mark wins a tie
+    (``max_by``: a partial aggregate, no per-URL sort).
     """
     marked = passed.select("url", _ts(as_of).alias("seen_at"),
-                           F.coalesce(F.col("source_type"), F.lit("news")).alias("source_type"))
-    both = seen.select("url", "seen_at", "source_type").unionByName(marked)
-    return (both.groupBy("url")
-            .agg(F.max_by(F.struct("seen_at", "source_type"), F.col("seen_at")).alias("s"))
+                           F.coalesce(F.col("source_type"), F.lit("news")).alias("source_type"),
+                           F.lit(1).alias("_new"))
+    old = seen.select("url", "seen_at", F.coalesce(F.col("source_type"), F.lit("news"))
+                      .alias("source_type"), F.lit(0).alias("_new"))
+    return (old.unionByName(marked).groupBy("url")
+            .agg(F.max_by(F.struct("seen_at", "source_type"),
+                          F.struct("seen_at", "_new")).alias("s"))
             .select("url", "s.seen_at", "s.source_type"))
 
 

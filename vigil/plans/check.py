@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import sys
 import time
 import traceback
@@ -31,7 +32,8 @@ def main(argv: list[str]) -> int:
                 res = {"rows_only": df.count(), "match": None}
         except Exception as exc:  # report and continue
             res = {"error": f"{type(exc).__name__}: {str(exc)[:600]}", "match": False}
-            traceback.print_exc(limit=3)
+            if os.environ.get("VIGIL_VERBOSE"):
+                traceback.print_exc(limit=3)
         res["sec"] = round(time.time() - t0, 2)
         if res.get("match") is False:
             bad += 1

@@ -157,3 +157,34 @@ WHERE f.novelty_score >= t.novelty_threshold""")
 
 
 _install_chain()
+
+
+def _install_budget() -> None:
+    register("o_counts", ("o_fresh",), """
+SELECT run_day, topic_ord, count(*) AS n FROM o_fresh GROUP BY run_day, topic_ord""")
+    register("o_budget", ("o_counts", "fx_topics"), """
+WITH RECURSIVE grid AS (
+  SELECT r.run_day, t.topic_ord, COALESCE(c.n, 0) AS n
+  FROM (SELECT DISTINCT run_day FROM o_counts) r CROSS JOIN fx_topics t
+  LEFT JOIN o_counts c ON c.run_day = r.run_day AND c.topic_ord = t.topic_ord),
+b(run_day, topic_ord, n, used_before, budget, sent) AS (
+  SELECT run_day, topic_ord, n, 0, CAST(ceil(20.0 / 13) AS INTEGER),
+         least(n, CAST(ceil(20.0 / 13) AS INTEGER)) FROM grid WHERE topic_ord = 0
+  UNION ALL
+  SELECT g.run_day, g.topic_ord, g.n, b.used_before + b.sent,
+         CAST(ceil(CAST(20 - (b.used_before + b.sent) AS DOUBLE) / (13 - g.topic_ord)) AS INTEGER),
+         least(g.n, CAST(ceil(CAST(20 - (b.used_before + b.sent) AS DOUBLE) / (13 - g.topic_ord)) AS INTEGER))
+  FROM b JOIN grid g ON g.run_day = b.run_day AND g.topic_ord = b.topic_ord + 1)
+SELECT * FROM b""")
+    register("o_budgeted", ("o_fresh", "o_budget"), """
+SELECT f.* FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_day, topic_ord
+                               ORDER BY source_ord, term_ord, item_pos) AS rn FROM o_fresh) f
+JOIN o_budget b ON b.run_day = f.run_day AND b.topic_ord = f.topic_ord
+WHERE f.rn <= b.budget""")
+    register("o_scored_passed", ("o_budgeted", "fx_topics"), """
+SELECT f.* EXCLUDE (rn) FROM o_budgeted f JOIN fx_topics t USING (topic_ord)
+WHERE f.novelty_score >= t.novelty_threshold""")
+
+
+_install_budget()

@@ -33,3 +33,30 @@ def fresh(spark, sf_dir, as_of=AS_OF) -> DataFrame:
 
 def passed(spark, sf_dir, as_of=AS_OF) -> DataFrame:
     return R.passed_items(fresh(spark, sf_dir, as_of), fx.fx_topics(spark))
+
+
+# --- budget, scoring and sinks of the fixture runs (run = run_day) ------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from vigil.conventions import RUN_CAP  # noqa: E402
+from vigil.operators import budget as Bu  # noqa: E402
+
+RUN = "run_day"
+
+
+def fresh_counts(spark, sf_dir, as_of=AS_OF) -> DataFrame:
+    return fresh(spark, sf_dir, as_of).groupBy(RUN, "topic_ord").agg(F.count("*").alias("n"))
+
+
+def budgets(spark, sf_dir, as_of=AS_OF, cap: int = RUN_CAP) -> DataFrame:
+    return Bu.allocate_budget(fresh_counts(spark, sf_dir, as_of), fx.N_TOPICS, cap, run=RUN)
+
+
+def budgeted(spark, sf_dir, as_of=AS_OF, cap: int = RUN_CAP) -> DataFrame:
+    return Bu.apply_budget(fresh(spark, sf_dir, as_of), budgets(spark, sf_dir, as_of, cap),
+                           cap, run=RUN)
+
+
+def scored_passed(spark, sf_dir, as_of=AS_OF, cap: int = RUN_CAP) -> DataFrame:
+    """Items sent to scoring this run that reach their topic threshold."""
+    return R.passed_items(budgeted(spark, sf_dir, as_of, cap), fx.fx_topics(spark))

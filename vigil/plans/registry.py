@@ -42,5 +42,6 @@ def r6(c: Column | str) -> Column:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from vigil.plans import (q_core, q_functions, q_state, q_notify,  # noqa: F401
+    from vigil.plans import q_state  # noqa: F401  (registers views used below)
+    from vigil.plans import (q_core, q_functions, q_notify,  # noqa: F401
                              q_sources, q_scoring, q_streaming)
