@@ -188,3 +188,21 @@ WHERE f.novelty_score >= t.novelty_threshold""")
 
 
 _install_budget()
+
+
+def _install_notify() -> None:
+    register("fx_feedback", (), """
+SELECT l.doc_id % 13 AS topic_ord, l.doc_id AS fb_seq,
+       CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 1 ELSE -1 END AS vote,
+       substring(d.text, 1, 120) AS title,
+       CASE WHEN l.doc_id % 2 = 0 THEN NULL ELSE 'note ' || CAST(l.doc_id AS VARCHAR) END AS note
+FROM labels l JOIN documents d ON d.doc_id = l.doc_id""")
+    register("fx_delivered", ("fx_index",), """
+SELECT url FROM fx_index WHERE NOT COALESCE(notified_digest, false) AND event_id % 4 <> 0""")
+    register("o_digest", ("fx_index",), """
+SELECT *, row_number() OVER (PARTITION BY topic_name ORDER BY COALESCE(novelty_score, 0.0) DESC,
+                             run_day DESC, item_pos DESC) AS rank_in_topic
+FROM fx_index WHERE NOT COALESCE(notified_digest, false)""")
+
+
+_install_notify()

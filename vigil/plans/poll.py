@@ -2,61 +2,85 @@
 
 ``landed → normalise → union → breaker gate → seen anti-join → within-run
 dedup → staleness → fair-share budget → scoring → threshold → escalation →
-{archive, index, seen, push, mail, stats}``.  Each function returns a lazy
-DataFrame; Catalyst plans the whole chain as one job graph.
+{archive, index, seen, push, mail, stats}``.  Each stage is built once per
+(session, sf_dir, as_of) and reused, so every sink of a run reads the same
+plan objects and Spark reuses their shuffle stages.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vigil.conventions import AS_OF
+from vigil.conventions import AS_OF, RUN_CAP
+from vigil.operators import budget as Bu
 from vigil.operators import relational as R
 from vigil.sources import fixtures as fx
 
+RUN = "run_day"
 
-def pruned_seen(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> DataFrame:
-    return R.prune_seen(fx.fx_seen(spark, sf_dir, as_of), as_of)
 
+class PollRun:
+    """Lazy DataFrames of one poll run (runs are the fixture ``run_day``s)."""
 
-def new_items(spark, sf_dir, as_of=AS_OF) -> DataFrame:
-    return R.new_items(fx.fx_items(spark, sf_dir, as_of), pruned_seen(spark, sf_dir, as_of))
+    def __init__(self, spark: SparkSession, sf_dir: str, as_of=AS_OF, cap: int = RUN_CAP):
+        self.spark, self.sf_dir, self.as_of, self.cap = spark, sf_dir, as_of, cap
+        self.topics = fx.fx_topics(spark)
+        self.items = fx.fx_items(spark, sf_dir, as_of)
+        self.seen = R.prune_seen(fx.fx_seen(spark, sf_dir, as_of), as_of)
+        self.new = R.new_items(self.items, self.seen)
+        self.deduped = R.dedup_within_run(self.new)
+        self.fresh = R.fresh_items(self.deduped, as_of)
+        self.passed_unbudgeted = R.passed_items(self.fresh, self.topics)
+        self.counts = self.fresh.groupBy(RUN, "topic_ord").agg(F.count("*").alias("n"))
+        self.budgets = Bu.allocate_budget(self.counts, fx.N_TOPICS, cap, run=RUN)
+        self.budgeted = Bu.apply_budget(self.fresh, self.budgets, cap, run=RUN)
+        self.scored_passed = R.passed_items(self.budgeted, self.topics)
 
 
-def deduped(spark, sf_dir, as_of=AS_OF) -> DataFrame:
-    return R.dedup_within_run(new_items(spark, sf_dir, as_of))
+@lru_cache(maxsize=8)
+def _run(spark: SparkSession, sf_dir: str, as_of, cap: int) -> PollRun:
+    return PollRun(spark, sf_dir, as_of, cap)
 
 
-def fresh(spark, sf_dir, as_of=AS_OF) -> DataFrame:
-    return R.fresh_items(deduped(spark, sf_dir, as_of), as_of)
+def run(spark: SparkSession, sf_dir: str, as_of=AS_OF, cap: int = RUN_CAP) -> PollRun:
+    return _run(spark, sf_dir, as_of, cap)
 
 
-def passed(spark, sf_dir, as_of=AS_OF) -> DataFrame:
-    return R.passed_items(fresh(spark, sf_dir, as_of), fx.fx_topics(spark))
+# Compatibility helpers used by the queries.
+def pruned_seen(spark, sf_dir, as_of=AS_OF) -> DataFrame:
+    return run(spark, sf_dir, as_of).seen
 
 
-# --- budget, scoring and sinks of the fixture runs (run = run_day) ------------
-from pyspark.sql import functions as F  # noqa: E402
+def new_items(spark, sf_dir, as_of=AS_OF) -> DataFrame:
+    return run(spark, sf_dir, as_of).new
 
-from vigil.conventions import RUN_CAP  # noqa: E402
-from vigil.operators import budget as Bu  # noqa: E402
 
-RUN = "run_day"
+def deduped(spark, sf_dir, as_of=AS_OF) -> DataFrame:
+    return run(spark, sf_dir, as_of).deduped
+
+
+def fresh(spark, sf_dir, as_of=AS_OF) -> DataFrame:
+    return run(spark, sf_dir, as_of).fresh
+
+
+def passed(spark, sf_dir, as_of=AS_OF) -> DataFrame:
+    return run(spark, sf_dir, as_of).passed_unbudgeted
 
 
 def fresh_counts(spark, sf_dir, as_of=AS_OF) -> DataFrame:
-    return fresh(spark, sf_dir, as_of).groupBy(RUN, "topic_ord").agg(F.count("*").alias("n"))
+    return run(spark, sf_dir, as_of).counts
 
 
 def budgets(spark, sf_dir, as_of=AS_OF, cap: int = RUN_CAP) -> DataFrame:
-    return Bu.allocate_budget(fresh_counts(spark, sf_dir, as_of), fx.N_TOPICS, cap, run=RUN)
+    return run(spark, sf_dir, as_of, cap).budgets
 
 
 def budgeted(spark, sf_dir, as_of=AS_OF, cap: int = RUN_CAP) -> DataFrame:
-    return Bu.apply_budget(fresh(spark, sf_dir, as_of), budgets(spark, sf_dir, as_of, cap),
-                           cap, run=RUN)
+    return run(spark, sf_dir, as_of, cap).budgeted
 
 
 def scored_passed(spark, sf_dir, as_of=AS_OF, cap: int = RUN_CAP) -> DataFrame:
-    """Items sent to scoring this run that reach their topic threshold."""
-    return R.passed_items(budgeted(spark, sf_dir, as_of, cap), fx.fx_topics(spark))
+    return run(spark, sf_dir, as_of, cap).scored_passed

@@ -9,6 +9,7 @@ All integer rules use ``%`` on BIGINT only.
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,10 @@ N_TOPICS = 13
 URL_PREFIX = "https://x.example.com/i/"
 
 
+@lru_cache(maxsize=128)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table (the DataFrame is built once per session and path: a
+    parquet read lists files and footers, which is not free)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -48,6 +52,7 @@ def pick(values: list[str], idx: Column) -> Column:
 # topics
 # --------------------------------------------------------------------------
 
+@lru_cache(maxsize=32)
 def fx_topics(spark: SparkSession) -> DataFrame:
     o = F.col("topic_ord")
     trig = F.struct
@@ -89,6 +94,7 @@ def item_url(event_id: Column) -> Column:
         F.concat(F.lit(URL_PREFIX), (event_id - event_id % 3).cast("string")))
 
 
+@lru_cache(maxsize=32)
 def fx_items(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> DataFrame:
     e = F.col("event_id")
     ts = F.col("ts").cast("timestamp")
@@ -123,6 +129,7 @@ def fx_items(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=32)
 def fx_seen(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> DataFrame:
     e = F.col("event_id")
     now = as_of_lit(as_of)
@@ -136,6 +143,7 @@ def fx_seen(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> DataFrame:
 FAILED_TYPES = ("error", "signup", "view")
 
 
+@lru_cache(maxsize=32)
 def fx_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     return table(spark, sf_dir, "events").select(
@@ -147,6 +155,7 @@ def fx_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=32)
 def fx_index(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> DataFrame:
     """Items over their topic threshold with digest flags (position added by
     ``vigil.operators.positions`` where an operator needs it)."""
@@ -163,7 +172,31 @@ def fx_index(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> DataFrame:
                                F.col("tag"))))
 
 
+@lru_cache(maxsize=32)
 def fx_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     return (table(spark, sf_dir, "events").where(e % 6 == 0)
             .select(item_url(e).alias("url")))
+
+
+@lru_cache(maxsize=32)
+def fx_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes from ``labels`` ⋈ ``documents`` in file order ``fb_seq``."""
+    d = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return (table(spark, sf_dir, "labels").join(docs, "doc_id")
+            .select((d % N_TOPICS).alias("topic_ord"), d.alias("fb_seq"),
+                    F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(-1)
+                    .alias("vote"),
+                    F.substring("text", 1, 120).alias("title"),
+                    F.when(d % 2 == 0, F.lit(None).cast("string"))
+                    .otherwise(F.concat(F.lit("note "), d.cast("string"))).alias("note")))
+
+
+@lru_cache(maxsize=32)
+def fx_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delivery log of a digest: URLs of unsent index rows, a quarter failed."""
+    idx = fx_index(spark, sf_dir)
+    return (idx.where(~F.coalesce(F.col("notified_digest"), F.lit(False))
+                      & (F.col("event_id") % 4 != 0))
+            .select("url"))
