@@ -206,3 +206,39 @@ FROM fx_index WHERE NOT COALESCE(notified_digest, false)""")
 
 
 _install_notify()
+
+
+def _install_scoring() -> None:
+    score = ("CAST(CAST(((event_id * 7919) % 1001 - (event_id * 7919) % 1001 % 1000) / 1000 AS BIGINT) AS VARCHAR)"
+             " || '.' || lpad(CAST((event_id * 7919) % 1001 % 1000 AS VARCHAR), 3, '0')")
+    register("fx_scores", (), f"""
+SELECT event_id, ts AS call_ts,
+  CASE WHEN event_id % 17 = 0 THEN '{{"novelty_score": ' || {score}
+       WHEN event_id % 19 = 0 THEN '{{"is_relevant": true, "reasoning": "n/a"}}'
+       ELSE '{{"novelty_score": ' || {score} || ', "is_relevant": '
+            || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END
+            || ', "preliminary_tags": ["tag' || CAST(event_id % 7 AS VARCHAR) || '", "tagX"], '
+            || '"reasoning": "r' || CAST(event_id AS VARCHAR) || '"}}' END AS response,
+  CASE event_id % 8 WHEN 1 THEN '429 Resource exhausted. Please retry in 5s.'
+       WHEN 2 THEN '429 quota exceeded' WHEN 3 THEN 'HTTP 500 internal error'
+       WHEN 4 THEN 'Quota exceeded, Retry in 400s' WHEN 5 THEN 'JSONDecodeError: Expecting value'
+       WHEN 7 THEN 'rate limited (429): retry in 12.5s' END AS error_text
+FROM events""")
+    register("o_parsed", ("fx_scores",), """
+SELECT event_id, call_ts, error_text,
+       CASE WHEN json_valid(response) THEN TRY_CAST(json_extract(response, '$.novelty_score') AS DOUBLE) END AS score,
+       CASE WHEN json_valid(response) THEN TRY_CAST(json_extract(response, '$.is_relevant') AS BOOLEAN) END AS is_relevant,
+       CASE WHEN json_valid(response) THEN CAST(json_extract(response, '$.preliminary_tags') AS VARCHAR[]) END AS preliminary_tags
+FROM fx_scores""")
+    register("o_classified", ("fx_scores",), """
+SELECT *, CASE WHEN error_text IS NULL THEN 'ok'
+     WHEN contains(lower(error_text), 'json') OR contains(lower(error_text), 'keyerror') THEN 'retry'
+     WHEN (contains(error_text, '429') OR contains(lower(error_text), 'quota')) AND w IS NOT NULL AND w > 300 THEN 'abort'
+     WHEN (contains(error_text, '429') OR contains(lower(error_text), 'quota')) AND w IS NOT NULL THEN 'wait'
+     WHEN contains(error_text, '429') OR contains(lower(error_text), 'quota') THEN 'abort'
+     ELSE 'skip' END AS class
+FROM (SELECT *, TRY_CAST(NULLIF(regexp_extract(error_text, '(?i)retry in (\\d+(?:\\.\\d+)?)s', 1), '') AS DOUBLE) + 2.0 AS w
+      FROM fx_scores)""")
+
+
+_install_scoring()

@@ -22,6 +22,9 @@ _DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.ansi.enabled": "true",
 }
+# Only for sessions this module creates locally (tests, bench): a cluster
+# session brings its own memory settings.
+_LOCAL_CONF = {"spark.driver.memory": "12g"}
 
 
 def build_session(master: str | None = None, app: str = "vigil",
@@ -32,6 +35,8 @@ def build_session(master: str | None = None, app: str = "vigil",
     if master:
         builder = builder.master(master)
     conf = dict(_DEFAULT_CONF)
+    if master and master.startswith("local"):
+        conf.update(_LOCAL_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

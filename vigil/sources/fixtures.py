@@ -200,3 +200,32 @@ def fx_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (idx.where(~F.coalesce(F.col("notified_digest"), F.lit(False))
                       & (F.col("event_id") % 4 != 0))
             .select("url"))
+
+
+def _score_text(e: Column) -> Column:
+    k = (e * 7919) % 1001
+    return F.concat(((k - k % 1000) / 1000).cast("bigint").cast("string"), F.lit("."),
+                    F.lpad((k % 1000).cast("string"), 3, "0"))
+
+
+@lru_cache(maxsize=32)
+def fx_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoring replies and attempt errors for every item (call time = ts)."""
+    e = F.col("event_id")
+    body = F.concat(
+        F.lit('{"novelty_score": '), _score_text(e),
+        F.lit(', "is_relevant": '), F.when(e % 2 == 0, F.lit("true")).otherwise(F.lit("false")),
+        F.lit(', "preliminary_tags": ["tag'), (e % 7).cast("string"), F.lit('", "tagX"], '),
+        F.lit('"reasoning": "r'), e.cast("string"), F.lit('"}'))
+    response = (F.when(e % 17 == 0, F.concat(F.lit('{"novelty_score": '), _score_text(e)))
+                .when(e % 19 == 0, F.lit('{"is_relevant": true, "reasoning": "n/a"}'))
+                .otherwise(body))
+    err = (F.when(e % 8 == 1, F.lit("429 Resource exhausted. Please retry in 5s."))
+           .when(e % 8 == 2, F.lit("429 quota exceeded"))
+           .when(e % 8 == 3, F.lit("HTTP 500 internal error"))
+           .when(e % 8 == 4, F.lit("Quota exceeded, Retry in 400s"))
+           .when(e % 8 == 5, F.lit("JSONDecodeError: Expecting value"))
+           .when(e % 8 == 7, F.lit("rate limited (429): retry in 12.5s")))
+    return table(spark, sf_dir, "events").select(
+        e.alias("event_id"), F.col("ts").cast("timestamp").alias("call_ts"),
+        response.alias("response"), err.alias("error_text"))
