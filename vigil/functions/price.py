@@ -17,9 +17,10 @@ def price_value_ccy(value: Column | str, ccy: Column | str) -> Column:
 
 
 def price_ratio(amount: Column | str, divisor: Column | str, ccy: Column | str) -> Column:
-    """``amount / divisor`` with two decimals plus currency (``12.50 USD``)."""
+    """``$`` + ``amount / divisor`` with two decimals + currency (``$12.50 USD``)."""
     v = _c(amount).cast("double") / _c(divisor).cast("double")
-    return F.when(v.isNotNull(), F.concat(F.format_string("%.2f", v), F.lit(" "), _c(ccy)))
+    return F.when(v.isNotNull(), F.concat(F.lit("$"), F.format_string("%.2f", v), F.lit(" "),
+                                          _c(ccy)))
 
 
 def price_dollars(v: Column | str) -> Column:
@@ -32,7 +33,7 @@ def price_yen(v: Column | str) -> Column:
     """``¥`` + thousands-separated integer; non-numeric text kept as is."""
     n = _c(v).cast("string").try_cast("bigint")
     return F.when(n.isNotNull(), F.concat(F.lit("¥"), F.format_number(n, 0))).otherwise(
-        F.concat(F.lit("¥"), _c(v).cast("string")))
+        _c(v).cast("string"))
 
 
 def price_amount(amount: Column | str, divisor: Column | str | None = None) -> Column:

@@ -286,7 +286,7 @@ FROM orders"""
 SELECT item_id,
        CASE WHEN amount IS NULL THEN NULL ELSE '$' || CAST(CAST((amount - amount % 100) / 100 AS BIGINT) AS VARCHAR)
             || '.' || lpad(CAST(amount % 100 AS VARCHAR), 2, '0') || ' ' || currency END AS ebay_text,
-       printf('%.2f', CAST(amount AS DOUBLE) / CAST(divisor AS DOUBLE)) || ' ' || currency AS etsy_text,
+       '$' || printf('%.2f', CAST(amount AS DOUBLE) / CAST(divisor AS DOUBLE)) || ' ' || currency AS etsy_text,
        '$' || printf('%.2f', CAST(amount AS DOUBLE) / 100.0) AS grailed_text,
        '¥' || format('{:,}', amount) AS yen_text
 FROM shop""".replace("WITH \n", "WITH "))

@@ -1 +1,156 @@
-"""placeholder"""
+"""Source normaliser queries (S01–S35) against oracles that read the item
+fields straight from the driver tables (not the payload body)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vigil.plans.oracle_views import AS_OF as AS_OF_SQL
+from vigil.plans.oracle_views import ts_text as ts_sql
+from vigil.plans.oracle_views import with_views
+from vigil.plans.registry import query, ts_text
+from vigil.sources import fixture_payloads as FP
+from vigil.sources import json_api as J
+
+OUT = ["payload_id", "item_pos", "topic_name", "url", "title", "snippet", "source",
+       "source_type", "fetched_at", "price"]
+
+
+def _out(df):
+    return df.select("payload_id", F.col("item_pos").cast("bigint").alias("item_pos"),
+                     "topic_name", "url", "title", "snippet", "source", "source_type",
+                     ts_text("fetched_at").alias("fetched_at"), "price")
+
+
+def _items_sql(table: str, key: str, cols: str, where: str = "") -> str:
+    """Item fields with payload id, position and topic of the landed payload."""
+    return f"""
+SELECT *, CAST(row_number() OVER (PARTITION BY payload_id ORDER BY {key}) - 1 AS BIGINT) AS item_pos,
+       'topic_' || lpad(CAST(payload_id % 13 AS VARCHAR), 2, '0') AS topic_name,
+       'run-' || CAST(payload_id % 7 AS VARCHAR) AS run_id
+FROM (SELECT {key} - {key} % 10 AS payload_id, {key}, {cols} FROM {table} {where})
+WHERE payload_id % 500 <> 0"""
+
+
+def _iso(x: str) -> str:
+    return f"COALESCE(TRY_CAST({x} AS TIMESTAMPTZ) AT TIME ZONE 'UTC', {AS_OF_SQL})"
+
+
+def _sel(url, title, snippet, source, stype, fetched, price="CAST(NULL AS VARCHAR)") -> str:
+    return f"""
+SELECT payload_id, item_pos, topic_name, {url} AS url, {title} AS title, {snippet} AS snippet,
+       {source} AS source, '{stype}' AS source_type, {ts_sql(fetched)} AS fetched_at, {price} AS price
+FROM it"""
+
+
+_SECTION = "CASE event_id % 4 WHEN 0 THEN 'World' WHEN 1 THEN 'Politics' WHEN 2 THEN '' END"
+_BAD = "CASE WHEN event_id % 13 = 0 THEN 'bad' ELSE {} END"
+_ISOZ = "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')"
+
+SQL = {
+    "gdelt": (_items_sql("events", "event_id", f"""
+        'https://news.example.com/g/' || CAST(event_id AS VARCHAR) AS u,
+        'Story ' || CAST(event_id AS VARCHAR) || ' ' || event_type AS t,
+        CASE WHEN event_id % 7 = 0 THEN NULL ELSE 'news.example.com' END AS domain,
+        {_BAD.format("strftime(ts, '%Y%m%dT%H%M%SZ')")} AS seendate"""),
+        _sel("u", "t", "COALESCE(domain, '')", "'gdelt'", "news",
+             f"COALESCE(try_strptime(seendate, '%Y%m%dT%H%M%SZ'), {AS_OF_SQL})")),
+    "guardian": (_items_sql("events", "event_id", f"""
+        'Guardian ' || CAST(event_id AS VARCHAR) AS t,
+        'https://guardian.example.com/' || CAST(event_id AS VARCHAR) AS u,
+        {_BAD.format(_ISOZ)} AS d, {_SECTION} AS sec,
+        CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'Trail ' || props END AS trail"""),
+        _sel("u", "t", "COALESCE(trail, '')",
+             "CASE WHEN COALESCE(sec, '') <> '' THEN 'guardian:' || sec ELSE 'guardian' END",
+             "news", _iso("d"))),
+    "nytimes": (_items_sql("events", "event_id", f"""
+        'NYT ' || CAST(event_id AS VARCHAR) AS t,
+        CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'Abstract ' || CAST(event_id AS VARCHAR) END AS ab,
+        'https://nyt.example.com/' || CAST(event_id AS VARCHAR) AS u,
+        {_BAD.format("strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+0000'")} AS d, {_SECTION} AS sec"""),
+        _sel("u", "t", "COALESCE(ab, '')",
+             "CASE WHEN COALESCE(sec, '') <> '' THEN 'nytimes:' || sec ELSE 'nytimes' END",
+             "news", _iso("d"))),
+    "newsapi": (_items_sql("events", "event_id", f"""
+        CASE WHEN event_id % 6 = 0 THEN NULL ELSE 'Wire' || CAST(event_id % 4 AS VARCHAR) END AS nm,
+        'Article ' || CAST(event_id AS VARCHAR) AS t,
+        CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS descr,
+        'https://wire.example.com/' || CAST(event_id AS VARCHAR) AS u, {_ISOZ} AS d"""),
+        _sel("u", "t", "COALESCE(descr, '')", "'newsapi:' || COALESCE(nm, 'newsapi')", "news",
+             _iso("d"))),
+    "hacker_news": (_items_sql("events", "event_id", f"""
+        CAST(event_id AS VARCHAR) AS oid, 'HN ' || CAST(event_id AS VARCHAR) AS t,
+        CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 9 = 0 THEN ''
+             ELSE 'https://blog.example.com/' || CAST(event_id AS VARCHAR) END AS u,
+        {_ISOZ} AS d,
+        CASE WHEN event_id % 3 = 0 THEN 'text ' || CAST(event_id AS VARCHAR) END AS story"""),
+        _sel("COALESCE(NULLIF(u, ''), 'https://news.ycombinator.com/item?id=' || oid)", "t",
+             "COALESCE(story, '')", "'hacker_news'", "social", _iso("d"))),
+    "mastodon": (_items_sql("events", "event_id", f"""
+        'https://mastodon.example/@u/' || CAST(event_id AS VARCHAR) AS u,
+        regexp_replace(regexp_replace('<p>Post ' || CAST(event_id AS VARCHAR) || ' about <b>' || event_type
+          || '</b>' || CASE WHEN event_id % 5 = 0 THEN repeat(' <i>' || props || '</i>', 8) ELSE '' END
+          || '</p>' || chr(10), '<[^>]+>', '', 'g'), '^\\s+|\\s+$', '', 'g') AS txt,
+        {_ISOZ} AS d,
+        CASE WHEN event_id % 6 = 0 THEN NULL ELSE 'user' || CAST(user_id % 50 AS VARCHAR) END AS acct"""),
+        _sel("u", "CASE WHEN length(txt) > 120 THEN substring(txt, 1, 120) || '…' ELSE txt END",
+             "CASE WHEN COALESCE(acct, '') <> '' THEN '@' || acct || ': ' || txt ELSE txt END",
+             "'mastodon:mastodon.social'", "social", _iso("d"))),
+    "youtube": (_items_sql("events", "event_id", f"""
+        'v' || CAST(event_id AS VARCHAR) AS vid, 'Video ' || CAST(event_id AS VARCHAR) AS t,
+        props AS descr, {_ISOZ} AS d"""),
+        _sel("'https://www.youtube.com/watch?v=' || vid", "t", "COALESCE(descr, '')", "'youtube'",
+             "video", _iso("d"))),
+    "ebay": (_items_sql("orders", "o_orderkey", """
+        'Lot ' || CAST(o_orderkey AS VARCHAR) AS t,
+        'https://shop.example.com/e/' || CAST(o_orderkey AS VARCHAR) AS u,
+        CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END AS sd,
+        CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE
+          '$' || CAST(CAST((CAST(round(o_totalprice * 100) AS BIGINT) - CAST(round(o_totalprice * 100) AS BIGINT) % 100) / 100 AS BIGINT) AS VARCHAR)
+          || '.' || lpad(CAST(CAST(round(o_totalprice * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0')
+          || ' ' || ['USD', 'EUR', 'GBP'][o_orderkey % 3 + 1] END AS p"""),
+        _sel("u", "t", "COALESCE(sd, '')", "'ebay'", "shopping", AS_OF_SQL, "p")),
+    "etsy": (_items_sql("orders", "o_orderkey", """
+        'Listing ' || CAST(o_orderkey AS VARCHAR) AS t,
+        'https://shop.example.com/t/' || CAST(o_orderkey AS VARCHAR) AS u,
+        CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderstatus || ' ' || repeat(o_orderpriority, 30) END AS descr,
+        CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE
+          '$' || printf('%.2f', CAST(round(o_totalprice * 100) AS BIGINT) / 100.0) || ' '
+          || ['USD', 'EUR', 'GBP'][o_orderkey % 3 + 1] END AS p"""),
+        _sel("u", "t", "substring(COALESCE(descr, ''), 1, 200)", "'etsy'", "shopping", AS_OF_SQL, "p")),
+    "grailed": (_items_sql("orders", "o_orderkey", """
+        'Piece ' || CAST(o_orderkey AS VARCHAR) AS t,
+        CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE '$' || printf('%.2f', round(o_totalprice)) END AS p,
+        CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'Maker A' ELSE 'Maker A, Maker B' END AS sn"""),
+        _sel("'https://www.grailed.com/listings/' || CAST(o_orderkey AS VARCHAR)", "t", "sn",
+             "'grailed'", "shopping", AS_OF_SQL, "p")),
+    "mercari": (_items_sql("orders", "o_orderkey", """
+        'Item ' || CAST(o_orderkey AS VARCHAR) AS nm,
+        CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN 'ask'
+             ELSE '¥' || format('{:,}', CAST(round(o_totalprice) AS BIGINT)) END AS p"""),
+        _sel("'https://jp.mercari.com/item/m' || CAST(o_orderkey AS VARCHAR)", "nm", "''",
+             "'mercari'", "shopping", AS_OF_SQL, "p")
+        + """
+WHERE (run_id, topic_name) NOT IN (
+  SELECT DISTINCT 'run-' || CAST((o_orderkey - o_orderkey % 10) % 7 AS VARCHAR),
+         'topic_' || lpad(CAST((o_orderkey - o_orderkey % 10) % 13 AS VARCHAR), 2, '0')
+  FROM orders WHERE (o_orderkey - o_orderkey % 10) % 500 = 0)"""),
+}
+
+S_IDS = {"gdelt": "S01", "guardian": "S02", "nytimes": "S03", "newsapi": "S04",
+         "hacker_news": "S05", "mastodon": "S06", "youtube": "S08", "ebay": "S09",
+         "etsy": "S10", "grailed": "S11", "mercari": "S12"}
+
+
+def _register(source: str) -> None:
+    items_sql, sel = SQL[source]
+
+    def run(spark, sf_dir):
+        return _out(J.NORMALISERS[source](FP.landed(spark, sf_dir, source)))
+
+    run.__name__ = f"norm_{source}"
+    query(f"norm_{source}", with_views(extra=[("it", items_sql)]) + sel)(run)
+
+
+for _s in SQL:
+    _register(_s)
