@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from vigil.functions.lookups import push_priority, score_band, topic_icon
@@ -31,7 +32,7 @@ PUSH_TAG_ESCALATED = "rotating_light"
 SCORE_MISSING = "—"
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def fixed2(x: pd.Series) -> pd.Series:
     """``%.2f`` with round-half-even on the exact binary value (``0.125`` →
     ``0.12``), which Java's formatter does not do; Arrow-batched."""

@@ -154,3 +154,100 @@ def _register(source: str) -> None:
 
 for _s in SQL:
     _register(_s)
+
+
+# --- feeds -------------------------------------------------------------------------
+from vigil.sources import feeds as FD  # noqa: E402
+
+
+def _out_feed(df):
+    return df.select("payload_id", F.col("item_pos").cast("bigint").alias("item_pos"),
+                     "topic_name", "url", "title", "snippet", "source", "source_type",
+                     ts_text("fetched_at").alias("fetched_at"),
+                     ts_text("published_at").alias("published_at"))
+
+
+_WS = "'^\\s+|\\s+$'"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, {_WS}, '', 'g')"
+
+
+def _rss_items(src: str) -> str:
+    title = (f"'{src} ' || CAST(event_id AS VARCHAR) || CASE WHEN event_id % 3 = 0 THEN ' & ' "
+             f"ELSE ' ' END || event_type")
+    desc = "props"
+    if src == "indeed":
+        desc = ("'<b>Role</b> ' || props || CASE WHEN event_id % 2 = 0 THEN repeat(' details', 40) "
+                "ELSE '' END")
+    return _items_sql("events", "event_id", f"""
+        {title} AS t,
+        CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'https://feeds.example.com/' || CAST(event_id AS VARCHAR) END AS u,
+        {desc} AS descr,
+        CASE WHEN event_id % 13 = 0 THEN NULL ELSE date_trunc('second', ts) END AS pub""")
+
+
+def _sel_feed(url, title, snippet, src, stype, fetched, published="CAST(NULL AS TIMESTAMP)", where=""):
+    return f"""
+SELECT payload_id, item_pos, topic_name, {url} AS url, {title} AS title, {snippet} AS snippet,
+       '{src}' AS source, '{stype}' AS source_type, {ts_sql(fetched)} AS fetched_at,
+       {ts_sql(published)} AS published_at
+FROM it {where}"""
+
+
+FEED_SQL = {
+    "google_news": (_rss_items("google_news"),
+                    _sel_feed("COALESCE(u, '')", "t", "descr", "google_news", "news", AS_OF_SQL, "pub")),
+    "rss": (_rss_items("rss"), _sel_feed("COALESCE(u, '')", "t", "descr", "rss", "feeds", AS_OF_SQL, "pub")),
+    "slickdeals": (_rss_items("slickdeals"),
+                   _sel_feed("COALESCE(u, '')", "t", "descr", "slickdeals", "shopping",
+                             f"COALESCE(pub, {AS_OF_SQL})")),
+    "camelcamelcamel": (_rss_items("camelcamelcamel"),
+                        _sel_feed("COALESCE(u, '')", "t", "descr", "camelcamelcamel", "shopping",
+                                  f"COALESCE(pub, {AS_OF_SQL})")),
+    "indeed": (_rss_items("indeed"), f"""
+SELECT payload_id, item_pos, topic_name, u AS url, {_strip('t')} AS title,
+       CASE WHEN length(s) > 280 THEN substring(s, 1, 280) || '…' ELSE s END AS snippet,
+       'indeed' AS source, 'jobs' AS source_type, {ts_sql(f'COALESCE(pub, {AS_OF_SQL})')} AS fetched_at,
+       {ts_sql('CAST(NULL AS TIMESTAMP)')} AS published_at
+FROM (SELECT *, {_strip("regexp_replace(descr, '<[^>]+>', '', 'g')")} AS s FROM it)
+WHERE COALESCE(u, '') <> ''"""),
+    "reddit": (_items_sql("events", "event_id", """
+        'Thread ' || CAST(event_id AS VARCHAR) AS t, props AS descr,
+        'https://reddit.example.com/r/x/' || CAST(event_id AS VARCHAR) AS u,
+        CASE WHEN event_id % 13 = 0 THEN NULL ELSE date_trunc('second', ts) END AS pub"""),
+               _sel_feed("u", "t", "descr", "reddit", "social", f"COALESCE(pub, {AS_OF_SQL})")),
+    "arxiv": (_items_sql("documents", "doc_id", f"""
+        CASE WHEN doc_id % 17 = 0 THEN '' ELSE CAST(doc_id AS VARCHAR) || 'v1' END AS aid,
+        {_strip("replace(substring(text, 1, 90), chr(10), ' ')")} AS t,
+        {_strip("replace(text, chr(10), ' ')")} AS summ,
+        list_slice(['Author 0 ' || source, 'Author 1 ' || source, 'Author 2 ' || source,
+                    'Author 3 ' || source, 'Author 4 ' || source], 1, doc_id % 6) AS names,
+        list_slice(['cs.CL', 'stat.ML'], 1, doc_id % 3) AS cats,
+        CASE WHEN doc_id % 13 = 0 THEN NULL ELSE
+          CAST('2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') || ' 12:00:00' AS TIMESTAMP) END AS pub"""),
+              _sel_feed("'https://arxiv.org/abs/' || aid", "t",
+                        "CASE WHEN len(cats) > 0 THEN array_to_string(list_slice(names, 1, 3), ', ') "
+                        "|| CASE WHEN len(names) > 3 THEN ' et al.' ELSE '' END || ' — ' "
+                        "|| array_to_string(cats, ', ') ELSE CASE WHEN length(summ) > 280 "
+                        "THEN substring(summ, 1, 280) || '…' ELSE summ END END",
+                        "arxiv", "science", f"COALESCE(pub, {AS_OF_SQL})", where="WHERE aid <> ''")),
+}
+
+F_IDS = {"arxiv": "S17", "google_news": "S21", "rss": "S22", "reddit": "S23", "slickdeals": "S24",
+         "camelcamelcamel": "S25", "indeed": "S26"}
+
+
+def _register_feed(source: str) -> None:
+    items_sql, sel = FEED_SQL[source]
+
+    def run(spark, sf_dir):
+        return _out_feed(FD.NORMALISERS[source](FP.landed_feed(spark, sf_dir, source)))
+
+    run.__name__ = f"norm_{source}"
+    query(f"norm_{source}", with_views(extra=[("it", items_sql)]) + sel)(run)
+
+
+for _s in FEED_SQL:
+    _register_feed(_s)

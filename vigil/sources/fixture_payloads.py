@@ -137,3 +137,91 @@ def _items(spark: SparkSession, sf_dir: str, source: str) -> tuple[DataFrame, st
 def landed(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     items, key, it, wrap = _items(spark, sf_dir, source)
     return land(items, key, it, wrap, source)
+
+
+# --- feeds (XML bodies) -------------------------------------------------------
+from vigil.functions.text import html_escape  # noqa: E402
+
+
+def _el(tag: str, value: Column, attr: str | None = None) -> Column:
+    """``<tag>value</tag>`` (or ``<tag attr="value"/>``); empty when NULL."""
+    if attr:
+        return F.coalesce(F.concat(F.lit(f"<{tag} {attr}=\""), html_escape(value), F.lit('"/>')),
+                          F.lit(""))
+    return F.coalesce(F.concat(F.lit(f"<{tag}>"), html_escape(value), F.lit(f"</{tag}>")), F.lit(""))
+
+
+def rfc822(ts: Column) -> Column:
+    return F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+
+
+def _rss_body(arr: Column) -> Column:
+    items = F.transform(arr, lambda x: F.concat(
+        F.lit("<item>"), _el("title", x["title"]), _el("link", x["link"]),
+        _el("description", x["description"]), _el("pubDate", x["pubDate"]), F.lit("</item>")))
+    return F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>Feed</title>'),
+                    F.array_join(items, ""), F.lit("</channel></rss>"))
+
+
+def _atom_body(arr: Column) -> Column:
+    def entry(x):
+        authors = F.array_join(F.transform(x["author"], lambda a: F.concat(
+            F.lit("<author>"), _el("name", a), F.lit("</author>"))), "")
+        cats = F.array_join(F.transform(x["category"], lambda c: _el("category", c, "term")), "")
+        return F.concat(F.lit("<entry>"), _el("id", x["id"]), _el("title", x["title"]),
+                        _el("summary", x["summary"]), _el("link", x["link"], "href"),
+                        _el("published", x["published"]), authors, cats, F.lit("</entry>"))
+    return F.concat(F.lit("<feed>"), F.array_join(F.transform(arr, entry), ""), F.lit("</feed>"))
+
+
+FEEDS = ("google_news", "rss", "slickdeals", "camelcamelcamel", "indeed", "reddit", "arxiv")
+
+
+def _feed_items(spark: SparkSession, sf_dir: str, source: str):
+    e = F.col("event_id")
+    es = e.cast("string")
+    ts = F.col("ts")
+    if source in ("google_news", "rss", "slickdeals", "camelcamelcamel", "indeed"):
+        title = F.concat(F.lit(f"{source} "), es, F.when(e % 3 == 0, F.lit(" & ")).otherwise(F.lit(" ")),
+                         F.col("event_type"))
+        desc = F.col("props")
+        if source == "indeed":
+            title = F.concat(F.lit("  "), title, F.lit(" "))
+            desc = F.concat(F.lit("<b>Role</b> "), F.col("props"),
+                            F.when(e % 2 == 0, F.repeat(F.lit(" details"), 40)).otherwise(F.lit("")))
+        it = F.struct(title.alias("title"),
+                      F.when(e % 11 == 0, NULL_S).otherwise(
+                          F.concat(F.lit("https://feeds.example.com/"), es)).alias("link"),
+                      desc.alias("description"),
+                      F.when(e % 13 == 0, NULL_S).otherwise(rfc822(ts)).alias("pubDate"))
+        return _events(spark, sf_dir), "event_id", it, _rss_body
+    if source == "reddit":
+        it = F.struct(es.alias("id"), F.concat(F.lit("Thread "), es).alias("title"),
+                      F.col("props").alias("summary"),
+                      F.concat(F.lit("https://reddit.example.com/r/x/"), es).alias("link"),
+                      F.when(e % 13 == 0, NULL_S).otherwise(iso_z(ts)).alias("published"),
+                      F.array().cast("array<string>").alias("author"),
+                      F.array().cast("array<string>").alias("category"))
+        return _events(spark, sf_dir), "event_id", it, _atom_body
+    if source == "arxiv":
+        d = F.col("doc_id")
+        ds = d.cast("string")
+        names = F.slice(F.array(*[F.concat(F.lit(f"Author {i} "), F.col("source")) for i in range(5)]),
+                        1, (d % 6).cast("int"))
+        cats = F.slice(F.array(F.lit("cs.CL"), F.lit("stat.ML")), 1, (d % 3).cast("int"))
+        it = F.struct(F.when(d % 17 == 0, NULL_S).otherwise(
+                          F.concat(F.lit("http://arxiv.example.org/abs/"), ds, F.lit("v1"))).alias("id"),
+                      F.substring("text", 1, 90).alias("title"), F.col("text").alias("summary"),
+                      F.lit(None).cast("string").alias("link"),
+                      F.when(d % 13 == 0, NULL_S).otherwise(
+                          F.concat(F.lit("2024-01-"), F.lpad((d % 28 + 1).cast("string"), 2, "0"),
+                                   F.lit("T12:00:00Z"))).alias("published"),
+                      names.alias("author"), cats.alias("category"))
+        return table(spark, sf_dir, "documents"), "doc_id", it, _atom_body
+    raise KeyError(source)
+
+
+@lru_cache(maxsize=64)
+def landed_feed(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    items, key, it, body = _feed_items(spark, sf_dir, source)
+    return land(items, key, it, lambda a: a, source, to_text=body)
