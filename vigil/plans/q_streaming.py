@@ -1 +1,146 @@
-"""placeholder"""
+"""Streaming queries (T01–T07): each runs a Structured Streaming job
+(``availableNow``) over files Spark derives from the driver tables and
+returns the final result as a batch DataFrame.  Their oracles are the batch
+queries' SQL, so "stream = batch" is checked exactly."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from vigil.operators import budget as Bu
+from vigil.operators.escalation import escalation_events
+from vigil.operators.index import index_top
+from vigil.plans import poll
+from vigil.plans.registry import ORACLE, query, ts_text
+from vigil.sources import fixtures as fx
+from vigil.streaming import poll_stream as S
+
+
+def _fresh_dir(spark, name):
+    return S.stream_dir(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def _land_days(df, path, day_col, unit: str = "week"):
+    """Land one folder per ``unit`` (a week of runs), written in time order
+    so the file source sees them in arrival order; the handful of bucket
+    names is the only thing brought to the driver."""
+    bucket = F.date_format(F.date_trunc(unit, day_col), "yyyy-MM-dd")
+    keys = [r[0] for r in df.select(bucket.alias("d")).distinct().orderBy("d").collect()]
+    for d in keys:
+        (df.where(bucket == d).coalesce(1)
+         .write.mode("overwrite").parquet(f"{path}/chunk={d}"))
+    return path
+
+
+def _run(spark, name, stream_df, build, keys):
+    base = _fresh_dir(spark, name)
+    w = (stream_df.writeStream.outputMode("update")
+         .option("checkpointLocation", f"{base}/_checkpoint")
+         .foreachBatch(S.idempotent_batch_writer(f"{base}/out", build)))
+    S.run_available(w, f"{name}_{uuid.uuid4().hex[:6]}")
+    return S.latest_per_key(spark, f"{base}/out", keys) if keys else spark.read.parquet(f"{base}/out")
+
+
+def _with_batch(df, batch_id):
+    return df.withColumn("batch_id", F.lit(batch_id))
+
+
+@query("stream_breaker_state", ORACLE["breaker_state"])
+def stream_breaker_state(spark, sf_dir):
+    """Breaker state kept in the streaming state store, one day of
+    attempts per micro-batch."""
+    att = fx.fx_attempts(spark, sf_dir)
+    src = _land_days(att, _fresh_dir(spark, "attempts"), F.col("ts"))
+    stream = S.read_stream(spark, src, att.schema)
+    out = _run(spark, "breaker", S.breaker_stream(stream), _with_batch, ["topic_name", "adapter"])
+    return out.select("topic_name", "adapter", "consecutive_failures", "disabled",
+                      ts_text(F.timestamp_micros("disabled_at_us")).alias("disabled_at"),
+                      "n_skipped", "n_trips", "n_events")
+
+
+@query("stream_escalation_state", ORACLE["escalation_state"])
+def stream_escalation_state(spark, sf_dir):
+    """Escalation state per topic across micro-batches."""
+    from vigil.plans.q_state import _matches
+    m = _matches(spark, sf_dir).withColumn("ts", F.col("fetched_at")).withColumn("seq", F.col("event_id"))
+    ev = escalation_events(m).withColumn("ts", F.timestamp_micros("ts_us"))
+    src = _land_days(ev, _fresh_dir(spark, "matches"), F.col("ts"))
+    stream = S.read_stream(spark, src, ev.schema)
+    out = _run(spark, "escalation", S.escalation_stream(stream), _with_batch, ["topic_name"])
+    return out.select("topic_name", "bumped_to",
+                      ts_text(F.timestamp_micros("expires_us")).alias("expires_at"), "trigger_tag",
+                      "n_accepted", "n_matches")
+
+
+@query("stream_budget", ORACLE["budget_allocation"])
+def stream_budget(spark, sf_dir):
+    """The fair-share budget of each run inside ``foreachBatch`` (a run
+    is one micro-batch, it needs the whole run)."""
+    fresh = poll.run(spark, sf_dir).fresh.select("run_day", "topic_ord")
+    src = _land_days(fresh, _fresh_dir(spark, "fresh"), F.col("run_day"))
+    stream = S.read_stream(spark, src, fresh.schema)
+
+    def build(batch, batch_id):
+        counts = batch.groupBy("run_day", "topic_ord").agg(F.count("*").alias("n"))
+        return _with_batch(Bu.allocate_budget(counts, fx.N_TOPICS, run="run_day"), batch_id)
+
+    base = _fresh_dir(spark, "budget")
+    w = (stream.writeStream.option("checkpointLocation", f"{base}/_checkpoint")
+         .foreachBatch(S.idempotent_batch_writer(f"{base}/out", build)))
+    S.run_available(w, f"budget_{uuid.uuid4().hex[:6]}")
+    out = spark.read.parquet(f"{base}/out")
+    return out.select(ts_text("run_day").alias("run_day"),
+                      F.col("topic_ord").cast("bigint").alias("topic_ord"), "budget",
+                      "used_before", "sent")
+
+
+@query("stream_index_top100", ORACLE["index_top100"])
+def stream_index_top100(spark, sf_dir):
+    """Each micro-batch (a run) merges its passed rows into the capped
+    index: previous snapshot ∪ new rows → top 100 per topic, written as the
+    batch's own snapshot (a replay rewrites the same snapshot)."""
+    idx = fx.fx_index(spark, sf_dir).select("topic_name", "event_id", "run_day", "item_pos")
+    src = _land_days(idx, _fresh_dir(spark, "index_in"), F.col("run_day"))
+    stream = S.read_stream(spark, src, idx.schema)
+    base = _fresh_dir(spark, "index")
+
+    def merge(batch, batch_id):
+        snap = f"{base}/snap/batch_id={batch_id}"
+        prev = None
+        for b in range(batch_id - 1, -1, -1):
+            try:
+                prev = spark.read.parquet(f"{base}/snap/batch_id={b}")
+                break
+            except Exception:  # no snapshot written by that batch
+                continue
+        rows = batch.select("topic_name", "event_id", "run_day", "item_pos")
+        if prev is not None:
+            rows = rows.unionByName(prev.select("topic_name", "event_id", "run_day", "item_pos"))
+        index_top(rows).drop("pos").write.mode("overwrite").parquet(snap)
+
+    q = (stream.writeStream.option("checkpointLocation", f"{base}/_checkpoint")
+         .foreachBatch(merge).trigger(availableNow=True).start())
+    q.awaitTermination()
+    last = spark.read.parquet(f"{base}/snap").agg(F.max("batch_id")).first()[0]
+    final = spark.read.parquet(f"{base}/snap/batch_id={last}")
+    return index_top(final).select("topic_name", "event_id", F.col("pos").cast("bigint").alias("pos"))
+
+
+@query("stream_normalise_gdelt", ORACLE["norm_gdelt"])
+def stream_normalise_gdelt(spark, sf_dir):
+    """Landed payload files as a stream → normaliser → late filter
+    against the batch clock → appended results."""
+    from vigil.plans.q_sources import _out
+    from vigil.sources import fixture_payloads as FP
+    from vigil.sources.json_api import normalise_gdelt
+    landed = FP.landed(spark, sf_dir, "gdelt")
+    base = _fresh_dir(spark, "landed_gdelt")
+    landed.write.mode("overwrite").parquet(f"{base}/in")
+    stream = S.read_stream(spark, f"{base}/in", landed.schema, files_per_batch=4)
+    res = S.drop_late(normalise_gdelt(stream), S.AS_OF)
+    w = (res.writeStream.outputMode("append").option("checkpointLocation", f"{base}/_checkpoint")
+         .foreachBatch(S.idempotent_batch_writer(f"{base}/out", lambda b, i: b)))
+    S.run_available(w, f"gdelt_{uuid.uuid4().hex[:6]}")
+    return _out(spark.read.parquet(f"{base}/out"))
