@@ -17,7 +17,8 @@ from vigil.plans.oracle_views import with_views
 from vigil.plans.registry import query, r6, ts_text
 from vigil.sources import fixtures as fx
 
-INDEX_POS = [F.col("run_day").desc(), F.col("item_pos").desc()]
+def _index_pos():
+    return [F.col("run_day").desc(), F.col("item_pos").desc()]
 _RANK = "CASE {x} WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 WHEN 'urgent' THEN 3 ELSE 0 END"
 _EFF = f"""
 SELECT t.name, CASE WHEN s.expires_at IS NOT NULL AND {AS_OF_SQL} >= s.expires_at THEN t.urgency
@@ -67,7 +68,7 @@ def push_payload(spark, sf_dir):
 
 
 def _digest(spark, sf_dir):
-    return N.digest_items(fx.fx_index(spark, sf_dir), INDEX_POS)
+    return N.digest_items(fx.fx_index(spark, sf_dir), _index_pos())
 
 
 @query("digest_items", with_views("o_digest") + """

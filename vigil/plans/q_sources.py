@@ -251,3 +251,92 @@ def _register_feed(source: str) -> None:
 
 for _s in FEED_SQL:
     _register_feed(_s)
+
+
+# --- configuration scans (S32–S35) and attempt outcomes (M04) -------------------------
+from vigil.operators.breaker import attempt_outcomes as _outcomes  # noqa: E402
+from vigil.sources import config as CF  # noqa: E402
+from vigil.sources import fixtures as fxm  # noqa: E402
+from functools import reduce  # noqa: E402
+
+_CUST = """SELECT c_custkey AS topic_id,
+       ['high', 'low', 'medium'][c_custkey % 3 + 1] AS importance,
+       ['urgent', 'high', 'medium', 'low', 'critical'][c_custkey % 5 + 1] AS urgency,
+       c_nationkey, lower(c_mktsegment) AS seg, 'term' || CAST(c_custkey % 10 AS VARCHAR) AS term
+FROM customer"""
+
+
+@query("topic_validation", with_views(extra=[("t", _CUST)]) + """
+SELECT topic_id, 'importance' AS field, importance AS value FROM t WHERE importance NOT IN ('high', 'low')
+UNION ALL
+SELECT topic_id, 'urgency', urgency FROM t WHERE urgency NOT IN ('urgent', 'high', 'medium', 'low')""")
+def topic_validation(spark, sf_dir):
+    return CF.validate_topics(fxm.fx_topic_configs(spark, sf_dir))
+
+
+_ENTRIES = """
+SELECT topic_id, 'frequent' AS tier, 0 AS source_pos,
+       ['gdelt', 'rss', 'reddit', 'arxiv'][c_nationkey % 4 + 1] AS source, [seg, term] AS terms
+FROM t WHERE topic_id % 2 = 0
+UNION ALL SELECT topic_id, 'discovery', 0, 'google_news', [seg] FROM t
+UNION ALL SELECT topic_id, 'discovery', 1, 'hacker_news', CAST([] AS VARCHAR[]) FROM t
+UNION ALL SELECT topic_id, 'broad', 0, 'gdelt', ['global'] FROM t WHERE topic_id % 3 = 0"""
+
+
+def _all_tiers(spark, sf_dir):
+    topics = fxm.fx_topic_configs(spark, sf_dir)
+    return reduce(lambda a, b: a.unionByName(b),
+                  [CF.sources_for_tier(topics, t) for t in ("frequent", "discovery", "broad")])
+
+
+@query("sources_for_tier", with_views(extra=[("t", _CUST), ("e", _ENTRIES)]) + """
+SELECT topic_id, tier, CAST(source_pos AS INTEGER) AS source_pos, source,
+       CAST(len(terms) AS INTEGER) AS n_terms FROM e""")
+def sources_for_tier(spark, sf_dir):
+    return _all_tiers(spark, sf_dir).select("topic_id", "tier", F.col("source_pos").cast("int"),
+                                            "source", F.size("terms").cast("int").alias("n_terms"))
+
+
+@query("request_plan", with_views(extra=[("t", _CUST), ("e", _ENTRIES)]) + """
+SELECT topic_id, tier, source, CAST(term_pos AS INTEGER) AS term_pos, term,
+       '{"q":"' || term || '","source":"' || source || '"}' AS params
+FROM (SELECT topic_id, tier, source, unnest(terms) AS term,
+             unnest(generate_series(0, len(terms) - 1)) AS term_pos FROM e WHERE len(terms) > 0)""")
+def request_plan(spark, sf_dir):
+    return CF.request_plan(_all_tiers(spark, sf_dir)).select(
+        "topic_id", "tier", "source", F.col("term_pos").cast("int").alias("term_pos"), "term",
+        "params")
+
+
+_UNION_SOURCES = ["gdelt", "guardian", "hacker_news", "ebay", "rss", "arxiv"]
+
+
+@query("all_results", "WITH u AS (" + " UNION ALL ".join(
+    f"SELECT source_type FROM ({with_views(extra=[('it', (SQL.get(s) or FEED_SQL.get(s))[0])])}"
+    f"{(SQL.get(s) or FEED_SQL.get(s))[1]})" for s in _UNION_SOURCES) + """)
+SELECT source_type, CAST(count(*) AS BIGINT) AS n FROM u GROUP BY source_type""")
+def all_results(spark, sf_dir):
+    parts = []
+    for s in _UNION_SOURCES:
+        if s in J.NORMALISERS:
+            parts.append(J.NORMALISERS[s](FP.landed(spark, sf_dir, s)))
+        else:
+            parts.append(FD.NORMALISERS[s](FP.landed_feed(spark, sf_dir, s)))
+    u = CF.union_results(*parts)
+    return u.groupBy("source_type").agg(F.count("*").cast("bigint").alias("n"))
+
+
+@query("attempt_outcomes", """
+SELECT run_id, topic_name, source, bool_or(bad AND reports) AS failed,
+       CAST(count(*) AS BIGINT) AS n_payloads
+FROM (SELECT 'run-' || CAST(pid % 7 AS VARCHAR) AS run_id,
+             'topic_' || lpad(CAST(pid % 13 AS VARCHAR), 2, '0') AS topic_name,
+             source, pid % 500 = 0 AS bad, source <> 'rss' AS reports
+      FROM (SELECT DISTINCT event_id - event_id % 10 AS pid, s.source
+            FROM events CROSS JOIN (VALUES ('gdelt'), ('rss')) s(source)))
+GROUP BY run_id, topic_name, source""")
+def attempt_outcomes(spark, sf_dir):
+    landed = FP.landed(spark, sf_dir, "gdelt").unionByName(FP.landed_feed(spark, sf_dir, "rss"))
+    out = _outcomes(landed.withColumn("source_ord", F.lit(0)))
+    return out.select("run_id", "topic_name", "source", "failed",
+                      F.col("n_payloads").cast("bigint").alias("n_payloads"))

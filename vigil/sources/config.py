@@ -1,0 +1,54 @@
+"""Topic configuration scans.
+
+S32 validate_topics   importance ∈ {high, low}, urgency ∈ {urgent, high, medium, low}
+S33 sources_for_tier  source entries of one polling tier (missing tier → none)
+S34 request_plan      one request per (topic, source entry, term) for an
+                      external fetcher, parameters as JSON
+S35 union_results     results of all sources, each tagged with its source order
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# The accepted enumerations of a topic record.
+IMPORTANCE = ["high", "low"]
+URGENCY = ["urgent", "high", "medium", "low"]
+
+POLLING_TYPE = "map<string,array<struct<source:string,terms:array<string>>>>"
+
+
+# S32
+def validate_topics(topics: DataFrame, key: str = "topic_id") -> DataFrame:
+    """One row per violation: (key, field, value)."""
+    checks = [("importance", IMPORTANCE), ("urgency", URGENCY)]
+    parts = [topics.where(~F.coalesce(F.col(f).isin(*allowed), F.lit(False)))
+             .select(key, F.lit(f).alias("field"), F.col(f).alias("value"))
+             for f, allowed in checks]
+    return reduce(DataFrame.unionByName, parts)
+
+
+# S33
+def sources_for_tier(topics: DataFrame, tier: str, key: str = "topic_id") -> DataFrame:
+    entries = F.try_element_at(F.col("polling"), F.lit(tier))
+    return (topics.select(key, F.posexplode(entries).alias("source_pos", "entry"))
+            .select(key, F.lit(tier).alias("tier"), "source_pos", "entry.source", "entry.terms"))
+
+
+# S34
+def request_plan(sources: DataFrame, key: str = "topic_id") -> DataFrame:
+    """Explode each entry's terms into requests with JSON parameters."""
+    return (sources.select(key, "tier", "source_pos", "source",
+                           F.posexplode("terms").alias("term_pos", "term"))
+            .withColumn("params", F.to_json(F.create_map(
+                F.lit("q"), F.col("term"), F.lit("source"), F.col("source")))))
+
+
+# S35
+def union_results(*results: DataFrame) -> DataFrame:
+    """Union of normalised results in list order (``source_rank`` = position)."""
+    tagged = [r.withColumn("source_rank", F.lit(i)) for i, r in enumerate(results)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)

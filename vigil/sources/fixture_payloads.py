@@ -11,7 +11,17 @@ from pyspark.sql import functions as F
 from vigil.sources.fixtures import pick, table
 from vigil.sources.landing import land
 
-NULL_S = F.lit(None).cast("string")
+class _NullString:
+    """``NULL`` string literal, built on use (no session needed at import)."""
+
+    def __get__(self, obj, owner=None):
+        return F.lit(None).cast("string")
+
+
+class _Lazy:
+    NULL_S = _NullString()
+
+
 
 
 def iso_z(ts: Column) -> Column:
@@ -20,7 +30,7 @@ def iso_z(ts: Column) -> Column:
 
 def _section(e: Column) -> Column:
     return (F.when(e % 4 == 0, F.lit("World")).when(e % 4 == 1, F.lit("Politics"))
-            .when(e % 4 == 2, F.lit("")).otherwise(NULL_S))
+            .when(e % 4 == 2, F.lit("")).otherwise(_Lazy.NULL_S))
 
 
 def _events(spark, sf_dir):
@@ -38,7 +48,7 @@ def _items(spark: SparkSession, sf_dir: str, source: str) -> tuple[DataFrame, st
     if source == "gdelt":
         it = F.struct(F.concat(F.lit("https://news.example.com/g/"), es).alias("url"),
                       F.concat(F.lit("Story "), es, F.lit(" "), F.col("event_type")).alias("title"),
-                      F.when(e % 7 == 0, NULL_S).otherwise(F.lit("news.example.com")).alias("domain"),
+                      F.when(e % 7 == 0, _Lazy.NULL_S).otherwise(F.lit("news.example.com")).alias("domain"),
                       _bad_date(e, F.date_format(ts, "yyyyMMdd'T'HHmmss'Z'")).alias("seendate"))
         return _events(spark, sf_dir), "event_id", it, lambda a: F.struct(a.alias("articles"))
     if source == "guardian":
@@ -46,29 +56,29 @@ def _items(spark: SparkSession, sf_dir: str, source: str) -> tuple[DataFrame, st
                       F.concat(F.lit("https://guardian.example.com/"), es).alias("webUrl"),
                       _bad_date(e, iso_z(ts)).alias("webPublicationDate"),
                       _section(e).alias("sectionName"),
-                      F.struct(F.when(e % 5 == 0, NULL_S).otherwise(
+                      F.struct(F.when(e % 5 == 0, _Lazy.NULL_S).otherwise(
                           F.concat(F.lit("Trail "), F.col("props"))).alias("trailText")).alias("fields"))
         return _events(spark, sf_dir), "event_id", it, lambda a: F.struct(
             F.struct(F.lit("ok").alias("status"), a.alias("results")).alias("response"))
     if source == "nytimes":
         it = F.struct(F.struct(F.concat(F.lit("NYT "), es).alias("main")).alias("headline"),
-                      F.when(e % 5 == 0, NULL_S).otherwise(F.concat(F.lit("Abstract "), es)).alias("abstract"),
+                      F.when(e % 5 == 0, _Lazy.NULL_S).otherwise(F.concat(F.lit("Abstract "), es)).alias("abstract"),
                       F.concat(F.lit("https://nyt.example.com/"), es).alias("web_url"),
                       _bad_date(e, F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+0000"))).alias("pub_date"),
                       _section(e).alias("section_name"))
         return _events(spark, sf_dir), "event_id", it, lambda a: F.struct(
             F.struct(a.alias("docs")).alias("response"))
     if source == "newsapi":
-        it = F.struct(F.struct(F.when(e % 6 == 0, NULL_S).otherwise(
+        it = F.struct(F.struct(F.when(e % 6 == 0, _Lazy.NULL_S).otherwise(
                           F.concat(F.lit("Wire"), (e % 4).cast("string"))).alias("name")).alias("source"),
                       F.concat(F.lit("Article "), es).alias("title"),
-                      F.when(e % 5 == 0, NULL_S).otherwise(F.col("event_type")).alias("description"),
+                      F.when(e % 5 == 0, _Lazy.NULL_S).otherwise(F.col("event_type")).alias("description"),
                       F.concat(F.lit("https://wire.example.com/"), es).alias("url"),
                       iso_z(ts).alias("publishedAt"))
         return _events(spark, sf_dir), "event_id", it, lambda a: F.struct(a.alias("articles"))
     if source == "hacker_news":
         it = F.struct(es.alias("objectID"), F.concat(F.lit("HN "), es).alias("title"),
-                      F.when(e % 4 == 0, NULL_S).when(e % 9 == 0, F.lit(""))
+                      F.when(e % 4 == 0, _Lazy.NULL_S).when(e % 9 == 0, F.lit(""))
                       .otherwise(F.concat(F.lit("https://blog.example.com/"), es)).alias("url"),
                       iso_z(ts).alias("created_at"),
                       F.when(e % 3 == 0, F.concat(F.lit("text "), es)).alias("story_text"))
@@ -80,7 +90,7 @@ def _items(spark: SparkSession, sf_dir: str, source: str) -> tuple[DataFrame, st
                       F.concat(F.lit("<p>Post "), es, F.lit(" about <b>"), F.col("event_type"),
                                F.lit("</b>"), extra, F.lit("</p>\n")).alias("content"),
                       iso_z(ts).alias("created_at"),
-                      F.struct(F.when(e % 6 == 0, NULL_S).otherwise(
+                      F.struct(F.when(e % 6 == 0, _Lazy.NULL_S).otherwise(
                           F.concat(F.lit("user"), (F.col("user_id") % 50).cast("string"))).alias("acct"))
                       .alias("account"))
         return _events(spark, sf_dir), "event_id", it, lambda a: F.struct(a.alias("statuses"))
@@ -100,14 +110,14 @@ def _items(spark: SparkSession, sf_dir: str, source: str) -> tuple[DataFrame, st
                          F.lpad((cents % 100).cast("string"), 2, "0"))
         it = F.struct(ks.alias("itemId"), F.concat(F.lit("Lot "), ks).alias("title"),
                       F.concat(F.lit("https://shop.example.com/e/"), ks).alias("itemWebUrl"),
-                      F.when(k % 4 == 0, NULL_S).otherwise(F.col("o_orderpriority")).alias("shortDescription"),
+                      F.when(k % 4 == 0, _Lazy.NULL_S).otherwise(F.col("o_orderpriority")).alias("shortDescription"),
                       F.when(k % 9 == 0, F.lit(None).cast("struct<value:string,currency:string>"))
                       .otherwise(F.struct(value.alias("value"), ccy.alias("currency"))).alias("price"))
         return orders, "o_orderkey", it, lambda a: F.struct(a.alias("itemSummaries"))
     if source == "etsy":
         it = F.struct(k.alias("listing_id"), F.concat(F.lit("Listing "), ks).alias("title"),
                       F.concat(F.lit("https://shop.example.com/t/"), ks).alias("url"),
-                      F.when(k % 4 == 0, NULL_S).otherwise(F.concat(
+                      F.when(k % 4 == 0, _Lazy.NULL_S).otherwise(F.concat(
                           F.col("o_orderstatus"), F.lit(" "), F.repeat(F.col("o_orderpriority"), 30)))
                       .alias("description"),
                       F.when(k % 9 == 0, F.lit(None).cast(
@@ -125,7 +135,7 @@ def _items(spark: SparkSession, sf_dir: str, source: str) -> tuple[DataFrame, st
                       designers.alias("designer_names"))
         return orders, "o_orderkey", it, lambda a: a
     if source == "mercari":
-        price = (F.when(k % 9 == 0, NULL_S).when(k % 11 == 0, F.lit("ask"))
+        price = (F.when(k % 9 == 0, _Lazy.NULL_S).when(k % 11 == 0, F.lit("ask"))
                  .otherwise(F.round(F.col("o_totalprice")).cast("bigint").cast("string")))
         it = F.struct(F.concat(F.lit("m"), ks).alias("id"), F.concat(F.lit("Item "), ks).alias("name"),
                       price.alias("price"), F.lit("on_sale").alias("status"))
@@ -190,16 +200,16 @@ def _feed_items(spark: SparkSession, sf_dir: str, source: str):
             desc = F.concat(F.lit("<b>Role</b> "), F.col("props"),
                             F.when(e % 2 == 0, F.repeat(F.lit(" details"), 40)).otherwise(F.lit("")))
         it = F.struct(title.alias("title"),
-                      F.when(e % 11 == 0, NULL_S).otherwise(
+                      F.when(e % 11 == 0, _Lazy.NULL_S).otherwise(
                           F.concat(F.lit("https://feeds.example.com/"), es)).alias("link"),
                       desc.alias("description"),
-                      F.when(e % 13 == 0, NULL_S).otherwise(rfc822(ts)).alias("pubDate"))
+                      F.when(e % 13 == 0, _Lazy.NULL_S).otherwise(rfc822(ts)).alias("pubDate"))
         return _events(spark, sf_dir), "event_id", it, _rss_body
     if source == "reddit":
         it = F.struct(es.alias("id"), F.concat(F.lit("Thread "), es).alias("title"),
                       F.col("props").alias("summary"),
                       F.concat(F.lit("https://reddit.example.com/r/x/"), es).alias("link"),
-                      F.when(e % 13 == 0, NULL_S).otherwise(iso_z(ts)).alias("published"),
+                      F.when(e % 13 == 0, _Lazy.NULL_S).otherwise(iso_z(ts)).alias("published"),
                       F.array().cast("array<string>").alias("author"),
                       F.array().cast("array<string>").alias("category"))
         return _events(spark, sf_dir), "event_id", it, _atom_body
@@ -209,11 +219,11 @@ def _feed_items(spark: SparkSession, sf_dir: str, source: str):
         names = F.slice(F.array(*[F.concat(F.lit(f"Author {i} "), F.col("source")) for i in range(5)]),
                         1, (d % 6).cast("int"))
         cats = F.slice(F.array(F.lit("cs.CL"), F.lit("stat.ML")), 1, (d % 3).cast("int"))
-        it = F.struct(F.when(d % 17 == 0, NULL_S).otherwise(
+        it = F.struct(F.when(d % 17 == 0, _Lazy.NULL_S).otherwise(
                           F.concat(F.lit("http://arxiv.example.org/abs/"), ds, F.lit("v1"))).alias("id"),
                       F.substring("text", 1, 90).alias("title"), F.col("text").alias("summary"),
                       F.lit(None).cast("string").alias("link"),
-                      F.when(d % 13 == 0, NULL_S).otherwise(
+                      F.when(d % 13 == 0, _Lazy.NULL_S).otherwise(
                           F.concat(F.lit("2024-01-"), F.lpad((d % 28 + 1).cast("string"), 2, "0"),
                                    F.lit("T12:00:00Z"))).alias("published"),
                       names.alias("author"), cats.alias("category"))

@@ -229,3 +229,29 @@ def fx_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         e.alias("event_id"), F.col("ts").cast("timestamp").alias("call_ts"),
         response.alias("response"), err.alias("error_text"))
+
+
+@lru_cache(maxsize=32)
+def fx_topic_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topic records derived from ``customer`` (some invalid enumerations)."""
+    k, nk = F.col("c_custkey"), F.col("c_nationkey")
+    term = F.concat(F.lit("term"), (k % 10).cast("string"))
+    entry = "struct<source:string,terms:array<string>>"
+    frequent = F.array(F.struct(pick(["gdelt", "rss", "reddit", "arxiv"], nk % 4).alias("source"),
+                                F.array(F.lower("c_mktsegment"), term).alias("terms")))
+    discovery = F.array(F.struct(F.lit("google_news").alias("source"),
+                                 F.array(F.lower("c_mktsegment")).alias("terms")),
+                        F.struct(F.lit("hacker_news").alias("source"),
+                                 F.array().cast("array<string>").alias("terms")))
+    broad = F.array(F.struct(F.lit("gdelt").alias("source"), F.array(F.lit("global")).alias("terms")))
+    polling = F.map_concat(
+        F.when(k % 2 == 0, F.create_map(F.lit("frequent"), frequent))
+        .otherwise(F.create_map().cast(f"map<string,array<{entry}>>")),
+        F.create_map(F.lit("discovery"), discovery),
+        F.when(k % 3 == 0, F.create_map(F.lit("broad"), broad))
+        .otherwise(F.create_map().cast(f"map<string,array<{entry}>>")))
+    return table(spark, sf_dir, "customer").select(
+        k.alias("topic_id"), F.col("c_name").alias("name"),
+        pick(["high", "low", "medium"], k % 3).alias("importance"),
+        pick(["urgent", "high", "medium", "low", "critical"], k % 5).alias("urgency"),
+        polling.alias("polling"))
