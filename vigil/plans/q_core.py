@@ -247,3 +247,17 @@ SELECT DISTINCT url FROM fx_items
 WHERE url NOT IN (SELECT url FROM o_scored_passed)""")
 def retry_eligible(spark, sf_dir):
     return R.retry_eligible(fx.fx_items(spark, sf_dir), poll.scored_passed(spark, sf_dir))
+
+
+@query("poll_run", with_views("o_scored_passed", "fx_triggers") + f"""
+SELECT p.event_id, {ts_sql('p.run_day')} AS run_day, p.topic_name,
+       round(p.novelty_score, 6) AS novelty_score, t.tag AS escalation_trigger
+FROM o_scored_passed p
+LEFT JOIN fx_triggers t ON t.topic_ord = p.topic_ord AND t.tag = p.tag""")
+def poll_run(spark, sf_dir):
+    """A whole poll run per fixture day: seen anti-join → dedup → staleness →
+    fair-share budget → scoring threshold → escalation trigger match."""
+    pr = poll.run(spark, sf_dir)
+    m = Es.match_triggers(pr.scored_passed, pr.topics)
+    return m.select("event_id", ts_text("run_day").alias("run_day"), "topic_name",
+                    r6("novelty_score").alias("novelty_score"), "escalation_trigger")
