@@ -6,7 +6,7 @@ scorer caps later copies below the near-duplicate score.
 
 Plan, all DataFrame operators:
 
-1. shingles = distinct word ``k``-grams of the whole text;
+1. shingles = distinct word ``k``-grams of the whole text, as 64-bit ids;
 2. **exact copies collapse first**: texts with the same shingle set (by a
    256-bit digest of the sorted set) map to their smallest id, so a passage
    copied a thousand times is one representative, not a million pairs;
@@ -40,6 +40,18 @@ def shingles(text: Column, k: int = 3) -> Column:
     return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
 
 
+def shingle_ids(text: Column, k: int = 3) -> Column:
+    """Sorted distinct 64-bit ids of the word ``k``-grams of the whole text:
+    ``xxhash64`` over the ``k`` tokens themselves (no joined strings)."""
+    toks = F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    n = F.size(toks)
+    shifted = [toks] + [F.slice(toks, j + 1, 1 << 30) for j in range(1, k)]
+    zipped = F.slice(F.arrays_zip(*shifted), 1, F.greatest(n - k + 1, F.lit(1)))
+    ids = F.transform(zipped, lambda z: F.xxhash64(*[z[str(j)] for j in range(k)]))
+    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(
+        F.array_sort(F.array_distinct(ids)))
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-spread rows over the cluster when the input arrives in fewer
     partitions than there are cores (one large file); a well-split input is
@@ -55,15 +67,14 @@ def near_duplicates(texts: DataFrame, id_col: str = "doc_id", group: str = "topi
                     text: str = "text", num: int = 4, den: int = 5, k: int = 3) -> DataFrame:
     """``(id, group, n_shingles, near_dup_of, jaccard)`` per non-empty text."""
     texts = spread(texts, id_col)
+    # Shingle sets as sorted 64-bit ids: joins, sorts and intersections run on
+    # longs.  Two different shingles share an id with probability ~2^-64, so a
+    # pair's overlap is exact except with probability ~|A||B|/2^64.
     sets = (texts.select(F.col(id_col).alias("id"), F.col(group).alias("grp"),
-                         shingles(F.col(text), k).alias("sh"))
-            .where(F.size("sh") > 0)
-            .withColumn("n", F.size("sh"))
-            # 64-bit shingle ids drive candidate generation (narrow joins and
-            # sorts); verification below compares the exact strings.
-            .withColumn("hs", F.array_sort(F.array_distinct(
-                F.transform("sh", lambda x: F.xxhash64(x)))))
-            .withColumn("sig", F.sha2(F.to_json("hs"), 256)))
+                         shingle_ids(F.col(text), k).alias("hs"))
+            .where(F.size("hs") > 0)
+            .withColumn("n", F.size("hs"))
+            .withColumn("sig", F.sha2(F.array_join(F.col("hs").cast("array<string>"), ","), 256)))
     # The sets feed four branches: write them once to the shared checkpoint
     # folder instead of re-shingling every text per branch.
     checkpoint_dir(texts.sparkSession)
@@ -73,10 +84,10 @@ def near_duplicates(texts: DataFrame, id_col: str = "doc_id", group: str = "topi
     reps = sets.groupBy("grp", "sig").agg(F.min("id").alias("rep"))
     members = sets.select("id", "grp", "sig", "n").join(reps, ["grp", "sig"])
     rep_sets = sets.join(reps, ["grp", "sig"]).where(F.col("id") == F.col("rep")).select(
-        "id", "grp", "sh", "hs", "n")
+        "id", "grp", "hs", "n")
 
     # 3. prefix filtering on representatives (order: document frequency, id)
-    tokens = rep_sets.select("id", "grp", F.size("hs").alias("m"), F.explode("hs").alias("h"))
+    tokens = rep_sets.select("id", "grp", F.col("n").alias("m"), F.explode("hs").alias("h"))
     df = tokens.groupBy("h").agg(F.count("*").alias("df"))
     # prefix length over the hashed set: |A| - ceil(t|A|) + 1 in integers
     plen = F.col("m") - F.ceil((F.col("m") * num).cast("double") / den).cast("int") + 1
@@ -94,8 +105,8 @@ def near_duplicates(texts: DataFrame, id_col: str = "doc_id", group: str = "topi
              .distinct())
 
     # 4. verify exactly
-    s1 = rep_sets.select(F.col("id").alias("id1"), F.col("sh").alias("sh1"), F.col("n").alias("n1"))
-    s2 = rep_sets.select(F.col("id").alias("id2"), F.col("sh").alias("sh2"), F.col("n").alias("n2"))
+    s1 = rep_sets.select(F.col("id").alias("id1"), F.col("hs").alias("sh1"), F.col("n").alias("n1"))
+    s2 = rep_sets.select(F.col("id").alias("id2"), F.col("hs").alias("sh2"), F.col("n").alias("n2"))
     inter = F.size(F.array_intersect("sh1", "sh2"))
     # the set sides carry whole shingle arrays: never broadcast them
     pairs = (cands.join(s1.hint("merge"), "id1").join(s2.hint("merge"), "id2")
