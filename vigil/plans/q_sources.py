@@ -137,6 +137,39 @@ WHERE (run_id, topic_name) NOT IN (
   FROM orders WHERE (o_orderkey - o_orderkey % 10) % 500 = 0)"""),
 }
 
+_WX = ("CASE code " + " ".join(f"WHEN {c} THEN '{d}'" for c, d in __import__(
+    "vigil.functions.lookups", fromlist=["WEATHER_CODES"]).WEATHER_CODES.items())
+       + " ELSE 'weather code ' || CAST(code AS VARCHAR) END")
+SQL["weather"] = (_items_sql("events", "event_id", f"""
+        strftime(ts, '%Y-%m-%d') AS day, CAST((event_id * 7) % 100 AS INTEGER) AS code,
+        value AS temp, round(value / 10, 1) AS rain"""), f"""
+SELECT payload_id, item_pos, topic_name, 'https://open-meteo.com' AS url,
+       'Weather ' || CASE WHEN payload_id % 3 <> 0 THEN 'City ' || CAST(payload_id % 5 AS VARCHAR)
+                          ELSE '40.7,-74.0' END || ': ' || descr || ' on ' || day AS title,
+       upper(substring(descr, 1, 1)) || substring(descr, 2) || ', high ' || CAST(temp AS VARCHAR) || '°C, precipitation '
+         || CAST(rain AS VARCHAR) || ' mm' AS snippet,
+       'open_meteo' AS source, 'weather' AS source_type, {ts_sql(AS_OF_SQL)} AS fetched_at,
+       CAST(NULL AS VARCHAR) AS price
+FROM (SELECT *, {_WX} AS descr FROM it)
+WHERE code IN (45, 48, 65, 73, 75, 77, 80, 81, 82, 85, 86, 95, 96, 99)""")
+SQL["semantic_scholar"] = (_items_sql("documents", "doc_id", """
+        CASE WHEN doc_id % 19 = 0 THEN NULL ELSE 'p' || CAST(doc_id AS VARCHAR) END AS pid,
+        regexp_replace(substring(text, 1, 60), '^\s+|\s+$', '', 'g') AS t,
+        CASE WHEN doc_id % 4 = 0 THEN '' ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS ab,
+        list_slice(['Writer 0 ' || lang, 'Writer 1 ' || lang, 'Writer 2 ' || lang,
+                    'Writer 3 ' || lang, 'Writer 4 ' || lang], 1, doc_id % 6) AS names,
+        CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 25 + 2000 END AS yr,
+        CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'https://papers.example.org/' || CAST(doc_id AS VARCHAR) END AS u"""),
+    f"""
+SELECT payload_id, item_pos, topic_name, COALESCE(NULLIF(u, ''), 'https://www.semanticscholar.org/paper/' || pid) AS url,
+       t AS title,
+       CASE WHEN ab <> '' THEN CASE WHEN length(ab) > 280 THEN substring(ab, 1, 280) || '…' ELSE ab END
+            ELSE array_to_string(list_slice(names, 1, 3), ', ') || CASE WHEN len(names) > 3 THEN ' et al.' ELSE '' END END AS snippet,
+       'semantic_scholar' AS source, 'science' AS source_type,
+       {ts_sql(f"COALESCE(make_timestamp(CAST(yr AS BIGINT), 1, 1, 0, 0, 0), {AS_OF_SQL})")} AS fetched_at,
+       CAST(NULL AS VARCHAR) AS price
+FROM it WHERE t <> '' AND COALESCE(pid, '') <> ''""")
+
 S_IDS = {"gdelt": "S01", "guardian": "S02", "nytimes": "S03", "newsapi": "S04",
          "hacker_news": "S05", "mastodon": "S06", "youtube": "S08", "ebay": "S09",
          "etsy": "S10", "grailed": "S11", "mercari": "S12"}

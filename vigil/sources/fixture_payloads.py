@@ -140,13 +140,48 @@ def _items(spark: SparkSession, sf_dir: str, source: str) -> tuple[DataFrame, st
         it = F.struct(F.concat(F.lit("m"), ks).alias("id"), F.concat(F.lit("Item "), ks).alias("name"),
                       price.alias("price"), F.lit("on_sale").alias("status"))
         return orders, "o_orderkey", it, lambda a: F.struct(a.alias("items"))
+    if source == "weather":
+        it = F.struct(F.date_format(ts, "yyyy-MM-dd").alias("time"),
+                      ((e * 7) % 100).cast("int").alias("code"),
+                      F.col("value").alias("temp"),
+                      F.round(F.col("value") / 10, 1).alias("rain"))
+        return _events(spark, sf_dir), "event_id", it, lambda a: F.struct(
+            F.struct(F.transform(a, lambda x: x["time"]).alias("time"),
+                     F.transform(a, lambda x: x["code"]).alias("weathercode"),
+                     F.transform(a, lambda x: x["temp"]).alias("temperature_2m_max"),
+                     F.transform(a, lambda x: x["rain"]).alias("precipitation_sum")).alias("daily"),
+            F.struct(F.lit("°C").alias("temperature_2m_max"),
+                     F.lit("mm").alias("precipitation_sum")).alias("daily_units"))
+    if source == "semantic_scholar":
+        d = F.col("doc_id")
+        ds = d.cast("string")
+        names = F.slice(F.array(*[F.struct(F.concat(F.lit(f"Writer {i} "), F.col("lang")).alias("name"))
+                                  for i in range(5)]), 1, (d % 6).cast("int"))
+        it = F.struct(F.when(d % 19 == 0, _Lazy.NULL_S).otherwise(F.concat(F.lit("p"), ds)).alias("paperId"),
+                      F.substring("text", 1, 60).alias("title"),
+                      F.when(d % 4 == 0, _Lazy.NULL_S).otherwise(F.col("text")).alias("abstract"),
+                      names.alias("authors"),
+                      F.when(d % 7 == 0, F.lit(None).cast("int")).otherwise((d % 25 + 2000).cast("int")).alias("year"),
+                      F.when(d % 3 == 0, _Lazy.NULL_S).otherwise(
+                          F.concat(F.lit("https://papers.example.org/"), ds)).alias("url"))
+        return table(spark, sf_dir, "documents"), "doc_id", it, lambda a: F.struct(a.alias("data"))
     raise KeyError(source)
 
 
 @lru_cache(maxsize=64)
 def landed(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     items, key, it, wrap = _items(spark, sf_dir, source)
-    return land(items, key, it, wrap, source)
+    return land(items, key, it, wrap, source, filters=FILTERS.get(source))
+
+
+def _weather_filters(pid: Column) -> Column:
+    place = F.create_map(F.lit("lat"), F.lit("40.7"), F.lit("lon"), F.lit("-74.0"))
+    named = F.map_concat(place, F.create_map(F.lit("location_name"),
+                                             F.concat(F.lit("City "), (pid % 5).cast("string"))))
+    return F.when(pid % 3 != 0, named).otherwise(place)
+
+
+FILTERS = {"weather": _weather_filters}
 
 
 # --- feeds (XML bodies) -------------------------------------------------------

@@ -224,3 +224,78 @@ NORMALISERS = {
     "mastodon": normalise_mastodon, "youtube": normalise_youtube, "ebay": normalise_ebay,
     "etsy": normalise_etsy, "grailed": normalise_grailed, "mercari": normalise_mercari,
 }
+
+
+# --- weather and papers ---------------------------------------------------------
+from vigil.functions.lookups import NOTABLE_CODES, capitalize_first, weather_text  # noqa: E402
+from vigil.functions.text import author_line, strip_ws  # noqa: E402
+
+# The forecast page and the paper page of a paper id.
+WEATHER_URL = "https://open-meteo.com"
+S2_PAPER_URL = "https://www.semanticscholar.org/paper/"
+
+SCHEMAS.update({
+    "weather": ("daily STRUCT<time ARRAY<STRING>, weathercode ARRAY<INT>, "
+                "temperature_2m_max ARRAY<DOUBLE>, precipitation_sum ARRAY<DOUBLE>>, "
+                "daily_units STRUCT<temperature_2m_max STRING, precipitation_sum STRING>"),
+    "semantic_scholar": ("data ARRAY<STRUCT<paperId STRING, title STRING, abstract STRING, "
+                         "authors ARRAY<STRUCT<name STRING>>, year INT, url STRING>>"),
+})
+SOURCE_TYPES.update({"weather": "weather", "open_meteo": "weather",
+                     "semantic_scholar": "science"})
+
+
+# S15
+def normalise_weather(landed: DataFrame, as_of=AS_OF) -> DataFrame:
+    """Zip the daily arrays; keep notable codes unless ``notable_only=false``."""
+    p = F.from_json(F.col("body"), SCHEMAS["weather"], {"mode": "PERMISSIVE"})
+    d = p["daily"]
+    zipped = F.arrays_zip(d["time"].alias("time"), d["weathercode"].alias("code"),
+                          d["temperature_2m_max"].alias("temp"), d["precipitation_sum"].alias("rain"))
+    df = (landed.withColumn("_p", p)
+          .select("*", F.posexplode_outer(zipped).alias("item_pos", "it"))
+          .where(F.col("it").isNotNull()))
+    it = F.col("it")
+    notable_only = F.coalesce(F.lower(F.try_element_at(F.col("filters"), F.lit("notable_only"))),
+                              F.lit("true")) != "false"
+    has_place = (F.try_element_at(F.col("filters"), F.lit("lat")).isNotNull()
+                 & F.try_element_at(F.col("filters"), F.lit("lon")).isNotNull())
+    df = df.where(has_place & (~notable_only | it["code"].isin(*NOTABLE_CODES)))
+    location = F.coalesce(F.try_element_at(F.col("filters"), F.lit("location_name")),
+                          F.concat(_s(F.try_element_at(F.col("filters"), F.lit("lat"))), F.lit(","),
+                                   _s(F.try_element_at(F.col("filters"), F.lit("lon")))))
+    desc = weather_text(it["code"])
+    df = (df.withColumn("_tu", F.coalesce(F.col("_p")["daily_units"]["temperature_2m_max"], F.lit("°C")))
+          .withColumn("_ru", F.coalesce(F.col("_p")["daily_units"]["precipitation_sum"], F.lit("mm"))))
+    t_unit, r_unit = F.col("_tu"), F.col("_ru")
+    title = F.concat(F.lit("Weather "), location, F.lit(": "), desc, F.lit(" on "), it["time"])
+    snippet = F.concat(capitalize_first(desc), F.lit(", high "), it["temp"].cast("string"), t_unit,
+                       F.lit(", precipitation "), it["rain"].cast("string"), F.lit(" "), r_unit)
+    return _results(df.drop("_p"), "weather", url=F.lit(WEATHER_URL), title=title, snippet=snippet,
+                    label=F.lit("open_meteo"), fetched_at=F.lit(as_of).cast("timestamp"))
+
+
+# S19
+def normalise_semantic_scholar(landed: DataFrame, as_of=AS_OF) -> DataFrame:
+    """Papers without title or id are skipped; year → 1 January UTC; snippet =
+    abstract (cut at 280 with an ellipsis) else the author line."""
+    it = F.col("it")
+    df = (explode_items(landed, _parsed(landed, "semantic_scholar"), lambda p: p["data"])
+          .withColumn("_title", strip_ws(_s(it["title"])))
+          .withColumn("_id", _s(it["paperId"]))
+          .where((F.col("_title") != "") & (F.col("_id") != "")))
+    abstract = strip_ws(_s(it["abstract"]))
+    names = F.transform(F.coalesce(it["authors"], F.array().cast("array<struct<name:string>>")),
+                        lambda a: _s(a["name"]))
+    snippet = F.when(abstract != "", truncate_ellipsis(abstract, 280)).otherwise(author_line(names))
+    year = it["year"]
+    fetched = F.when(F.coalesce(year, F.lit(0)) != 0,
+                     F.make_timestamp(year, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
+    return _results(df, "semantic_scholar",
+                    url=F.coalesce(F.nullif(it["url"], F.lit("")),
+                                   F.concat(F.lit(S2_PAPER_URL), F.col("_id"))),
+                    title=F.col("_title"), snippet=snippet,
+                    fetched_at=F.coalesce(fetched, F.lit(as_of).cast("timestamp")))
+
+
+NORMALISERS.update({"weather": normalise_weather, "semantic_scholar": normalise_semantic_scholar})

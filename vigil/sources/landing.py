@@ -36,7 +36,8 @@ def is_bad_payload(pid: Column) -> Column:
 
 
 def land(items: DataFrame, key: str, item: Column, wrap: Callable[[Column], Column],
-         source: str, as_of=AS_OF, to_text: Callable[[Column], Column] | None = None) -> DataFrame:
+         source: str, as_of=AS_OF, to_text: Callable[[Column], Column] | None = None,
+         filters: Callable[[Column], Column] | None = None) -> DataFrame:
     """Pack ``item`` structs ten per payload into a body (``wrap`` builds the
     API envelope around the ordered item array)."""
     pid = payload_of(F.col(key))
@@ -52,7 +53,8 @@ def land(items: DataFrame, key: str, item: Column, wrap: Callable[[Column], Colu
         topic_name(F.col("payload_id") % N_TOPICS).alias("topic_name"),
         F.lit(0).alias("source_ord"), F.lit(source).alias("source"),
         F.concat(F.lit("term "), (F.col("payload_id") % 7).cast("string")).alias("term"),
-        F.create_map().cast("map<string,string>").alias("filters"),
+        (filters(F.col("payload_id")) if filters else F.create_map().cast("map<string,string>"))
+        .alias("filters"),
         F.lit(as_of).cast("timestamp").alias("fetched_ts"),
         F.when(bad, F.lit("malformed")).otherwise(F.lit("ok")).alias("status"),
         # a malformed payload: the response cut after 20 characters
