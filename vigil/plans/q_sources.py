@@ -154,8 +154,8 @@ FROM (SELECT *, {_WX} AS descr FROM it)
 WHERE code IN (45, 48, 65, 73, 75, 77, 80, 81, 82, 85, 86, 95, 96, 99)""")
 SQL["semantic_scholar"] = (_items_sql("documents", "doc_id", """
         CASE WHEN doc_id % 19 = 0 THEN NULL ELSE 'p' || CAST(doc_id AS VARCHAR) END AS pid,
-        regexp_replace(substring(text, 1, 60), '^\s+|\s+$', '', 'g') AS t,
-        CASE WHEN doc_id % 4 = 0 THEN '' ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS ab,
+        regexp_replace(substring(text, 1, 60), '^\\s+|\\s+$', '', 'g') AS t,
+        CASE WHEN doc_id % 4 = 0 THEN '' ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END AS ab,
         list_slice(['Writer 0 ' || lang, 'Writer 1 ' || lang, 'Writer 2 ' || lang,
                     'Writer 3 ' || lang, 'Writer 4 ' || lang], 1, doc_id % 6) AS names,
         CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 25 + 2000 END AS yr,
