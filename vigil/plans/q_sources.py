@@ -373,3 +373,92 @@ def attempt_outcomes(spark, sf_dir):
     out = _outcomes(landed.withColumn("source_ord", F.lit(0)))
     return out.select("run_id", "topic_name", "source", "failed",
                       F.col("n_payloads").cast("bigint").alias("n_payloads"))
+
+
+# --- jobs and papers: adzuna (S20), pubmed (S16), biorxiv (S18) ----------------------
+def _salary_sql(lo: str, hi: str) -> str:
+    return (f"CASE WHEN {lo} IS NOT NULL AND {lo} <> 0 AND {hi} IS NOT NULL AND {hi} <> 0 "
+            f"THEN ' · $' || format('{{:,.0f}}', {lo}) || '–$' || format('{{:,.0f}}', {hi}) "
+            f"WHEN {lo} IS NOT NULL AND {lo} <> 0 THEN ' · $' || format('{{:,.0f}}', {lo}) || '+' "
+            f"ELSE '' END")
+
+
+def _trunc280(x: str) -> str:
+    return f"CASE WHEN length({x}) > 280 THEN substring({x}, 1, 280) || '…' ELSE {x} END"
+
+
+def _authors_sql(names: str) -> str:
+    return (f"array_to_string(list_slice({names}, 1, 3), ', ') || "
+            f"CASE WHEN len({names}) > 3 THEN ' et al.' ELSE '' END")
+
+
+def _pubmed_parse_sql(raw: str) -> str:
+    p = f"regexp_split_to_array(regexp_replace({raw}, '^\\s+|\\s+$', '', 'g'), '\\s+')"
+    y = f"TRY_CAST({p}[1] AS INTEGER)"
+    m = (f"CASE WHEN len({p}) > 1 THEN COALESCE(CASE lower(substring({p}[2], 1, 3)) "
+         "WHEN 'jan' THEN 1 WHEN 'feb' THEN 2 WHEN 'mar' THEN 3 WHEN 'apr' THEN 4 WHEN 'may' THEN 5 "
+         "WHEN 'jun' THEN 6 WHEN 'jul' THEN 7 WHEN 'aug' THEN 8 WHEN 'sep' THEN 9 WHEN 'oct' THEN 10 "
+         "WHEN 'nov' THEN 11 WHEN 'dec' THEN 12 END, 1) ELSE 1 END")
+    d = f"CASE WHEN len({p}) > 2 THEN TRY_CAST({p}[3] AS INTEGER) ELSE 1 END"
+    return (f"COALESCE(CASE WHEN {y} IS NOT NULL AND ({d}) IS NOT NULL AND {y} BETWEEN 1 AND 9999 "
+            f"AND ({d}) >= 1 THEN TRY_CAST(printf('%04d-%02d-%02d', {y}, {m}, {d}) AS DATE) END, {AS_OF_SQL})")
+
+
+SQL["adzuna"] = (_items_sql("part", "p_partkey", """
+        CASE WHEN p_partkey % 13 = 0 THEN '' ELSE 'https://jobs.example.com/' || CAST(p_partkey AS VARCHAR) END AS u,
+        '  Role ' || p_name || ' ' AS t,
+        CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE p_brand END AS comp,
+        CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_type || ' ' || repeat(p_name || ' ', p_size % 20) END AS descr,
+        CASE WHEN p_partkey % 13 = 1 THEN 'bad' ELSE '2024-01-' || lpad(CAST(p_partkey % 28 + 1 AS VARCHAR), 2, '0') || 'T09:00:00Z' END AS created,
+        CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 0.0 ELSE CAST(p_size * 1000 AS DOUBLE) END AS lo,
+        CASE p_partkey % 4 WHEN 2 THEN 0.0 WHEN 3 THEN NULL ELSE CAST(p_size * 1500 + 500 AS DOUBLE) END AS hi"""),
+    f"""
+SELECT payload_id, item_pos, topic_name, u AS url, {_strip('t')} || {_salary_sql('lo', 'hi')} AS title,
+       CASE WHEN COALESCE(comp, '') <> '' THEN CASE WHEN ds <> '' THEN comp || ' — ' || ds ELSE comp END ELSE ds END AS snippet,
+       'adzuna' AS source, 'jobs' AS source_type, {ts_sql(_iso('created'))} AS fetched_at,
+       CAST(NULL AS VARCHAR) AS price
+FROM (SELECT *, {_trunc280(_strip("COALESCE(descr, '')"))} AS ds FROM it) WHERE u <> ''""")
+
+SQL["pubmed"] = (_items_sql("documents", "doc_id", """
+        doc_id % 9 <> 0 AS has_doc, substring(text, 1, 100) AS t, 'Journal ' || source AS journal,
+        list_slice(['Name0 ' || lang, 'Name1 ' || lang, 'Name2 ' || lang, 'Name3 ' || lang, 'Name4 ' || lang],
+                   1, doc_id % 6) AS names,
+        CASE WHEN doc_id % 11 = 0 THEN ''
+             WHEN doc_id % 5 = 0 THEN CAST(doc_id % 25 + 2000 AS VARCHAR)
+             WHEN doc_id % 5 = 1 THEN CAST(doc_id % 25 + 2000 AS VARCHAR) || ' ' || ['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun'][doc_id % 6 + 1]
+             WHEN doc_id % 5 = 2 THEN CAST(doc_id % 25 + 2000 AS VARCHAR) || ' ' || ['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun'][doc_id % 6 + 1]
+                                      || ' ' || CAST(doc_id % 28 + 1 AS VARCHAR)
+             WHEN doc_id % 5 = 3 THEN CAST(doc_id % 25 + 2000 AS VARCHAR) || ' Xyz 5'
+             ELSE CAST(doc_id % 25 + 2000 AS VARCHAR) || ' Feb 30' END AS pub"""),
+    f"""
+SELECT payload_id, item_pos, topic_name, 'https://pubmed.ncbi.nlm.nih.gov/' || CAST(doc_id AS VARCHAR) || '/' AS url,
+       t AS title,
+       CASE WHEN {_authors_sql('names')} <> '' THEN {_authors_sql('names')} || ' — ' || journal ELSE journal END AS snippet,
+       'pubmed' AS source, 'science' AS source_type,
+       {ts_sql(f"CASE WHEN pub = '' THEN {AS_OF_SQL} ELSE {_pubmed_parse_sql('pub')} END")} AS fetched_at,
+       CAST(NULL AS VARCHAR) AS price
+FROM it WHERE has_doc""")
+
+SQL["biorxiv"] = (_items_sql("documents", "doc_id", """
+        CASE WHEN doc_id % 17 = 0 THEN NULL ELSE '10.1101/' || CAST(doc_id AS VARCHAR) END AS doi,
+        substring(text, 1, 80) AS t,
+        CASE WHEN doc_id % 5 = 0 THEN NULL ELSE text END AS ab,
+        CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'A. One' WHEN 2 THEN 'A. One; B. Two;; C. Three'
+             ELSE ' A. One ; B. Two; C. Three; D. Four ' END AS au,
+        CASE WHEN doc_id % 13 = 0 THEN 'bad' ELSE '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') END AS dt"""),
+    f"""
+SELECT payload_id, item_pos, topic_name, 'https://www.biorxiv.org/content/' || doi AS url, t AS title,
+       CASE WHEN COALESCE(ab, '') <> '' THEN {_trunc280('ab')} ELSE {_authors_sql('names')} END AS snippet,
+       'biorxiv' AS source, 'science' AS source_type,
+       {ts_sql(f"COALESCE(try_strptime(dt, '%Y-%m-%d'), {AS_OF_SQL})")} AS fetched_at,
+       CAST(NULL AS VARCHAR) AS price
+FROM (SELECT *, list_filter(list_transform(string_split(au, ';'), lambda x: {_strip('x')}), lambda x: x <> '') AS names,
+             row_number() OVER (PARTITION BY run_id, topic_name ORDER BY payload_id, item_pos) AS rn
+      FROM it
+      WHERE COALESCE(t, '') <> '' AND COALESCE(doi, '') <> ''
+        AND (contains(lower(t || ' ' || COALESCE(ab, '')), 'the') OR contains(lower(t || ' ' || COALESCE(ab, '')), 'und')
+             OR contains(lower(t || ' ' || COALESCE(ab, '')), 'que')))
+WHERE rn <= 30""")
+
+for _s in ("adzuna", "pubmed", "biorxiv"):
+    _register(_s)

@@ -165,6 +165,66 @@ def _items(spark: SparkSession, sf_dir: str, source: str) -> tuple[DataFrame, st
                       F.when(d % 3 == 0, _Lazy.NULL_S).otherwise(
                           F.concat(F.lit("https://papers.example.org/"), ds)).alias("url"))
         return table(spark, sf_dir, "documents"), "doc_id", it, lambda a: F.struct(a.alias("data"))
+    if source == "adzuna":
+        pk, size = F.col("p_partkey"), F.col("p_size")
+        lo = (F.when(pk % 4 == 0, F.lit(None).cast("double")).when(pk % 4 == 1, F.lit(0.0))
+              .otherwise((size * 1000).cast("double")))
+        hi = (F.when(pk % 4 == 2, F.lit(0.0)).when(pk % 4 == 3, F.lit(None).cast("double"))
+              .otherwise((size * 1500 + 500).cast("double")))
+        it = F.struct(F.when(pk % 13 == 0, F.lit("")).otherwise(
+                          F.concat(F.lit("https://jobs.example.com/"), pk.cast("string"))).alias("redirect_url"),
+                      F.concat(F.lit("  Role "), F.col("p_name"), F.lit(" ")).alias("title"),
+                      F.struct(F.when(pk % 6 == 0, _Lazy.NULL_S).otherwise(F.col("p_brand"))
+                               .alias("display_name")).alias("company"),
+                      F.when(pk % 5 == 0, _Lazy.NULL_S).otherwise(F.concat(
+                          F.col("p_type"), F.lit(" "), F.repeat(F.concat(F.col("p_name"), F.lit(" ")),
+                                                                 (size % 20).cast("int")))).alias("description"),
+                      F.when(pk % 13 == 1, F.lit("bad")).otherwise(F.concat(
+                          F.lit("2024-01-"), F.lpad((pk % 28 + 1).cast("string"), 2, "0"),
+                          F.lit("T09:00:00Z"))).alias("created"),
+                      lo.alias("salary_min"), hi.alias("salary_max"))
+        return table(spark, sf_dir, "part"), "p_partkey", it, lambda a: F.struct(a.alias("results"))
+    if source == "pubmed":
+        d = F.col("doc_id")
+        ds = d.cast("string")
+        y = (d % 25 + 2000).cast("string")
+        mon = pick(["Jan", "Feb", "Mar", "Apr", "May", "Jun"], d % 6)
+        pub = (F.when(d % 11 == 0, F.lit("")).when(d % 5 == 0, y)
+               .when(d % 5 == 1, F.concat(y, F.lit(" "), mon))
+               .when(d % 5 == 2, F.concat(y, F.lit(" "), mon, F.lit(" "), (d % 28 + 1).cast("string")))
+               .when(d % 5 == 3, F.concat(y, F.lit(" Xyz 5"))).otherwise(F.concat(y, F.lit(" Feb 30"))))
+        names = F.slice(F.array(*[F.struct(F.concat(F.lit(f"Name{i} "), F.col("lang")).alias("name"))
+                                  for i in range(5)]), 1, (d % 6).cast("int"))
+        summ = F.struct(F.substring("text", 1, 100).alias("title"),
+                        F.concat(F.lit("Journal "), F.col("source")).alias("source"),
+                        pub.alias("pubdate"), names.alias("authors"))
+        it = F.struct(ds.alias("pmid"),
+                      F.when(d % 9 == 0, F.lit(None).cast(
+                          "struct<title:string,source:string,pubdate:string,authors:array<struct<name:string>>>"))
+                      .otherwise(summ).alias("doc"))
+        def wrap(a):
+            ids = F.transform(a, lambda x: x["pmid"])
+            have = F.filter(a, lambda x: x["doc"].isNotNull())
+            result = F.map_from_entries(F.transform(have, lambda x: F.struct(x["pmid"], x["doc"])))
+            return F.struct(F.struct(F.struct(ids.alias("idlist")).alias("esearchresult")).alias("search"),
+                            F.struct(result.alias("result")).alias("summary"))
+        return table(spark, sf_dir, "documents"), "doc_id", it, wrap
+    if source == "biorxiv":
+        d = F.col("doc_id")
+        ds = d.cast("string")
+        authors = (F.when(d % 4 == 0, F.lit("")).when(d % 4 == 1, F.lit("A. One"))
+                   .when(d % 4 == 2, F.lit("A. One; B. Two;; C. Three"))
+                   .otherwise(F.lit(" A. One ; B. Two; C. Three; D. Four ")))
+        it = F.struct(F.when(d % 17 == 0, _Lazy.NULL_S).otherwise(F.concat(F.lit("10.1101/"), ds)).alias("doi"),
+                      F.substring("text", 1, 80).alias("title"),
+                      F.when(d % 5 == 0, _Lazy.NULL_S).otherwise(F.col("text")).alias("abstract"),
+                      authors.alias("authors"),
+                      F.when(d % 13 == 0, F.lit("bad")).otherwise(F.concat(
+                          F.lit("2024-01-"), F.lpad((d % 28 + 1).cast("string"), 2, "0"))).alias("date"),
+                      F.lit("q-bio").alias("category"), F.lit("biorxiv").alias("server"))
+        return table(spark, sf_dir, "documents"), "doc_id", it, lambda a: F.struct(
+            a.alias("collection"), F.array(F.struct(F.lit(0).alias("cursor"),
+                                                    F.lit(100).alias("count"))).alias("messages"))
     raise KeyError(source)
 
 
@@ -181,7 +241,11 @@ def _weather_filters(pid: Column) -> Column:
     return F.when(pid % 3 != 0, named).otherwise(place)
 
 
-FILTERS = {"weather": _weather_filters}
+def _biorxiv_filters(pid: Column) -> Column:
+    return F.create_map(F.lit("terms"), F.lit("the,Und,que"))
+
+
+FILTERS = {"weather": _weather_filters, "biorxiv": _biorxiv_filters}
 
 
 # --- feeds (XML bodies) -------------------------------------------------------

@@ -299,3 +299,100 @@ def normalise_semantic_scholar(landed: DataFrame, as_of=AS_OF) -> DataFrame:
 
 
 NORMALISERS.update({"weather": normalise_weather, "semantic_scholar": normalise_semantic_scholar})
+
+
+# --- jobs and papers (S16, S18, S20) --------------------------------------------
+from vigil.functions.dates import parse_pubmed_date  # noqa: E402
+from vigil.functions.price import salary_suffix  # noqa: E402
+from vigil.functions.text import split_names, term_filter  # noqa: E402
+from pyspark.sql import Window  # noqa: E402
+
+# The record page of a PubMed id and of a preprint DOI.
+PUBMED_URL = "https://pubmed.ncbi.nlm.nih.gov/{}/"
+PREPRINT_URL = "https://www.{}.org/content/{}"
+
+SCHEMAS.update({
+    "adzuna": ("results ARRAY<STRUCT<redirect_url STRING, title STRING, "
+               "company STRUCT<display_name STRING>, description STRING, created STRING, "
+               "salary_min DOUBLE, salary_max DOUBLE>>"),
+    "pubmed": ("search STRUCT<esearchresult STRUCT<idlist ARRAY<STRING>>>, "
+               "summary STRUCT<result MAP<STRING, STRUCT<title STRING, source STRING, "
+               "pubdate STRING, authors ARRAY<STRUCT<name STRING>>>>>"),
+    "biorxiv": ("collection ARRAY<STRUCT<doi STRING, title STRING, abstract STRING, "
+                "authors STRING, date STRING, category STRING, server STRING>>, "
+                "messages ARRAY<STRUCT<cursor INT, count INT>>"),
+})
+SOURCE_TYPES.update({"adzuna": "jobs", "pubmed": "science", "biorxiv": "science",
+                     "medrxiv": "science"})
+
+
+# S20
+def normalise_adzuna(landed: DataFrame, as_of=AS_OF) -> DataFrame:
+    """Jobs without a redirect URL are skipped; the title carries the salary
+    suffix; snippet = ``company — description`` (description cut at 280)."""
+    it = F.col("it")
+    df = explode_items(landed, _parsed(landed, "adzuna"), lambda p: p["results"]).where(
+        _s(it["redirect_url"]) != "")
+    desc = truncate_ellipsis(strip_ws(_s(it["description"])), 280)
+    company = _s(it["company"]["display_name"])
+    snippet = (F.when(company != "", F.when(desc != "", F.concat(company, F.lit(" — "), desc))
+                      .otherwise(company)).otherwise(desc))
+    title = F.concat(strip_ws(_s(it["title"])), salary_suffix(it["salary_min"], it["salary_max"]))
+    return _results(df, "adzuna", url=it["redirect_url"], title=title, snippet=snippet,
+                    fetched_at=parse_iso(it["created"], as_of))
+
+
+# S16
+def normalise_pubmed(landed: DataFrame, as_of=AS_OF) -> DataFrame:
+    """Search ids in order, each looked up in the summary map of the same
+    response pair; ids without an object summary are skipped."""
+    p = _parsed(landed, "pubmed")
+    df = (landed.withColumn("_p", p)
+          .select("*", F.posexplode_outer(F.col("_p")["search"]["esearchresult"]["idlist"])
+                  .alias("item_pos", "pmid"))
+          .where(F.col("pmid").isNotNull())
+          .withColumn("it", F.try_element_at(F.col("_p")["summary"]["result"], F.col("pmid")))
+          .where(F.col("it").isNotNull())
+          .drop("_p"))
+    it = F.col("it")
+    names = F.transform(F.coalesce(it["authors"], F.array().cast("array<struct<name:string>>")),
+                        lambda a: _s(a["name"]))
+    authors = author_line(names)
+    journal = _s(it["source"])
+    pub = _s(it["pubdate"])
+    fetched = F.when(pub != "", parse_pubmed_date(pub, as_of)).otherwise(
+        F.lit(as_of).cast("timestamp"))
+    return _results(df, "pubmed",
+                    url=F.concat(F.lit(PUBMED_URL.split("{}")[0]), F.col("pmid"), F.lit("/")),
+                    title=_s(it["title"]),
+                    snippet=F.when(authors != "", F.concat(authors, F.lit(" — "), journal))
+                    .otherwise(journal),
+                    fetched_at=fetched)
+
+
+# S18
+def normalise_biorxiv(landed: DataFrame, as_of=AS_OF, max_results: int = 30) -> DataFrame:
+    """Pages of one source entry in order; papers need a title and a DOI and
+    must match any term (title + abstract, case-insensitive); at most
+    ``max_results`` are kept after that filter (partial WindowGroupLimit)."""
+    it = F.col("it")
+    terms = F.filter(F.split(_s(F.try_element_at(F.col("filters"), F.lit("terms"))), ","),
+                     lambda t: t != "")
+    df = (explode_items(landed, _parsed(landed, "biorxiv"), lambda p: p["collection"])
+          .where((_s(it["title"]) != "") & (_s(it["doi"]) != ""))
+          .where(term_filter(F.concat(_s(it["title"]), F.lit(" "), _s(it["abstract"])), terms)))
+    w = Window.partitionBy("run_id", "topic_name", "source_ord", "source").orderBy(
+        "payload_id", "item_pos")
+    df = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_results)
+    names = split_names(_s(it["authors"]), ";")
+    abstract = _s(it["abstract"])
+    snippet = F.when(abstract != "", truncate_ellipsis(abstract, 280)).otherwise(author_line(names))
+    date = F.try_to_timestamp(_s(it["date"]), F.lit("yyyy-MM-dd"))
+    server = F.col("source")
+    url = F.concat(F.lit("https://www."), server, F.lit(".org/content/"), it["doi"])
+    return _results(df, "biorxiv", url=url, title=it["title"], snippet=snippet, label=server,
+                    fetched_at=F.coalesce(date, F.lit(as_of).cast("timestamp")))
+
+
+NORMALISERS.update({"adzuna": normalise_adzuna, "pubmed": normalise_pubmed,
+                    "biorxiv": normalise_biorxiv})
