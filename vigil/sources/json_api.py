@@ -396,3 +396,68 @@ def normalise_biorxiv(landed: DataFrame, as_of=AS_OF, max_results: int = 30) ->
 
 NORMALISERS.update({"adzuna": normalise_adzuna, "pubmed": normalise_pubmed,
                     "biorxiv": normalise_biorxiv})
+
+
+# --- social posts and mail (S07, S31) ---------------------------------------------
+POST_TYPE = ("STRUCT<uri STRING, author STRUCT<handle STRING>, "
+             "record STRUCT<text STRING, createdAt STRING>, indexedAt STRING>")
+SCHEMAS.update({
+    "bluesky": f"feed ARRAY<STRUCT<post {POST_TYPE}>>, posts ARRAY<{POST_TYPE}>",
+    "email": ("messages ARRAY<STRUCT<from_ STRING, subject STRING, text STRING, html STRING, "
+              "headers MAP<STRING, ARRAY<STRING>>, uid STRING, date STRING>>"),
+})
+SOURCE_TYPES.update({"bluesky": "social", "email": "feeds", "email_newsletter": "feeds"})
+BSKY_POST_URL = "https://bsky.app/profile/{}/post/{}"
+NO_SUBJECT = "(no subject)"
+
+
+# S07
+def normalise_bluesky(landed: DataFrame, as_of=AS_OF) -> DataFrame:
+    """Author-feed items (``feed[].post``) first, then search hits
+    (``posts[]``); URL from handle + last path segment of ``uri``."""
+    p = _parsed(landed, "bluesky")
+    posts = F.concat(F.coalesce(F.transform(p["feed"], lambda x: x["post"]),
+                                F.array().cast(f"array<{POST_TYPE}>")),
+                     F.coalesce(p["posts"], F.array().cast(f"array<{POST_TYPE}>")))
+    df = explode_items(landed, posts, lambda x: x)
+    it = F.col("it")
+    handle = _s(it["author"]["handle"])
+    uri = _s(it["uri"])
+    rkey = F.when(uri != "", F.element_at(F.split(uri, "/"), -1)).otherwise(F.lit(""))
+    url = F.when((handle != "") & (rkey != ""),
+                 F.concat(F.lit("https://bsky.app/profile/"), handle, F.lit("/post/"), rkey)
+                 ).otherwise(F.lit(""))
+    text = _s(it["record"]["text"])
+    raw = F.coalesce(F.nullif(it["record"]["createdAt"], F.lit("")), it["indexedAt"])
+    return _results(df, "bluesky", url=url, title=truncate_ellipsis(text, 120), snippet=text,
+                    fetched_at=F.lit(as_of).cast("timestamp"),
+                    published_at=parse_iso(raw, as_of))
+
+
+# S31
+def normalise_email(landed: DataFrame, as_of=AS_OF) -> DataFrame:
+    """Landed mail: sender filter (any ``filters.senders`` entry as a
+    case-insensitive substring), subject default, text body else HTML with
+    tags replaced by spaces, first 300 characters stripped, stable URL from
+    the Message-ID else the uid, mail date → ``published_at``."""
+    it = F.col("it")
+    df = explode_items(landed, _parsed(landed, "email"), lambda p: p["messages"])
+    senders = F.filter(F.split(_s(F.try_element_at(F.col("filters"), F.lit("senders"))), ","),
+                       lambda s: s != "")
+    frm = _s(it["from_"])
+    df = df.where((F.size(senders) == 0)
+                  | F.exists(senders, lambda s: F.contains(F.lower(frm), F.lower(s))))
+    body = F.coalesce(F.nullif(it["text"], F.lit("")), strip_html(_s(it["html"]), " "))
+    msg_id = F.regexp_replace(_s(F.try_element_at(F.try_element_at(it["headers"], F.lit("message-id")),
+                                                  F.lit(1))), "^<+|>+$", "")
+    user = F.coalesce(F.try_element_at(F.col("filters"), F.lit("user")), F.lit("inbox"))
+    url = F.concat(F.lit("email://"), user, F.lit("/"),
+                   F.when(msg_id != "", msg_id).otherwise(_s(it["uid"])))
+    return _results(df, "email", url=url,
+                    title=F.coalesce(F.nullif(it["subject"], F.lit("")), F.lit(NO_SUBJECT)),
+                    snippet=strip_ws(F.substring(body, 1, 300)),
+                    label=F.lit("email_newsletter"), fetched_at=F.lit(as_of).cast("timestamp"),
+                    published_at=it["date"].try_cast("timestamp"))
+
+
+NORMALISERS.update({"bluesky": normalise_bluesky, "email": normalise_email})

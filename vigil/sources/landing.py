@@ -44,7 +44,8 @@ def land(items: DataFrame, key: str, item: Column, wrap: Callable[[Column], Colu
     packed = (items.select(pid.alias("payload_id"), F.struct(F.col(key).alias("k"), item.alias("v"))
                            .alias("e"))
               .groupBy("payload_id")
-              .agg(F.sort_array(F.collect_list("e")).alias("es"))
+              .agg(F.array_sort(F.collect_list("e"), lambda a, b: F.when(a["k"] < b["k"], -1)
+                                .when(a["k"] > b["k"], 1).otherwise(0)).alias("es"))
               .withColumn("arr", F.transform("es", lambda e: e["v"])))
     body = (to_text or F.to_json)(wrap(F.col("arr")))
     bad = is_bad_payload(F.col("payload_id"))
