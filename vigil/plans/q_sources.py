@@ -515,3 +515,55 @@ def _register_extra(source: str) -> None:
 
 for _s in FEED_SQL_EXTRA:
     _register_extra(_s)
+
+
+# --- tmdb (S13, S14) ----------------------------------------------------------------
+def _items_sql_per(table: str, key: str, cols: str, per: int) -> str:
+    return f"""
+SELECT *, CAST(row_number() OVER (PARTITION BY payload_id ORDER BY {key}) - 1 AS BIGINT) AS item_pos,
+       'topic_' || lpad(CAST(payload_id % 13 AS VARCHAR), 2, '0') AS topic_name
+FROM (SELECT {key} - {key} % {per} AS payload_id, {key}, {cols} FROM {table})
+WHERE payload_id % {per * 50} <> 0"""
+
+
+_TMDB_COLS = """
+        'Film ' || p_name AS mtitle, 'Show ' || p_name AS tname,
+        CASE WHEN p_partkey % 7 = 0 THEN '' ELSE '2024-0' || CAST(p_partkey % 9 + 1 AS VARCHAR) || '-'
+             || lpad(CAST(p_partkey % 28 + 1 AS VARCHAR), 2, '0') END AS dt,
+        CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_type || ' ' || repeat(p_name, p_size % 30) END AS ov,
+        ['movie', 'tv', 'person'][p_partkey % 3 + 1] AS mt"""
+
+
+def _tmdb_sel(media: str, where: str) -> str:
+    return f"""
+SELECT payload_id, item_pos, topic_name,
+       'https://www.themoviedb.org/' || {media} || '/' || CAST(p_partkey AS VARCHAR) AS url,
+       CASE WHEN {media} = 'movie' THEN CASE WHEN dt <> '' THEN mtitle || ' (' || dt || ')' ELSE mtitle END
+            ELSE CASE WHEN dt <> '' THEN tname || ' [TV] (' || dt || ')' ELSE tname || ' [TV]' END END AS title,
+       CASE WHEN ov <> '' THEN substring(ov, 1, 300)
+            WHEN {media} = 'movie' THEN 'Movie · release ' || dt ELSE 'TV premiere · ' || dt END AS snippet,
+       'tmdb' AS source, 'entertainment' AS source_type, {ts_sql(AS_OF_SQL)} AS fetched_at,
+       CAST(NULL AS VARCHAR) AS price
+FROM it WHERE {where}"""
+
+
+TMDB_SQL = {
+    "tmdb_search": (_items_sql_per("part", "p_partkey", _TMDB_COLS, 12),
+                    _tmdb_sel("mt", "item_pos < 10 AND mt IN ('movie', 'tv')")),
+    "tmdb_discover": (_items_sql_per("part", "p_partkey", _TMDB_COLS, 25),
+                      _tmdb_sel("CASE WHEN payload_id % 2 = 0 THEN 'movie' ELSE 'tv' END", "item_pos < 20")),
+}
+
+
+def _register_tmdb(source: str) -> None:
+    items_sql, sel = TMDB_SQL[source]
+
+    def run(spark, sf_dir):
+        return _out(J.NORMALISERS[source](FP.landed(spark, sf_dir, source)))
+
+    run.__name__ = f"norm_{source}"
+    query(f"norm_{source}", with_views(extra=[("it", items_sql)]) + sel)(run)
+
+
+for _s in TMDB_SQL:
+    _register_tmdb(_s)

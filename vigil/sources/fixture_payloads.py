@@ -261,13 +261,31 @@ def _items(spark: SparkSession, sf_dir: str, source: str) -> tuple[DataFrame, st
                 F.lpad((t % 24).cast("string"), 2, "0"), F.lit(":00:00"))).alias("date"))
         conv = table(spark, sf_dir, "conversations").withColumn("mail_key", key)
         return conv, "mail_key", it, lambda a: F.struct(a.alias("messages"))
+    if source in ("tmdb_search", "tmdb_discover"):
+        pk = F.col("p_partkey")
+        pks = pk.cast("string")
+        media = pick(["movie", "tv", "person"], pk % 3)
+        date = F.when(pk % 7 == 0, F.lit("")).otherwise(F.concat(
+            F.lit("2024-0"), (pk % 9 + 1).cast("string"), F.lit("-"),
+            F.lpad((pk % 28 + 1).cast("string"), 2, "0")))
+        it = F.struct(pk.alias("id"),
+                      F.concat(F.lit("Film "), F.col("p_name")).alias("title"),
+                      F.concat(F.lit("Show "), F.col("p_name")).alias("name"),
+                      date.alias("release_date"), date.alias("first_air_date"),
+                      F.when(pk % 5 == 0, F.lit("")).otherwise(F.concat(
+                          F.col("p_type"), F.lit(" "), F.repeat(F.col("p_name"), (F.col("p_size") % 30).cast("int"))))
+                      .alias("overview"),
+                      (media if source == "tmdb_search" else _Lazy.NULL_S).alias("media_type"))
+        del pks
+        return table(spark, sf_dir, "part"), "p_partkey", it, lambda a: F.struct(a.alias("results"))
     raise KeyError(source)
 
 
 @lru_cache(maxsize=64)
 def landed(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     items, key, it, wrap = _items(spark, sf_dir, source)
-    return land(items, key, it, wrap, source, filters=FILTERS.get(source))
+    return land(items, key, it, wrap, source, filters=FILTERS.get(source),
+                term=TERMS.get(source), per=PER.get(source, 10))
 
 
 def _weather_filters(pid: Column) -> Column:
@@ -285,6 +303,14 @@ def _mail_filters(pid: Column) -> Column:
     return F.create_map(F.lit("senders"), F.lit("USER1,assistant"), F.lit("user"), F.lit("inbox"))
 
 
+def _discover_term(pid: Column) -> Column:
+    return F.when(pid % 2 == 0, F.lit("movie")).otherwise(F.lit("tv"))
+
+
+TERMS = {"tmdb_discover": _discover_term}
+# search pages carry 12 hits (first 10 kept), discover pages 25 (max_results 20)
+PER = {"tmdb_search": 12, "tmdb_discover": 25}
+
 FILTERS = {"weather": _weather_filters, "biorxiv": _biorxiv_filters, "email": _mail_filters}
 
 

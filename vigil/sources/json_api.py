@@ -461,3 +461,50 @@ def normalise_email(landed: DataFrame, as_of=AS_OF) -> DataFrame:
 
 
 NORMALISERS.update({"bluesky": normalise_bluesky, "email": normalise_email})
+
+
+# --- entertainment (S13, S14) -------------------------------------------------
+TMDB_SITE = "https://www.themoviedb.org"
+SCHEMAS["tmdb"] = ("results ARRAY<STRUCT<id BIGINT, title STRING, name STRING, "
+                   "release_date STRING, first_air_date STRING, overview STRING, "
+                   "media_type STRING>>")
+SOURCE_TYPES["tmdb"] = "entertainment"
+
+
+def _tmdb_results(df: DataFrame, media: Column, as_of) -> DataFrame:
+    it = F.col("it")
+    movie = media == "movie"
+    date = F.when(movie, _s(it["release_date"])).otherwise(_s(it["first_air_date"]))
+    name = F.when(movie, _s(it["title"])).otherwise(_s(it["name"]))
+    title = (F.when(movie & (date != ""), F.concat(name, F.lit(" ("), date, F.lit(")")))
+             .when(movie, name)
+             .when(date != "", F.concat(name, F.lit(" [TV] ("), date, F.lit(")")))
+             .otherwise(F.concat(name, F.lit(" [TV]"))))
+    overview = _s(it["overview"])
+    snippet = F.when(overview != "", F.substring(overview, 1, 300)).otherwise(
+        F.when(movie, F.concat(F.lit("Movie · release "), date))
+        .otherwise(F.concat(F.lit("TV premiere · "), date)))
+    url = F.concat(F.lit(TMDB_SITE + "/"), media, F.lit("/"), _s(it["id"].cast("string")))
+    return _results(df, "tmdb", url=url, title=title, snippet=snippet,
+                    fetched_at=F.lit(as_of).cast("timestamp"))
+
+
+# S14
+def normalise_tmdb_search(landed: DataFrame, as_of=AS_OF) -> DataFrame:
+    """First 10 hits of each search response, *then* people are dropped."""
+    df = explode_items(landed, _parsed(landed, "tmdb"), lambda p: F.slice(p["results"], 1, 10))
+    df = df.where(F.col("it")["media_type"].isin("movie", "tv"))
+    return _tmdb_results(df, F.col("it")["media_type"], as_of)
+
+
+# S13
+def normalise_tmdb_discover(landed: DataFrame, as_of=AS_OF) -> DataFrame:
+    """One discover response per media type (the landed ``term``), each cut
+    at ``filters.max_results`` (default 20)."""
+    cap = F.coalesce(F.try_element_at(F.col("filters"), F.lit("max_results")).try_cast("int"),
+                     F.lit(20))
+    df = explode_items(landed, _parsed(landed, "tmdb"), lambda p: F.slice(p["results"], 1, cap))
+    return _tmdb_results(df, F.col("term"), as_of)
+
+
+NORMALISERS.update({"tmdb_search": normalise_tmdb_search, "tmdb_discover": normalise_tmdb_discover})

@@ -27,20 +27,21 @@ LANDED_COLUMNS = ["payload_id", "run_id", "topic_name", "source_ord", "source",
                   "filters", "fetched_ts", "status", "body"]
 
 
-def payload_of(key: Column) -> Column:
-    return key - key % PER_PAYLOAD
+def payload_of(key: Column, per: int = PER_PAYLOAD) -> Column:
+    return key - key % per
 
 
-def is_bad_payload(pid: Column) -> Column:
-    return pid % (PER_PAYLOAD * BAD_EVERY) == 0
+def is_bad_payload(pid: Column, per: int = PER_PAYLOAD) -> Column:
+    return pid % (per * BAD_EVERY) == 0
 
 
 def land(items: DataFrame, key: str, item: Column, wrap: Callable[[Column], Column],
          source: str, as_of=AS_OF, to_text: Callable[[Column], Column] | None = None,
-         filters: Callable[[Column], Column] | None = None) -> DataFrame:
+         filters: Callable[[Column], Column] | None = None,
+         term: Callable[[Column], Column] | None = None, per: int = PER_PAYLOAD) -> DataFrame:
     """Pack ``item`` structs ten per payload into a body (``wrap`` builds the
     API envelope around the ordered item array)."""
-    pid = payload_of(F.col(key))
+    pid = payload_of(F.col(key), per)
     packed = (items.select(pid.alias("payload_id"), F.struct(F.col(key).alias("k"), item.alias("v"))
                            .alias("e"))
               .groupBy("payload_id")
@@ -48,12 +49,13 @@ def land(items: DataFrame, key: str, item: Column, wrap: Callable[[Column], Colu
                                 .when(a["k"] > b["k"], 1).otherwise(0)).alias("es"))
               .withColumn("arr", F.transform("es", lambda e: e["v"])))
     body = (to_text or F.to_json)(wrap(F.col("arr")))
-    bad = is_bad_payload(F.col("payload_id"))
+    bad = is_bad_payload(F.col("payload_id"), per)
     return packed.select(
         "payload_id", F.concat(F.lit("run-"), (F.col("payload_id") % 7).cast("string")).alias("run_id"),
         topic_name(F.col("payload_id") % N_TOPICS).alias("topic_name"),
         F.lit(0).alias("source_ord"), F.lit(source).alias("source"),
-        F.concat(F.lit("term "), (F.col("payload_id") % 7).cast("string")).alias("term"),
+        (term(F.col("payload_id")) if term else
+         F.concat(F.lit("term "), (F.col("payload_id") % 7).cast("string"))).alias("term"),
         (filters(F.col("payload_id")) if filters else F.create_map().cast("map<string,string>"))
         .alias("filters"),
         F.lit(as_of).cast("timestamp").alias("fetched_ts"),
