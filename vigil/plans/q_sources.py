@@ -567,3 +567,53 @@ def _register_tmdb(source: str) -> None:
 
 for _s in TMDB_SQL:
     _register_tmdb(_s)
+
+
+# --- substack (S27, S28) ------------------------------------------------------------
+_SUB_OK = "(x.h <> '' AND NOT list_contains(s.seen, x.h) AND (CASE WHEN x.payload_id = s.term THEN s.cnt ELSE 0 END) < 5)"
+_SUB_CNT = "(CASE WHEN x.payload_id = s.term THEN s.cnt ELSE 0 END)"
+
+
+@query("substack_discovery", f"""
+WITH RECURSIVE x AS (
+  SELECT *, row_number() OVER (PARTITION BY run_id, topic_name ORDER BY payload_id, pos) AS rn FROM (
+    SELECT payload_id, 'run-' || CAST(payload_id % 7 AS VARCHAR) AS run_id,
+           'topic_' || lpad(CAST(payload_id % 13 AS VARCHAR), 2, '0') AS topic_name,
+           row_number() OVER (PARTITION BY payload_id ORDER BY c_custkey) - 1 AS pos,
+           COALESCE(NULLIF(CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'pub' || CAST(c_custkey % 37 AS VARCHAR) END, ''),
+                    NULLIF(CASE WHEN c_custkey % 4 = 0 THEN 'pub' || CAST(c_custkey % 37 AS VARCHAR) END, ''),
+                    NULLIF(CASE WHEN c_custkey % 4 = 1 THEN CASE WHEN c_custkey % 8 = 1 THEN 'pub' || CAST(c_custkey % 37 AS VARCHAR) ELSE '' END END, ''),
+                    '') AS h
+    FROM (SELECT *, c_custkey - c_custkey % 10 AS payload_id FROM customer)
+    WHERE payload_id % 500 <> 0)),
+st(run_id, topic_name, rn, seen, term, cnt, ok, h, term_ord) AS (
+  SELECT DISTINCT run_id, topic_name, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS BIGINT), 0,
+         false, CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT) FROM x
+  UNION ALL
+  SELECT x.run_id, x.topic_name, x.rn,
+         CASE WHEN {_SUB_OK} THEN list_append(s.seen, x.h) ELSE s.seen END,
+         x.payload_id,
+         CASE WHEN {_SUB_OK} THEN {_SUB_CNT} + 1 ELSE {_SUB_CNT} END,
+         {_SUB_OK}, x.h, x.payload_id
+  FROM st s JOIN x ON x.run_id = s.run_id AND x.topic_name = s.topic_name AND x.rn = s.rn + 1)
+SELECT run_id, topic_name,
+       CAST(row_number() OVER (PARTITION BY run_id, topic_name ORDER BY rn) - 1 AS INTEGER) AS feed_pos,
+       term_ord, h AS handle, 'https://' || h || '.substack.com/feed' AS feed_url
+FROM st WHERE ok""")
+def substack_discovery(spark, sf_dir):
+    d = FD.substack_discovery(FP.landed_substack_search(spark, sf_dir))
+    return d.select("run_id", "topic_name", F.col("feed_pos").cast("int").alias("feed_pos"),
+                    "term_ord", "handle", "feed_url")
+
+
+@query("norm_substack", with_views(extra=[("it", _items_sql_per("events", "event_id", """
+        CASE WHEN event_id % 7 = 0 THEN NULL ELSE 'Letter ' || CAST(event_id AS VARCHAR) END AS t,
+        CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'https://letters.example.com/p/' || CAST(event_id AS VARCHAR) END AS u,
+        CASE WHEN event_id % 3 = 0 THEN repeat(props, 40) ELSE props END AS descr,
+        CASE WHEN event_id % 13 = 0 THEN NULL ELSE date_trunc('second', ts) END AS pub""", 12))]) + f"""
+SELECT payload_id, item_pos, topic_name, u AS url, t AS title,
+       {_trunc280('descr')} AS snippet, 'substack' AS source, 'feeds' AS source_type,
+       {ts_sql(AS_OF_SQL)} AS fetched_at, {ts_sql('pub')} AS published_at
+FROM it WHERE item_pos < 10 AND COALESCE(u, '') <> '' AND COALESCE(t, '') <> ''""")
+def norm_substack(spark, sf_dir):
+    return _out_feed(FD.normalise_substack(FP.landed_feed(spark, sf_dir, "substack")))

@@ -136,3 +136,63 @@ NORMALISERS = {
     "camelcamelcamel": normalise_camelcamelcamel, "indeed": normalise_indeed,
     "reddit": normalise_reddit, "arxiv": normalise_arxiv,
 }
+
+
+# --- substack (S27 discovery, S28 feed read) -------------------------------------
+SUBSTACK_FEED_URL = "https://{}.substack.com/feed"
+SEARCH_SCHEMA = ("publications ARRAY<STRUCT<subdomain STRING, handle STRING, slug STRING>>")
+SOURCE_TYPES["substack"] = "feeds"
+
+
+def substack_discovery(landed: DataFrame, max_pubs: int = 5) -> DataFrame:
+    """Feed URLs to read, per source entry (run, topic, source_ord): terms in
+    order (``payload_id``), publications in response order; a handle is
+    ``subdomain`` else ``handle`` else ``slug``; a handle already taken by an
+    earlier publication of the entry is skipped; at most ``max_pubs`` new
+    handles per term.  The per-entry list is bounded by terms × page size."""
+    p = F.from_json(F.col("body"), SEARCH_SCHEMA, {"mode": "PERMISSIVE"})
+    pubs = (landed.select("run_id", "topic_name", "source_ord", "payload_id",
+                          F.posexplode(p["publications"]).alias("pos", "pub"))
+            .select("run_id", "topic_name", "source_ord",
+                    F.struct(F.col("payload_id").alias("term_ord"), F.col("pos"),
+                             F.coalesce(F.nullif(F.col("pub.subdomain"), F.lit("")),
+                                        F.nullif(F.col("pub.handle"), F.lit("")),
+                                        F.nullif(F.col("pub.slug"), F.lit("")),
+                                        F.lit("")).alias("handle")).alias("x")))
+    init = F.struct(F.array().cast("array<string>").alias("seen"),
+                    F.lit(None).cast("bigint").alias("term"), F.lit(0).alias("cnt"),
+                    F.array().cast("array<struct<term_ord:bigint,pos:int,handle:string>>").alias("out"))
+
+    def step(acc, x):
+        cnt = F.when(x["term_ord"] == acc["term"], acc["cnt"]).otherwise(F.lit(0))
+        ok = (x["handle"] != "") & ~F.array_contains(acc["seen"], x["handle"]) & (cnt < max_pubs)
+        return F.struct(
+            F.when(ok, F.concat(acc["seen"], F.array(x["handle"]))).otherwise(acc["seen"]).alias("seen"),
+            x["term_ord"].alias("term"),
+            F.when(ok, cnt + 1).otherwise(cnt).alias("cnt"),
+            F.when(ok, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"))
+
+    folded = (pubs.groupBy("run_id", "topic_name", "source_ord")
+              .agg(F.sort_array(F.collect_list("x")).alias("xs"))
+              .select("run_id", "topic_name", "source_ord",
+                      F.posexplode(F.aggregate("xs", init, step, lambda a: a["out"]))
+                      .alias("feed_pos", "f")))
+    return folded.select("run_id", "topic_name", "source_ord", "feed_pos", "f.term_ord", "f.handle",
+                         F.concat(F.lit("https://"), F.col("f.handle"), F.lit(".substack.com/feed"))
+                         .alias("feed_url"))
+
+
+def normalise_substack(landed: DataFrame, as_of=AS_OF, max_per_feed: int = 10) -> DataFrame:
+    """Feed read: the first ``max_per_feed`` entries of each feed, *then*
+    entries without link or title are dropped."""
+    it = F.col("it")
+    df = (explode_items(landed, _xml("body", RSS_SCHEMA),
+                        lambda p: F.slice(p["channel"]["item"], 1, max_per_feed))
+          .where((_s(it["link"]) != "") & (_s(it["title"]) != "")))
+    return _results(df, "substack", url=it["link"], title=it["title"],
+                    snippet=truncate_ellipsis(_s(it["description"]), 280),
+                    fetched_at=F.lit(as_of).cast("timestamp"),
+                    published_at=parse_feed_date(it["pubDate"]))
+
+
+NORMALISERS["substack"] = normalise_substack

@@ -309,7 +309,7 @@ def _discover_term(pid: Column) -> Column:
 
 TERMS = {"tmdb_discover": _discover_term}
 # search pages carry 12 hits (first 10 kept), discover pages 25 (max_results 20)
-PER = {"tmdb_search": 12, "tmdb_discover": 25}
+PER = {"tmdb_search": 12, "tmdb_discover": 25, "substack": 12}
 
 FILTERS = {"weather": _weather_filters, "biorxiv": _biorxiv_filters, "email": _mail_filters}
 
@@ -393,10 +393,32 @@ def _feed_items(spark: SparkSession, sf_dir: str, source: str):
                                    F.lit("T12:00:00Z"))).alias("published"),
                       names.alias("author"), cats.alias("category"))
         return table(spark, sf_dir, "documents"), "doc_id", it, _atom_body
+    if source == "substack":
+        e = F.col("event_id")
+        it = F.struct(F.when(e % 7 == 0, _Lazy.NULL_S).otherwise(
+                          F.concat(F.lit("Letter "), es)).alias("title"),
+                      F.when(e % 11 == 0, _Lazy.NULL_S).otherwise(
+                          F.concat(F.lit("https://letters.example.com/p/"), es)).alias("link"),
+                      F.when(e % 3 == 0, F.repeat(F.col("props"), 40)).otherwise(F.col("props"))
+                      .alias("description"),
+                      F.when(e % 13 == 0, _Lazy.NULL_S).otherwise(rfc822(ts)).alias("pubDate"))
+        return _events(spark, sf_dir), "event_id", it, _rss_body
     raise KeyError(source)
 
 
 @lru_cache(maxsize=64)
 def landed_feed(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     items, key, it, body = _feed_items(spark, sf_dir, source)
-    return land(items, key, it, lambda a: a, source, to_text=body)
+    return land(items, key, it, lambda a: a, source, to_text=body, per=PER.get(source, 10))
+
+
+@lru_cache(maxsize=16)
+def landed_substack_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Publication search responses (one per term) from ``customer`` rows."""
+    k = F.col("c_custkey")
+    h = F.concat(F.lit("pub"), (k % 37).cast("string"))
+    pub = F.struct(F.when(k % 4 == 0, _Lazy.NULL_S).when(k % 4 == 1, F.lit("")).otherwise(h).alias("subdomain"),
+                   F.when(k % 4 == 0, h).alias("handle"),
+                   F.when(k % 4 == 1, F.when(k % 8 == 1, h).otherwise(F.lit(""))).alias("slug"))
+    return land(table(spark, sf_dir, "customer"), "c_custkey", pub,
+                lambda a: F.struct(a.alias("publications")), "substack")
