@@ -617,3 +617,34 @@ SELECT payload_id, item_pos, topic_name, u AS url, t AS title,
 FROM it WHERE item_pos < 10 AND COALESCE(u, '') <> '' AND COALESCE(t, '') <> ''""")
 def norm_substack(spark, sf_dir):
     return _out_feed(FD.normalise_substack(FP.landed_feed(spark, sf_dir, "substack")))
+
+
+# --- HTML job board (S29) -------------------------------------------------------------
+from vigil.sources import html_jobs as HJ  # noqa: E402
+
+
+def _href_sql(x: str) -> str:
+    return (f"CASE WHEN ({x}) % 4 = 0 THEN 'https://other.example.com/j/' || CAST({x} AS VARCHAR) "
+            f"ELSE '/jobs/' || CAST({x} AS VARCHAR) END")
+
+
+@query("norm_playbill_jobs", with_views(extra=[("it", _items_sql("part", "p_partkey", f"""
+        p_partkey % 10 <> 3 AS has_link,
+        CASE WHEN p_partkey % 9 = 0 THEN {_href_sql('p_partkey - 1')} ELSE {_href_sql('p_partkey')} END AS href_raw,
+        CASE WHEN p_partkey % 15 = 0 THEN '' WHEN p_partkey % 6 = 0 THEN NULL ELSE 'Role ' || p_name END AS heading,
+        'Apply ' || CAST(p_partkey AS VARCHAR) AS link_text,
+        CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_type END AS descr,
+        CASE WHEN p_partkey % 2 = 0 THEN p_brand || ' · City ' || CAST(p_partkey % 7 AS VARCHAR) ELSE p_brand END AS meta""")),
+                                     ("t", """
+SELECT *, CASE WHEN starts_with(href_raw, 'http') THEN href_raw ELSE 'https://playbill.com' || href_raw END AS href
+FROM it WHERE has_link"""),
+                                     ("d", """
+SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY payload_id, href ORDER BY item_pos) = 1""")]) + f"""
+SELECT payload_id, item_pos, topic_name, href AS url, COALESCE(heading, link_text) AS title,
+       substring(CASE WHEN meta <> '' AND descr = '' THEN meta WHEN meta <> '' THEN meta || ' — ' || descr
+                      ELSE descr END, 1, 280) AS snippet,
+       'playbill_jobs' AS source, 'jobs' AS source_type, {ts_sql(AS_OF_SQL)} AS fetched_at,
+       CAST(NULL AS VARCHAR) AS price
+FROM d WHERE COALESCE(heading, link_text) <> ''""")
+def norm_playbill_jobs(spark, sf_dir):
+    return _out(HJ.normalise_playbill(FP.landed_pages(spark, sf_dir)))

@@ -422,3 +422,37 @@ def landed_substack_search(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.when(k % 4 == 1, F.when(k % 8 == 1, h).otherwise(F.lit(""))).alias("slug"))
     return land(table(spark, sf_dir, "customer"), "c_custkey", pub,
                 lambda a: F.struct(a.alias("publications")), "substack")
+
+
+# --- HTML job board pages ------------------------------------------------------
+def _href(k: Column) -> Column:
+    return F.when(k % 4 == 0, F.concat(F.lit("https://other.example.com/j/"), k.cast("string"))) \
+        .otherwise(F.concat(F.lit("/jobs/"), k.cast("string")))
+
+
+def _tile(k: Column) -> Column:
+    href = F.when(k % 9 == 0, _href(k - 1)).otherwise(_href(k))
+    heading = (F.when(k % 15 == 0, F.lit("<h3></h3>")).when(k % 6 == 0, F.lit(""))
+               .otherwise(F.concat(F.lit("<h3>Role "), html_escape(F.col("p_name")), F.lit("</h3>"))))
+    link = F.when(k % 10 == 3, F.lit("")).otherwise(
+        F.concat(F.lit('<a href="'), html_escape(href), F.lit('">Apply '), k.cast("string"), F.lit("</a>")))
+    desc = F.when(k % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("<p>"), F.col("p_type"), F.lit("</p>")))
+    meta = F.concat(F.lit('<span class="company">'), html_escape(F.col("p_brand")), F.lit("</span>"),
+                    F.when(k % 2 == 0, F.concat(F.lit('<span class="location">City '),
+                                                (k % 7).cast("string"), F.lit("</span>")))
+                    .otherwise(F.lit("")))
+    return F.concat(F.lit('<div class="pb-tile-tag-job card">'), heading, link, desc, meta,
+                    F.lit("</div>\n"))
+
+
+def _page(arr: Column) -> Column:
+    return F.concat(F.lit('<html><body><nav><a href="/home">Home</a></nav><main>'
+                          '<div id="job-listings">'), F.array_join(arr, ""),
+                    F.lit("</div></main></body></html>"))
+
+
+@lru_cache(maxsize=16)
+def landed_pages(spark: SparkSession, sf_dir: str, source: str = "playbill_jobs") -> DataFrame:
+    k = F.col("p_partkey")
+    return land(table(spark, sf_dir, "part"), "p_partkey", _tile(k), lambda a: a, source,
+                to_text=_page)
