@@ -648,3 +648,34 @@ SELECT payload_id, item_pos, topic_name, href AS url, COALESCE(heading, link_tex
 FROM d WHERE COALESCE(heading, link_text) <> ''""")
 def norm_playbill_jobs(spark, sf_dir):
     return _out(HJ.normalise_playbill(FP.landed_pages(spark, sf_dir)))
+
+
+@query("norm_usitt_jobs", with_views(extra=[("it0", _items_sql("part", "p_partkey", f"""
+        p_partkey % 8 = 0 AS feat, p_partkey % 10 <> 3 AS has_link,
+        CASE WHEN p_partkey % 9 = 0 THEN {_href_sql('p_partkey - 1')} ELSE {_href_sql('p_partkey')} END AS href_raw,
+        CASE WHEN p_partkey % 15 = 0 THEN '' WHEN p_partkey % 6 = 0 THEN NULL ELSE 'Job ' || p_name END AS heading,
+        'Apply ' || CAST(p_partkey AS VARCHAR) AS link_text,
+        ['Job ' || p_name, p_type, '', p_brand, 'Loc ' || CAST(p_partkey % 5 AS VARCHAR),
+         'Extra ' || CAST(p_partkey AS VARCHAR)] AS parts""")),
+                                     ("it", """
+SELECT * EXCLUDE (item_pos),
+       CAST(CASE WHEN NOT feat THEN row_number() OVER (PARTITION BY payload_id, feat ORDER BY p_partkey) - 1
+            ELSE count(*) FILTER (WHERE NOT feat) OVER (PARTITION BY payload_id)
+                 + row_number() OVER (PARTITION BY payload_id, feat ORDER BY p_partkey) - 1 END AS BIGINT) AS item_pos
+FROM it0"""),
+                                     ("t", """
+SELECT *, CASE WHEN starts_with(href_raw, 'http') THEN href_raw ELSE 'https://www.usitt.org' || href_raw END AS href
+FROM it WHERE has_link"""),
+                                     ("d", """
+SELECT *, array_to_string(list_slice(list_filter(parts, lambda x: x <> '' AND x <> COALESCE(heading, link_text)),
+                                      1, 3), ' · ') AS snip
+FROM t QUALIFY row_number() OVER (PARTITION BY payload_id, href ORDER BY item_pos) = 1""")]) + f"""
+SELECT payload_id, item_pos, topic_name, href AS url, COALESCE(heading, link_text) AS title,
+       substring(snip, 1, 280) AS snippet, 'usitt_jobs' AS source, 'jobs' AS source_type,
+       {ts_sql(AS_OF_SQL)} AS fetched_at, CAST(NULL AS VARCHAR) AS price
+FROM d WHERE COALESCE(heading, link_text) <> ''
+  AND (contains(lower(COALESCE(heading, link_text) || ' ' || snip), 'standard')
+       OR contains(lower(COALESCE(heading, link_text) || ' ' || snip), 'promo')
+       OR contains(lower(COALESCE(heading, link_text) || ' ' || snip), 'brand#1'))""")
+def norm_usitt_jobs(spark, sf_dir):
+    return _out(HJ.normalise_usitt(FP.landed_usitt(spark, sf_dir)))

@@ -456,3 +456,27 @@ def landed_pages(spark: SparkSession, sf_dir: str, source: str = "playbill_jobs"
     k = F.col("p_partkey")
     return land(table(spark, sf_dir, "part"), "p_partkey", _tile(k), lambda a: a, source,
                 to_text=_page)
+
+
+def _usitt_tile(k: Column) -> Column:
+    href = F.when(k % 9 == 0, _href(k - 1)).otherwise(_href(k))
+    title = F.concat(F.lit("Job "), F.col("p_name"))
+    heading = (F.when(k % 15 == 0, F.lit("<h4></h4>")).when(k % 6 == 0, F.lit(""))
+               .otherwise(F.concat(F.lit("<h4>"), html_escape(title), F.lit("</h4>"))))
+    link = F.when(k % 10 == 3, F.lit("")).otherwise(
+        F.concat(F.lit('<a href="'), html_escape(href), F.lit('">Apply '), k.cast("string"), F.lit("</a>")))
+    parts = F.concat(F.lit("<span>"), html_escape(title), F.lit("</span><p>"), F.col("p_type"),
+                     F.lit("</p><p></p><span>"), html_escape(F.col("p_brand")),
+                     F.lit("</span><span>Loc "), (k % 5).cast("string"),
+                     F.lit("</span><span>Extra "), k.cast("string"), F.lit("</span>"))
+    cls = F.when(k % 8 == 0, F.lit("featured-job")).otherwise(F.lit("avail-jobs_chart-row w-row"))
+    return F.concat(F.lit('<div class="'), cls, F.lit('">'), heading, link, parts, F.lit("</div>\n"))
+
+
+@lru_cache(maxsize=16)
+def landed_usitt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return land(table(spark, sf_dir, "part"), "p_partkey", _usitt_tile(k), lambda a: a, "usitt_jobs",
+                to_text=lambda a: F.concat(F.lit("<html><body><div class=\"w-dyn-list\">"),
+                                           F.array_join(a, ""), F.lit("</div></body></html>")),
+                filters=lambda pid: F.create_map(F.lit("terms"), F.lit("standard,PROMO,brand#1")))

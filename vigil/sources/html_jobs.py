@@ -157,3 +157,67 @@ def normalise_playbill(landed: DataFrame, as_of=AS_OF) -> DataFrame:
     return _results(df, "playbill_jobs", url=F.col("href"), title=title,
                     snippet=F.substring(snippet, 1, 280),
                     fetched_at=F.lit(as_of).cast("timestamp"))
+
+
+# --- S30 ------------------------------------------------------------------------
+USITT_ROOT = "https://www.usitt.org"
+USITT_ROW = "avail-jobs_chart-row"
+USITT_DYN = "w-dyn-item"
+USITT_FEATURED = "featured-job"
+
+USITT_SCHEMA = T.StructType([
+    T.StructField("payload_id", T.LongType()), T.StructField("run_id", T.StringType()),
+    T.StructField("topic_name", T.StringType()), T.StructField("source_ord", T.IntegerType()),
+    T.StructField("terms", T.StringType()),
+    T.StructField("tile_pos", T.IntegerType()), T.StructField("href", T.StringType()),
+    T.StructField("heading", T.StringType()), T.StructField("link_text", T.StringType()),
+    T.StructField("parts", T.ArrayType(T.StringType()))])
+
+
+def _usitt_items(html: str) -> list[tuple]:
+    root = _parse(html)
+    rows = [n for n in root.walk() if USITT_ROW in n.cls().split()]
+    if not rows:
+        rows = [n for n in root.walk() if USITT_DYN in n.cls()]
+    featured = [n for n in root.walk() if USITT_FEATURED in n.cls() and n not in rows]
+    out = []
+    for i, item in enumerate(rows + featured):
+        a = _first(item, lambda n: n.tag == "a" and n.attrs.get("href") is not None)
+        if a is None:
+            continue
+        heading = _first(item, lambda n: n.tag in ("h2", "h3", "h4", "h5"))
+        parts = [n.text() for n in item.walk() if n.tag in ("p", "span")]
+        out.append((i, a.attrs["href"], heading.text() if heading else None, a.text(), parts))
+    return out
+
+
+def _extract_usitt(batches):
+    for pdf in batches:
+        rows = []
+        for r in pdf.itertuples(index=False):
+            terms = (r.filters or {}).get("terms") if isinstance(r.filters, dict) else None
+            if terms is None and r.filters is not None:
+                terms = dict(r.filters).get("terms")
+            for item in _usitt_items(r.body):
+                rows.append((r.payload_id, r.run_id, r.topic_name, r.source_ord, terms, *item))
+        yield pd.DataFrame(rows, columns=[f.name for f in USITT_SCHEMA.fields])
+
+
+def normalise_usitt(landed: DataFrame, as_of=AS_OF) -> DataFrame:
+    items = (landed.select("payload_id", "run_id", "topic_name", "source_ord", "filters", "body")
+             .mapInPandas(_extract_usitt, USITT_SCHEMA)
+             .withColumn("href", absolute_url("href", USITT_ROOT)))
+    rest = [c for c in items.columns if c not in ("payload_id", "href")]
+    first = (items.groupBy("payload_id", "href")
+             .agg(F.min_by(F.struct(*rest), F.col("tile_pos")).alias("t"))
+             .select("payload_id", "href", "t.*"))
+    title = F.coalesce(F.col("heading"), F.col("link_text"))
+    first = first.withColumn("_title", title).where(F.col("_title") != "")
+    kept = F.filter(F.col("parts"), lambda x: (x != "") & (x != F.col("_title")))
+    first = first.withColumn("_snip", F.substring(F.array_join(F.slice(kept, 1, 3), " · "), 1, 280))
+    terms = F.filter(F.split(F.coalesce(F.col("terms"), F.lit("")), ","), lambda t: t != "")
+    from vigil.functions.text import term_filter
+    first = first.where(term_filter(F.concat(F.col("_title"), F.lit(" "), F.col("_snip")), terms))
+    df = first.withColumn("item_pos", F.col("tile_pos"))
+    return _results(df, "usitt_jobs", url=F.col("href"), title=F.col("_title"),
+                    snippet=F.col("_snip"), fetched_at=F.lit(as_of).cast("timestamp"))
