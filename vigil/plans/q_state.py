@@ -176,3 +176,57 @@ def effective_urgency(spark, sf_dir):
     eff = E.effective_urgency(fx.fx_topics(spark), final, AS_OF)
     return eff.select("name", "urgency", "effective_urgency",
                       F.coalesce(F.col("cleared"), F.lit(False)).alias("cleared"))
+
+
+# --- M03: manual resets inside the replay -------------------------------------------
+_RESET = "(event_type = 'purchase' AND value > 45)"
+register("o_breaker_reset_steps", (), f"""
+WITH RECURSIVE ev AS (
+  SELECT 'topic_' || lpad(CAST(user_id % 12 AS VARCHAR), 2, '0') AS topic_name,
+         'src' || CAST(event_id % 3 AS VARCHAR) AS adapter, ts, event_id AS seq,
+         event_type IN ('error', 'signup', 'view') AS failed, {_RESET} AS is_reset,
+         row_number() OVER (PARTITION BY user_id % 12, event_id % 3 ORDER BY ts, event_id) AS rn
+  FROM events),
+st(topic_name, adapter, rn, seq, f, dis, dat, action) AS (
+  SELECT DISTINCT topic_name, adapter, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), 0, false,
+         CAST(NULL AS TIMESTAMP), 'start' FROM ev
+  UNION ALL
+  SELECT e.topic_name, e.adapter, e.rn, e.seq,
+    CASE WHEN e.is_reset THEN 0 WHEN {_RUNS} THEN s.f WHEN e.failed THEN least({_F0} + 1, 5) ELSE 0 END,
+    CASE WHEN e.is_reset THEN false WHEN {_RUNS} THEN true WHEN e.failed AND {_F0} + 1 >= 5 THEN true ELSE false END,
+    CASE WHEN e.is_reset THEN NULL WHEN {_RUNS} THEN s.dat WHEN e.failed AND {_F0} + 1 >= 5 THEN e.ts ELSE NULL END,
+    CASE WHEN e.is_reset THEN 'reset' WHEN {_RUNS} THEN 'skip' WHEN e.failed AND {_F0} + 1 >= 5 THEN 'trip'
+         WHEN {_REC} AND e.failed THEN 'recover_fail' WHEN {_REC} THEN 'recover_ok'
+         WHEN e.failed THEN 'fail' ELSE 'ok' END
+  FROM st s JOIN ev e ON e.topic_name = s.topic_name AND e.adapter = s.adapter AND e.rn = s.rn + 1)
+SELECT * FROM st WHERE rn > 0""")
+
+
+@query("breaker_reset", with_views("o_breaker_reset_steps") + f"""
+SELECT topic_name, adapter, seq, action, CAST(f AS INTEGER) AS consecutive_failures,
+       dis AS disabled, {ts_sql('dat')} AS disabled_at
+FROM o_breaker_reset_steps""")
+def breaker_reset(spark, sf_dir):
+    """Replay with manual resets: a reset clears failures, the disabled flag
+    and ``disabled_at`` whatever the state (not gated by the cooldown)."""
+    ev = fx.table(spark, sf_dir, "events")
+    e = F.col("event_id")
+    is_reset = (F.col("event_type") == "purchase") & (F.col("value") > 45)
+    base = ev.select(fx.topic_name(F.col("user_id") % 12).alias("topic_name"),
+                     F.concat(F.lit("src"), (e % 3).cast("string")).alias("adapter"),
+                     F.col("ts").cast("timestamp").alias("ts"), e.alias("seq"),
+                     F.col("event_type").isin(*fx.FAILED_TYPES).alias("failed"),
+                     is_reset.alias("is_reset"))
+    trans, _ = B.breaker_fold(base.where(~F.col("is_reset")).drop("is_reset"),
+                              resets=base.where("is_reset").drop("is_reset", "failed"))
+    return trans.select("topic_name", "adapter", "seq", "action", "consecutive_failures",
+                        "disabled", ts_text("disabled_at").alias("disabled_at"))
+
+
+@query("topic_hue")
+def topic_hue(spark, sf_dir):
+    """a stable hue per topic name (``pmod(xxhash64(name), 360)``); the
+    hash is ours, so this query has no SQL oracle (rows-only check)."""
+    from vigil.functions.lookups import topic_hue as hue
+    names = fx.table(spark, sf_dir, "customer").select(F.col("c_name").alias("topic_name"))
+    return names.select("topic_name", hue("topic_name").cast("int").alias("hue"))
