@@ -144,3 +144,43 @@ def stream_normalise_gdelt(spark, sf_dir):
          .foreachBatch(S.idempotent_batch_writer(f"{base}/out", lambda b, i: b)))
     S.run_available(w, f"gdelt_{uuid.uuid4().hex[:6]}")
     return _out(spark.read.parquet(f"{base}/out"))
+
+
+def _seen_oracle() -> str:
+    from vigil.conventions import RETENTION_DAYS
+    from vigil.plans.oracle_views import case_map, with_views
+    keep = case_map("COALESCE(s.stype, 'news')", RETENTION_DAYS, "90")
+    return with_views("fx_index") + f"""
+, x AS (SELECT event_id, url, source_type, fetched_at AS ts,
+               row_number() OVER (PARTITION BY url ORDER BY fetched_at, event_id) AS rn FROM fx_index),
+st AS (SELECT 1),
+rec AS (
+  WITH RECURSIVE r(url, rn, seen, stype, ok, event_id) AS (
+    SELECT DISTINCT url, CAST(0 AS BIGINT), CAST(NULL AS TIMESTAMP), CAST(NULL AS VARCHAR), false, CAST(NULL AS BIGINT) FROM x
+    UNION ALL
+    SELECT x.url, x.rn,
+           CASE WHEN s.seen IS NULL OR floor((epoch_us(x.ts) - epoch_us(s.seen)) / 86400000000.0) > ({keep})
+                THEN x.ts ELSE s.seen END,
+           CASE WHEN s.seen IS NULL OR floor((epoch_us(x.ts) - epoch_us(s.seen)) / 86400000000.0) > ({keep})
+                THEN x.source_type ELSE s.stype END,
+           s.seen IS NULL OR floor((epoch_us(x.ts) - epoch_us(s.seen)) / 86400000000.0) > ({keep}),
+           x.event_id
+    FROM r s JOIN x ON x.url = s.url AND x.rn = s.rn + 1)
+  SELECT * FROM r)
+SELECT event_id, url FROM rec WHERE ok"""
+
+
+@query("stream_seen_filter", _seen_oracle())
+def stream_seen_filter(spark, sf_dir):
+    """Passed items streamed week by week through the URL-keyed seen
+    state with per-type TTL; returns the items that got through."""
+    idx = fx.fx_index(spark, sf_dir).select("event_id", "url", "source_type",
+                                            F.col("fetched_at").alias("ts"))
+    src = _land_days(idx, _fresh_dir(spark, "seen_in"), F.col("ts"))
+    stream = S.read_stream(spark, src, idx.schema)
+    base = _fresh_dir(spark, "seen")
+    w = (S.seen_filter_stream(stream).writeStream.outputMode("append")
+         .option("checkpointLocation", f"{base}/_checkpoint")
+         .foreachBatch(S.idempotent_batch_writer(f"{base}/out", lambda b, i: b)))
+    S.run_available(w, f"seen_{uuid.uuid4().hex[:6]}")
+    return spark.read.parquet(f"{base}/out").select("event_id", "url")

@@ -174,3 +174,58 @@ def stream_dir(spark: SparkSession, name: str) -> str:
 
 __all__ = ["land_by_day", "read_stream", "run_available", "breaker_stream", "escalation_stream",
            "idempotent_batch_writer", "latest_per_key", "drop_late", "stream_dir", "AS_OF", "RUN_CAP"]
+
+
+# T02 -------------------------------------------------------------------------
+SEEN_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("url", T.StringType()),
+                         T.StructField("source_type", T.StringType()),
+                         T.StructField("ts", T.TimestampType())])
+SEEN_STATE = T.StructType([T.StructField("seen_us", T.LongType()),
+                           T.StructField("stype", T.StringType())])
+_DAY_US = 86_400 * 1_000_000
+
+
+def _seen_fn(retention: dict, default_days: int):
+    def keep_days(stype):
+        return retention.get(stype if stype is not None else "news", default_days)
+
+    def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        part = pd.concat(list(pdfs), ignore_index=True)
+        part["us"] = pd.to_datetime(part["ts"]).astype("int64") // 1000
+        part = part.sort_values(["us", "event_id"])
+        seen = state.get if state.exists else None
+        out = []
+        for ev, us, stype, ts in zip(part["event_id"].tolist(), part["us"].tolist(),
+                                     part["source_type"].tolist(), part["ts"].tolist()):
+            if seen is not None:
+                age_days = (int(us) - int(seen[0])) // _DAY_US
+                if age_days <= keep_days(seen[1]):
+                    continue
+            seen = (int(us), stype)
+            out.append((int(ev), key[0], stype, ts))
+        if seen is not None:
+            state.update(seen)
+            # drop the state once it can no longer suppress anything
+            state.setTimeoutTimestamp(int(seen[0] // 1000) + (keep_days(seen[1]) + 1) * 86_400_000)
+        if out:
+            yield pd.DataFrame(out, columns=[f.name for f in SEEN_OUT.fields])
+    return fn
+
+
+def seen_filter_stream(items: DataFrame, retention: dict | None = None,
+                       default_days: int | None = None, watermark: str = "1 day") -> DataFrame:
+    """The seen set as streaming state keyed by URL.  An item passes when
+    its URL has no sighting, or the last one is older (whole days) than the
+    retention of that sighting's type; passing items become the new sighting.
+    An event-time timeout at ``seen + (days + 1)`` drops expired state."""
+    from vigil.conventions import RETENTION_DAYS, RETENTION_DEFAULT_DAYS
+    fn = _seen_fn(retention or RETENTION_DAYS,
+                  default_days if default_days is not None else RETENTION_DEFAULT_DAYS)
+    return (items.select("event_id", "url", "source_type", "ts")
+            .withWatermark("ts", watermark)
+            .groupBy("url")
+            .applyInPandasWithState(fn, SEEN_OUT, SEEN_STATE, "append",
+                                    GroupStateTimeout.EventTimeTimeout))
