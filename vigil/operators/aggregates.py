@@ -10,7 +10,8 @@ from vigil.operators.joins import small
 
 # A01 -------------------------------------------------------------------------
 def run_summary(topics: DataFrame, fetched: DataFrame, new: DataFrame, sent: DataFrame,
-                passed: DataFrame, run: str = "run_id", key: str = "topic_ord") -> DataFrame:
+                passed: DataFrame, run: str = "run_id", key: str = "topic_ord",
+                n_topics: int | None = None) -> DataFrame:
     """Per run and topic: fetched, new, scored (sent), passed — every topic of
     every run appears (zeros included); ``rollup`` adds per-run and overall
     totals (``topic_name`` / ``run`` NULL)."""
@@ -21,8 +22,12 @@ def run_summary(topics: DataFrame, fetched: DataFrame, new: DataFrame, sent: Dat
         tagged = part if tagged is None else tagged.unionByName(part)
     counts = (tagged.groupBy(run, key)
               .agg(*[F.count_if(F.col("_stage") == n).alias(n) for n, _ in stages]))
-    runs = fetched.select(run).distinct()
-    grid = runs.crossJoin(small(topics.select(key, F.col("name").alias("topic_name"))))
+    # every topic of every run: topic positions exploded per run, then an
+    # equi-join to the topic table (no cross join)
+    n = n_topics if n_topics is not None else 1 + fetched.agg(F.max(key)).first()[0]
+    runs = fetched.select(run).distinct().select(
+        run, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias(key))
+    grid = runs.join(small(topics.select(key, F.col("name").alias("topic_name"))), key)
     full = (grid.join(counts, [run, key], "left")
             .select(run, "topic_name", *[F.coalesce(F.col(n), F.lit(0)).alias(n)
                                          for n, _ in stages]))

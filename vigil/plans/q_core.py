@@ -159,8 +159,9 @@ WHERE NOT EXISTS (
     AND b.dis AND (b.dat IS NULL OR {AS_OF_SQL} - b.dat < INTERVAL 6 HOUR))""")
 def breaker_gate(spark, sf_dir):
     _, state = Br.breaker_fold(fx.fx_attempts(spark, sf_dir))
-    sources = fx.fx_topics(spark).select(F.col("name").alias("topic_name")).crossJoin(
-        spark.createDataFrame([("src0",), ("src1",), ("src2",)], "source string"))
+    sources = fx.fx_topics(spark).select(
+        F.col("name").alias("topic_name"),
+        F.explode(F.array(*[F.lit(f"src{i}") for i in range(3)])).alias("source"))
     return Bu.breaker_gate(sources, state, AS_OF).select("topic_name", "source")
 
 
@@ -223,7 +224,7 @@ def run_summary(spark, sf_dir):
     items = fx.fx_items(spark, sf_dir)
     return summary(fx.fx_topics(spark), items, poll.deduped(spark, sf_dir),
                    poll.budgeted(spark, sf_dir), poll.scored_passed(spark, sf_dir),
-                   run="run_day").select(
+                   run="run_day", n_topics=fx.N_TOPICS).select(
         ts_text("run_day").alias("run_day"), "topic_name", "fetched", "new", "scored", "passed")
 
 
