@@ -18,6 +18,25 @@ from vigil.sources import fixtures as fx
 from vigil.streaming import poll_stream as S
 
 
+class _StatePartitions:
+    """Streams over these fixture folders are small: keep the state store as
+    wide as the cores while the stream runs (the setting is fixed in the
+    stream's checkpoint on first start) and restore the session value after."""
+
+    def __init__(self, spark):
+        self.spark = spark
+
+    def __enter__(self):
+        self.old = self.spark.conf.get("spark.sql.shuffle.partitions")
+        n = min(int(self.old), self.spark.sparkContext.defaultParallelism)
+        self.spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        return self
+
+    def __exit__(self, *exc):
+        self.spark.conf.set("spark.sql.shuffle.partitions", self.old)
+        return False
+
+
 def _fresh_dir(spark, name):
     return S.stream_dir(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
@@ -39,7 +58,8 @@ def _run(spark, name, stream_df, build, keys):
     w = (stream_df.writeStream.outputMode("update")
          .option("checkpointLocation", f"{base}/_checkpoint")
          .foreachBatch(S.idempotent_batch_writer(f"{base}/out", build)))
-    S.run_available(w, f"{name}_{uuid.uuid4().hex[:6]}")
+    with _StatePartitions(spark):
+        S.run_available(w, f"{name}_{uuid.uuid4().hex[:6]}")
     return S.latest_per_key(spark, f"{base}/out", keys) if keys else spark.read.parquet(f"{base}/out")
 
 
@@ -89,7 +109,8 @@ def stream_budget(spark, sf_dir):
     base = _fresh_dir(spark, "budget")
     w = (stream.writeStream.option("checkpointLocation", f"{base}/_checkpoint")
          .foreachBatch(S.idempotent_batch_writer(f"{base}/out", build)))
-    S.run_available(w, f"budget_{uuid.uuid4().hex[:6]}")
+    with _StatePartitions(spark):
+        S.run_available(w, f"budget_{uuid.uuid4().hex[:6]}")
     out = spark.read.parquet(f"{base}/out")
     return out.select(ts_text("run_day").alias("run_day"),
                       F.col("topic_ord").cast("bigint").alias("topic_ord"), "budget",
@@ -120,9 +141,10 @@ def stream_index_top100(spark, sf_dir):
             rows = rows.unionByName(prev.select("topic_name", "event_id", "run_day", "item_pos"))
         index_top(rows).drop("pos").write.mode("overwrite").parquet(snap)
 
-    q = (stream.writeStream.option("checkpointLocation", f"{base}/_checkpoint")
-         .foreachBatch(merge).trigger(availableNow=True).start())
-    q.awaitTermination()
+    with _StatePartitions(spark):
+        q = (stream.writeStream.option("checkpointLocation", f"{base}/_checkpoint")
+             .foreachBatch(merge).trigger(availableNow=True).start())
+        q.awaitTermination()
     last = spark.read.parquet(f"{base}/snap").agg(F.max("batch_id")).first()[0]
     final = spark.read.parquet(f"{base}/snap/batch_id={last}")
     return index_top(final).select("topic_name", "event_id", F.col("pos").cast("bigint").alias("pos"))
@@ -142,7 +164,8 @@ def stream_normalise_gdelt(spark, sf_dir):
     res = S.drop_late(normalise_gdelt(stream), S.AS_OF)
     w = (res.writeStream.outputMode("append").option("checkpointLocation", f"{base}/_checkpoint")
          .foreachBatch(S.idempotent_batch_writer(f"{base}/out", lambda b, i: b)))
-    S.run_available(w, f"gdelt_{uuid.uuid4().hex[:6]}")
+    with _StatePartitions(spark):
+        S.run_available(w, f"gdelt_{uuid.uuid4().hex[:6]}")
     return _out(spark.read.parquet(f"{base}/out"))
 
 
@@ -182,5 +205,6 @@ def stream_seen_filter(spark, sf_dir):
     w = (S.seen_filter_stream(stream).writeStream.outputMode("append")
          .option("checkpointLocation", f"{base}/_checkpoint")
          .foreachBatch(S.idempotent_batch_writer(f"{base}/out", lambda b, i: b)))
-    S.run_available(w, f"seen_{uuid.uuid4().hex[:6]}")
+    with _StatePartitions(spark):
+        S.run_available(w, f"seen_{uuid.uuid4().hex[:6]}")
     return spark.read.parquet(f"{base}/out").select("event_id", "url")
