@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -49,16 +50,40 @@ def build_session(master: str | None = None, app: str = "vigil",
 
 
 def ensure_conventions(spark: SparkSession) -> None:
-    """UTC clock and a checkpoint folder; never overrides a cluster setting."""
+    """UTC clock, bounded Arrow batches, the package on every executor and a
+    checkpoint folder; never overrides a cluster setting."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # The default of 10,000 rows is too much for rows that hold whole texts.
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    ship_package(spark)
     checkpoint_dir(spark)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors as a zip, once per application, so
+    that Python workers can import it wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_vigil_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="vigil-pkg-"), "vigil.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("vigil", os.path.relpath(full, root)))
+    sc.addPyFile(target)
+    sc._vigil_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the session leaves it unset (local runs and tests) do we pick
-    a private folder of our own.
+    Only a local master (tests, local runs) may leave it unset; there a
+    private folder is made.  Any other master without it is an error, since a
+    machine-local folder would lose data.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
@@ -69,6 +94,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     if not sc._jsc.sc().getCheckpointDir().isEmpty():
         return sc._jsc.sc().getCheckpointDir().get()
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="vigil-ckpt-", dir=os.environ.get("VIGIL_SCRATCH"))
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
