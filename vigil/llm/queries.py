@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, decontaminate, token_store
+from vigil.llm import (bpe, decontaminate, language, line_dedup, outliers, secrets,
+                       token_store)
 from vigil.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,12 +23,35 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op1_line_dedup", line_dedup.ORACLE_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(read_table(spark, sf_dir, "documents"))
+
+
+@query("op2_secrets")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return secrets.findings(docs, secrets.fit(docs))
+
+
 @query("op5_token_shards")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(
         token_store.write_shards(read_table(spark, sf_dir, "documents")))
 
 
+@query("op7_language")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language.predictions(docs, language.fit(docs)).select(
+        "doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op8_outliers")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.digest(outliers.verdicts(read_table(spark, sf_dir, "documents")))
+
+
 @query("op9_decontaminate")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(
