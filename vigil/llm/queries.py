@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import (bpe, decontaminate, language, line_dedup, outliers, secrets,
-                       token_store)
+from vigil.llm import (bpe, decontaminate, language, line_dedup, outliers, secret_scan,
+                       suffix_dedup, token_store)
 from vigil.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,7 +31,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_secrets")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return secrets.findings(docs, secrets.fit(docs))
+    return secret_scan.findings(docs, secret_scan.fit(docs))
+
+
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(read_table(spark, sf_dir, "documents"))
 
 
 @query("op5_token_shards")
