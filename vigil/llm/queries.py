@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import (bpe, decontaminate, language, line_dedup, outliers, secret_scan,
-                       suffix_dedup, token_store)
+from vigil.llm import (bpe, decontaminate, language, line_dedup, near_dup, outliers,
+                       secret_scan, suffix_dedup, token_store)
 from vigil.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         token_store.write_shards(read_table(spark, sf_dir, "documents")))
 
 
+@query("op6_near_dup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.report(read_table(spark, sf_dir, "documents"))
+
+
 @query("op7_language")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
