@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vigil.llm import (bpe, decontaminate, language, line_dedup, near_dup, outliers,
-                       secret_scan, suffix_dedup, token_store)
+                       quality, secret_scan, suffix_dedup, token_store)
 from vigil.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.findings(docs, secret_scan.fit(docs))
 
 
+@query("op3_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"),
+                            read_table(spark, sf_dir, "labels"))
+
+
 @query("op4_suffix_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(read_table(spark, sf_dir, "documents"))
