@@ -116,8 +116,9 @@ def removals(docs: DataFrame, min_lines: int = MIN_LINES,
 def _joined(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
     gone = removals(docs, min_lines, min_words)
     gone = gone.select(*(F.col(c).alias(f"__g_{c}") for c in gone.columns))
-    return docs.join(gone, (id_col() == F.col(f"__g_{ID}")) & (uid_col() == F.col(f"__g_{UID}")),
-                     "left")
+    # hashed, not sorted: the documents' side is the whole corpus
+    return docs.join(gone.hint("shuffle_hash"), (id_col() == F.col(f"__g_{ID}"))
+                     & (uid_col() == F.col(f"__g_{UID}")), "left")
 
 
 def _kept() -> Column:
@@ -167,7 +168,8 @@ def report(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WOR
 ORACLE_SQL = r"""
 WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, unnest(range(len(a))) AS p, unnest(a) AS line FROM s),
-n AS (SELECT *, len(regexp_extract_all(line, '[^ 	-]+')) AS nw FROM l),
+n AS (SELECT *, len(regexp_extract_all(line, '[^ 	-
+]+')) AS nw FROM l),
 w AS (SELECT *, lead(line, 1) OVER d AS l1, lead(line, 2) OVER d AS l2,
              nw + lead(nw, 1) OVER d + lead(nw, 2) OVER d AS nw3
       FROM n WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
