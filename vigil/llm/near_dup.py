@@ -242,8 +242,8 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(
-            "u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select(
+            "u", F.least("u", "m").alias("m")), "near-least")  # joined below, a node may be hot
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(
             F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -270,9 +270,11 @@ def classes(docs: DataFrame) -> DataFrame:
         F.min(node).alias("node"), F.min_by("bands", node).alias("bands")), "near-nodes")
     keys = nodes.where(F.col("bands").isNotNull()).select(
         "node", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n"))
-    members = written(keys.join(buckets.where(F.col("n") > 1).select("key", "first"), "key"),
-                      "near-members")
+    # written first: a join of two tables can be split where a key is hot, one
+    # of a table with its own aggregate cannot
+    buckets = written(keys.groupBy("key").agg(F.min("node").alias("first"), F.count(
+        "*").alias("n")).where(F.col("n") > 1).select("key", "first"), "near-buckets")
+    members = written(keys.join(buckets, "key"), "near-members")
     needed = members.select("node").distinct()
     texts = written(keyed(docs, "text").select(node.alias("node"), "text").join(
         needed.hint("shuffle_hash"), "node").dropDuplicates(["node"]), "near-texts")
@@ -342,8 +344,8 @@ def remaining(members: DataFrame, links: DataFrame, found: DataFrame) -> DataFra
     sizes = rows.groupBy("key", "class").agg(F.count("*").alias("n"))
     per = sizes.groupBy("key").agg(F.count("*").alias("classes"),
                                    F.max_by("class", F.struct("n", "class")).alias("largest"))
-    rows = written(rows.join(per.where(F.col("classes") > 1).select("key", "largest"), "key"),
-                   "near-open")
+    per = written(per.where(F.col("classes") > 1).select("key", "largest"), "near-per")
+    rows = written(rows.join(per, "key"), "near-open")
     near = 1 - THRESHOLD + 1e-9
     x, y = rows.where(~F.col("is_first")).alias("x"), rows.where(~F.col("is_first")).alias("y")
     # left: members outside the bucket's largest class; right: all of it
