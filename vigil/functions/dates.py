@@ -55,14 +55,36 @@ def parse_pubmed_date(c: Column | str, as_of=None) -> Column:
 
 
 # F11
+# Offsets of the zone names that feeds use (RFC 822).
+ZONES = {"UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000", "EST": "-0500",
+         "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600",
+         "PST": "-0800", "PDT": "-0700"}
+_RFC822 = (r"^(?:[A-Za-z]{3,9},?\s+)?(\d{1,2})\s+([A-Za-z]{3})[A-Za-z]*\s+(\d{4}|\d{2})\s+"
+           r"(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([A-Za-z]{1,4}|[+-]\d{4})?$")
+
+
 def parse_feed_date(c: Column | str) -> Column:
-    """RFC-822 (``Mon, 02 Jan 2006 15:04:05 GMT`` / ``+0200``) or ISO (Atom)."""
-    body = F.regexp_replace(strip_ws(_c(c)), r"^[A-Za-z]{3},\s*", "")
-    return F.coalesce(
-        F.try_to_timestamp(body, F.lit("d MMM yyyy HH:mm:ss 'GMT'")),
-        F.try_to_timestamp(body, F.lit("d MMM yyyy HH:mm:ss Z")),
-        _c(c).try_cast("timestamp"),
-    )
+    """RFC 822 (weekday and seconds optional, two- or four-digit year, zone as
+    offset or name, none is UTC; years 69-99 are 19xx) or ISO (Atom)."""
+    body = strip_ws(_c(c))
+
+    def part(i: int) -> Column:
+        return F.regexp_extract(body, _RFC822, i)
+
+    months = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
+    zones = F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv])
+    y = part(3)
+    year = F.when(F.length(y) == 2, F.concat(F.when(y >= "69", F.lit("19")).otherwise(
+        F.lit("20")), y)).otherwise(y)
+    zone = F.when(part(7).rlike(r"^[+-]\d{4}$"), part(7)).when(part(7) == "", F.lit("+0000")) \
+        .otherwise(F.try_element_at(zones, F.upper(part(7))))
+    text = F.concat(year, F.lit("-"),
+                    F.lpad(F.try_element_at(months, F.lower(part(2))).cast("string"), 2, "0"),
+                    F.lit("-"), F.lpad(part(1), 2, "0"), F.lit(" "), F.lpad(part(4), 2, "0"),
+                    F.lit(":"), part(5), F.lit(":"),
+                    F.when(part(6) == "", F.lit("00")).otherwise(part(6)), zone)
+    return F.coalesce(F.when(part(1) != "", F.try_to_timestamp(
+        text, F.lit("yyyy-MM-dd HH:mm:ssZ"))), body.try_cast("timestamp"))
 
 
 # F17

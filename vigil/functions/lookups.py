@@ -115,4 +115,5 @@ def rank_level(rank: Column | str) -> Column:
 
 # F20
 def topic_hue(name: Column | str) -> Column:
-    return F.pmod(F.xxhash64(_c(name)), F.lit(360))
+    """A colour angle from the name (the first 32 bits of its MD5)."""
+    return F.conv(F.substring(F.md5(_c(name).cast("binary")), 1, 8), 16, 10).cast("bigint") % 360

@@ -10,6 +10,11 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def fixed2(v: Column | str) -> Column:
+    """Two decimals, ties to even on the binary value."""
+    return F.call_function("format_number", _c(v).cast("double"), F.lit("0.00"))
+
+
 def price_value_ccy(value: Column | str, ccy: Column | str) -> Column:
     """``$<value> <currency>`` (value as given), NULL without a value."""
     value = _c(value)
@@ -19,14 +24,14 @@ def price_value_ccy(value: Column | str, ccy: Column | str) -> Column:
 def price_ratio(amount: Column | str, divisor: Column | str, ccy: Column | str) -> Column:
     """``$`` + ``amount / divisor`` with two decimals + currency (``$12.50 USD``)."""
     v = _c(amount).cast("double") / _c(divisor).cast("double")
-    return F.when(v.isNotNull(), F.concat(F.lit("$"), F.format_string("%.2f", v), F.lit(" "),
+    return F.when(v.isNotNull(), F.concat(F.lit("$"), fixed2(v), F.lit(" "),
                                           _c(ccy)))
 
 
 def price_dollars(v: Column | str) -> Column:
     """``$%.2f`` of a number."""
     v = _c(v).cast("double")
-    return F.when(v.isNotNull(), F.concat(F.lit("$"), F.format_string("%.2f", v)))
+    return F.when(v.isNotNull(), F.concat(F.lit("$"), fixed2(v)))
 
 
 def price_yen(v: Column | str) -> Column:
@@ -36,12 +41,6 @@ def price_yen(v: Column | str) -> Column:
         _c(v).cast("string"))
 
 
-def price_amount(amount: Column | str, divisor: Column | str | None = None) -> Column:
-    """Exact DECIMAL copy of a price for sums and filters."""
-    a = _c(amount).cast("decimal(20,2)")
-    return a if divisor is None else (a / _c(divisor)).cast("decimal(18,2)")
-
-
 # F07
 def salary_suffix(lo: Column | str, hi: Column | str) -> Column:
     """`` · $min–$max`` / `` · $min+`` / empty; zero counts as missing."""

@@ -14,8 +14,10 @@ def _c(c: Column | str) -> Column:
 
 
 def strip_ws(c: Column | str) -> Column:
-    """Remove leading/trailing whitespace (tabs and newlines too)."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    """Remove leading/trailing whitespace: tabs, newlines, separators and the
+    Unicode spaces (no-break and ideographic ones, too)."""
+    space = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
+    return F.regexp_replace(_c(c), f"^{space}|{space}$", "")
 
 
 # F01

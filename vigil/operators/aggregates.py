@@ -5,34 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators.joins import small
-
 
 # A01 -------------------------------------------------------------------------
-def run_summary(topics: DataFrame, fetched: DataFrame, new: DataFrame, sent: DataFrame,
-                passed: DataFrame, run: str = "run_id", key: str = "topic_ord",
-                n_topics: int | None = None) -> DataFrame:
+def run_summary(topics: DataFrame, fetched: DataFrame, new: DataFrame, budgets: DataFrame,
+                passed: DataFrame, n_topics: int, run: str = "run_id",
+                key: str = "topic_ord") -> DataFrame:
     """Per run and topic: fetched, new, scored (sent), passed — every topic of
     every run appears (zeros included); ``rollup`` adds per-run and overall
     totals (``topic_name`` / ``run`` NULL)."""
-    stages = [("fetched", fetched), ("new", new), ("scored", sent), ("passed", passed)]
-    tagged = None
-    for name, df in stages:
-        part = df.select(run, key, F.lit(name).alias("_stage"))
-        tagged = part if tagged is None else tagged.unionByName(part)
-    counts = (tagged.groupBy(run, key)
-              .agg(*[F.count_if(F.col("_stage") == n).alias(n) for n, _ in stages]))
+    names = ["fetched", "new", "scored", "passed"]
+    # each stage is counted by itself; scored is what the budget table sent
+    parts = [fetched.groupBy(run, key).agg(F.count("*").alias("fetched")),
+             new.groupBy(run, key).agg(F.count("*").alias("new")),
+             budgets.select(run, key, F.col("sent").cast("bigint").alias("scored")),
+             passed.groupBy(run, key).agg(F.count("*").alias("passed"))]
+    tagged = parts[0]
+    for part in parts[1:]:
+        tagged = tagged.unionByName(part, allowMissingColumns=True)
+    counts = tagged.groupBy(run, key).agg(*[F.sum(n).alias(n) for n in names])
     # every topic of every run: topic positions exploded per run, then an
     # equi-join to the topic table (no cross join)
-    n = n_topics if n_topics is not None else 1 + fetched.agg(F.max(key)).first()[0]
     runs = fetched.select(run).distinct().select(
-        run, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias(key))
-    grid = runs.join(small(topics.select(key, F.col("name").alias("topic_name"))), key)
+        run, F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                  F.lit(n_topics - 1).cast("bigint"))).alias(key))
+    grid = runs.join(topics.select(key, F.col("name").alias("topic_name")), key)
     full = (grid.join(counts, [run, key], "left")
             .select(run, "topic_name", *[F.coalesce(F.col(n), F.lit(0)).alias(n)
-                                         for n, _ in stages]))
+                                         for n in names]))
     return (full.rollup(run, "topic_name")
-            .agg(*[F.sum(n).cast("bigint").alias(n) for n, _ in stages]))
+            .agg(*[F.sum(n).cast("bigint").alias(n) for n in names]))
 
 
 # A02 -------------------------------------------------------------------------

@@ -14,11 +14,12 @@ its topics from its real entry.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.conventions import BREAKER_COOLDOWN_HOURS, RUN_CAP, TIER_DEFAULT, TIER_MAP
-from vigil.operators.joins import small
 
 BLOCK = 1024
 
@@ -42,7 +43,7 @@ def allocate_budget(counts: DataFrame, n_topics: DataFrame | int, cap: int = RUN
         nt = counts.select(run).distinct().withColumn("n_topics", F.lit(n_topics))
     else:
         nt = n_topics
-    c = (counts.join(small(nt), run)
+    c = (counts.join(nt, run)
          .withColumn("_blk", (F.col("topic_ord") / F.lit(block)).cast("bigint"))
          .withColumn("_left", (F.col("n_topics") - F.col("topic_ord")).cast("int")))
     entry_t = F.struct(F.col("topic_ord"), F.col("n").cast("int").alias("n"), F.col("_left"))
@@ -102,10 +103,15 @@ def apply_budget(items: DataFrame, budgets: DataFrame, cap: int = RUN_CAP,
     """
     w = Window.partitionBy(run, "topic_ord").orderBy(*order)
     top = items.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap)
-    return (top.join(small(budgets.select(run, "topic_ord", "budget")), [run, "topic_ord"])
+    return (top.join(budgets.select(run, "topic_ord", "budget"), [run, "topic_ord"])
             .where(F.col("_rn") <= F.col("budget")).drop("_rn", "budget"))
 
 
+def run_cap(cap: int | None = None) -> int:
+    """The scoring cap of a run: the argument, else the environment, else 20."""
+    return int(cap if cap is not None else os.environ.get("VIGIL_RUN_CAP", RUN_CAP))
+
+
 # R07 -------------------------------------------------------------------------
 def global_cap(items: DataFrame, cap: int = RUN_CAP, run: str = "run_id",
                order=("topic_ord", "source_ord", "term_ord", "item_pos")) -> DataFrame:
@@ -121,7 +127,7 @@ def quota_prefix(attempts: DataFrame, run: str = "run_id", order: str = "call_or
     as sent; nothing after it is).  One ``min`` per run, no window."""
     first = (attempts.where(F.col(abort)).groupBy(run)
              .agg(F.min(order).alias("_first_abort")))
-    return (attempts.join(small(first), run, "left")
+    return (attempts.join(first, run, "left")
             .where(F.col("_first_abort").isNull() | (F.col(order) <= F.col("_first_abort")))
             .drop("_first_abort"))
 

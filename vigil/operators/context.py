@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.operators.joins import small
 
 # Vote signs and section headers of the prompt text.
 UP, DOWN = "\U0001f44d", "\U0001f44e"
@@ -79,5 +78,5 @@ def scoring_prompt(items: DataFrame, topics: DataFrame, fb_context: DataFrame,
         F.lit("\n\nTitle: "), F.col("title"), F.lit("\nSnippet: "), F.coalesce(F.col("snippet"), F.lit("")),
         F.lit("\nSource: "), F.col("source"),
         F.coalesce(F.col("feedback_text"), F.lit("")), F.coalesce(F.col("accepted_text"), F.lit("")))
-    return (items.join(small(t), key).join(small(fb_context.select(key, "feedback_text")), key, "left")
+    return (items.join(t, key).join(fb_context.select(key, "feedback_text"), key, "left")
             .withColumn("prompt", prompt).drop("_tname", "_tdesc", "_ttags"))

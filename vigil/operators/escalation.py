@@ -26,7 +26,6 @@ from pyspark.sql import types as T
 from vigil.conventions import TRIGGER_DURATION_HOURS_DEFAULT, URGENCY_RANK
 from vigil.functions.lookups import urgency_rank
 from vigil.operators.folds import INIT_TS_US, blocked_fold
-from vigil.operators.joins import small
 
 KEYS = ("topic_name",)
 _HOUR_US = 3600 * 1_000_000
@@ -41,7 +40,7 @@ def match_triggers(items: DataFrame, topics: DataFrame, key: str = "topic_ord")
                       F.col("auto_revert"))
     hit = F.try_element_at(
         F.filter(F.col("_trg"), lambda x: F.array_contains(F.col("tags"), x["tag"])), F.lit(1))
-    return (items.join(small(t), key, "left")
+    return (items.join(t, key, "left")
             .withColumn("_hit", hit)
             .withColumn("escalation_trigger", F.col("_hit.tag"))
             .withColumn("bump_to", F.coalesce(F.col("_hit.bump_to"), F.col("_own")))

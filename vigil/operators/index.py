@@ -1,7 +1,6 @@
 """Index and read-side views: capped index, digest order, highlights.
 
 W01 index_top       newest-first top-N per topic (WindowGroupLimit)
-W02 digest_order    topic asc, novelty desc, stable on position
 W03 highlights      novelty >= 0.8 or an escalation trigger
 W04 rank_unread     unread first, then novelty desc
 """
@@ -17,6 +16,11 @@ from vigil.conventions import INDEX_MAX
 from vigil.operators.positions import with_positions
 
 
+def newest_first() -> list[Column]:
+    """Insertion order reversed: runs, then sources, terms and items of a run."""
+    return [F.col(c).desc() for c in ("run_day", "source_ord", "term_ord", "item_pos")]
+
+
 # W01 -----------------------------------------------------------------------
 def index_top(rows: DataFrame, n: int = INDEX_MAX, key: str = "topic_name",
               order: Sequence[Column] | None = None, name: str = "pos") -> DataFrame:
@@ -26,7 +30,7 @@ def index_top(rows: DataFrame, n: int = INDEX_MAX, key: str = "topic_name",
     ``WindowGroupLimit`` before the shuffle and a final one after it, so a
     hot topic ships at most ``n`` rows per map task.
     """
-    order = order or [F.col("run_day").desc(), F.col("item_pos").desc()]
+    order = order or newest_first()
     w = Window.partitionBy(key).orderBy(*order)
     return rows.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
 
@@ -46,22 +50,19 @@ def mark_read(rows: DataFrame, read: DataFrame) -> DataFrame:
 
 # W04 -----------------------------------------------------------------------
 def rank_unread(rows: DataFrame, read: DataFrame, by: Sequence[str] = (),
-                tie: str = "item_pos", name: str = "rank") -> DataFrame:
-    """Rank unread first, then novelty desc, then ``tie`` (unique) asc.
+                tie: Sequence[str] = ("topic_ord", "pos"), name: str = "rank") -> DataFrame:
+    """Rank index rows unread first, then novelty desc, then in the order of
+    the index (``tie`` columns, unique together).
 
-    Uses the skew-safe positions operator: a global ranking (``by=()``) or a
-    hot group is spread over many range partitions.
+    Inside a topic the index holds at most its cap of rows, a plain window;
+    the ranking over all topics (``by=()``) uses the skew-safe positions
+    operator, which spreads it over many range partitions.
     """
     marked = mark_read(rows, read)
     order = [F.col("is_read").asc(),
              F.coalesce(F.col("novelty_score"), F.lit(-1.0)).desc(),
-             F.col(tie).asc()]
-    return with_positions(marked, list(by), order, name=name)
-
-
-# W02 -----------------------------------------------------------------------
-def digest_order(rows: DataFrame, name: str = "rank_in_topic") -> DataFrame:
-    """Digest order: topic asc, ``coalesce(novelty, 0)`` desc, then index
-    position; ``rank_in_topic`` makes the order checkable without sorting."""
-    order = [F.coalesce(F.col("novelty_score"), F.lit(0.0)).desc(), F.col("pos").asc()]
-    return with_positions(rows, ["topic_name"], order, name=name)
+             *(F.col(t).asc() for t in tie)]
+    if by:
+        return marked.withColumn(name, F.row_number().over(
+            Window.partitionBy(*by).orderBy(*order)))
+    return with_positions(marked, [], order, name=name)

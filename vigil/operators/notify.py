@@ -6,16 +6,12 @@ queues and card tables a delivery worker reads.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from vigil.functions.lookups import push_priority, score_band, topic_icon
+from vigil.functions.price import fixed2
 from vigil.functions.text import html_escape
-from vigil.operators.joins import small
-from vigil.operators.positions import with_positions
 
 # Push tag per topic name (default "bell"; escalated → siren).
 PUSH_TOPIC_TAGS = {
@@ -32,13 +28,6 @@ PUSH_TAG_ESCALATED = "rotating_light"
 SCORE_MISSING = "—"
 
 
-@pandas_udf(T.StringType())
-def fixed2(x: pd.Series) -> pd.Series:
-    """``%.2f`` with round-half-even on the exact binary value (``0.125`` →
-    ``0.12``), which Java's formatter does not do; Arrow-batched."""
-    return x.map(lambda v: None if pd.isna(v) else "%.2f" % v)
-
-
 # N01 / K05 -----------------------------------------------------------------
 def push_queue(passed: DataFrame, topics: DataFrame, urgency: DataFrame,
                key: str = "topic_ord") -> DataFrame:
@@ -50,8 +39,8 @@ def push_queue(passed: DataFrame, topics: DataFrame, urgency: DataFrame,
     want = F.col("_push") & (F.col("escalation_trigger").isNotNull()
                              | (F.coalesce(F.col("novelty_score"), F.lit(0.0))
                                 >= F.col("push_threshold")))
-    return (passed.join(small(t), key).where(want)
-            .join(small(u), "topic_name", "left")
+    return (passed.join(t, key).where(want)
+            .join(u, "topic_name", "left")
             .drop("_push"))
 
 
@@ -70,14 +59,17 @@ def push_payload(queue: DataFrame) -> DataFrame:
 
 
 # N03 / W02 -----------------------------------------------------------------
-def digest_items(index: DataFrame, position_order: list[Column] | None = None) -> DataFrame:
+def undigested(index: DataFrame) -> DataFrame:
+    return index.where(~F.coalesce(F.col("notified_digest"), F.lit(False)))
+
+
+def digest_items(index: DataFrame) -> DataFrame:
     """Index rows not yet in a digest, ranked in digest order per topic
-    (``coalesce(novelty, 0)`` desc, then index position — given either as a
-    ``pos`` column or as the order that defines it)."""
-    rows = index.where(~F.coalesce(F.col("notified_digest"), F.lit(False)))
-    order = [F.coalesce(F.col("novelty_score"), F.lit(0.0)).desc()]
-    order += position_order or [F.col("pos").asc()]
-    return with_positions(rows, ["topic_name"], order, name="rank_in_topic")
+    (``coalesce(novelty, 0)`` desc, then index position).  The index holds at
+    most its cap of rows per topic, which bounds the window."""
+    order = Window.partitionBy("topic_name").orderBy(
+        F.coalesce(F.col("novelty_score"), F.lit(0.0)).desc(), F.col("pos").asc())
+    return undigested(index).withColumn("rank_in_topic", F.row_number().over(order))
 
 
 # N04 -----------------------------------------------------------------------
@@ -129,4 +121,4 @@ def immediate_subject(prefix: str = "[vigil]") -> Column:
 # K06 -----------------------------------------------------------------------
 def immediate_queue(passed: DataFrame, topics: DataFrame, key: str = "topic_ord") -> DataFrame:
     t = topics.where(F.col("email") == "immediate").select(key)
-    return passed.join(small(t), key, "left_semi").withColumn("subject", immediate_subject())
+    return passed.join(t, key, "left_semi").withColumn("subject", immediate_subject())

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from vigil.conventions import (ORD_COLS, RETENTION_DAYS, RETENTION_DEFAULT_DAYS,
                                STALE_CUTOFF_DAYS)
-from vigil.operators.joins import small
 
 
 def map_lit(mapping: Mapping) -> Column:
@@ -38,20 +37,34 @@ def prune_seen(seen: DataFrame, as_of, retention: Mapping[str, int] = RETENTION_
     ``floor(days) > max`` is ``seen_at <= as_of - (max + 1) days``; a missing
     type counts as ``news``.
     """
-    stype = F.coalesce(F.col("source_type"), F.lit("news"))
-    max_days = F.coalesce(F.try_element_at(map_lit(retention), stype), F.lit(default_days))
-    limit = _ts(as_of) - F.make_dt_interval(days=(max_days + 1).cast("int"))
+    limit = _ts(as_of) - F.make_dt_interval(
+        days=(keep_days(retention, default_days) + 1).cast("int"))
     return seen.where(F.col("seen_at") > limit)
 
 
+def keep_days(retention: Mapping[str, int] = RETENTION_DAYS,
+              default_days: int = RETENTION_DEFAULT_DAYS) -> Column:
+    stype = F.coalesce(F.col("source_type"), F.lit("news"))
+    return F.coalesce(F.try_element_at(map_lit(retention), stype), F.lit(default_days))
+
+
 # R01 -----------------------------------------------------------------------
-def new_items(items: DataFrame, seen: DataFrame, key: str = "url") -> DataFrame:
+def new_items(items: DataFrame, seen: DataFrame, key: str = "url",
+              run_at: str | None = None) -> DataFrame:
     """Items whose key is not in the seen set (left anti-join on ``key``).
 
-    Both sides hash-partition on ``key``; the within-run dedup that follows
-    groups on (run, key) and reuses that partitioning (no second shuffle).
+    With ``run_at`` each item is judged at its own run's time: only marks made
+    before it count, and only while their retention lasts then.  In a run the
+    within-run dedup comes first, which gives the same rows (whether a URL is
+    seen depends on the URL alone) and leaves one row per run and URL here.
     """
-    return items.join(seen.select(key), key, "left_anti")
+    if run_at is None:
+        return items.join(seen.select(key), key, "left_anti")
+    marks = seen.select(F.col(key).alias("_key"), F.col("seen_at").alias("_from"),
+                        (F.col("seen_at") + F.make_dt_interval(
+                            days=(keep_days() + 1).cast("int"))).alias("_until"))
+    return items.join(marks, (F.col(key) == F.col("_key")) & (F.col(run_at) > F.col("_from"))
+                      & (F.col(run_at) < F.col("_until")), "left_anti")
 
 
 # R02 -----------------------------------------------------------------------
@@ -83,7 +96,7 @@ def passed_items(scored: DataFrame, topics: DataFrame, score: str = "novelty_sco
                  key: str = "topic_ord") -> DataFrame:
     """Keep rows with ``score >= novelty_threshold`` of their topic (null drops)."""
     thr = topics.select(key, "novelty_threshold")
-    return (scored.join(small(thr), key)
+    return (scored.join(thr, key)
             .where(F.col(score) >= F.col("novelty_threshold"))
             .drop("novelty_threshold"))
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.operators.joins import small
 
 RESPONSE_SCHEMA = T.StructType([
     T.StructField("novelty_score", T.DoubleType()),
@@ -41,11 +40,14 @@ def score_join(items: DataFrame, scores: DataFrame, topics: DataFrame, key: str
                topic_key: str = "topic_ord") -> DataFrame:
     """Items with their parsed score, allowed tags (the reply's tags that the
     topic lists, in reply order) and the threshold decision."""
-    s = parse_score_response(scores).select(key, "score", "is_relevant", "preliminary_tags")
+    # the few scored items meet their replies before any reply is parsed
+    s = parse_score_response(scores.select(key, "response").join(
+        items.select(key), key, "left_semi")).select(key, "score", "is_relevant",
+                                                     "preliminary_tags")
     t = topics.select(topic_key, F.col("tags").alias("_allowed"), "novelty_threshold")
     allowed = F.filter(F.coalesce(F.col("preliminary_tags"), F.array().cast("array<string>")),
                        lambda x: F.array_contains(F.col("_allowed"), x))
-    return (items.join(s, key, "left").join(small(t), topic_key)
+    return (items.join(s, key, "left").join(t, topic_key)
             .withColumn("allowed_tags", F.array_distinct(allowed))
             .withColumn("passed", F.coalesce(F.col("score") >= F.col("novelty_threshold"),
                                              F.lit(False)))
@@ -53,19 +55,24 @@ def score_join(items: DataFrame, scores: DataFrame, topics: DataFrame, key: str
 
 
 # U04 -------------------------------------------------------------------------
-def classify_attempts(log: DataFrame, error: str = "error_text") -> DataFrame:
-    """Outcome class of one scoring attempt from its error text:
-    ``ok`` | ``retry`` (bad JSON) | ``wait`` (rate hint ≤ limit) |
-    ``abort`` (quota: no hint or hint + 2 s > limit) | ``skip`` (other error)."""
+def classify_attempts(log: DataFrame, error: str = "error_text", kind: str = "error_class",
+                      attempt: str = "attempt", attempts: int = 3) -> DataFrame:
+    """Outcome class of one scoring attempt (numbered from 1):
+    ``ok`` | ``retry`` (a reply that does not parse, ``kind`` = ``parse``) |
+    ``wait`` (quota error with a hint within the limit) | ``abort`` (quota:
+    no hint, hint + 2 s over the limit, or no attempt left) | ``skip`` (any
+    other error, or a reply that does not parse on the last attempt).  Whether
+    a reply failed to parse is told by ``kind``, never by words in the text."""
     e = F.col(error)
+    more = F.col(attempt) < attempts
     hint = F.regexp_extract(e, RETRY_HINT, 1)
     wait = F.when(hint != "", hint.try_cast("double") + F.lit(RETRY_EXTRA_SEC))
     quota = e.contains("429") | F.lower(e).contains("quota")
-    json_err = F.lower(e).contains("json") | F.lower(e).contains("keyerror")
+    parse = F.coalesce(F.col(kind) == "parse", F.lit(False))
     cls = (F.when(e.isNull(), "ok")
-           .when(json_err, "retry")
-           .when(quota & wait.isNotNull() & (wait > ABORT_WAIT_SEC), "abort")
-           .when(quota & wait.isNotNull(), "wait")
+           .when(parse & more, "retry")
+           .when(parse, "skip")
+           .when(quota & (wait <= ABORT_WAIT_SEC) & more, "wait")
            .when(quota, "abort")
            .otherwise("skip"))
     return log.withColumn("class", cls).withColumn("wait_sec", F.when(cls == "wait", wait))

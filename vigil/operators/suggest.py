@@ -15,22 +15,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Tier order of a reply and the adapter registry keys.
-TIERS = ["frequent", "discovery", "broad"]
-REGISTRY = ["google_news", "gdelt", "guardian", "nytimes", "newsapi", "reddit", "mastodon",
-            "bluesky", "hacker_news", "youtube", "rss", "substack", "email", "ebay", "etsy",
-            "grailed", "mercari", "slickdeals", "camelcamelcamel", "pubmed", "arxiv", "biorxiv",
-            "medrxiv", "semantic_scholar", "adzuna", "indeed", "playbill_jobs", "usitt_jobs",
-            "tmdb", "weather"]
+from vigil.sources.adapters import ADAPTERS
 
-REPLY_SCHEMA = ("reasoning STRING, polling MAP<STRING, ARRAY<STRUCT<source STRING, "
-                "terms ARRAY<STRING>>>>")
+# Tier order of a reply.
+TIERS = ["frequent", "discovery", "broad"]
+# A filter value that is a list (feeds) is kept as its JSON text.
+ENTRY = "STRUCT<source STRING, terms ARRAY<STRING>, filters MAP<STRING, STRING>>"
+REPLY_SCHEMA = f"reasoning STRING, polling MAP<STRING, ARRAY<{ENTRY}>>"
 
 
 def suggest_sources(topics: DataFrame, library: DataFrame, k: int = 8,
                     key: str = "topic_ord") -> DataFrame:
     t = topics.select(key, F.explode(F.array_distinct("source_categories")).alias("cat"))
-    lib = library.select("adapter", F.explode(F.array_distinct("categories")).alias("cat"))
+    # an adapter counts a category once, however many library rows carry it
+    lib = library.select("adapter", F.explode("categories").alias("cat")).distinct()
     overlap = (t.join(lib, "cat").groupBy(key, "adapter").agg(F.count("*").alias("overlap")))
     w = Window.partitionBy(key).orderBy(F.col("overlap").desc(), F.col("adapter").asc())
     return overlap.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -40,13 +38,12 @@ def suggestion_rows(replies: DataFrame, key: str = "topic_ord") -> DataFrame:
     parsed = F.from_json(F.col("reply"), REPLY_SCHEMA, {"mode": "PERMISSIVE"})
     tiers = F.array(*[F.struct(F.lit(i).alias("tier_pos"), F.lit(t).alias("tier"))
                       for i, t in enumerate(TIERS)])
-    registry = F.array(*[F.lit(r) for r in REGISTRY])
+    registry = F.array(*[F.lit(r) for r in sorted(ADAPTERS)])
     return (replies.withColumn("_p", parsed)
             .select(key, F.explode(tiers).alias("t"), "_p")
             .select(key, "t.tier_pos", "t.tier",
                     F.posexplode(F.coalesce(F.try_element_at(F.col("_p.polling"), F.col("t.tier")),
-                                            F.array().cast(
-                                                "array<struct<source:string,terms:array<string>>>")))
+                                            F.array().cast(f"ARRAY<{ENTRY}>")))
                     .alias("entry_pos", "e"))
-            .select(key, "tier_pos", "tier", "entry_pos", "e.source", "e.terms",
+            .select(key, "tier_pos", "tier", "entry_pos", "e.source", "e.terms", "e.filters",
                     (~F.array_contains(registry, F.col("e.source"))).alias("unknown_source")))

@@ -21,8 +21,8 @@ _TYPES9 = "['news','social','shopping','video','feeds','weather','science','jobs
 
 
 def _url(e: str = "event_id") -> str:
-    return (f"CASE WHEN {e} % 997 = 0 THEN '' ELSE "
-            f"'https://x.example.com/i/' || CAST({e} - {e} % 3 AS VARCHAR) END")
+    return (f"CASE WHEN {e} % 997 = 0 THEN '' ELSE 'https://x.example.com/i/' || CAST("
+            f"CASE WHEN {e} % 20 = 7 THEN {e} % 400 ELSE {e} - {e} % 3 END AS VARCHAR) END")
 
 
 def _topic(expr: str) -> str:
@@ -63,10 +63,11 @@ SELECT event_id,
        {_TYPES10}[event_id % 10 + 1] AS source_type,
        ts AS fetched_at,
        CASE WHEN event_id % 4 = 0 THEN NULL
-            WHEN event_id % 50 = 1 THEN {AS_OF} - INTERVAL 7 DAY
-            WHEN event_id % 50 = 6 THEN {AS_OF} - INTERVAL 30 DAY
+            WHEN event_id % 50 = 1 THEN date_trunc('day', ts) + INTERVAL 1 DAY - INTERVAL 7 DAY
+            WHEN event_id % 50 = 6 THEN date_trunc('day', ts) + INTERVAL 1 DAY - INTERVAL 30 DAY
             ELSE ts - (event_id % 45) * INTERVAL 1 DAY END AS published_at,
        date_trunc('day', ts) AS run_day,
+       CAST(date_trunc('day', ts) + INTERVAL 1 DAY AS TIMESTAMP) AS run_at,
        CASE WHEN event_id % 11 = 0 THEN NULL
             ELSE CAST((event_id * 7919) % 1001 AS DOUBLE) / 1000.0 END AS novelty_score,
        CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'tag' || CAST(event_id % 7 AS VARCHAR) END AS tag
@@ -83,13 +84,20 @@ SELECT {_topic('user_id % 12')} AS topic_name,
        ts, event_id AS seq,
        event_type IN ('error', 'signup', 'view') AS failed
 FROM events"""),
-    "fx_index": (("fx_items", "fx_topics"), """
+    "fx_over": (("fx_items", "fx_topics"), """
 SELECT i.*,
        CASE WHEN i.event_id % 13 = 0 THEN NULL ELSE i.event_id % 3 = 0 END AS notified_digest,
        CASE WHEN i.tag IN ('tag0', 'tag1') AND i.topic_ord % 2 = 0 THEN i.tag END
          AS escalation_trigger
 FROM fx_items i JOIN fx_topics t USING (topic_ord)
 WHERE i.novelty_score >= t.novelty_threshold"""),
+    # insertion order of a run: topics, sources, terms, items; the index of a
+    # topic shows it backwards and keeps 100 rows
+    "fx_index": (("fx_over",), """
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY topic_name ORDER BY run_day DESC, source_ord DESC,
+                               term_ord DESC, item_pos DESC) AS pos
+  FROM fx_over) WHERE pos <= 100"""),
     "fx_read": ((), f"""
 SELECT {_url()} AS url FROM events WHERE event_id % 6 = 0"""),
 }
@@ -134,13 +142,15 @@ def case_map(expr: str, mapping: dict, default: str = "NULL") -> str:
 def _install_chain() -> None:
     from vigil.conventions import RETENTION_DAYS, STALE_CUTOFF_DAYS
 
-    keep_days = case_map("COALESCE(source_type, 'news')", RETENTION_DAYS, "90")
+    keep_days = case_map("COALESCE(s.source_type, 'news')", RETENTION_DAYS, "90")
     register("o_seen_pruned", ("fx_seen",), f"""
-SELECT * FROM fx_seen
+SELECT s.* FROM fx_seen s
 WHERE seen_at > {AS_OF} - ({keep_days} + 1) * INTERVAL 1 DAY""")
-    register("o_new", ("fx_items", "o_seen_pruned"), """
+    # each run prunes and reads the seen set at its own time
+    register("o_new", ("fx_items", "fx_seen"), f"""
 SELECT * FROM fx_items i
-WHERE NOT EXISTS (SELECT 1 FROM o_seen_pruned s WHERE s.url = i.url)""")
+WHERE NOT EXISTS (SELECT 1 FROM fx_seen s WHERE s.url = i.url AND s.seen_at < i.run_at
+                  AND s.seen_at > i.run_at - ({keep_days} + 1) * INTERVAL 1 DAY)""")
     register("o_dedup", ("o_new",), """
 SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY run_day, url
@@ -150,7 +160,7 @@ SELECT * EXCLUDE (rn) FROM (
     register("o_fresh", ("o_dedup",), f"""
 SELECT * FROM o_dedup
 WHERE ({cutoff}) IS NULL OR published_at IS NULL
-   OR published_at >= {AS_OF} - ({cutoff}) * INTERVAL 1 DAY""")
+   OR published_at >= run_at - ({cutoff}) * INTERVAL 1 DAY""")
     register("o_passed", ("o_fresh", "fx_topics"), """
 SELECT f.* FROM o_fresh f JOIN fx_topics t USING (topic_ord)
 WHERE f.novelty_score >= t.novelty_threshold""")
@@ -194,14 +204,14 @@ def _install_notify() -> None:
     register("fx_feedback", (), """
 SELECT l.doc_id % 13 AS topic_ord, l.doc_id AS fb_seq,
        CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 1 ELSE -1 END AS vote,
-       substring(d.text, 1, 120) AS title,
+       d.text AS title,
        CASE WHEN l.doc_id % 2 = 0 THEN NULL ELSE 'note ' || CAST(l.doc_id AS VARCHAR) END AS note
 FROM labels l JOIN documents d ON d.doc_id = l.doc_id""")
     register("fx_delivered", ("fx_index",), """
 SELECT url FROM fx_index WHERE NOT COALESCE(notified_digest, false) AND event_id % 4 <> 0""")
     register("o_digest", ("fx_index",), """
 SELECT *, row_number() OVER (PARTITION BY topic_name ORDER BY COALESCE(novelty_score, 0.0) DESC,
-                             run_day DESC, item_pos DESC) AS rank_in_topic
+                             pos) AS rank_in_topic
 FROM fx_index WHERE NOT COALESCE(notified_digest, false)""")
 
 
@@ -220,9 +230,11 @@ SELECT event_id, ts AS call_ts,
             || ', "preliminary_tags": ["tag' || CAST(event_id % 7 AS VARCHAR) || '", "tagX"], '
             || '"reasoning": "r' || CAST(event_id AS VARCHAR) || '"}}' END AS response,
   CASE event_id % 8 WHEN 1 THEN '429 Resource exhausted. Please retry in 5s.'
-       WHEN 2 THEN '429 quota exceeded' WHEN 3 THEN 'HTTP 500 internal error'
+       WHEN 2 THEN '429 quota exceeded' WHEN 3 THEN 'HTTP 500 internal error in JSON gateway'
        WHEN 4 THEN 'Quota exceeded, Retry in 400s' WHEN 5 THEN 'JSONDecodeError: Expecting value'
-       WHEN 7 THEN 'rate limited (429): retry in 12.5s' END AS error_text
+       WHEN 7 THEN 'rate limited (429): retry in 12.5s' END AS error_text,
+  CASE event_id % 8 WHEN 5 THEN 'parse' WHEN 0 THEN NULL WHEN 6 THEN NULL ELSE 'api' END AS error_class,
+  CAST((event_id // 8) % 3 + 1 AS INTEGER) AS attempt
 FROM events""")
     register("o_parsed", ("fx_scores",), """
 SELECT event_id, call_ts, error_text,
@@ -232,9 +244,8 @@ SELECT event_id, call_ts, error_text,
 FROM fx_scores""")
     register("o_classified", ("fx_scores",), """
 SELECT *, CASE WHEN error_text IS NULL THEN 'ok'
-     WHEN contains(lower(error_text), 'json') OR contains(lower(error_text), 'keyerror') THEN 'retry'
-     WHEN (contains(error_text, '429') OR contains(lower(error_text), 'quota')) AND w IS NOT NULL AND w > 300 THEN 'abort'
-     WHEN (contains(error_text, '429') OR contains(lower(error_text), 'quota')) AND w IS NOT NULL THEN 'wait'
+     WHEN error_class = 'parse' THEN CASE WHEN attempt < 3 THEN 'retry' ELSE 'skip' END
+     WHEN (contains(error_text, '429') OR contains(lower(error_text), 'quota')) AND w <= 300 AND attempt < 3 THEN 'wait'
      WHEN contains(error_text, '429') OR contains(lower(error_text), 'quota') THEN 'abort'
      ELSE 'skip' END AS class
 FROM (SELECT *, TRY_CAST(NULLIF(regexp_extract(error_text, '(?i)retry in (\\d+(?:\\.\\d+)?)s', 1), '') AS DOUBLE) + 2.0 AS w

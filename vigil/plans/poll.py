@@ -1,20 +1,18 @@
-"""Stages of a poll run over the fixture views (shared by queries and bench).
+"""Stages of the poll runs over the fixture views (shared by queries and bench).
 
-``landed → normalise → union → breaker gate → seen anti-join → within-run
-dedup → staleness → fair-share budget → scoring → threshold → escalation →
-{archive, index, seen, push, mail, stats}``.  Each stage is built once per
-(session, sf_dir, as_of) and reused, so every sink of a run reads the same
-plan objects and Spark reuses their shuffle stages.
+``within-run dedup → seen anti-join → staleness → fair-share budget →
+threshold`` for every run (a ``run_day``) at once, each at its own time
+``run_at`` against the stored seen set.  Runs that feed each other, with the
+breaker gate, scored replies, the quota stop and the sinks, are chained in
+``vigil.plans.chain``.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.conventions import AS_OF, RUN_CAP
+from vigil.conventions import AS_OF
 from vigil.operators import budget as Bu
 from vigil.operators import relational as R
 from vigil.sources import fixtures as fx
@@ -25,14 +23,16 @@ RUN = "run_day"
 class PollRun:
     """Lazy DataFrames of one poll run (runs are the fixture ``run_day``s)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, as_of=AS_OF, cap: int = RUN_CAP):
+    def __init__(self, spark: SparkSession, sf_dir: str, as_of=AS_OF, cap: int | None = None):
+        cap = Bu.run_cap(cap)
         self.spark, self.sf_dir, self.as_of, self.cap = spark, sf_dir, as_of, cap
         self.topics = fx.fx_topics(spark)
         self.items = fx.fx_items(spark, sf_dir, as_of)
-        self.seen = R.prune_seen(fx.fx_seen(spark, sf_dir, as_of), as_of)
-        self.new = R.new_items(self.items, self.seen)
-        self.deduped = R.dedup_within_run(self.new)
-        self.fresh = R.fresh_items(self.deduped, as_of)
+        stored = fx.fx_seen(spark, sf_dir, as_of)
+        self.seen = R.prune_seen(stored, as_of)
+        self.new = R.new_items(self.items, stored, run_at="run_at")
+        self.deduped = R.new_items(R.dedup_within_run(self.items), stored, run_at="run_at")
+        self.fresh = R.fresh_items(self.deduped, F.col("run_at"))
         self.passed_unbudgeted = R.passed_items(self.fresh, self.topics)
         self.counts = self.fresh.groupBy(RUN, "topic_ord").agg(F.count("*").alias("n"))
         self.budgets = Bu.allocate_budget(self.counts, fx.N_TOPICS, cap, run=RUN)
@@ -40,15 +40,10 @@ class PollRun:
         self.scored_passed = R.passed_items(self.budgeted, self.topics)
 
 
-@lru_cache(maxsize=8)
-def _run(spark: SparkSession, sf_dir: str, as_of, cap: int) -> PollRun:
+def run(spark: SparkSession, sf_dir: str, as_of=AS_OF, cap: int | None = None) -> PollRun:
     return PollRun(spark, sf_dir, as_of, cap)
 
 
-def run(spark: SparkSession, sf_dir: str, as_of=AS_OF, cap: int = RUN_CAP) -> PollRun:
-    return _run(spark, sf_dir, as_of, cap)
-
-
 # Compatibility helpers used by the queries.
 def pruned_seen(spark, sf_dir, as_of=AS_OF) -> DataFrame:
     return run(spark, sf_dir, as_of).seen
@@ -74,13 +69,13 @@ def fresh_counts(spark, sf_dir, as_of=AS_OF) -> DataFrame:
     return run(spark, sf_dir, as_of).counts
 
 
-def budgets(spark, sf_dir, as_of=AS_OF, cap: int = RUN_CAP) -> DataFrame:
+def budgets(spark, sf_dir, as_of=AS_OF, cap: int | None = None) -> DataFrame:
     return run(spark, sf_dir, as_of, cap).budgets
 
 
-def budgeted(spark, sf_dir, as_of=AS_OF, cap: int = RUN_CAP) -> DataFrame:
+def budgeted(spark, sf_dir, as_of=AS_OF, cap: int | None = None) -> DataFrame:
     return run(spark, sf_dir, as_of, cap).budgeted
 
 
-def scored_passed(spark, sf_dir, as_of=AS_OF, cap: int = RUN_CAP) -> DataFrame:
+def scored_passed(spark, sf_dir, as_of=AS_OF, cap: int | None = None) -> DataFrame:
     return run(spark, sf_dir, as_of, cap).scored_passed

@@ -62,15 +62,15 @@ def highlights(spark, sf_dir):
         "escalation_trigger")
 
 
-@query("highlights_ranked", with_views("fx_index", "fx_read", extra=[("hl", _HL)]) + """
-SELECT event_id, topic_name, url, novelty_score, escalation_trigger, is_read,
+@query("highlights_ranked", with_views("fx_index", "fx_read") + """
+SELECT event_id, topic_name, url, round(novelty_score, 6) AS novelty_score, escalation_trigger, is_read,
        CAST(row_number() OVER (ORDER BY is_read, COALESCE(novelty_score, -1.0) DESC,
-                               event_id) AS BIGINT) AS rank
+                               topic_ord, pos) AS BIGINT) AS rank
 FROM (SELECT h.*, EXISTS (SELECT 1 FROM fx_read r WHERE r.url = h.url) AS is_read
-      FROM hl h)""")
+      FROM fx_index h WHERE novelty_score >= 0.8 OR escalation_trigger IS NOT NULL)""")
 def highlights_ranked(spark, sf_dir):
     hl = W.highlights(fx.fx_index(spark, sf_dir))
-    ranked = W.rank_unread(hl, fx.fx_read(spark, sf_dir), by=(), tie="item_pos")
+    ranked = W.rank_unread(hl, fx.fx_read(spark, sf_dir))
     return ranked.select("event_id", "topic_name", "url",
                          r6("novelty_score").alias("novelty_score"), "escalation_trigger",
                          "is_read", F.col("rank").cast("bigint").alias("rank"))
@@ -79,12 +79,12 @@ def highlights_ranked(spark, sf_dir):
 @query("topic_results_ranked", with_views("fx_index", "fx_read") + """
 SELECT event_id, topic_name, is_read,
        CAST(row_number() OVER (PARTITION BY topic_name ORDER BY is_read,
-            COALESCE(novelty_score, -1.0) DESC, event_id) AS BIGINT) AS rank
+            COALESCE(novelty_score, -1.0) DESC, pos) AS BIGINT) AS rank
 FROM (SELECT h.*, EXISTS (SELECT 1 FROM fx_read r WHERE r.url = h.url) AS is_read
       FROM fx_index h)""")
 def topic_results_ranked(spark, sf_dir):
     ranked = W.rank_unread(fx.fx_index(spark, sf_dir), fx.fx_read(spark, sf_dir),
-                           by=("topic_name",), tie="item_pos")
+                           by=("topic_name",), tie=("pos",))
     return ranked.select("event_id", "topic_name", "is_read",
                          F.col("rank").cast("bigint").alias("rank"))
 
@@ -139,12 +139,10 @@ def tier_resolution(spark, sf_dir):
     from vigil.plans.q_state import _esc
     _, state = _esc(spark, sf_dir)
     eff = Es.effective_urgency(fx.fx_topics(spark), state, AS_OF)
-    idx = spark.range(4).withColumnRenamed("id", "tier_index")
     out = None
     for i in range(4):
         part = Bu.resolve_tiers(eff, i).select("name", F.lit(i).cast("bigint").alias("tier_index"), "tier")
         out = part if out is None else out.unionByName(part)
-    del idx
     return out
 
 
@@ -198,12 +196,9 @@ def cap_after_filter(spark, sf_dir):
 
 
 @query("index_top100", with_views("fx_index") + """
-SELECT topic_name, event_id, CAST(pos AS BIGINT) AS pos FROM (
-  SELECT topic_name, event_id,
-         row_number() OVER (PARTITION BY topic_name ORDER BY run_day DESC, item_pos DESC) AS pos
-  FROM fx_index) WHERE pos <= 100""")
+SELECT topic_name, event_id, CAST(pos AS BIGINT) AS pos FROM fx_index""")
 def index_top100(spark, sf_dir):
-    return W.index_top(fx.fx_index(spark, sf_dir)).select(
+    return W.index_top(fx.fx_over(spark, sf_dir)).select(
         "topic_name", "event_id", F.col("pos").cast("bigint").alias("pos"))
 
 
@@ -221,10 +216,9 @@ FROM (SELECT r.run_day, t.name AS topic_name,
 GROUP BY ROLLUP (run_day, topic_name)""")
 def run_summary(spark, sf_dir):
     from vigil.operators.aggregates import run_summary as summary
-    items = fx.fx_items(spark, sf_dir)
-    return summary(fx.fx_topics(spark), items, poll.deduped(spark, sf_dir),
-                   poll.budgeted(spark, sf_dir), poll.scored_passed(spark, sf_dir),
-                   run="run_day", n_topics=fx.N_TOPICS).select(
+    pr = poll.run(spark, sf_dir)
+    return summary(pr.topics, pr.items, pr.deduped, pr.budgets, pr.scored_passed,
+                   n_topics=fx.N_TOPICS, run="run_day").select(
         ts_text("run_day").alias("run_day"), "topic_name", "fetched", "new", "scored", "passed")
 
 

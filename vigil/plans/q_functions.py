@@ -127,12 +127,12 @@ def score_band(spark, sf_dir):
         L.novelty_dot("novelty_score").alias("dot"))
 
 
-@query("novelty_dot", with_views("fx_index") + """
+@query("novelty_dot", with_views("fx_over") + """
 SELECT event_id, CASE WHEN novelty_score >= 0.9 THEN 'green'
                       WHEN novelty_score >= 0.8 THEN 'yellow' END AS dot
-FROM fx_index WHERE novelty_score >= 0.8""")
+FROM fx_over""")
 def novelty_dot(spark, sf_dir):
-    idx = fx.fx_index(spark, sf_dir).where(F.col("novelty_score") >= 0.8)
+    idx = fx.fx_over(spark, sf_dir)
     return idx.select("event_id", L.novelty_dot("novelty_score").alias("dot"))
 
 

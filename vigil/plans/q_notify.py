@@ -17,8 +17,6 @@ from vigil.plans.oracle_views import with_views
 from vigil.plans.registry import query, r6, ts_text
 from vigil.sources import fixtures as fx
 
-def _index_pos():
-    return [F.col("run_day").desc(), F.col("item_pos").desc()]
 _RANK = "CASE {x} WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 WHEN 'urgent' THEN 3 ELSE 0 END"
 _EFF = f"""
 SELECT t.name, CASE WHEN s.expires_at IS NOT NULL AND {AS_OF_SQL} >= s.expires_at THEN t.urgency
@@ -35,23 +33,28 @@ def _urgency(spark, sf_dir):
 
 
 def _push(spark, sf_dir):
-    return N.push_queue(fx.fx_index(spark, sf_dir), fx.fx_topics(spark), _urgency(spark, sf_dir))
+    """What the runs push: their passed items, after the escalations."""
+    pr = poll.run(spark, sf_dir)
+    return N.push_queue(E.match_triggers(pr.scored_passed, pr.topics), pr.topics,
+                        _urgency(spark, sf_dir))
 
 
 _PUSH_SQL = """
-SELECT i.*, e.effective_urgency FROM fx_index i JOIN fx_topics t USING (topic_ord)
+SELECT i.*, g.tag AS escalation_trigger, e.effective_urgency
+FROM o_scored_passed i JOIN fx_topics t USING (topic_ord)
+LEFT JOIN fx_triggers g ON g.topic_ord = i.topic_ord AND g.tag = i.tag
 LEFT JOIN eff e ON e.name = i.topic_name
-WHERE t.push AND (i.escalation_trigger IS NOT NULL OR COALESCE(i.novelty_score, 0.0) >= t.push_threshold)"""
+WHERE t.push AND (g.tag IS NOT NULL OR COALESCE(i.novelty_score, 0.0) >= t.push_threshold)"""
 
 
-@query("push_queue", with_views("fx_index", "fx_topics", "o_esc_state",
+@query("push_queue", with_views("o_scored_passed", "fx_triggers", "fx_topics", "o_esc_state",
                                 extra=[("eff", _EFF), ("pq", _PUSH_SQL)]) + """
 SELECT event_id, topic_name, effective_urgency FROM pq""")
 def push_queue(spark, sf_dir):
     return _push(spark, sf_dir).select("event_id", "topic_name", "effective_urgency")
 
 
-@query("push_payload", with_views("fx_index", "fx_topics", "o_esc_state",
+@query("push_payload", with_views("o_scored_passed", "fx_triggers", "fx_topics", "o_esc_state",
                                   extra=[("eff", _EFF), ("pq", _PUSH_SQL)]) + """
 SELECT event_id, topic_name,
        CASE WHEN escalation_trigger IS NOT NULL AND escalation_trigger <> ''
@@ -68,7 +71,7 @@ def push_payload(spark, sf_dir):
 
 
 def _digest(spark, sf_dir):
-    return N.digest_items(fx.fx_index(spark, sf_dir), _index_pos())
+    return N.digest_items(fx.fx_index(spark, sf_dir))
 
 
 @query("digest_items", with_views("o_digest") + """
@@ -90,7 +93,7 @@ SELECT topic_name, CAST(count(*) AS BIGINT) AS n_items,
        {_icon_sql('topic_name')} || ' ' || topic_name AS header
 FROM o_digest GROUP BY topic_name""")
 def digest_groups(spark, sf_dir):
-    return N.digest_groups(_digest(spark, sf_dir)).select(
+    return N.digest_groups(N.undigested(fx.fx_index(spark, sf_dir))).select(
         "topic_name", F.col("n_items").cast("bigint").alias("n_items"), "header")
 
 
@@ -130,23 +133,19 @@ def digest_mark_back(spark, sf_dir):
 SELECT DISTINCT strftime(run_day, '%Y-%m-%d') AS run_day,
        'Digest — ' || strftime(run_day, '%b %d, %Y') AS subject FROM o_digest""")
 def digest_subject(spark, sf_dir):
-    d = _digest(spark, sf_dir).select("run_day").distinct()
+    d = N.undigested(fx.fx_index(spark, sf_dir)).select("run_day").distinct()
     return d.select(F.date_format("run_day", "yyyy-MM-dd").alias("run_day"),
                     N.digest_subject(F.col("run_day")).alias("subject"))
 
 
 @query("digest_footer", with_views("o_digest") + """
-SELECT topic_name, CAST(count(*) AS BIGINT) AS n,
+SELECT CAST(count(*) AS BIGINT) AS n,
        CAST(count(*) AS VARCHAR) || ' result' || CASE WHEN count(*) <> 1 THEN 's' ELSE '' END
          || ' this week' AS footer
-FROM o_digest GROUP BY topic_name""")
+FROM o_digest""")
 def digest_footer(spark, sf_dir):
-    d = _digest(spark, sf_dir)
-    n = F.count("*")
-    return d.groupBy("topic_name").agg(
-        n.cast("bigint").alias("n"),
-        F.concat(n.cast("string"), F.lit(" result"), F.when(n != 1, F.lit("s")).otherwise(F.lit("")),
-                 F.lit(" this week")).alias("footer"))
+    """One footer per mail."""
+    return A.digest_footer(N.undigested(fx.fx_index(spark, sf_dir)))
 
 
 @query("topic_list", with_views("fx_index") + """
@@ -192,7 +191,7 @@ def feedback_tally(spark, sf_dir):
 def _accepted(spark, sf_dir):
     pr = poll.run(spark, sf_dir)
     thr = pr.topics.select("topic_ord", "novelty_threshold")
-    scored = (pr.budgeted.join(F.broadcast(thr), "topic_ord")
+    scored = (pr.budgeted.join(thr, "topic_ord")
               .withColumn("accepted", F.coalesce(F.col("novelty_score") >= F.col("novelty_threshold"),
                                                  F.lit(False))))
     return C.accepted_context(scored)
@@ -270,17 +269,29 @@ def archive_by_month(spark, sf_dir):
 @query("index_snapshot", with_views("fx_index") + """
 SELECT topic_name, CAST(count(*) AS BIGINT) AS n,
        md5(string_agg(url, ',' ORDER BY pos)) AS urls_md5
-FROM (SELECT topic_name, url, row_number() OVER (PARTITION BY topic_name
-                                                 ORDER BY run_day DESC, item_pos DESC) AS pos
-      FROM fx_index) WHERE pos <= 100 GROUP BY topic_name""")
+FROM fx_index GROUP BY topic_name""")
 def index_snapshot(spark, sf_dir):
-    from vigil.operators.index import index_top
-    snap = K.index_snapshot(index_top(fx.fx_index(spark, sf_dir)))
+    snap = K.index_snapshot(fx.fx_index(spark, sf_dir))
     return snap.select("topic_name", F.col("n").cast("bigint").alias("n"),
                        F.md5("urls").alias("urls_md5"))
 
 
-@query("result_roundtrip", with_views("fx_index") + """
-SELECT event_id, true AS same FROM fx_index""")
+@query("result_roundtrip", with_views("fx_over") + f"""
+SELECT event_id, url, title, snippet, source, source_type, topic_name,
+       {ts_sql('fetched_at')} AS fetched_at, {ts_sql('published_at')} AS published_at,
+       CASE WHEN source_type = 'shopping' THEN '$' || CAST(event_id % 50 AS VARCHAR) || '.50' END AS price,
+       novelty_score, CASE WHEN event_id % 2 = 0 THEN 'Summary "' || title || '"' END AS summary,
+       COALESCE(tag, '') AS tags, escalation_trigger, CAST(NULL AS VARCHAR) AS action_url,
+       false AS notified_push, COALESCE(notified_digest, false) AS notified_digest
+FROM fx_over""")
 def result_roundtrip(spark, sf_dir):
-    return K.roundtrip_check(fx.fx_index(spark, sf_dir)).select("event_id", "same")
+    """Records through JSON and back, every persisted field compared."""
+    e = F.col("event_id")
+    rows = fx.fx_over(spark, sf_dir).withColumn("price", F.when(
+        F.col("source_type") == "shopping",
+        F.concat(F.lit("$"), (e % 50).cast("string"), F.lit(".50")))).withColumn(
+        "summary", F.when(e % 2 == 0, F.concat(F.lit('Summary "'), F.col("title"), F.lit('"'))))
+    back = K.roundtrip(rows)
+    return back.select(*[ts_text(c).alias(c) if c in ("fetched_at", "published_at") else
+                         F.array_join("tags", ",").alias("tags") if c == "tags" else F.col(c)
+                         for c in back.columns])

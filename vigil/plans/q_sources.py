@@ -102,22 +102,24 @@ SQL = {
         _sel("'https://www.youtube.com/watch?v=' || vid", "t", "COALESCE(descr, '')", "'youtube'",
              "video", _iso("d"))),
     "ebay": (_items_sql("orders", "o_orderkey", """
-        'Lot ' || CAST(o_orderkey AS VARCHAR) AS t,
+        CASE WHEN o_orderkey % 23 <> 0 THEN 'Lot ' || CAST(o_orderkey AS VARCHAR) END AS t,
         'https://shop.example.com/e/' || CAST(o_orderkey AS VARCHAR) AS u,
         CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END AS sd,
         CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE
           '$' || CAST(CAST((CAST(round(o_totalprice * 100) AS BIGINT) - CAST(round(o_totalprice * 100) AS BIGINT) % 100) / 100 AS BIGINT) AS VARCHAR)
           || '.' || lpad(CAST(CAST(round(o_totalprice * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0')
           || ' ' || ['USD', 'EUR', 'GBP'][o_orderkey % 3 + 1] END AS p"""),
-        _sel("u", "t", "COALESCE(sd, '')", "'ebay'", "shopping", AS_OF_SQL, "p")),
+        _sel("u", "t", "COALESCE(sd, '')", "'ebay'", "shopping", AS_OF_SQL, "p")
+        + " WHERE t IS NOT NULL"),
     "etsy": (_items_sql("orders", "o_orderkey", """
-        'Listing ' || CAST(o_orderkey AS VARCHAR) AS t,
+        CASE WHEN o_orderkey % 23 <> 0 THEN 'Listing ' || CAST(o_orderkey AS VARCHAR) END AS t,
         'https://shop.example.com/t/' || CAST(o_orderkey AS VARCHAR) AS u,
         CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderstatus || ' ' || repeat(o_orderpriority, 30) END AS descr,
         CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE
           '$' || printf('%.2f', CAST(round(o_totalprice * 100) AS BIGINT) / 100.0) || ' '
           || ['USD', 'EUR', 'GBP'][o_orderkey % 3 + 1] END AS p"""),
-        _sel("u", "t", "substring(COALESCE(descr, ''), 1, 200)", "'etsy'", "shopping", AS_OF_SQL, "p")),
+        _sel("u", "t", "substring(COALESCE(descr, ''), 1, 200)", "'etsy'", "shopping", AS_OF_SQL, "p")
+        + " WHERE t IS NOT NULL"),
     "grailed": (_items_sql("orders", "o_orderkey", """
         'Piece ' || CAST(o_orderkey AS VARCHAR) AS t,
         CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE '$' || printf('%.2f', round(o_totalprice)) END AS p,
@@ -313,7 +315,9 @@ SELECT topic_id, 'frequent' AS tier, 0 AS source_pos,
 FROM t WHERE topic_id % 2 = 0
 UNION ALL SELECT topic_id, 'discovery', 0, 'google_news', [seg] FROM t
 UNION ALL SELECT topic_id, 'discovery', 1, 'hacker_news', CAST([] AS VARCHAR[]) FROM t
-UNION ALL SELECT topic_id, 'broad', 0, 'gdelt', ['global'] FROM t WHERE topic_id % 3 = 0"""
+UNION ALL SELECT topic_id, 'discovery', 2, 'weather', CAST([] AS VARCHAR[]) FROM t WHERE topic_id % 7 = 0
+UNION ALL SELECT topic_id, 'broad', 0, 'gdelt', ['global'] FROM t WHERE topic_id % 3 = 0
+UNION ALL SELECT topic_id, 'broad', 1, 'guardian', ['global'] FROM t WHERE topic_id % 3 = 0"""
 
 
 def _all_tiers(spark, sf_dir):
@@ -324,39 +328,49 @@ def _all_tiers(spark, sf_dir):
 
 @query("sources_for_tier", with_views(extra=[("t", _CUST), ("e", _ENTRIES)]) + """
 SELECT topic_id, tier, CAST(source_pos AS INTEGER) AS source_pos, source,
-       CAST(len(terms) AS INTEGER) AS n_terms FROM e""")
+       CAST(len(terms) AS INTEGER) AS n_terms,
+       CASE source WHEN 'rss' THEN CASE WHEN topic_id % 4 = 0 THEN 1 ELSE 0 END
+            WHEN 'arxiv' THEN 1 WHEN 'weather' THEN 2
+            WHEN 'gdelt' THEN CASE WHEN tier = 'frequent' THEN 1 ELSE 0 END ELSE 0 END AS n_filters,
+       CASE WHEN source = 'reddit' THEN 1 ELSE 0 END AS n_subreddits
+FROM e""")
 def sources_for_tier(spark, sf_dir):
-    return _all_tiers(spark, sf_dir).select("topic_id", "tier", F.col("source_pos").cast("int"),
-                                            "source", F.size("terms").cast("int").alias("n_terms"))
+    return _all_tiers(spark, sf_dir).select(
+        "topic_id", "tier", F.col("source_pos").cast("int"), "source",
+        F.size("terms").cast("int").alias("n_terms"), F.size("filters").cast("int").alias("n_filters"),
+        F.size("subreddits").cast("int").alias("n_subreddits"))
 
 
-@query("request_plan", with_views(extra=[("t", _CUST), ("e", _ENTRIES)]) + """
-SELECT topic_id, tier, source, CAST(term_pos AS INTEGER) AS term_pos, term,
-       '{"q":"' || term || '","source":"' || source || '"}' AS params
-FROM (SELECT topic_id, tier, source, unnest(terms) AS term,
-             unnest(generate_series(0, len(terms) - 1)) AS term_pos FROM e WHERE len(terms) > 0)""")
+@query("request_plan", with_views(extra=[("t", _CUST), ("e", _ENTRIES), ("u", """
+SELECT topic_id, tier, source, 'term' AS unit, terms AS vals FROM e
+WHERE source NOT IN ('rss', 'reddit', 'weather') OR (source = 'rss' AND topic_id % 4 <> 0)
+UNION ALL
+SELECT topic_id, tier, source, 'feed', ['https://f1.example.com/' || CAST(topic_id AS VARCHAR),
+       'https://f2.example.com/x'] FROM e WHERE source = 'rss' AND topic_id % 4 = 0
+UNION ALL
+SELECT topic_id, tier, source, 'reddit', list_concat(['sub' || CAST(topic_id % 5 AS VARCHAR)], terms)
+FROM e WHERE source = 'reddit'
+UNION ALL
+SELECT topic_id, tier, source, 'place', ['40.7,-74.0'] FROM e WHERE source = 'weather'"""),
+    ("r", """
+SELECT topic_id, tier, source, unit, unnest(vals) AS value,
+       CAST(unnest(generate_series(0, len(vals) - 1)) AS INTEGER) AS request_pos
+FROM u WHERE len(vals) > 0""")]) + """
+SELECT topic_id, tier, source, request_pos,
+       CASE WHEN unit <> 'reddit' THEN unit WHEN request_pos = 0 THEN 'subreddit' ELSE 'term' END AS unit,
+       value,
+       CASE source
+         WHEN 'gdelt' THEN CASE WHEN tier = 'frequent' THEN 'sourcelang=eng&timespan=1d' ELSE 'timespan=1d' END
+         WHEN 'guardian' THEN 'order-by=newest&page-size=20'
+         WHEN 'google_news' THEN 'ceid=US:en&gl=US&hl=en-US'
+         WHEN 'reddit' THEN 'limit=25&sort=new'
+         WHEN 'arxiv' THEN 'max_results=50&sortBy=submittedDate&sortOrder=descending'
+         WHEN 'weather' THEN 'latitude=40.7&longitude=-74.0' ELSE '' END AS params
+FROM r""")
 def request_plan(spark, sf_dir):
     return CF.request_plan(_all_tiers(spark, sf_dir)).select(
-        "topic_id", "tier", "source", F.col("term_pos").cast("int").alias("term_pos"), "term",
-        "params")
-
-
-_UNION_SOURCES = ["gdelt", "guardian", "hacker_news", "ebay", "rss", "arxiv"]
-
-
-@query("all_results", "WITH u AS (" + " UNION ALL ".join(
-    f"SELECT source_type FROM ({with_views(extra=[('it', (SQL.get(s) or FEED_SQL.get(s))[0])])}"
-    f"{(SQL.get(s) or FEED_SQL.get(s))[1]})" for s in _UNION_SOURCES) + """)
-SELECT source_type, CAST(count(*) AS BIGINT) AS n FROM u GROUP BY source_type""")
-def all_results(spark, sf_dir):
-    parts = []
-    for s in _UNION_SOURCES:
-        if s in J.NORMALISERS:
-            parts.append(J.NORMALISERS[s](FP.landed(spark, sf_dir, s)))
-        else:
-            parts.append(FD.NORMALISERS[s](FP.landed_feed(spark, sf_dir, s)))
-    u = CF.union_results(*parts)
-    return u.groupBy("source_type").agg(F.count("*").cast("bigint").alias("n"))
+        "topic_id", "tier", "source", F.col("request_pos").cast("int").alias("request_pos"),
+        "unit", "value", "params")
 
 
 @query("attempt_outcomes", """
@@ -458,7 +472,7 @@ FROM (SELECT *, list_filter(list_transform(string_split(au, ';'), lambda x: {_st
       WHERE COALESCE(t, '') <> '' AND COALESCE(doi, '') <> ''
         AND (contains(lower(t || ' ' || COALESCE(ab, '')), 'the') OR contains(lower(t || ' ' || COALESCE(ab, '')), 'und')
              OR contains(lower(t || ' ' || COALESCE(ab, '')), 'que')))
-WHERE rn <= 30""")
+WHERE rn <= CASE WHEN payload_id % 13 = 3 THEN 50 ELSE 30 END""")
 
 for _s in ("adzuna", "pubmed", "biorxiv"):
     _register(_s)
@@ -484,16 +498,17 @@ SELECT payload_id,
        'bluesky' AS source, 'social' AS source_type, {ts_sql(AS_OF_SQL)} AS fetched_at,
        {ts_sql(_iso("COALESCE(NULLIF(created, ''), indexed)"))} AS published_at
 FROM it"""),
-    "email": (_items_sql("(SELECT *, conv_id * 64 + turn AS mail_key FROM conversations)", "mail_key", """
+    "email": (_items_sql("(SELECT *, conv_id * 1000003 + turn AS mail_key FROM conversations)", "mail_key", """
         role || CAST(conv_id % 20 AS VARCHAR) || '@example.com' AS frm,
         CASE WHEN turn = 0 THEN NULL ELSE 'Re: thread ' || CAST(conv_id AS VARCHAR) END AS subj,
         CASE WHEN turn % 2 = 0 THEN text END AS txt,
         CASE WHEN turn % 2 = 1 THEN '<div><p>' || text || '</p></div>' END AS html,
         CASE WHEN conv_id % 7 = 0 THEN NULL ELSE 'm-' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) || '@example.com' END AS mid,
+        CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS muid,
         CASE WHEN turn % 5 = 4 THEN NULL ELSE CAST('2024-01-' || lpad(CAST(conv_id % 28 + 1 AS VARCHAR), 2, '0') || ' '
              || lpad(CAST(turn % 24 AS VARCHAR), 2, '0') || ':00:00' AS TIMESTAMP) END AS dt"""), f"""
 SELECT payload_id, item_pos, topic_name,
-       'email://inbox/' || COALESCE(mid, CAST(mail_key AS VARCHAR)) AS url,
+       'email://inbox/' || COALESCE(mid, muid) AS url,
        COALESCE(NULLIF(subj, ''), '(no subject)') AS title,
        {_strip("substring(body, 1, 300)")} AS snippet,
        'email_newsletter' AS source, 'feeds' AS source_type, {ts_sql(AS_OF_SQL)} AS fetched_at,
@@ -570,7 +585,7 @@ for _s in TMDB_SQL:
 
 
 # --- substack (S27, S28) ------------------------------------------------------------
-_SUB_OK = "(x.h <> '' AND NOT list_contains(s.seen, x.h) AND (CASE WHEN x.payload_id = s.term THEN s.cnt ELSE 0 END) < 5)"
+_SUB_OK = "(x.h <> '' AND NOT list_contains(s.seen, x.h) AND (CASE WHEN x.payload_id = s.term THEN s.cnt ELSE 0 END) < CASE WHEN x.payload_id % 13 = 2 THEN 2 ELSE 5 END)"
 _SUB_CNT = "(CASE WHEN x.payload_id = s.term THEN s.cnt ELSE 0 END)"
 
 
@@ -614,7 +629,8 @@ def substack_discovery(spark, sf_dir):
 SELECT payload_id, item_pos, topic_name, u AS url, t AS title,
        {_trunc280('descr')} AS snippet, 'substack' AS source, 'feeds' AS source_type,
        {ts_sql(AS_OF_SQL)} AS fetched_at, {ts_sql('pub')} AS published_at
-FROM it WHERE item_pos < 10 AND COALESCE(u, '') <> '' AND COALESCE(t, '') <> ''""")
+FROM it WHERE item_pos < CASE payload_id % 5 WHEN 0 THEN 12 WHEN 1 THEN 3 ELSE 10 END
+  AND COALESCE(u, '') <> '' AND COALESCE(t, '') <> ''""")
 def norm_substack(spark, sf_dir):
     return _out_feed(FD.normalise_substack(FP.landed_feed(spark, sf_dir, "substack")))
 
@@ -679,3 +695,49 @@ FROM d WHERE COALESCE(heading, link_text) <> ''
        OR contains(lower(COALESCE(heading, link_text) || ' ' || snip), 'brand#1'))""")
 def norm_usitt_jobs(spark, sf_dir):
     return _out(HJ.normalise_usitt(FP.landed_usitt(spark, sf_dir)))
+
+
+# --- rejects, failures, the second preprint server and the union of all sources -------
+from vigil.plans.registry import ORACLE, QUERIES  # noqa: E402
+
+
+@query("item_rejects", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{s}' AS source, payload_id, item_pos, u AS url FROM ("
+    f"{with_views(extra=[('it', SQL[s][0])])} SELECT * FROM it WHERE t IS NULL)"
+    for s in ("ebay", "etsy")) + ")")
+def item_rejects(spark, sf_dir):
+    """Items that lack a required field, kept apart from the results."""
+    parts = [J.rejects(FP.landed(spark, sf_dir, s), s).select(
+        F.lit(s).alias("source"), "payload_id", F.col("item_pos").cast("bigint").alias("item_pos"),
+        "url") for s in ("ebay", "etsy")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("indeed_failures", """
+SELECT payload_id, payload_id % 500 = 0 AS failed
+FROM (SELECT DISTINCT event_id - event_id % 10 AS payload_id FROM events)""")
+def indeed_failures(spark, sf_dir):
+    """A feed that is malformed and has no entries marks its source failed."""
+    return FD.indeed_failed(FP.landed_feed(spark, sf_dir, "indeed")).select("payload_id", "failed")
+
+
+@query("norm_medrxiv", ORACLE["norm_biorxiv"].replace("biorxiv", "medrxiv"))
+def norm_medrxiv(spark, sf_dir):
+    landed = FP.landed(spark, sf_dir, "biorxiv").withColumn("source", F.lit("medrxiv"))
+    return _out(J.normalise_biorxiv(landed))
+
+
+#: Every source, in the order of the union.
+UNION_SOURCES = sorted(n for n in QUERIES if n.startswith("norm_"))
+
+
+@query("all_results", " UNION ALL ".join(
+    f"SELECT {i} AS source_rank, payload_id, item_pos, url, title, source, source_type "
+    f"FROM ({ORACLE[n]})" for i, n in enumerate(UNION_SOURCES)))
+def all_results(spark, sf_dir):
+    """The rows of all sources, with the place of their source."""
+    parts = [QUERIES[n](spark, sf_dir).select("payload_id", "item_pos", "url", "title", "source",
+                                              "source_type") for n in UNION_SOURCES]
+    return CF.union_results(*parts).select(
+        F.col("source_rank").cast("int").alias("source_rank"), "payload_id", "item_pos", "url",
+        "title", "source", "source_type")

@@ -83,10 +83,10 @@ def breaker_is_disabled(spark, sf_dir):
 # --- escalation -------------------------------------------------------------------
 from vigil.operators import escalation as E  # noqa: E402
 
-register("o_esc_matches", ("fx_index", "fx_triggers"), """
+register("o_esc_matches", ("fx_over", "fx_triggers"), """
 SELECT i.event_id, i.topic_name, i.topic_ord, i.fetched_at, t.tag AS escalation_trigger,
        t.bump_to, t.duration_hours
-FROM fx_index i JOIN fx_triggers t ON t.topic_ord = i.topic_ord AND t.tag = i.tag
+FROM fx_over i JOIN fx_triggers t ON t.topic_ord = i.topic_ord AND t.tag = i.tag
 QUALIFY row_number() OVER (PARTITION BY i.event_id ORDER BY t.pos) = 1""")
 
 _NONE = "(s.lvl IS NULL OR (m.auto_revert AND s.exp IS NOT NULL AND m.ts >= s.exp))"
@@ -122,7 +122,7 @@ FROM (SELECT *, rn = max(rn) OVER w AS is_last,
 
 def _matches(spark, sf_dir):
     topics = fx.fx_topics(spark)
-    m = E.match_triggers(fx.fx_index(spark, sf_dir), topics)
+    m = E.match_triggers(fx.fx_over(spark, sf_dir), topics)
     return m.where(F.col("escalation_trigger").isNotNull())
 
 
@@ -223,10 +223,11 @@ def breaker_reset(spark, sf_dir):
                         "disabled", ts_text("disabled_at").alias("disabled_at"))
 
 
-@query("topic_hue")
+@query("topic_hue", """
+SELECT c_name AS topic_name,
+       CAST(CAST('0x' || substr(md5(c_name), 1, 8) AS BIGINT) % 360 AS INTEGER) AS hue FROM customer""")
 def topic_hue(spark, sf_dir):
-    """a stable hue per topic name (``pmod(xxhash64(name), 360)``); the
-    hash is ours, so this query has no SQL oracle (rows-only check)."""
+    """a stable hue per topic name."""
     from vigil.functions.lookups import topic_hue as hue
     names = fx.table(spark, sf_dir, "customer").select(F.col("c_name").alias("topic_name"))
     return names.select("topic_name", hue("topic_name").cast("int").alias("hue"))

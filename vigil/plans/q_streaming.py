@@ -18,49 +18,40 @@ from vigil.sources import fixtures as fx
 from vigil.streaming import poll_stream as S
 
 
-class _StatePartitions:
-    """Streams over these fixture folders are small: keep the state store as
-    wide as the cores while the stream runs (the setting is fixed in the
-    stream's checkpoint on first start) and restore the session value after."""
-
-    def __init__(self, spark):
-        self.spark = spark
-
-    def __enter__(self):
-        self.old = self.spark.conf.get("spark.sql.shuffle.partitions")
-        n = min(int(self.old), self.spark.sparkContext.defaultParallelism)
-        self.spark.conf.set("spark.sql.shuffle.partitions", str(n))
-        return self
-
-    def __exit__(self, *exc):
-        self.spark.conf.set("spark.sql.shuffle.partitions", self.old)
-        return False
-
-
 def _fresh_dir(spark, name):
     return S.stream_dir(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def _land_days(df, path, day_col, unit: str = "week"):
-    """Land one folder per ``unit`` (a week of runs), written in time order
-    so the file source sees them in arrival order; the handful of bucket
-    names is the only thing brought to the driver."""
-    bucket = F.date_format(F.date_trunc(unit, day_col), "yyyy-MM-dd")
-    keys = [r[0] for r in df.select(bucket.alias("d")).distinct().orderBy("d").collect()]
-    for d in keys:
-        (df.where(bucket == d).coalesce(1)
-         .write.mode("overwrite").parquet(f"{path}/chunk={d}"))
-    return path
+def _weeks(df, day_col, base):
+    """Stage rows once, one folder per week of runs; yields the folders in
+    order of arrival (their names are all that the driver sees)."""
+    week = F.date_format(F.date_trunc("week", day_col), "yyyy-MM-dd")
+    staged = f"{base}/staged"
+    df.withColumn("week", week).write.mode("overwrite").partitionBy("week").parquet(staged)
+    spark = df.sparkSession
+    names = [r[0] for r in spark.read.parquet(staged).select(
+        F.col("week").cast("string")).distinct().orderBy("week").collect()]
+    for w in names:
+        yield spark.read.schema(df.schema).parquet(f"{staged}/week={w}")
 
 
-def _run(spark, name, stream_df, build, keys):
+def _poll_weekly(spark, name, rows, day_col, start):
+    """A poll per week: the week's files land, then the stream runs over what
+    is new (one micro-batch of any number of files) from its checkpoint."""
     base = _fresh_dir(spark, name)
-    w = (stream_df.writeStream.outputMode("update")
-         .option("checkpointLocation", f"{base}/_checkpoint")
-         .foreachBatch(S.idempotent_batch_writer(f"{base}/out", build)))
-    with _StatePartitions(spark):
-        S.run_available(w, f"{name}_{uuid.uuid4().hex[:6]}")
-    return S.latest_per_key(spark, f"{base}/out", keys) if keys else spark.read.parquet(f"{base}/out")
+    for landed in _weeks(rows, day_col, base):
+        landed.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        S.run_available(start(stream, base).option("checkpointLocation", f"{base}/_checkpoint"),
+                        f"{name}_{uuid.uuid4().hex[:6]}")
+    return base
+
+
+def _keyed_state(spark, name, rows, day_col, build, keys):
+    base = _poll_weekly(spark, name, rows, day_col, lambda stream, base: build(stream).writeStream
+                        .outputMode("update")
+                        .foreachBatch(S.idempotent_batch_writer(f"{base}/out", _with_batch)))
+    return S.latest_per_key(spark, f"{base}/out", keys)
 
 
 def _with_batch(df, batch_id):
@@ -69,12 +60,10 @@ def _with_batch(df, batch_id):
 
 @query("stream_breaker_state", ORACLE["breaker_state"])
 def stream_breaker_state(spark, sf_dir):
-    """Breaker state kept in the streaming state store, one day of
+    """Breaker state kept in the streaming state store, one week of
     attempts per micro-batch."""
-    att = fx.fx_attempts(spark, sf_dir)
-    src = _land_days(att, _fresh_dir(spark, "attempts"), F.col("ts"))
-    stream = S.read_stream(spark, src, att.schema)
-    out = _run(spark, "breaker", S.breaker_stream(stream), _with_batch, ["topic_name", "adapter"])
+    out = _keyed_state(spark, "attempts", fx.fx_attempts(spark, sf_dir), F.col("ts"),
+                       S.breaker_stream, ["topic_name", "adapter"])
     return out.select("topic_name", "adapter", "consecutive_failures", "disabled",
                       ts_text(F.timestamp_micros("disabled_at_us")).alias("disabled_at"),
                       "n_skipped", "n_trips", "n_events")
@@ -86,9 +75,7 @@ def stream_escalation_state(spark, sf_dir):
     from vigil.plans.q_state import _matches
     m = _matches(spark, sf_dir).withColumn("ts", F.col("fetched_at")).withColumn("seq", F.col("event_id"))
     ev = escalation_events(m).withColumn("ts", F.timestamp_micros("ts_us"))
-    src = _land_days(ev, _fresh_dir(spark, "matches"), F.col("ts"))
-    stream = S.read_stream(spark, src, ev.schema)
-    out = _run(spark, "escalation", S.escalation_stream(stream), _with_batch, ["topic_name"])
+    out = _keyed_state(spark, "matches", ev, F.col("ts"), S.escalation_stream, ["topic_name"])
     return out.select("topic_name", "bumped_to",
                       ts_text(F.timestamp_micros("expires_us")).alias("expires_at"), "trigger_tag",
                       "n_accepted", "n_matches")
@@ -97,57 +84,47 @@ def stream_escalation_state(spark, sf_dir):
 @query("stream_budget", ORACLE["budget_allocation"])
 def stream_budget(spark, sf_dir):
     """The fair-share budget of each run inside ``foreachBatch`` (a run
-    is one micro-batch, it needs the whole run)."""
+    lies in one micro-batch, over any number of files)."""
     fresh = poll.run(spark, sf_dir).fresh.select("run_day", "topic_ord")
-    src = _land_days(fresh, _fresh_dir(spark, "fresh"), F.col("run_day"))
-    stream = S.read_stream(spark, src, fresh.schema)
 
     def build(batch, batch_id):
         counts = batch.groupBy("run_day", "topic_ord").agg(F.count("*").alias("n"))
         return _with_batch(Bu.allocate_budget(counts, fx.N_TOPICS, run="run_day"), batch_id)
 
-    base = _fresh_dir(spark, "budget")
-    w = (stream.writeStream.option("checkpointLocation", f"{base}/_checkpoint")
-         .foreachBatch(S.idempotent_batch_writer(f"{base}/out", build)))
-    with _StatePartitions(spark):
-        S.run_available(w, f"budget_{uuid.uuid4().hex[:6]}")
-    out = spark.read.parquet(f"{base}/out")
-    return out.select(ts_text("run_day").alias("run_day"),
-                      F.col("topic_ord").cast("bigint").alias("topic_ord"), "budget",
-                      "used_before", "sent")
+    base = _poll_weekly(spark, "budget", fresh, F.col("run_day"), lambda stream, base: stream
+                        .writeStream.foreachBatch(S.idempotent_batch_writer(f"{base}/out", build)))
+    return spark.read.parquet(f"{base}/out").select(
+        ts_text("run_day").alias("run_day"), F.col("topic_ord").cast("bigint").alias("topic_ord"),
+        "budget", "used_before", "sent")
 
 
 @query("stream_index_top100", ORACLE["index_top100"])
 def stream_index_top100(spark, sf_dir):
-    """Each micro-batch (a run) merges its passed rows into the capped
-    index: previous snapshot ∪ new rows → top 100 per topic, written as the
-    batch's own snapshot (a replay rewrites the same snapshot)."""
-    idx = fx.fx_index(spark, sf_dir).select("topic_name", "event_id", "run_day", "item_pos")
-    src = _land_days(idx, _fresh_dir(spark, "index_in"), F.col("run_day"))
-    stream = S.read_stream(spark, src, idx.schema)
-    base = _fresh_dir(spark, "index")
-
-    def merge(batch, batch_id):
-        snap = f"{base}/snap/batch_id={batch_id}"
-        prev = None
-        for b in range(batch_id - 1, -1, -1):
-            try:
-                prev = spark.read.parquet(f"{base}/snap/batch_id={b}")
-                break
-            except Exception:  # no snapshot written by that batch
-                continue
-        rows = batch.select("topic_name", "event_id", "run_day", "item_pos")
-        if prev is not None:
-            rows = rows.unionByName(prev.select("topic_name", "event_id", "run_day", "item_pos"))
-        index_top(rows).drop("pos").write.mode("overwrite").parquet(snap)
-
-    with _StatePartitions(spark):
-        q = (stream.writeStream.option("checkpointLocation", f"{base}/_checkpoint")
-             .foreachBatch(merge).trigger(availableNow=True).start())
-        q.awaitTermination()
-    last = spark.read.parquet(f"{base}/snap").agg(F.max("batch_id")).first()[0]
-    final = spark.read.parquet(f"{base}/snap/batch_id={last}")
-    return index_top(final).select("topic_name", "event_id", F.col("pos").cast("bigint").alias("pos"))
+    """Each micro-batch appends its passed rows to the archive and merges
+    them into the capped index: previous snapshot ∪ new rows → top 100 per
+    topic, written as the batch's own snapshot (a replay rewrites the same)."""
+    cols = ["topic_name", "event_id", "run_day", "source_ord", "term_ord", "item_pos"]
+    rows = fx.fx_over(spark, sf_dir).select(*cols)
+
+    def start(stream, base):
+        def merge(batch, batch_id):
+            batch.withColumn("month", F.date_format("run_day", "yyyy-MM")).write.mode(
+                "overwrite").partitionBy("month").parquet(f"{base}/archive/batch_id={batch_id}")
+            merged = batch.select(*cols)
+            if batch_id:  # batches are numbered without gaps; a failing read raises
+                merged = merged.unionByName(
+                    spark.read.parquet(f"{base}/snap/{batch_id - 1}").select(*cols))
+            index_top(merged).drop("pos").write.mode("overwrite").parquet(f"{base}/snap/{batch_id}")
+            # the pointer moves once the snapshot is complete
+            spark.createDataFrame([(batch_id,)], "batch_id long").coalesce(1).write.mode(
+                "overwrite").parquet(f"{base}/pointer")
+
+        return stream.writeStream.foreachBatch(merge)
+
+    base = _poll_weekly(spark, "index", rows, F.col("run_day"), start)
+    last = spark.read.parquet(f"{base}/pointer").first()[0]
+    return index_top(spark.read.parquet(f"{base}/snap/{last}")).select(
+        "topic_name", "event_id", F.col("pos").cast("bigint").alias("pos"))
 
 
 @query("stream_normalise_gdelt", ORACLE["norm_gdelt"])
@@ -164,8 +141,7 @@ def stream_normalise_gdelt(spark, sf_dir):
     res = S.drop_late(normalise_gdelt(stream), S.AS_OF)
     w = (res.writeStream.outputMode("append").option("checkpointLocation", f"{base}/_checkpoint")
          .foreachBatch(S.idempotent_batch_writer(f"{base}/out", lambda b, i: b)))
-    with _StatePartitions(spark):
-        S.run_available(w, f"gdelt_{uuid.uuid4().hex[:6]}")
+    S.run_available(w, f"gdelt_{uuid.uuid4().hex[:6]}")
     return _out(spark.read.parquet(f"{base}/out"))
 
 
@@ -173,9 +149,9 @@ def _seen_oracle() -> str:
     from vigil.conventions import RETENTION_DAYS
     from vigil.plans.oracle_views import case_map, with_views
     keep = case_map("COALESCE(s.stype, 'news')", RETENTION_DAYS, "90")
-    return with_views("fx_index") + f"""
+    return with_views("fx_over") + f"""
 , x AS (SELECT event_id, url, source_type, fetched_at AS ts,
-               row_number() OVER (PARTITION BY url ORDER BY fetched_at, event_id) AS rn FROM fx_index),
+               row_number() OVER (PARTITION BY url ORDER BY fetched_at, event_id) AS rn FROM fx_over),
 st AS (SELECT 1),
 rec AS (
   WITH RECURSIVE r(url, rn, seen, stype, ok, event_id) AS (
@@ -197,14 +173,9 @@ SELECT event_id, url FROM rec WHERE ok"""
 def stream_seen_filter(spark, sf_dir):
     """Passed items streamed week by week through the URL-keyed seen
     state with per-type TTL; returns the items that got through."""
-    idx = fx.fx_index(spark, sf_dir).select("event_id", "url", "source_type",
+    rows = fx.fx_over(spark, sf_dir).select("event_id", "url", "source_type",
                                             F.col("fetched_at").alias("ts"))
-    src = _land_days(idx, _fresh_dir(spark, "seen_in"), F.col("ts"))
-    stream = S.read_stream(spark, src, idx.schema)
-    base = _fresh_dir(spark, "seen")
-    w = (S.seen_filter_stream(stream).writeStream.outputMode("append")
-         .option("checkpointLocation", f"{base}/_checkpoint")
-         .foreachBatch(S.idempotent_batch_writer(f"{base}/out", lambda b, i: b)))
-    with _StatePartitions(spark):
-        S.run_available(w, f"seen_{uuid.uuid4().hex[:6]}")
+    base = _poll_weekly(spark, "seen", rows, F.col("ts"), lambda stream, base: S.seen_filter_stream(
+        stream).writeStream.outputMode("append")
+        .foreachBatch(S.idempotent_batch_writer(f"{base}/out", lambda b, i: b)))
     return spark.read.parquet(f"{base}/out").select("event_id", "url")

@@ -1,9 +1,10 @@
-"""Topic configuration scans.
+"""Topic configuration scans.
 
-S32 validate_topics   importance ∈ {high, low}, urgency ∈ {urgent, high, medium, low}
+S32 validate_topics   importance ∈ {high, low}, urgency ∈ {urgent, high, medium, low};
+    with_defaults     missing thresholds and enumerations of a topic record
 S33 sources_for_tier  source entries of one polling tier (missing tier → none)
-S34 request_plan      one request per (topic, source entry, term) for an
-                      external fetcher, parameters as JSON
+S34 request_plan      one request per term, feed, product, profile, subreddit or
+                      place of a source entry, with the parameters a fetcher sends
 S35 union_results     results of all sources, each tagged with its source order
 """
 
@@ -11,14 +12,87 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.conventions import NOVELTY_THRESHOLD_DEFAULT, PUSH_THRESHOLD_DEFAULT
+
 # The accepted enumerations of a topic record.
 IMPORTANCE = ["high", "low"]
 URGENCY = ["urgent", "high", "medium", "low"]
 
-POLLING_TYPE = "map<string,array<struct<source:string,terms:array<string>>>>"
+ENTRY_TYPE = ("struct<source:string,terms:array<string>,filters:map<string,string>,"
+              "subreddits:array<string>,profiles:array<string>>")
+POLLING_TYPE = f"map<string,array<{ENTRY_TYPE}>>"
+
+# Request parameters that a source is sent unless its entry's
+# filters say otherwise (newest first wherever a source can sort).
+REQUEST_DEFAULTS = {
+    "gdelt": {"timespan": "1d"},
+    "guardian": {"order-by": "newest", "page-size": "20"},
+    "nytimes": {"sort": "newest"},
+    "newsapi": {"sortBy": "publishedAt", "pageSize": "20"},
+    "google_news": {"hl": "en-US", "gl": "US", "ceid": "US:en"},
+    "reddit": {"sort": "new", "limit": "25"},
+    "mastodon": {"type": "statuses", "limit": "20"},
+    "bluesky": {"limit": "25"},
+    "hacker_news": {"tags": "story", "hitsPerPage": "20"},
+    "youtube": {"order": "date"},
+    "ebay": {"limit": "20"},
+    "etsy": {"limit": "25"},
+    "grailed": {"hits_per_page": "20"},
+    "mercari": {"pageSize": "30", "sort": "SORT_CREATED_TIME", "order": "ORDER_DESC"},
+    "pubmed": {"retmax": "20", "sort": "date"},
+    "arxiv": {"max_results": "20", "sortBy": "submittedDate", "sortOrder": "descending"},
+    "biorxiv": {"days_back": "7"},
+    "medrxiv": {"days_back": "7"},
+    "semantic_scholar": {"limit": "20"},
+    "adzuna": {"country": "us", "where": "New York", "results_per_page": "20",
+               "sort_by": "date", "max_days_old": "14"},
+    "indeed": {"l": "New York, NY", "radius": "25", "fromage": "14", "sort": "date",
+               "limit": "25"},
+    "tmdb": {"language": "en-US", "region": "US", "days_ahead": "90"},
+}
+# Filters of an entry that become request parameters.
+REQUEST_FILTERS = {
+    "gdelt": {"timespan": "timespan", "sourcelang": "sourcelang",
+              "sourcecountry": "sourcecountry"},
+    "guardian": {"section": "section", "from_date": "from-date"},
+    "mastodon": {"instance": "instance"},
+    "ebay": {"price_max": "price_max"},
+    "pubmed": {"retmax": "retmax", "sort": "sort"},
+    "arxiv": {"max_results": "max_results", "sort_by": "sortBy", "categories": "categories"},
+    "biorxiv": {"days_back": "days_back"},
+    "medrxiv": {"days_back": "days_back"},
+    "semantic_scholar": {"limit": "limit", "year": "year"},
+    "adzuna": {"country": "country", "location": "where", "sort_by": "sort_by",
+               "results_per_page": "results_per_page", "max_days_old": "max_days_old"},
+    "indeed": {"location": "l", "radius": "radius", "fromage": "fromage", "jt": "jt",
+               "sort": "sort", "limit": "limit"},
+    "tmdb": {"language": "language", "region": "region", "days_ahead": "days_ahead",
+             "media_type": "media_type"},
+    "weather": {"lat": "latitude", "lon": "longitude"},
+}
+# The most that a source returns for one request.
+REQUEST_CAPS = {("indeed", "limit"): 25, ("semantic_scholar", "limit"): 100}
+# Sources that search for the topic's name instead of terms.
+BY_NAME = ["ebay", "etsy", "grailed"]
+
+
+def entry(source: Column, terms: Column, filters: Column | None = None,
+          subreddits: Column | None = None, profiles: Column | None = None) -> Column:
+    """A source entry of a topic record, lists and filters empty by default."""
+    none = F.array().cast("array<string>")
+    empty = F.create_map().cast("map<string,string>")
+    return F.struct(source.alias("source"), terms.alias("terms"),
+                    (empty if filters is None else filters).alias("filters"),
+                    (none if subreddits is None else subreddits).alias("subreddits"),
+                    (none if profiles is None else profiles).alias("profiles")).cast(ENTRY_TYPE)
+
+
+def _nested(table: dict[str, dict[str, str]]) -> Column:
+    return F.create_map(*(c for k, v in table.items() for c in (
+        F.lit(k), F.create_map(*(F.lit(x) for kv in v.items() for x in kv)))))
 
 
 # S32
@@ -31,20 +105,68 @@ def validate_topics(topics: DataFrame, key: str = "topic_id") -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def with_defaults(topics: DataFrame) -> DataFrame:
+    """Thresholds that a topic record leaves out."""
+    for c, v in (("novelty_threshold", NOVELTY_THRESHOLD_DEFAULT),
+                 ("push_threshold", PUSH_THRESHOLD_DEFAULT)):
+        old = F.col(c) if c in topics.columns else F.lit(None).cast("double")
+        topics = topics.withColumn(c, F.coalesce(old, F.lit(v)))
+    return topics
+
+
 # S33
 def sources_for_tier(topics: DataFrame, tier: str, key: str = "topic_id") -> DataFrame:
     entries = F.try_element_at(F.col("polling"), F.lit(tier))
-    return (topics.select(key, F.posexplode(entries).alias("source_pos", "entry"))
-            .select(key, F.lit(tier).alias("tier"), "source_pos", "entry.source", "entry.terms"))
+    return (topics.select(key, "name", F.posexplode(entries).alias("source_pos", "entry"))
+            .select(key, "name", F.lit(tier).alias("tier"), "source_pos", "entry.*"))
 
 
 # S34
 def request_plan(sources: DataFrame, key: str = "topic_id") -> DataFrame:
-    """Explode each entry's terms into requests with JSON parameters."""
-    return (sources.select(key, "tier", "source_pos", "source",
-                           F.posexplode("terms").alias("term_pos", "term"))
-            .withColumn("params", F.to_json(F.create_map(
-                F.lit("q"), F.col("term"), F.lit("source"), F.col("source")))))
+    """Requests of each entry in order (``request_pos``): what is asked for
+    (``unit``, ``value``) and the other parameters as sorted ``name=value``."""
+    src = F.col("source")
+
+    def units(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("unit"), v.alias("value")))
+
+    def listed(name: str) -> Column:
+        return F.coalesce(F.from_json(F.try_element_at("filters", F.lit(name)), "array<string>"),
+                          F.array().cast("array<string>"))
+
+    terms = units("term", F.col("terms"))
+    place = F.concat(F.try_element_at("filters", F.lit("lat")), F.lit(","),
+                     F.try_element_at("filters", F.lit("lon")))
+    wanted = (F.when(src.isin("rss", "substack") & (F.size(listed("feeds")) > 0),
+                     units("feed", listed("feeds")))
+              .when(src == "camelcamelcamel", units("asin", listed("asins")))
+              .when(src == "reddit", F.concat(units("subreddit", F.col("subreddits")), terms))
+              .when(src == "bluesky", F.concat(units("profile", F.col("profiles")), terms))
+              .when(src == "weather", units("place", F.filter(
+                  F.array(place), lambda p: p.isNotNull())))
+              .when(src.isin(*BY_NAME), units("topic", F.array("name")))
+              .otherwise(terms))
+    empty = F.create_map().cast("map<string,string>")
+    names = F.coalesce(F.try_element_at(_nested(REQUEST_FILTERS), src), empty)
+    given = F.map_from_entries(F.transform(
+        F.filter(F.map_entries("filters"), lambda e: F.map_contains_key(names, e["key"])),
+        lambda e: F.struct(F.try_element_at(names, e["key"]), e["value"])))
+    defaults = F.map_filter(F.coalesce(F.try_element_at(_nested(REQUEST_DEFAULTS), src), empty),
+                            lambda k, _: ~F.map_contains_key(given, k))
+    caps = F.create_map(*(c for (s, p), n in REQUEST_CAPS.items()
+                          for c in (F.lit(f"{s} {p}"), F.lit(n))))
+
+    def capped(e: Column) -> Column:
+        most = F.try_element_at(caps, F.concat(src, F.lit(" "), e["key"]))
+        return F.when(most < e["value"].try_cast("int"), most.cast("string")).otherwise(e["value"])
+
+    params = F.array_join(F.array_sort(F.transform(
+        F.map_entries(F.map_concat(defaults, given)),
+        lambda e: F.concat(e["key"], F.lit("="), capped(e)))), "&")
+    return (sources.select(key, "tier", "source_pos", "source", params.alias("params"),
+                           F.posexplode(wanted).alias("request_pos", "r"))
+            .select(key, "tier", "source_pos", "source", "request_pos", "r.unit", "r.value",
+                    "params"))
 
 
 # S35

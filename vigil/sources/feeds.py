@@ -13,11 +13,13 @@ from vigil.functions.text import author_line, strip_html, strip_ws, truncate_ell
 from vigil.sources.json_api import _results, SOURCE_TYPES
 from vigil.sources.landing import explode_items
 
-RSS_SCHEMA = ("channel STRUCT<title STRING, item ARRAY<STRUCT<title STRING, link STRING, "
-              "description STRING, pubDate STRING>>>")
-ATOM_SCHEMA = ("entry ARRAY<STRUCT<id STRING, title STRING, summary STRING, "
-               "link STRUCT<_href STRING>, published STRING, "
-               "author ARRAY<STRUCT<name STRING>>, category ARRAY<STRUCT<_term STRING>>>>")
+_RSS_ITEM = "STRUCT<title STRING, link STRING, description STRING, pubDate STRING>"
+_ATOM_ENTRY = ("STRUCT<id STRING, title STRING, summary STRING, content STRING, "
+               "link ARRAY<STRUCT<_href STRING, _rel STRING>>, published STRING, updated STRING, "
+               "author ARRAY<STRUCT<name STRING>>, category ARRAY<STRUCT<_term STRING>>>")
+RSS_SCHEMA = f"channel STRUCT<title STRING, item ARRAY<{_RSS_ITEM}>>"
+ATOM_SCHEMA = f"entry ARRAY<{_ATOM_ENTRY}>"
+FEED_SCHEMA = f"{RSS_SCHEMA}, {ATOM_SCHEMA}"
 
 # Fixed value: the abstract page of an arXiv id.
 ARXIV_ABS_URL = "https://arxiv.org/abs/"
@@ -35,8 +37,35 @@ def _s(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def _filter(name: str) -> Column:
+    return F.try_element_at(F.col("filters"), F.lit(name))
+
+
+def _page_link(entry: Column) -> Column:
+    """The entry's first link that is no other relation (``rel`` missing or
+    ``alternate``)."""
+    rel = lambda x: F.coalesce(x["_rel"], F.lit("alternate"))
+    own = F.filter(entry["link"], lambda x: (rel(x) == "alternate") | (rel(x) == ""))
+    return F.get(own, F.lit(0))["_href"]
+
+
+def _published(entry: Column) -> Column:
+    return F.coalesce(F.nullif(entry["published"], F.lit("")), entry["updated"])
+
+
+def _summary(entry: Column) -> Column:
+    return F.coalesce(entry["summary"], entry["content"])
+
+
+def _as_rss(entry: Column) -> Column:
+    return F.struct(entry["title"].alias("title"), _page_link(entry).alias("link"),
+                    _summary(entry).alias("description"), _published(entry).alias("pubDate"))
+
+
 def _rss(landed: DataFrame) -> DataFrame:
-    return explode_items(landed, _xml("body", RSS_SCHEMA), lambda p: p["channel"]["item"])
+    """Items of an RSS body, or the entries of an Atom body as such."""
+    return explode_items(landed, _xml("body", FEED_SCHEMA), lambda p: F.coalesce(
+        p["channel"]["item"], F.transform(p["entry"], _as_rss)))
 
 
 def normalise_rss_like(source: str, landed: DataFrame, as_of=AS_OF,
@@ -98,9 +127,9 @@ def _atom(landed: DataFrame) -> DataFrame:
 def normalise_reddit(landed: DataFrame, as_of=AS_OF) -> DataFrame:
     it = F.col("it")
     df = _atom(landed)
-    return _results(df, "reddit", url=_s(it["link"]["_href"]), title=_s(it["title"]),
-                    snippet=_s(it["summary"]),
-                    fetched_at=F.coalesce(parse_iso(it["published"]),
+    return _results(df, "reddit", url=_s(_page_link(it)), title=_s(it["title"]),
+                    snippet=_s(_summary(it)),
+                    fetched_at=F.coalesce(parse_iso(_published(it)),
                                           F.lit(as_of).cast("timestamp")))
 
 
@@ -139,8 +168,8 @@ NORMALISERS = {
 
 
 # --- substack (S27 discovery, S28 feed read) -------------------------------------
-SUBSTACK_FEED_URL = "https://{}.substack.com/feed"
-SEARCH_SCHEMA = ("publications ARRAY<STRUCT<subdomain STRING, handle STRING, slug STRING>>")
+_PUBLICATIONS = "ARRAY<STRUCT<subdomain STRING, handle STRING, slug STRING>>"
+SEARCH_SCHEMA = f"publications {_PUBLICATIONS}"
 SOURCE_TYPES["substack"] = "feeds"
 
 
@@ -148,24 +177,32 @@ def substack_discovery(landed: DataFrame, max_pubs: int = 5) -> DataFrame:
     """Feed URLs to read, per source entry (run, topic, source_ord): terms in
     order (``payload_id``), publications in response order; a handle is
     ``subdomain`` else ``handle`` else ``slug``; a handle already taken by an
-    earlier publication of the entry is skipped; at most ``max_pubs`` new
-    handles per term.  The per-entry list is bounded by terms × page size."""
-    p = F.from_json(F.col("body"), SEARCH_SCHEMA, {"mode": "PERMISSIVE"})
-    pubs = (landed.select("run_id", "topic_name", "source_ord", "payload_id",
-                          F.posexplode(p["publications"]).alias("pos", "pub"))
+    earlier publication of the entry is skipped; at most ``max_pubs`` (or the
+    entry's ``filters.max_pubs``) new handles per term.  A reply is an object
+    with ``publications`` or the list itself.  An entry with its own
+    ``filters.feeds`` reads these and searches nothing.  The per-entry list is
+    bounded by terms × page size."""
+    options = {"mode": "PERMISSIVE"}
+    pubs = F.when(F.ltrim("body").startswith("["), F.from_json("body", _PUBLICATIONS, options)) \
+        .otherwise(F.from_json("body", SEARCH_SCHEMA, options)["publications"])
+    most = F.coalesce(_filter("max_pubs").try_cast("int"), F.lit(max_pubs))
+    pubs = (landed.where(_filter("feeds").isNull())
+            .select("run_id", "topic_name", "source_ord", "payload_id", most.alias("most"),
+                    F.posexplode(pubs).alias("pos", "pub"))
             .select("run_id", "topic_name", "source_ord",
-                    F.struct(F.col("payload_id").alias("term_ord"), F.col("pos"),
+                    F.struct(F.col("payload_id").alias("term_ord"), F.col("pos"), F.col("most"),
                              F.coalesce(F.nullif(F.col("pub.subdomain"), F.lit("")),
                                         F.nullif(F.col("pub.handle"), F.lit("")),
                                         F.nullif(F.col("pub.slug"), F.lit("")),
                                         F.lit("")).alias("handle")).alias("x")))
     init = F.struct(F.array().cast("array<string>").alias("seen"),
                     F.lit(None).cast("bigint").alias("term"), F.lit(0).alias("cnt"),
-                    F.array().cast("array<struct<term_ord:bigint,pos:int,handle:string>>").alias("out"))
+                    F.array().cast("array<struct<term_ord:bigint,pos:int,most:int,handle:string>>")
+                    .alias("out"))
 
     def step(acc, x):
         cnt = F.when(x["term_ord"] == acc["term"], acc["cnt"]).otherwise(F.lit(0))
-        ok = (x["handle"] != "") & ~F.array_contains(acc["seen"], x["handle"]) & (cnt < max_pubs)
+        ok = (x["handle"] != "") & ~F.array_contains(acc["seen"], x["handle"]) & (cnt < x["most"])
         return F.struct(
             F.when(ok, F.concat(acc["seen"], F.array(x["handle"]))).otherwise(acc["seen"]).alias("seen"),
             x["term_ord"].alias("term"),
@@ -182,12 +219,21 @@ def substack_discovery(landed: DataFrame, max_pubs: int = 5) -> DataFrame:
                          .alias("feed_url"))
 
 
+def substack_direct(landed: DataFrame) -> DataFrame:
+    """Feeds that an entry lists itself (``filters.feeds``, a JSON list), in order."""
+    feeds = F.from_json(_filter("feeds"), "ARRAY<STRING>")
+    return landed.where(_filter("feeds").isNotNull()).select(
+        "run_id", "topic_name", "source_ord", feeds.alias("feeds")).distinct().select(
+        "run_id", "topic_name", "source_ord", F.posexplode("feeds").alias("feed_pos", "feed_url"))
+
+
 def normalise_substack(landed: DataFrame, as_of=AS_OF, max_per_feed: int = 10) -> DataFrame:
-    """Feed read: the first ``max_per_feed`` entries of each feed, *then*
-    entries without link or title are dropped."""
+    """Feed read: the first ``max_per_feed`` (or ``filters.max_per_feed``)
+    entries of each feed, *then* entries without link or title are dropped."""
     it = F.col("it")
+    most = F.coalesce(_filter("max_per_feed").try_cast("int"), F.lit(max_per_feed))
     df = (explode_items(landed, _xml("body", RSS_SCHEMA),
-                        lambda p: F.slice(p["channel"]["item"], 1, max_per_feed))
+                        lambda p: F.slice(p["channel"]["item"], F.lit(1), most))
           .where((_s(it["link"]) != "") & (_s(it["title"]) != "")))
     return _results(df, "substack", url=it["link"], title=it["title"],
                     snippet=truncate_ellipsis(_s(it["description"]), 280),

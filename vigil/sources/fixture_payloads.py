@@ -3,7 +3,6 @@ oracle reads the same item fields directly, see ``plans/q_sources.py``)."""
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +10,10 @@ from pyspark.sql import functions as F
 from vigil.sources.fixtures import pick, table
 from vigil.sources.landing import land
 
+#: Mail keys are unique while a conversation has fewer turns.
+MAIL_STRIDE = 1_000_003
+
+
 class _NullString:
     """``NULL`` string literal, built on use (no session needed at import)."""
 
@@ -108,14 +111,14 @@ def _items(spark: SparkSession, sf_dir: str, source: str) -> tuple[DataFrame, st
     if source == "ebay":
         value = F.concat(((cents - cents % 100) / 100).cast("bigint").cast("string"), F.lit("."),
                          F.lpad((cents % 100).cast("string"), 2, "0"))
-        it = F.struct(ks.alias("itemId"), F.concat(F.lit("Lot "), ks).alias("title"),
+        it = F.struct(ks.alias("itemId"), F.when(k % 23 == 0, _Lazy.NULL_S).otherwise(F.concat(F.lit("Lot "), ks)).alias("title"),
                       F.concat(F.lit("https://shop.example.com/e/"), ks).alias("itemWebUrl"),
                       F.when(k % 4 == 0, _Lazy.NULL_S).otherwise(F.col("o_orderpriority")).alias("shortDescription"),
                       F.when(k % 9 == 0, F.lit(None).cast("struct<value:string,currency:string>"))
                       .otherwise(F.struct(value.alias("value"), ccy.alias("currency"))).alias("price"))
         return orders, "o_orderkey", it, lambda a: F.struct(a.alias("itemSummaries"))
     if source == "etsy":
-        it = F.struct(k.alias("listing_id"), F.concat(F.lit("Listing "), ks).alias("title"),
+        it = F.struct(k.alias("listing_id"), F.when(k % 23 == 0, _Lazy.NULL_S).otherwise(F.concat(F.lit("Listing "), ks)).alias("title"),
                       F.concat(F.lit("https://shop.example.com/t/"), ks).alias("url"),
                       F.when(k % 4 == 0, _Lazy.NULL_S).otherwise(F.concat(
                           F.col("o_orderstatus"), F.lit(" "), F.repeat(F.col("o_orderpriority"), 30)))
@@ -246,7 +249,7 @@ def _items(spark: SparkSession, sf_dir: str, source: str) -> tuple[DataFrame, st
         return _events(spark, sf_dir), "event_id", F.struct(e.alias("idx"), post.alias("p")), wrap
     if source == "email":
         c, t = F.col("conv_id"), F.col("turn")
-        key = c * 64 + t
+        key = c * MAIL_STRIDE + t
         it = F.struct(
             F.concat(F.col("role"), (c % 20).cast("string"), F.lit("@example.com")).alias("from_"),
             F.when(t == 0, _Lazy.NULL_S).otherwise(F.concat(F.lit("Re: thread "), c.cast("string"))).alias("subject"),
@@ -255,7 +258,7 @@ def _items(spark: SparkSession, sf_dir: str, source: str) -> tuple[DataFrame, st
             F.when(c % 7 == 0, F.lit(None).cast("map<string,array<string>>")).otherwise(F.create_map(
                 F.lit("message-id"), F.array(F.concat(F.lit("<m-"), c.cast("string"), F.lit("-"),
                                                       t.cast("string"), F.lit("@example.com>"))))).alias("headers"),
-            key.cast("string").alias("uid"),
+            F.concat(c.cast("string"), F.lit("-"), t.cast("string")).alias("uid"),
             F.when(t % 5 == 4, _Lazy.NULL_S).otherwise(F.concat(
                 F.lit("2024-01-"), F.lpad((c % 28 + 1).cast("string"), 2, "0"), F.lit("T"),
                 F.lpad((t % 24).cast("string"), 2, "0"), F.lit(":00:00"))).alias("date"))
@@ -281,11 +284,16 @@ def _items(spark: SparkSession, sf_dir: str, source: str) -> tuple[DataFrame, st
     raise KeyError(source)
 
 
-@lru_cache(maxsize=64)
 def landed(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     items, key, it, wrap = _items(spark, sf_dir, source)
     return land(items, key, it, wrap, source, filters=FILTERS.get(source),
-                term=TERMS.get(source), per=PER.get(source, 10))
+                term=TERMS.get(source), per=PER.get(source, 10),
+                to_text=_with_uids if source == "pubmed" else None)
+
+
+def _with_uids(reply: Column) -> Column:
+    """A summary reply also holds the list of its ids."""
+    return F.replace(F.to_json(reply), F.lit('"result":{'), F.lit('"result":{"uids":["1","2"],'))
 
 
 def _weather_filters(pid: Column) -> Column:
@@ -296,7 +304,20 @@ def _weather_filters(pid: Column) -> Column:
 
 
 def _biorxiv_filters(pid: Column) -> Column:
-    return F.create_map(F.lit("terms"), F.lit("the,Und,que"))
+    terms = F.create_map(F.lit("terms"), F.lit("the,Und,que"))
+    return F.when(pid % 13 == 3, F.map_concat(terms, F.create_map(
+        F.lit("max_results"), F.lit("50")))).otherwise(terms)
+
+
+def _substack_filters(pid: Column) -> Column:
+    none = F.create_map().cast("map<string,string>")
+    return F.when(pid % 5 == 0, F.create_map(F.lit("max_per_feed"), F.lit("12"))).when(
+        pid % 5 == 1, F.create_map(F.lit("max_per_feed"), F.lit("3"))).otherwise(none)
+
+
+def _search_filters(pid: Column) -> Column:
+    return F.when(pid % 13 == 2, F.create_map(F.lit("max_pubs"), F.lit("2"))).otherwise(
+        F.create_map().cast("map<string,string>"))
 
 
 def _mail_filters(pid: Column) -> Column:
@@ -327,7 +348,28 @@ def _el(tag: str, value: Column, attr: str | None = None) -> Column:
 
 
 def rfc822(ts: Column) -> Column:
-    return F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    """The instant in one of the forms that feeds use, by its second."""
+    s = F.second(ts)
+    return F.when(s % 4 == 0, F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))) \
+        .when(s % 4 == 1, F.concat(F.date_format(ts - F.expr("INTERVAL 5 HOURS"),
+                                                 "d MMM yy HH:mm:ss"), F.lit(" EST"))) \
+        .when(s % 4 == 2, F.concat(F.date_format(ts + F.expr("INTERVAL 2 HOURS"),
+                                                 "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0200"))) \
+        .otherwise(F.concat(F.date_format(ts, "dd MMM yyyy HH:mm:ss"), F.lit(" Z")))
+
+
+def _either_body(arr: Column) -> Column:
+    """RSS, or the same items as Atom (with a second, unrelated link)."""
+    def entry(x):
+        link = F.coalesce(F.concat(
+            F.lit('<link rel="enclosure" href="https://cdn.example.com/a.mp3"/><link href="'),
+            html_escape(x["link"]), F.lit('"/>')), F.lit(""))
+        return F.concat(F.lit("<entry>"), _el("title", x["title"]), link,
+                        _el("content", x["description"]), _el("updated", x["pubDate"]),
+                        F.lit("</entry>"))
+    atom = F.concat(F.lit("<feed>"), F.array_join(F.transform(arr, entry), ""), F.lit("</feed>"))
+    return F.when(F.length(F.array_join(F.transform(arr, lambda x: x["title"]), "")) % 2 == 0,
+                  atom).otherwise(_rss_body(arr))
 
 
 def _rss_body(arr: Column) -> Column:
@@ -369,7 +411,8 @@ def _feed_items(spark: SparkSession, sf_dir: str, source: str):
                           F.concat(F.lit("https://feeds.example.com/"), es)).alias("link"),
                       desc.alias("description"),
                       F.when(e % 13 == 0, _Lazy.NULL_S).otherwise(rfc822(ts)).alias("pubDate"))
-        return _events(spark, sf_dir), "event_id", it, _rss_body
+        return _events(spark, sf_dir), "event_id", it, (
+            _either_body if source == "rss" else _rss_body)
     if source == "reddit":
         it = F.struct(es.alias("id"), F.concat(F.lit("Thread "), es).alias("title"),
                       F.col("props").alias("summary"),
@@ -406,13 +449,12 @@ def _feed_items(spark: SparkSession, sf_dir: str, source: str):
     raise KeyError(source)
 
 
-@lru_cache(maxsize=64)
 def landed_feed(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     items, key, it, body = _feed_items(spark, sf_dir, source)
-    return land(items, key, it, lambda a: a, source, to_text=body, per=PER.get(source, 10))
+    return land(items, key, it, lambda a: a, source, to_text=body, per=PER.get(source, 10),
+                filters=_substack_filters if source == "substack" else None)
 
 
-@lru_cache(maxsize=16)
 def landed_substack_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Publication search responses (one per term) from ``customer`` rows."""
     k = F.col("c_custkey")
@@ -421,7 +463,9 @@ def landed_substack_search(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.when(k % 4 == 0, h).alias("handle"),
                    F.when(k % 4 == 1, F.when(k % 8 == 1, h).otherwise(F.lit(""))).alias("slug"))
     return land(table(spark, sf_dir, "customer"), "c_custkey", pub,
-                lambda a: F.struct(a.alias("publications")), "substack")
+                lambda a: a, "substack", filters=_search_filters,
+                to_text=lambda a: F.when(F.length(F.to_json(a)) % 2 == 0, F.to_json(a)).otherwise(
+                    F.to_json(F.struct(a.alias("publications")))))
 
 
 # --- HTML job board pages ------------------------------------------------------
@@ -451,7 +495,6 @@ def _page(arr: Column) -> Column:
                     F.lit("</div></main></body></html>"))
 
 
-@lru_cache(maxsize=16)
 def landed_pages(spark: SparkSession, sf_dir: str, source: str = "playbill_jobs") -> DataFrame:
     k = F.col("p_partkey")
     return land(table(spark, sf_dir, "part"), "p_partkey", _tile(k), lambda a: a, source,
@@ -473,7 +516,6 @@ def _usitt_tile(k: Column) -> Column:
     return F.concat(F.lit('<div class="'), cls, F.lit('">'), heading, link, parts, F.lit("</div>\n"))
 
 
-@lru_cache(maxsize=16)
 def landed_usitt(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     return land(table(spark, sf_dir, "part"), "p_partkey", _usitt_tile(k), lambda a: a, "usitt_jobs",

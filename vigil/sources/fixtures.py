@@ -9,7 +9,6 @@ All integer rules use ``%`` on BIGINT only.
 from __future__ import annotations
 
 from decimal import Decimal
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +22,8 @@ N_TOPICS = 13
 URL_PREFIX = "https://x.example.com/i/"
 
 
-@lru_cache(maxsize=128)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table (the DataFrame is built once per session and path: a
-    parquet read lists files and footers, which is not free)."""
+    """A driver table, read anew each time so that a rewritten one is seen."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -52,7 +49,6 @@ def pick(values: list[str], idx: Column) -> Column:
 # topics
 # --------------------------------------------------------------------------
 
-@lru_cache(maxsize=32)
 def fx_topics(spark: SparkSession) -> DataFrame:
     o = F.col("topic_ord")
     trig = F.struct
@@ -90,19 +86,21 @@ def fx_topics(spark: SparkSession) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def item_url(event_id: Column) -> Column:
+    """Three neighbouring events share a URL; one event in twenty carries a
+    URL that comes back on other days; some have none."""
+    e = F.when(event_id % 20 == 7, event_id % 400).otherwise(event_id - event_id % 3)
     return F.when(event_id % 997 == 0, F.lit("")).otherwise(
-        F.concat(F.lit(URL_PREFIX), (event_id - event_id % 3).cast("string")))
+        F.concat(F.lit(URL_PREFIX), e.cast("string")))
 
 
-@lru_cache(maxsize=32)
 def fx_items(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> DataFrame:
     e = F.col("event_id")
     ts = F.col("ts").cast("timestamp")
-    now = as_of_lit(as_of)
+    run_at = F.date_trunc("day", ts) + days(1)  # a day's run comes at its end
     published = (
         F.when(e % 4 == 0, F.lit(None).cast("timestamp"))
-        .when(e % 50 == 1, now - days(7))
-        .when(e % 50 == 6, now - days(30))
+        .when(e % 50 == 1, run_at - days(7))
+        .when(e % 50 == 6, run_at - days(30))
         .otherwise(ts - days(e % 45))
     )
     tag = F.when(e % 5 == 0, F.lit(None).cast("string")).otherwise(
@@ -122,6 +120,7 @@ def fx_items(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> DataFrame:
         ts.alias("fetched_at"),
         published.alias("published_at"),
         F.date_trunc("day", ts).alias("run_day"),
+        run_at.alias("run_at"),
         F.when(e % 11 == 0, F.lit(None).cast("double")).otherwise(
             ((e * 7919) % 1001).cast("double") / F.lit(1000.0)).alias("novelty_score"),
         tag.alias("tag"),
@@ -129,7 +128,6 @@ def fx_items(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=32)
 def fx_seen(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> DataFrame:
     e = F.col("event_id")
     now = as_of_lit(as_of)
@@ -143,7 +141,6 @@ def fx_seen(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> DataFrame:
 FAILED_TYPES = ("error", "signup", "view")
 
 
-@lru_cache(maxsize=32)
 def fx_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     return table(spark, sf_dir, "events").select(
@@ -155,14 +152,12 @@ def fx_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=32)
-def fx_index(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> DataFrame:
-    """Items over their topic threshold with digest flags (position added by
-    ``vigil.operators.positions`` where an operator needs it)."""
+def fx_over(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> DataFrame:
+    """Items over their topic threshold, with digest and escalation flags."""
     items = fx_items(spark, sf_dir, as_of)
     topics = fx_topics(spark).select("topic_ord", "novelty_threshold")
     e = F.col("event_id")
-    return (items.join(F.broadcast(topics), "topic_ord")
+    return (items.join(topics, "topic_ord")
             .where(F.col("novelty_score") >= F.col("novelty_threshold"))
             .drop("novelty_threshold")
             .withColumn("notified_digest",
@@ -172,14 +167,18 @@ def fx_index(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> DataFrame:
                                F.col("tag"))))
 
 
-@lru_cache(maxsize=32)
+def fx_index(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> DataFrame:
+    """The stored index: the newest 100 rows of each topic, with ``pos``."""
+    from vigil.operators.index import index_top
+    return index_top(fx_over(spark, sf_dir, as_of))
+
+
 def fx_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     return (table(spark, sf_dir, "events").where(e % 6 == 0)
             .select(item_url(e).alias("url")))
 
 
-@lru_cache(maxsize=32)
 def fx_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes from ``labels`` ⋈ ``documents`` in file order ``fb_seq``."""
     d = F.col("doc_id")
@@ -188,12 +187,11 @@ def fx_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select((d % N_TOPICS).alias("topic_ord"), d.alias("fb_seq"),
                     F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(-1)
                     .alias("vote"),
-                    F.substring("text", 1, 120).alias("title"),
+                    F.col("text").alias("title"),
                     F.when(d % 2 == 0, F.lit(None).cast("string"))
                     .otherwise(F.concat(F.lit("note "), d.cast("string"))).alias("note")))
 
 
-@lru_cache(maxsize=32)
 def fx_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delivery log of a digest: URLs of unsent index rows, a quarter failed."""
     idx = fx_index(spark, sf_dir)
@@ -208,7 +206,6 @@ def _score_text(e: Column) -> Column:
                     F.lpad((k % 1000).cast("string"), 3, "0"))
 
 
-@lru_cache(maxsize=32)
 def fx_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scoring replies and attempt errors for every item (call time = ts)."""
     e = F.col("event_id")
@@ -222,34 +219,46 @@ def fx_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .otherwise(body))
     err = (F.when(e % 8 == 1, F.lit("429 Resource exhausted. Please retry in 5s."))
            .when(e % 8 == 2, F.lit("429 quota exceeded"))
-           .when(e % 8 == 3, F.lit("HTTP 500 internal error"))
+           .when(e % 8 == 3, F.lit("HTTP 500 internal error in JSON gateway"))
            .when(e % 8 == 4, F.lit("Quota exceeded, Retry in 400s"))
            .when(e % 8 == 5, F.lit("JSONDecodeError: Expecting value"))
            .when(e % 8 == 7, F.lit("rate limited (429): retry in 12.5s")))
     return table(spark, sf_dir, "events").select(
         e.alias("event_id"), F.col("ts").cast("timestamp").alias("call_ts"),
-        response.alias("response"), err.alias("error_text"))
+        response.alias("response"), err.alias("error_text"),
+        F.when(e % 8 == 5, F.lit("parse")).when(err.isNotNull(), F.lit("api")).alias("error_class"),
+        (((e - e % 8) / 8).cast("bigint") % 3 + 1).cast("int").alias("attempt"))
 
 
-@lru_cache(maxsize=32)
 def fx_topic_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic records derived from ``customer`` (some invalid enumerations)."""
     k, nk = F.col("c_custkey"), F.col("c_nationkey")
+    from vigil.sources.config import ENTRY_TYPE, entry
     term = F.concat(F.lit("term"), (k % 10).cast("string"))
-    entry = "struct<source:string,terms:array<string>>"
-    frequent = F.array(F.struct(pick(["gdelt", "rss", "reddit", "arxiv"], nk % 4).alias("source"),
-                                F.array(F.lower("c_mktsegment"), term).alias("terms")))
-    discovery = F.array(F.struct(F.lit("google_news").alias("source"),
-                                 F.array(F.lower("c_mktsegment")).alias("terms")),
-                        F.struct(F.lit("hacker_news").alias("source"),
-                                 F.array().cast("array<string>").alias("terms")))
-    broad = F.array(F.struct(F.lit("gdelt").alias("source"), F.array(F.lit("global")).alias("terms")))
+    seg = F.lower("c_mktsegment")
+    source = pick(["gdelt", "rss", "reddit", "arxiv"], nk % 4)
+    text = "map<string,string>"
+    filters = (F.when(source == "gdelt", F.create_map(F.lit("sourcelang"), F.lit("eng")))
+               .when(source == "arxiv", F.create_map(F.lit("max_results"), F.lit("50")))
+               .when((source == "rss") & (k % 4 == 0), F.create_map(F.lit("feeds"), F.concat(
+                   F.lit('["https://f1.example.com/'), k.cast("string"),
+                   F.lit('", "https://f2.example.com/x"]'))))
+               .otherwise(F.create_map().cast(text)))
+    subs = F.when(source == "reddit", F.array(F.concat(F.lit("sub"), (k % 5).cast("string")))) \
+        .otherwise(F.array().cast("array<string>"))
+    place = F.create_map(F.lit("lat"), F.lit("40.7"), F.lit("lon"), F.lit("-74.0"))
+    frequent = F.array(entry(source, F.array(seg, term), filters, subs))
+    none = F.array().cast("array<string>")
+    discovery = F.array(entry(F.lit("google_news"), F.array(seg)), entry(F.lit("hacker_news"), none))
+    discovery = F.when(k % 7 == 0, F.concat(discovery, F.array(
+        entry(F.lit("weather"), none, place)))).otherwise(discovery)
+    broad = F.array(entry(F.lit("gdelt"), F.array(F.lit("global"))),
+                    entry(F.lit("guardian"), F.array(F.lit("global"))))
+    nothing = F.create_map().cast(f"map<string,array<{ENTRY_TYPE}>>")
     polling = F.map_concat(
-        F.when(k % 2 == 0, F.create_map(F.lit("frequent"), frequent))
-        .otherwise(F.create_map().cast(f"map<string,array<{entry}>>")),
+        F.when(k % 2 == 0, F.create_map(F.lit("frequent"), frequent)).otherwise(nothing),
         F.create_map(F.lit("discovery"), discovery),
-        F.when(k % 3 == 0, F.create_map(F.lit("broad"), broad))
-        .otherwise(F.create_map().cast(f"map<string,array<{entry}>>")))
+        F.when(k % 3 == 0, F.create_map(F.lit("broad"), broad)).otherwise(nothing))
     return table(spark, sf_dir, "customer").select(
         k.alias("topic_id"), F.col("c_name").alias("name"),
         pick(["high", "low", "medium"], k % 3).alias("importance"),

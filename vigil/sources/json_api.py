@@ -166,8 +166,8 @@ def normalise_youtube(landed: DataFrame, as_of=AS_OF) -> DataFrame:
 
 # S09
 def normalise_ebay(landed: DataFrame, as_of=AS_OF) -> DataFrame:
-    """Items lacking the required url/title would fail the whole source in a
-    fetcher; here they are left out (see :func:`ebay_rejects`)."""
+    """Items lacking the required url or title are left out (see
+    :func:`rejects`)."""
     it = F.col("it")
     df = (explode_items(landed, _parsed(landed, "ebay"), lambda p: p["itemSummaries"])
           .where(it["itemWebUrl"].isNotNull() & it["title"].isNotNull()))
@@ -177,10 +177,13 @@ def normalise_ebay(landed: DataFrame, as_of=AS_OF) -> DataFrame:
                     snippet=_s(it["shortDescription"]), fetched_at=_now(as_of), price=price)
 
 
-def ebay_rejects(landed: DataFrame) -> DataFrame:
+def rejects(landed: DataFrame, source: str) -> DataFrame:
+    """The items of a marketplace that lack their url or title."""
+    items, url = {"ebay": ("itemSummaries", "itemWebUrl"), "etsy": ("results", "url")}[source]
     it = F.col("it")
-    return (explode_items(landed, _parsed(landed, "ebay"), lambda p: p["itemSummaries"])
-            .where(it["itemWebUrl"].isNull() | it["title"].isNull()))
+    return (explode_items(landed, _parsed(landed, source), lambda p: p[items])
+            .where(it[url].isNull() | it["title"].isNull())
+            .select("payload_id", "item_pos", it[url].alias("url")))
 
 
 # S10
@@ -247,11 +250,15 @@ SOURCE_TYPES.update({"weather": "weather", "open_meteo": "weather",
 
 # S15
 def normalise_weather(landed: DataFrame, as_of=AS_OF) -> DataFrame:
-    """Zip the daily arrays; keep notable codes unless ``notable_only=false``."""
+    """Zip the daily arrays (to the shortest); keep notable codes unless ``notable_only=false``."""
     p = F.from_json(F.col("body"), SCHEMAS["weather"], {"mode": "PERMISSIVE"})
     d = p["daily"]
-    zipped = F.arrays_zip(d["time"].alias("time"), d["weathercode"].alias("code"),
-                          d["temperature_2m_max"].alias("temp"), d["precipitation_sum"].alias("rain"))
+    shortest = F.least(*(F.coalesce(F.size(d[c]), F.lit(0)) for c in (
+        "time", "weathercode", "temperature_2m_max", "precipitation_sum")))
+    zipped = F.slice(F.arrays_zip(
+        d["time"].alias("time"), d["weathercode"].alias("code"),
+        d["temperature_2m_max"].alias("temp"), d["precipitation_sum"].alias("rain")),
+        F.lit(1), F.greatest(shortest, F.lit(0)))
     df = (landed.withColumn("_p", p)
           .select("*", F.posexplode_outer(zipped).alias("item_pos", "it"))
           .where(F.col("it").isNotNull()))
@@ -307,17 +314,15 @@ from vigil.functions.price import salary_suffix  # noqa: E402
 from vigil.functions.text import split_names, term_filter  # noqa: E402
 from pyspark.sql import Window  # noqa: E402
 
-# The record page of a PubMed id and of a preprint DOI.
-PUBMED_URL = "https://pubmed.ncbi.nlm.nih.gov/{}/"
-PREPRINT_URL = "https://www.{}.org/content/{}"
+# Fixed value: the record page of a PubMed id.
+PUBMED_URL = "https://pubmed.ncbi.nlm.nih.gov/"
 
 SCHEMAS.update({
     "adzuna": ("results ARRAY<STRUCT<redirect_url STRING, title STRING, "
                "company STRUCT<display_name STRING>, description STRING, created STRING, "
                "salary_min DOUBLE, salary_max DOUBLE>>"),
     "pubmed": ("search STRUCT<esearchresult STRUCT<idlist ARRAY<STRING>>>, "
-               "summary STRUCT<result MAP<STRING, STRUCT<title STRING, source STRING, "
-               "pubdate STRING, authors ARRAY<STRUCT<name STRING>>>>>"),
+               "summary STRUCT<result MAP<STRING, STRING>>"),
     "biorxiv": ("collection ARRAY<STRUCT<doi STRING, title STRING, abstract STRING, "
                 "authors STRING, date STRING, category STRING, server STRING>>, "
                 "messages ARRAY<STRUCT<cursor INT, count INT>>"),
@@ -326,6 +331,10 @@ SOURCE_TYPES.update({"adzuna": "jobs", "pubmed": "science", "biorxiv": "science"
                      "medrxiv": "science"})
 
 
+PUBMED_SUMMARY = ("title STRING, source STRING, pubdate STRING, "
+                  "authors ARRAY<STRUCT<name STRING>>")
+
+
 # S20
 def normalise_adzuna(landed: DataFrame, as_of=AS_OF) -> DataFrame:
     """Jobs without a redirect URL are skipped; the title carries the salary
@@ -344,16 +353,18 @@ def normalise_adzuna(landed: DataFrame, as_of=AS_OF) -> DataFrame:
 
 # S16
 def normalise_pubmed(landed: DataFrame, as_of=AS_OF) -> DataFrame:
-    """Search ids in order, each looked up in the summary map of the same
-    response pair; ids without an object summary are skipped."""
+    """Search ids in order, each looked up in the summary object of the same
+    response pair, whose values are parsed one by one (it also holds a list of
+    ids); ids without an object summary are skipped."""
     p = _parsed(landed, "pubmed")
-    df = (landed.withColumn("_p", p)
-          .select("*", F.posexplode_outer(F.col("_p")["search"]["esearchresult"]["idlist"])
-                  .alias("item_pos", "pmid"))
-          .where(F.col("pmid").isNotNull())
-          .withColumn("it", F.try_element_at(F.col("_p")["summary"]["result"], F.col("pmid")))
+    pairs = F.transform(p["search"]["esearchresult"]["idlist"], lambda i: F.struct(
+        i.alias("pmid"), F.try_element_at(p["summary"]["result"], i).alias("text")))
+    df = (landed.select("*", F.posexplode_outer(pairs).alias("item_pos", "_pair"))
+          .withColumn("pmid", F.col("_pair.pmid"))
+          .withColumn("it", F.when(F.ltrim("_pair.text").startswith("{"), F.from_json(
+              "_pair.text", PUBMED_SUMMARY, {"mode": "PERMISSIVE"})))
           .where(F.col("it").isNotNull())
-          .drop("_p"))
+          .drop("_pair"))
     it = F.col("it")
     names = F.transform(F.coalesce(it["authors"], F.array().cast("array<struct<name:string>>")),
                         lambda a: _s(a["name"]))
@@ -363,7 +374,7 @@ def normalise_pubmed(landed: DataFrame, as_of=AS_OF) -> DataFrame:
     fetched = F.when(pub != "", parse_pubmed_date(pub, as_of)).otherwise(
         F.lit(as_of).cast("timestamp"))
     return _results(df, "pubmed",
-                    url=F.concat(F.lit(PUBMED_URL.split("{}")[0]), F.col("pmid"), F.lit("/")),
+                    url=F.concat(F.lit(PUBMED_URL), F.col("pmid"), F.lit("/")),
                     title=_s(it["title"]),
                     snippet=F.when(authors != "", F.concat(authors, F.lit(" — "), journal))
                     .otherwise(journal),
@@ -374,7 +385,8 @@ def normalise_pubmed(landed: DataFrame, as_of=AS_OF) -> DataFrame:
 def normalise_biorxiv(landed: DataFrame, as_of=AS_OF, max_results: int = 30) -> DataFrame:
     """Pages of one source entry in order; papers need a title and a DOI and
     must match any term (title + abstract, case-insensitive); at most
-    ``max_results`` are kept after that filter (partial WindowGroupLimit)."""
+    ``max_results`` (or the entry's ``filters.max_results``) are kept after
+    that filter."""
     it = F.col("it")
     terms = F.filter(F.split(_s(F.try_element_at(F.col("filters"), F.lit("terms"))), ","),
                      lambda t: t != "")
@@ -383,7 +395,9 @@ def normalise_biorxiv(landed: DataFrame, as_of=AS_OF, max_results: int = 30) ->
           .where(term_filter(F.concat(_s(it["title"]), F.lit(" "), _s(it["abstract"])), terms)))
     w = Window.partitionBy("run_id", "topic_name", "source_ord", "source").orderBy(
         "payload_id", "item_pos")
-    df = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_results)
+    most = F.coalesce(F.try_element_at(F.col("filters"), F.lit("max_results")).try_cast("int"),
+                      F.lit(max_results))
+    df = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most)
     names = split_names(_s(it["authors"]), ";")
     abstract = _s(it["abstract"])
     snippet = F.when(abstract != "", truncate_ellipsis(abstract, 280)).otherwise(author_line(names))
@@ -407,7 +421,6 @@ SCHEMAS.update({
               "headers MAP<STRING, ARRAY<STRING>>, uid STRING, date STRING>>"),
 })
 SOURCE_TYPES.update({"bluesky": "social", "email": "feeds", "email_newsletter": "feeds"})
-BSKY_POST_URL = "https://bsky.app/profile/{}/post/{}"
 NO_SUBJECT = "(no subject)"
 
 

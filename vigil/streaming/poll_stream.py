@@ -26,14 +26,6 @@ from vigil.session import scratch_path
 
 
 # T01 -------------------------------------------------------------------------
-def land_by_day(df: DataFrame, path: str, ts: str = "ts") -> str:
-    """Write rows as one file group per day (the arrival order of a stream)."""
-    (df.withColumn("day", F.date_format(F.col(ts), "yyyy-MM-dd"))
-     .repartition("day").sortWithinPartitions(ts)
-     .write.mode("overwrite").partitionBy("day").parquet(path))
-    return path
-
-
 def read_stream(spark: SparkSession, path: str, schema: T.StructType,
                 files_per_batch: int = 1) -> DataFrame:
     """File-source stream of landed files (one day per micro-batch)."""
@@ -172,7 +164,7 @@ def stream_dir(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"streams/{name}")
 
 
-__all__ = ["land_by_day", "read_stream", "run_available", "breaker_stream", "escalation_stream",
+__all__ = ["read_stream", "run_available", "breaker_stream", "escalation_stream",
            "idempotent_batch_writer", "latest_per_key", "drop_late", "stream_dir", "AS_OF", "RUN_CAP"]
 
 
@@ -216,11 +208,13 @@ def _seen_fn(retention: dict, default_days: int):
 
 
 def seen_filter_stream(items: DataFrame, retention: dict | None = None,
-                       default_days: int | None = None, watermark: str = "1 day") -> DataFrame:
+                       default_days: int | None = None, watermark: str = "366 days") -> DataFrame:
     """The seen set as streaming state keyed by URL.  An item passes when
     its URL has no sighting, or the last one is older (whole days) than the
     retention of that sighting's type; passing items become the new sighting.
-    An event-time timeout at ``seen + (days + 1)`` drops expired state."""
+    An event-time timeout at ``seen + (days + 1)`` drops expired state.  The
+    watermark lies beyond the longest retention, so that only rows that every
+    retention would have forgotten can be late for it."""
     from vigil.conventions import RETENTION_DAYS, RETENTION_DEFAULT_DAYS
     fn = _seen_fn(retention or RETENTION_DAYS,
                   default_days if default_days is not None else RETENTION_DEFAULT_DAYS)
