@@ -14,8 +14,8 @@ bucket's seed sends its keys to free slots, and all n slots are used.  A
 lookup is two hashes and one fingerprint comparison; a foreign key gets a
 wrong answer only if its 32-bit fingerprint happens to agree.
 
-Documents are range-partitioned by doc_id after encoding (ids move, texts do
-not) and cut into shards of a bounded size.  The shard table is Parquet, so
+Documents are range-partitioned by doc_id, encoded and cut into shards of a
+bounded size.  The shard table is Parquet, so
 shards live wherever Spark can write; each row is one shard and its place in
 the global order.  A null ``doc_id`` sorts first.  A key is (doc_id, hash of
 the text, copy number), so repeated rows are stored and found one by one.
@@ -80,9 +80,10 @@ class PieceEncoder:
         for at in range(0, len(todo), 2000):
             some = todo[at:at + 2000]
             ids = self.library([" " + " ".join(some)])[0]
-            cuts = np.flatnonzero(self.starts[ids])
-            for p, one in zip(some, np.split(ids, cuts[1:]), strict=True):
-                self.known[p] = one.tobytes()
+            data, size = ids.tobytes(), self.dtype.itemsize
+            cuts = [*(np.flatnonzero(self.starts[ids]) * size).tolist(), len(data)]
+            self.known.update(zip(some, map(data.__getitem__, map(slice, cuts, cuts[1:])),
+                                  strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [t.split(" ") if regular(t) else None for t in texts]
@@ -199,38 +200,27 @@ class Shard:
 
 # --- tables -----------------------------------------------------------------
 
-_ENCODED = f"{ID} long, {UID} long, ids binary"
 _SHARDS = ("part int, seq int, n_docs long, n_ids long, docs binary, uids binary, "
            "copies binary, shard binary")
 
 
-def encode_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        enc = piece_encoder(path)
-        end = np.array([END_ID], enc.dtype).tobytes()
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        yield {ID: batch.column(ID), UID: batch.column(UID),
-               "ids": [i + end for i in enc.encode(texts)]}
-
-    return arrow_map(keyed(docs, "text"), run, _ENCODED)
-
-
 def write_shards(docs: DataFrame, path: str | None = None,
                  shard_ids: int = SHARD_IDS) -> DataFrame:
-    """Encode, order and write; returns the written shard table.
+    """Order, encode and write; returns the written shard table.
 
-    Copy numbers restart at a partition border.  That is safe: a key is looked
-    up in the shard that holds it.
+    The texts are ordered before they are encoded: sampling the splitters
+    reads the input of the range partitioning a second time.  Copy numbers
+    restart at a partition border.  That is safe: a key is looked up in the
+    shard that holds it.
     """
-    spark = docs.sparkSession
-    encoded = encode_ids(docs, path)
-    parts = encoded.repartitionByRange(ID, UID).sortWithinPartitions(ID, UID)
-    schema = schema_of(spark, _SHARDS)
+    parts = keyed(docs, "text").repartitionByRange(ID, UID).sortWithinPartitions(ID, UID)
+    schema = schema_of(docs.sparkSession, _SHARDS)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        width = piece_encoder(path).dtype.itemsize
+        enc = piece_encoder(path)
+        width, end = enc.dtype.itemsize, np.array([END_ID], enc.dtype).tobytes()
         part, seq, size = TaskContext.get().partitionId(), 0, 0
         keys: list[tuple[int, int, int]] = []
         payload: list[bytes] = []
@@ -245,7 +235,9 @@ def write_shards(docs: DataFrame, path: str | None = None,
                  "copies": [k[:, 2].tobytes()], "shard": [shard]}, schema=schema)
 
         for batch in batches:
-            for d, u, ids in zip(*(batch.column(c).to_pylist() for c in (ID, UID, "ids"))):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            encoded = [i + end for i in enc.encode(texts)]
+            for d, u, ids in zip(*(batch.column(c).to_pylist() for c in (ID, UID)), encoded):
                 n = len(ids) // width
                 if keys and size + n > shard_ids:
                     yield flush()
