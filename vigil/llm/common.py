@@ -84,6 +84,10 @@ def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+#: Paths written inside each ``settled`` call that is under way.
+_OPEN: list[list[str]] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared checkpoint folder and read it back.
 
@@ -93,9 +97,30 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Write what ``build`` returns, then drop the tables written on the way."""
+    _OPEN.append([])
+    try:
+        df = build()
+        _OPEN.append([])
+        try:
+            out = written(df, label)
+        finally:
+            mine = _OPEN.pop()
+    finally:
+        for path in _OPEN.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if _OPEN:
+        _OPEN[-1].extend(mine)
+    return out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Avalanche a uint64 array (the 64-bit finaliser of splitmix)."""
     x = x ^ (x >> np.uint64(30))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm.common import (ID, UID, arrow_map, keyed, mix64, parts_by_bytes, public_id,
-                              schema_of, written)
+                              schema_of, settled, written)
 
 LENGTH = 100
 TOKEN = 32
@@ -359,6 +359,10 @@ def across_boundaries(found: DataFrame) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """``__doc, __uid, ranges``: byte ranges to remove (they may overlap)."""
+    return settled(docs.sparkSession, "suffix-ranges", lambda: _repeated_ranges(docs))
+
+
+def _repeated_ranges(docs: DataFrame) -> DataFrame:
     texts = keyed(docs, "text").where(F.octet_length("text") >= LENGTH)
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     runs = written(stretches(texts, repeated_tokens(texts, max(1, total // BUCKET_BYTES))),
