@@ -252,14 +252,18 @@ def test_later_step_finds_links_the_stars_miss(spark, monkeypatch):
     docs = cases.documents(spark, rows)
     idf = near_dup.word_idf(docs)
     node = [dict(__doc=i, __uid=0) for i in range(3)]
-    members = spark.createDataFrame([(7, n, node[0]) for n in node],
-                                    f"key long, node {near_dup._NODE}, first {near_dup._NODE}")
+    members = spark.createDataFrame(
+        [(0, 7, n, node[0]) for n in node],
+        f"band int, key long, node {near_dup._NODE}, first {near_dup._NODE}")
+    nodes = spark.createDataFrame([(n, [7, i]) for i, n in enumerate(node)],
+                                  f"node {near_dup._NODE}, bands array<long>")
     texts = spark.createDataFrame([(n, t) for n, (_, t) in zip(node, rows)],
                                   f"node {near_dup._NODE}, text string")
     star = members.where("node != first").selectExpr("node as a", "first as b")
     links = near_dup.verified(star, texts, idf)
     assert links.where(near_dup.linked()).count() == 0
-    rest = near_dup.remaining(members, links, near_dup.components(links.where("false")))
+    rest = near_dup.remaining(members, nodes, texts, links,
+                              near_dup.components(links.where("false")), idf)
     assert [(r.a["__doc"], r.b["__doc"]) for r in rest.collect()] == [(2, 1)]
     assert near_dup.verified(rest, texts, idf).where(near_dup.linked()).count() == 1
     assert rng is not None

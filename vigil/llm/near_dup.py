@@ -14,9 +14,10 @@ Copies of one text are one node.  Candidates inside a bucket are verified
 without forming all its pairs: first each member with the bucket's earliest
 one and with its neighbour in a random order; then, for members that are still
 in another class than some others of their bucket, the remaining pairs, except
-those that the triangle inequality of the Jaccard distance rules out through
-the bucket's earliest member.  So no candidate link between two classes is
-lost, however large a bucket is.
+those that two exact bounds rule out: the triangle inequality of the Jaccard
+distance through the bucket's earliest member, and the shingles that only one
+of the texts has.  So no candidate link between two classes is lost, however
+large a bucket is.
 
 Words are cut at white space, lower case; a text of one to four words is one
 shingle; a text without a word (null, empty) is in a class of its own.  Rows
@@ -31,16 +32,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vigil.llm.bpe import Remembered
 from vigil.llm.common import (ID, UID, arrow_map, id_col, keyed, mix64, parts_by_bytes,
-                              public_id, schema_of, uid_col, written)
+                              public_id, schema_of, settled, uid_col, written)
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 #: Slots of the word frequency table (fixed, whatever the corpus).
 SLOTS = 1 << 18
+#: Members of a bucket's largest class that all others are compared with.
+HUBS = 3
+#: Shingles of parsed texts that a verifying task remembers.
+HELD = 3_000_000
 #: Text characters handled at once inside a task.
 CHUNK = 1 << 20
 
@@ -189,22 +195,27 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
 def similarities(pairs: list[tuple[str, str]], idf: np.ndarray) -> list[tuple[float, float]]:
     """(weighted, plain) Jaccard similarity of each pair of texts."""
     sets: dict[str, tuple] = {}
+    held = 0
 
     def of(t: str):
+        nonlocal held
         if t not in sets:
-            if len(sets) > 64:
+            if held > HELD:
                 sets.clear()
+                held = 0
             h, w, _, _ = shingles([word_hashes(t)], idf)
-            sets[t] = (h, w.astype(np.float64))
+            sets[t] = (h, w.astype(np.float64), float(w.sum(dtype=np.float64)))
+            held += len(h)
         return sets[t]
 
     out = []
     for a, b in pairs:
-        (ha, wa), (hb, wb) = of(a), of(b)
-        _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-        low = np.minimum(wa[i], wb[j]).sum()
-        out.append((float(low / (wa.sum() + wb.sum() - low)),
-                    len(i) / (len(ha) + len(hb) - len(i))))
+        (ha, wa, sa), (hb, wb, sb) = of(a), of(b)
+        at = np.minimum(np.searchsorted(hb, ha), len(hb) - 1)
+        both = hb[at] == ha
+        low = float(np.minimum(wa[both], wb[at[both]]).sum())
+        n = int(both.sum())
+        out.append((low / (sa + sb - low), n / (len(ha) + len(hb) - n)))
     return out
 
 
@@ -262,6 +273,10 @@ def components(links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """``__doc, __uid, c_doc, c_uid``: each document and its class's first."""
+    return settled(docs.sparkSession, "near-classes", lambda: _classes(docs))
+
+
+def _classes(docs: DataFrame) -> DataFrame:
     idf = word_idf(docs)
     rows = sketches(docs, idf)
     node = F.struct(ID, UID)
@@ -269,7 +284,7 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = written(rows.groupBy("c1", "c2").agg(
         F.min(node).alias("node"), F.min_by("bands", node).alias("bands")), "near-nodes")
     keys = nodes.where(F.col("bands").isNotNull()).select(
-        "node", F.explode("bands").alias("key"))
+        "node", F.posexplode("bands").alias("band", "key"))
     # written first: a join of two tables can be split where a key is hot, one
     # of a table with its own aggregate cannot
     buckets = written(keys.groupBy("key").agg(F.min("node").alias("first"), F.count(
@@ -283,11 +298,15 @@ def classes(docs: DataFrame) -> DataFrame:
         F.col("node").alias("a"), F.col("first").alias("b"))
     links = verified(star.unionByName(neighbours(members)).distinct(), texts, idf)
     found = components(links.where(linked()))
-    rest = verified(remaining(members, links, found), texts, idf)
-    more = rest.where(linked()).select("a", "b")
-    if not more.isEmpty():
-        found = components(found.select(F.col("node").alias("a"), F.col("class").alias("b"))
-                           .where(F.col("a") != F.col("b")).unionByName(more))
+    # then what is still outside its bucket's largest class: with the members
+    # of that class that have most links, and with all that this leaves open
+    for pairs in (hub_pairs, lambda m, n, f: remaining(m, nodes, texts, n, f, idf)):
+        more = verified(pairs(members, links, found), texts, idf)
+        links = links.unionByName(more)
+        more = more.where(linked()).select("a", "b")
+        if not more.isEmpty():
+            found = components(found.select(F.col("node").alias("a"), F.col("class").alias("b"))
+                               .where(F.col("a") != F.col("b")).unionByName(more))
     per_text = nodes.join(found, "node", "left").select(
         "c1", "c2", "node", "bands", F.coalesce("class", "node").alias("class"))
     return rows.select(ID, UID, "c1", "c2", F.col("bands").isNull().alias("alone")).join(
@@ -330,29 +349,98 @@ def neighbours(members: DataFrame) -> DataFrame:
                       F.least(as_node("a"), as_node("b")).alias("b")).where("a != b")
 
 
-def remaining(members: DataFrame, links: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different classes that are neither verified nor
-    ruled out: with the bucket's first at distances x and y, two members are
-    at least |x - y| apart."""
-    to_first = links.select(F.col("a").alias("node"), F.col("b").alias("first"),
-                            "sim_w", "sim_p")
-    rows = members.join(found, "node", "left").join(to_first, ["node", "first"], "left").select(
-        "key", "node", F.coalesce("class", "node").alias("class"),
-        F.when(F.col("node") == F.col("first"), 1.0).otherwise(F.col("sim_w")).alias("w"),
-        F.when(F.col("node") == F.col("first"), 1.0).otherwise(F.col("sim_p")).alias("p"),
-        (F.col("node") == F.col("first")).alias("is_first"))
+def open_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets with several classes: ``class`` and ``largest``."""
+    rows = members.join(found, "node", "left").withColumn(
+        "class", F.coalesce("class", "node"))
     sizes = rows.groupBy("key", "class").agg(F.count("*").alias("n"))
     per = sizes.groupBy("key").agg(F.count("*").alias("classes"),
                                    F.max_by("class", F.struct("n", "class")).alias("largest"))
     per = written(per.where(F.col("classes") > 1).select("key", "largest"), "near-per")
-    rows = written(rows.join(per, "key"), "near-open")
+    return rows.join(per, "key")
+
+
+def hub_pairs(members: DataFrame, links: DataFrame, found: DataFrame) -> DataFrame:
+    """Members outside the largest class of their bucket with its ``HUBS``
+    members that have most links (the middle of a cloud of near copies)."""
+    rows = written(open_buckets(members, found), "near-open")
+    ends = links.where(linked())
+    degree = ends.select(F.col("a").alias("node")).unionByName(
+        ends.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
+    order = Window.partitionBy("key").orderBy(F.desc("degree"), "hub")
+    core = rows.where(F.col("class") == F.col("largest")).join(degree, "node", "left").select(
+        "key", F.col("node").alias("hub"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    # the limit is applied before the shuffle, too
+    core = written(core.withColumn("rank", F.row_number().over(order)).where(
+        F.col("rank") <= HUBS).select("key", "hub"), "near-hubs")
+    pairs = rows.where(F.col("class") != F.col("largest")).join(core, "key").select(
+        "node", "hub")
+    return pairs.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")
+                        ).distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def own_mass(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Per node the size of its shingle set and the part of it that no other of
+    these texts has: ``s_p, r_p`` counted, ``s_w, r_w`` by weight."""
+    held = texts.sparkSession.sparkContext.broadcast(idf)
+    schema = schema_of(texts.sparkSession, f"node {_NODE}, h long, w double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in parts_by_bytes([len(t) for t in texts], CHUNK):
+                h, w, _, off = shingles([word_hashes(t) for t in texts[a:b]], held.value)
+                owner = pa.array(np.repeat(np.arange(a, b), np.diff(off)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node").take(owner), pa.array(h.view(np.int64)),
+                     pa.array(w.astype(np.float64))], schema=schema)
+
+    rows = texts.mapInArrow(run, f"node {_NODE}, h long, w double")
+    per = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node"),
+                                F.max("w").alias("w")).where(F.col("n") == 1)
+    own = per.groupBy("node").agg(F.count("*").alias("r_p"), F.sum("w").alias("r_w"))
+    size = rows.groupBy("node").agg(F.count("*").alias("s_p"), F.sum("w").alias("s_w"))
+    return size.join(own, "node", "left").select(
+        "node", "s_p", "s_w", F.coalesce("r_p", F.lit(0)).alias("r_p"),
+        F.coalesce("r_w", F.lit(0.0)).alias("r_w"))
+
+
+def remaining(members: DataFrame, nodes: DataFrame, texts: DataFrame, links: DataFrame,
+              found: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Pairs of one bucket in different classes that are neither verified nor
+    ruled out.  A pair that shares several buckets is formed in the first of
+    them only.  Two exact bounds rule pairs out: with the bucket's first at
+    distances x and y, two members are at least |x - y| apart; and what only
+    one text has is no common part, so that of sizes s with own parts r the
+    common part is at most the smaller s - r."""
+    to_first = links.select(F.col("a").alias("node"), F.col("b").alias("first"),
+                            "sim_w", "sim_p")
+    rows = open_buckets(members, found).where(F.col("node") != F.col("first")).join(
+        to_first, ["node", "first"], "left").select(
+        "key", "band", "node", "class", "largest", F.col("sim_w").alias("w"),
+        F.col("sim_p").alias("p")).join(nodes.select("node", "bands"), "node")
+    rows = written(rows, "near-open")
+    # what is rare among all texts of open buckets is so for each of them
+    open_texts = texts.join(rows.select("node").distinct(), "node")
+    mass = written(own_mass(open_texts, idf), "near-own")
+    can = F.greatest((F.col("s_p") - F.col("r_p")) / F.col("s_p"),
+                     (F.col("s_w") - F.col("r_w")) / F.col("s_w")) >= THRESHOLD - 1e-9
+    rows = written(rows.join(mass.where(can), "node"), "near-open")
     near = 1 - THRESHOLD + 1e-9
-    x, y = rows.where(~F.col("is_first")).alias("x"), rows.where(~F.col("is_first")).alias("y")
+    x, y = rows.alias("x"), rows.alias("y")
+
+    def possible(s: str, r: str) -> Column:
+        most = F.least(F.col(f"x.{s}") - F.col(f"x.{r}"), F.col(f"y.{s}") - F.col(f"y.{r}"))
+        return most >= (THRESHOLD - 1e-9) * (F.col(f"x.{s}") + F.col(f"y.{s}") - most)
+
     # left: members outside the bucket's largest class; right: all of it
     pairs = x.where(F.col("class") != F.col("largest")).join(
         y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") != F.col("y.class"))
-        & ((F.abs(F.col("x.w") - F.col("y.w")) <= near)
-           | (F.abs(F.col("x.p") - F.col("y.p")) <= near)))
+        & ((F.col("y.class") == F.col("y.largest")) | (F.col("x.node") > F.col("y.node")))
+        & (((F.abs(F.col("x.w") - F.col("y.w")) <= near) & possible("s_w", "r_w"))
+           | ((F.abs(F.col("x.p") - F.col("y.p")) <= near) & possible("s_p", "r_p")))
+        & (F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True)
+           == F.col("x.band") + 1))
     pairs = pairs.select(
         F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
     return pairs.distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
@@ -368,8 +456,7 @@ def report(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """The first document of each class, all columns kept; of rows equal in
     doc_id and text one stays."""
-    found = written(classes(docs), "near-classes")
-    keep = found.where((F.col(ID) == F.col("c_doc")) & (F.col(UID) == F.col("c_uid")))
+    keep = classes(docs).where((F.col(ID) == F.col("c_doc")) & (F.col(UID) == F.col("c_uid")))
     repeated = not keep.groupBy(ID, UID).count().where("count > 1").isEmpty()
     keep = keep.select(F.col(ID).alias("__k_doc"), F.col(UID).alias("__k_uid")).distinct()
     out = docs.join(keep.hint("shuffle_hash"), (id_col() == F.col("__k_doc"))
