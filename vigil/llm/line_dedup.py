@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import ID, UID, id_col, keyed, uid_col, written
+from vigil.llm.common import ID, UID, id_col, keyed, settled, uid_col, written
 
 MIN_LINES = 3
 MIN_WORDS = 5
@@ -78,9 +78,13 @@ def suffix_ranks(rows: DataFrame, depth: int) -> DataFrame:
 
 
 def _later(rows: DataFrame, rank: str) -> DataFrame:
-    """Places that are not the first of their interval."""
+    """Places that are not the first of their interval.
+
+    The firsts are written before the join, which Spark can then split where
+    an interval is large.
+    """
     here = F.struct(*_AT)
-    first = rows.groupBy(rank).agg(F.min(here).alias("first"))
+    first = written(rows.groupBy(rank).agg(F.min(here).alias("first")), f"lines-first-{rank}")
     return rows.join(first, rank).where(here > F.col("first")).select(*_AT)
 
 
@@ -101,6 +105,11 @@ def removals(docs: DataFrame, min_lines: int = MIN_LINES,
     """Per document with deleted lines: ``gone``, one character per line up to
     the last deleted one ("1" for deleted), ``n_removed``, ``n_runs`` and
     ``longest_run`` (maximal runs of deleted lines)."""
+    return settled(docs.sparkSession, "lines-gone",
+                   lambda: _removals(docs, min_lines, min_words))
+
+
+def _removals(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
     per = repeated_lines(docs, min_lines, min_words).groupBy(ID, UID).agg(
         F.array_sort(F.collect_list("line_no")).alias("at"))
     gaps = F.transform("at", lambda g, i: F.concat(
