@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import arrow_map, written
+from vigil.llm.common import arrow_map, settled, written
 
 #: Documents that a group needs for an estimate of its own.
 MIN_GROUP = 400
@@ -206,7 +206,8 @@ def estimates(rows: DataFrame) -> DataFrame:
     for step in range(STEPS):
         near = rows.join(params.select("g", "mu", "inv"), "g").withColumn("d", _distance())
         # cut: the distance that SUBSET of the group stays below
-        cut = near.groupBy("g").agg(F.percentile_approx("d", SUBSET, 2000).alias("cut"))
+        cut = written(near.groupBy("g").agg(
+            F.percentile_approx("d", SUBSET, 2000).alias("cut")), f"mcd-cut{step}")
         inner = near.join(cut, "g").where(F.col("d") <= F.col("cut")).select("g", "x")
         params = written(_moments(inner), f"mcd-{step + 1}")
     params = written(_scaled(rows, params), "mcd-scaled")
@@ -227,7 +228,8 @@ def verdicts(docs: DataFrame, min_group: int = MIN_GROUP, cutoff_z: float = CUTO
     """Counts, ``base_failed``, ``distance`` (squared, scaled) and ``kept``."""
     stats = written(vectors(statistics(docs)), "text-stats")
     full = written(grouped(stats, min_group), "text-groups")
-    params = estimates(full.where(F.col("x").isNotNull()).select("g", "x"))
+    params = settled(docs.sparkSession, "mcd-final", lambda: estimates(
+        full.where(F.col("x").isNotNull()).select("g", "x")))
     judged = full.join(params, "g", "left").withColumn(
         "distance", _distance() / F.col("scale"))
     far = (F.col("distance") > chi2_quantile(cutoff_z)) & (F.col("n") >= 10 * P)
