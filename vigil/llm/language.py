@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from vigil.llm.common import arrow_map, mix64, parts_by_bytes
 
@@ -171,19 +170,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     fold, spread evenly over the languages, in the order of a hash."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull()
                       & F.col("text").isNotNull() & ~held_out())
-    rows = rows.select(F.xxhash64("doc_id").alias("k"), F.col("lang").cast("string"), "text",
-                       F.col("doc_id"))
-    n = max(1, rows.select("lang").distinct().count())
-    each = max(1, sample // n)
-    # rank the keys alone, then fetch the texts of the few chosen
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("k", "doc_id"))
-    chosen = rows.select("k", "lang", "doc_id").withColumn("r", rank).where(F.col("r") <= each)
-    cut = [(r.lang, r.k) for r in chosen.groupBy("lang").agg(
-        F.max("k").alias("k")).limit(sample).collect()]
-    if not cut:
+    rows = rows.select(F.xxhash64("doc_id").alias("k"), F.col("lang").cast("string"), "text")
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()
+    if not counts:
         return train([])
-    wanted = F.create_map(*(F.lit(v) for pair in cut for v in pair))
-    got = rows.where(F.col("k") <= wanted[F.col("lang")]).select("k", "text", "lang")
+    each = max(1, sample // len(counts))
+    # the hash is uniform, so a share of its range is that share of the rows
+    cut = F.create_map(*(F.lit(v) for r in counts for v in (
+        r.lang, int(-2 ** 63 + min(1.0, each / r["count"]) * (2 ** 64 - 1)) if each < r["count"]
+        else 2 ** 63 - 1)))
+    got = rows.where(F.col("k") <= F.try_element_at(cut, F.col("lang"))).select("k", "text", "lang")
     return train([(r.k, r.text, r.lang) for r in got.limit(2 * sample).collect()])
 
 
