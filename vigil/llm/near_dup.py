@@ -15,8 +15,8 @@ without forming all its pairs: first each member with the bucket's earliest
 one and with its neighbour in a random order; then, for members that are still
 in another class than some others of their bucket, the remaining pairs, except
 those that two exact bounds rule out: the triangle inequality of the Jaccard
-distance through the bucket's earliest member, and the shingles that only one
-of the texts has.  So no candidate link between two classes is lost, however
+distance through the bucket's earliest member, and per group of shingles the
+smaller number of those that a text shares with any other.  So no candidate link between two classes is lost, however
 large a bucket is.
 
 Words are cut at white space, lower case; a text of one to four words is one
@@ -43,6 +43,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 #: Slots of the word frequency table (fixed, whatever the corpus).
 SLOTS = 1 << 18
+#: Groups of shingles (by hash) in which common parts are bounded.
+GROUPS = 64
 #: Members of a bucket's largest class that all others are compared with.
 HUBS = 3
 #: Shingles of parsed texts that a verifying task remembers.
@@ -380,8 +382,9 @@ def hub_pairs(members: DataFrame, links: DataFrame, found: DataFrame) -> DataFra
 
 
 def own_mass(texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """Per node the size of its shingle set and the part of it that no other of
-    these texts has: ``s_p, r_p`` counted, ``s_w, r_w`` by weight."""
+    """Per node the size of its shingle set, ``s_p`` counted and ``s_w`` by
+    weight, and what of it some other of these texts has, too, by hash group:
+    ``g_p, g_w``, arrays of ``GROUPS`` sums."""
     held = texts.sparkSession.sparkContext.broadcast(idf)
     schema = schema_of(texts.sparkSession, f"node {_NODE}, h long, w double")
 
@@ -396,13 +399,24 @@ def own_mass(texts: DataFrame, idf: np.ndarray) -> DataFrame:
                      pa.array(w.astype(np.float64))], schema=schema)
 
     rows = texts.mapInArrow(run, f"node {_NODE}, h long, w double")
-    per = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node"),
+    group = F.pmod("h", F.lit(GROUPS)).cast("int").alias("g")
+    own = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node"),
                                 F.max("w").alias("w")).where(F.col("n") == 1)
-    own = per.groupBy("node").agg(F.count("*").alias("r_p"), F.sum("w").alias("r_w"))
-    size = rows.groupBy("node").agg(F.count("*").alias("s_p"), F.sum("w").alias("s_w"))
-    return size.join(own, "node", "left").select(
-        "node", "s_p", "s_w", F.coalesce("r_p", F.lit(0)).alias("r_p"),
-        F.coalesce("r_w", F.lit(0.0)).alias("r_w"))
+    own = own.groupBy("node", group).agg(F.count("*").alias("own_p"), F.sum("w").alias("own_w"))
+    sums = rows.groupBy("node", group).agg(F.count("*").alias("p"), F.sum("w").alias("w"))
+    none = F.lit(0.0)
+    sums = sums.join(own, ["node", "g"], "left").select(
+        "node", "g", "p", "w", (F.col("p") - F.coalesce("own_p", none)).alias("shared_p"),
+        (F.col("w") - F.coalesce("own_w", none)).alias("shared_w"))
+    per = sums.groupBy("node").agg(
+        F.sum("p").alias("s_p"), F.sum("w").alias("s_w"),
+        F.map_from_entries(F.collect_list(F.struct("g", F.struct("shared_p", "shared_w")))).alias("m"))
+
+    def array(c: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.coalesce(
+            F.try_element_at("m", g)[f"shared_{c}"], none))
+
+    return per.select("node", "s_p", "s_w", array("p").alias("g_p"), array("w").alias("g_w"))
 
 
 def remaining(members: DataFrame, nodes: DataFrame, texts: DataFrame, links: DataFrame,
@@ -410,9 +424,9 @@ def remaining(members: DataFrame, nodes: DataFrame, texts: DataFrame, links: Dat
     """Pairs of one bucket in different classes that are neither verified nor
     ruled out.  A pair that shares several buckets is formed in the first of
     them only.  Two exact bounds rule pairs out: with the bucket's first at
-    distances x and y, two members are at least |x - y| apart; and what only
-    one text has is no common part, so that of sizes s with own parts r the
-    common part is at most the smaller s - r."""
+    distances x and y, two members are at least |x - y| apart; and in each
+    group of shingles the common part is at most the smaller of what the two
+    texts have there and share with any other."""
     to_first = links.select(F.col("a").alias("node"), F.col("b").alias("first"),
                             "sim_w", "sim_p")
     rows = open_buckets(members, found).where(F.col("node") != F.col("first")).join(
@@ -423,22 +437,25 @@ def remaining(members: DataFrame, nodes: DataFrame, texts: DataFrame, links: Dat
     # what is rare among all texts of open buckets is so for each of them
     open_texts = texts.join(rows.select("node").distinct(), "node")
     mass = written(own_mass(open_texts, idf), "near-own")
-    can = F.greatest((F.col("s_p") - F.col("r_p")) / F.col("s_p"),
-                     (F.col("s_w") - F.col("r_w")) / F.col("s_w")) >= THRESHOLD - 1e-9
+    def total(c: Column) -> Column:
+        return F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+
+    least = THRESHOLD - 1e-6
+    can = F.greatest(total(F.col("g_p")) / F.col("s_p"), total(F.col("g_w")) / F.col("s_w")) >= least
     rows = written(rows.join(mass.where(can), "node"), "near-open")
-    near = 1 - THRESHOLD + 1e-9
+    near = 1 - THRESHOLD + 1e-6
     x, y = rows.alias("x"), rows.alias("y")
 
-    def possible(s: str, r: str) -> Column:
-        most = F.least(F.col(f"x.{s}") - F.col(f"x.{r}"), F.col(f"y.{s}") - F.col(f"y.{r}"))
-        return most >= (THRESHOLD - 1e-9) * (F.col(f"x.{s}") + F.col(f"y.{s}") - most)
+    def possible(s: str, g: str) -> Column:
+        most = total(F.zip_with(f"x.{g}", f"y.{g}", lambda a, b: F.least(a, b)))
+        return most >= least * (F.col(f"x.{s}") + F.col(f"y.{s}") - most)
 
     # left: members outside the bucket's largest class; right: all of it
     pairs = x.where(F.col("class") != F.col("largest")).join(
         y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") != F.col("y.class"))
         & ((F.col("y.class") == F.col("y.largest")) | (F.col("x.node") > F.col("y.node")))
-        & (((F.abs(F.col("x.w") - F.col("y.w")) <= near) & possible("s_w", "r_w"))
-           | ((F.abs(F.col("x.p") - F.col("y.p")) <= near) & possible("s_p", "r_p")))
+        & (((F.abs(F.col("x.w") - F.col("y.w")) <= near) & possible("s_w", "g_w"))
+           | ((F.abs(F.col("x.p") - F.col("y.p")) <= near) & possible("s_p", "g_p")))
         & (F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True)
            == F.col("x.band") + 1))
     pairs = pairs.select(
