@@ -379,3 +379,27 @@ def test_robust_distance_equals_numpy(spark):
     cov = np.linalg.inv(np.array(p.inv).reshape(outliers.P, outliers.P)) * p["scale"]
     assert np.allclose(np.sqrt(np.diag(cov)) / np.arange(1, outliers.P + 1), 1, atol=0.15)
     assert np.allclose(np.array(p.mu) / np.arange(1, outliers.P + 1), 0, atol=0.15)
+
+
+def judged_by_source(spark, sizes, seed=3):
+    """Verdicts where source k has sizes[k] clean documents, in k's own word length."""
+    rng = random.Random(seed)
+    rows = [(1000 * k + i, " ".join(w * (k + 1) for w in cases.sentence(
+        rng, rng.randint(100, 400)).split()), "en", f"s{k}")
+        for k, n in enumerate(sizes) for i in range(n)]
+    rows += [(9000, " ".join(w * 3 for w in cases.sentence(rng, 250).split()), "en", "s0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    return {r.doc_id: r for r in outliers.verdicts(docs).collect()}
+
+
+def test_small_sources_are_judged_by_their_own_estimate(spark):
+    """Words of three times the usual length are ordinary for the language, not for the source."""
+    got = judged_by_source(spark, (90, 90, 90))
+    assert not got[9000].kept
+    assert sum(not r.kept for d, r in got.items() if d != 9000) <= 8
+
+
+def test_estimates_lean_on_the_language_without_a_step(spark):
+    """The distance of one odd document grows with its source's size, without a jump at 70."""
+    d = [judged_by_source(spark, (n, 90, 90))[9000].distance for n in (5, 69, 71)]
+    assert d[0] < d[1] / 2 and 0.5 < d[1] / d[2] < 2

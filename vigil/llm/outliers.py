@@ -9,9 +9,11 @@ covariance determinant.  All steps are grouped aggregates over all documents
 (sums, products, quantile sketches), so a group of any size is combined before
 it is shuffled and never gathered.
 
-A group is a (lang, source) pair with at least ``MIN_GROUP`` documents; the
-pairs below that are pooled per language, and pools below it together.  A pool
-that is still too small for an estimate rejects nothing.
+Every (lang, source) pair has an estimate of its own, and so has every language
+and the whole table.  From ``MIN_GROUP`` documents on, the pair's estimate counts
+alone; with n documents below that it weighs n / ``MIN_GROUP``, and the rest is
+its language's (which leans on the whole table's in the same way).  A table that
+is too small for an estimate rejects nothing.
 
 Null and empty texts have no words: all counts 0, base rules failed, not kept.
 Null lang or source is a value of its own.  Repeated rows count as often as
@@ -31,8 +33,6 @@ from pyspark.sql import functions as F
 
 from vigil.llm.common import arrow_map, settled, written
 
-#: Documents that a group needs for an estimate of its own.
-MIN_GROUP = 400
 #: Share of a group that the concentration steps keep.
 SUBSET = 0.75
 STEPS = 4
@@ -44,6 +44,8 @@ CUTOFF_Z = 6.0
 DIMS = (("size", 0.5), ("word_length", 0.08), ("symbols", 0.10), ("dup_lines", 0.15),
         ("repeats", 0.15), ("capitals", 0.06), ("digits", 0.06))
 P = len(DIMS)
+#: Documents from which a group's own estimate counts alone.
+MIN_GROUP = 10 * P
 _SYMBOLS = b"#*$%&|<>"
 _CAPITALS = bytes(range(0x41, 0x5B))
 _DIGITS = bytes(range(0x30, 0x3A))
@@ -134,21 +136,15 @@ def vectors(stats: DataFrame) -> DataFrame:
     return stats.withColumn("x", F.when(F.col("n_words") > 0, x))
 
 
-def grouped(stats: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """Adds ``g``, the group whose estimate judges the document."""
+def grouped(stats: DataFrame) -> DataFrame:
+    """Adds ``g``, the (lang, source) pair, and the groups around it: ``g1``, its
+    language, and ``g0``, the whole table."""
     def label(level: str, *cols: str) -> Column:
         return F.concat(F.lit(level), *(F.concat(F.lit("\x00"), F.coalesce(F.concat(
             F.lit("="), F.col(c)), F.lit(""))) for c in cols))
 
-    full = stats.withColumn("g2", label("pair", "lang", "source")).withColumn(
-        "g1", label("lang", "lang"))
-    pairs = full.where(F.col("x").isNotNull()).groupBy("g1", "g2").count()
-    pairs = pairs.withColumn("own", F.col("count") >= min_group)
-    pools = pairs.where(~F.col("own")).groupBy("g1").agg(F.sum("count").alias("pool"))
-    names = pairs.join(pools, "g1", "left").select("g2", F.when(
-        F.col("own"), F.col("g2")).when(F.col("pool") >= min_group, F.col("g1")).otherwise(
-            F.lit("rest")).alias("g"))
-    return full.join(names, "g2", "left").drop("g1", "g2")
+    return stats.withColumns({"g": label("pair", "lang", "source"), "g1": label("lang", "lang"),
+                              "g0": F.lit("all")})
 
 
 def chi2_quantile(z: float, p: int = P) -> float:
@@ -224,14 +220,45 @@ def _scaled(rows: DataFrame, params: DataFrame) -> DataFrame:
         F.col("m") / chi2_quantile(0.0), F.lit(1.0)).alias("scale"))
 
 
+def _shrunk(names: DataFrame, params: DataFrame, min_group: int) -> DataFrame:
+    """Location and scaled inverse scatter per pair, leaning on its language and
+    on the whole table as far as documents are missing."""
+    def level(g: str, tag: str) -> DataFrame:
+        return params.select(F.col("g").alias(g), *(
+            F.col(c).alias(c + tag) for c in ("n", "mu", "inv", "scale")))
+
+    every = names.join(level("g", "2"), "g").join(level("g1", "1"), "g1").join(
+        F.broadcast(level("g0", "0")), "g0")
+
+    def lean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            mus, invs = [], []
+            for r in f.itertuples(index=False):
+                mu = cov = 0.0
+                for tag in "012":
+                    n = getattr(r, "n" + tag)
+                    share = 1.0 if tag == "0" else min(1.0, n / min_group)
+                    own = np.linalg.inv(np.reshape(getattr(r, "inv" + tag), (P, P)).astype(float))
+                    mu = (1 - share) * mu + share * np.asarray(getattr(r, "mu" + tag), float)
+                    cov = (1 - share) * cov + share * getattr(r, "scale" + tag) * own
+                mus.append(mu)
+                invs.append(np.linalg.inv(cov).ravel())
+            yield pd.DataFrame({"g": f["g"], "n": f["n0"], "mu": mus, "inv": invs})
+
+    return every.mapInPandas(lean, "g string, n long, mu array<double>, inv array<double>")
+
+
 def verdicts(docs: DataFrame, min_group: int = MIN_GROUP, cutoff_z: float = CUTOFF_Z) -> DataFrame:
     """Counts, ``base_failed``, ``distance`` (squared, scaled) and ``kept``."""
-    stats = written(vectors(statistics(docs)), "text-stats")
-    full = written(grouped(stats, min_group), "text-groups")
-    params = settled(docs.sparkSession, "mcd-final", lambda: estimates(
-        full.where(F.col("x").isNotNull()).select("g", "x")))
-    judged = full.join(params, "g", "left").withColumn(
-        "distance", _distance() / F.col("scale"))
+    full = written(grouped(vectors(statistics(docs))), "text-stats")
+    rows = full.where(F.col("x").isNotNull())
+
+    def build() -> DataFrame:
+        params = estimates(rows.select(F.explode(F.array("g", "g1", "g0")).alias("g"), "x"))
+        return _shrunk(rows.select("g", "g1", "g0").distinct(), params, min_group)
+
+    params = settled(docs.sparkSession, "mcd-final", build)
+    judged = full.join(params, "g", "left").withColumn("distance", _distance())
     far = (F.col("distance") > chi2_quantile(cutoff_z)) & (F.col("n") >= 10 * P)
     failed = base_failed()
     return judged.select(
