@@ -403,3 +403,35 @@ def test_estimates_lean_on_the_language_without_a_step(spark):
     """The distance of one odd document grows with its source's size, without a jump at 70."""
     d = [judged_by_source(spark, (n, 90, 90))[9000].distance for n in (5, 69, 71)]
     assert d[0] < d[1] / 2 and 0.5 < d[1] / d[2] < 2
+
+
+def test_one_planted_outlier_per_statistic_is_rejected(spark):
+    rng = random.Random(4)
+
+    def text(n=300, words=None):
+        words = words or cases.sentence(rng, n).split()
+        lines = [" ".join(words[i:i + 10]) for i in range(0, len(words), 10)]
+        return "\n".join(line[0].upper() + line[1:] for line in lines)
+
+    def changed(share, f):
+        return text(words=[f(w) if rng.random() < share else w
+                           for w in cases.sentence(rng, 300).split()])
+
+    short = "\n".join(f"{cases.sentence(rng, 1)}" for _ in range(60))  # lines of one word
+    passage = cases.sentence(rng, 45)
+    odd = {"size": text(20_000), "word_length": changed(1, lambda w: w * 3),
+           "symbols": changed(0.25, lambda w: w + "#"), "dup_lines": f"{text(100)}\n{short}",
+           "repeats": f"{text(60)}\n{passage}\n{text(60)}\nAnd {passage}",
+           "capitals": changed(0.5, str.upper), "digits": changed(0.2, lambda w: "20471")}
+    rows = [(i, text(rng.randint(100, 600)), "en", "s") for i in range(200)]
+    some = [(500, text(300) + "\ncall 555 0199", "en", "s"), (501, text(290) + " 5 $", "en", "s"),
+            (502, (one := text(150)) + "\n" + one.split("\n")[0], "en", "s")]
+    docs = spark.createDataFrame(
+        rows + some + [(1000 + i, t, "en", "s") for i, t in enumerate(odd.values())],
+        "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in outliers.verdicts(docs).collect()}
+    for i, name in enumerate(odd):
+        r = got[1000 + i]
+        assert not r.base_failed and not r.kept, (name, r)
+    assert all(got[d].kept for d in (500, 501, 502))
+    assert sum(not got[d].kept for d in range(200)) <= 4

@@ -9,6 +9,11 @@ covariance determinant.  All steps are grouped aggregates over all documents
 (sums, products, quantile sketches), so a group of any size is combined before
 it is shuffled and never gathered.
 
+Most groups have no symbols, digits or repeats at all in most documents, so the
+estimate alone would reject any document that has one.  A statistic's variance
+therefore counts, in a document, as at least the variance that counting gives
+to a share of that many words or lines; for long documents that vanishes.
+
 Every (lang, source) pair has an estimate of its own, and so has every language
 and the whole table.  From ``MIN_GROUP`` documents on, the pair's estimate counts
 alone; with n documents below that it weighs n / ``MIN_GROUP``, and the rest is
@@ -30,6 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from vigil.llm.common import arrow_map, settled, written
 
@@ -37,13 +43,13 @@ from vigil.llm.common import arrow_map, settled, written
 SUBSET = 0.75
 STEPS = 4
 #: A document is an outlier beyond this quantile of the chi-square law, as a
-#: normal score (the law's own tail is far too thin for text statistics).
-CUTOFF_Z = 6.0
+#: normal score: the 0.999 quantile.
+CUTOFF_Z = 3.0902
 
-#: (name, smallest standard deviation that is taken seriously).
-DIMS = (("size", 0.5), ("word_length", 0.08), ("symbols", 0.10), ("dup_lines", 0.15),
-        ("repeats", 0.15), ("capitals", 0.06), ("digits", 0.06))
+DIMS = ("size", "word_length", "symbols", "dup_lines", "repeats", "capitals", "digits")
 P = len(DIMS)
+#: Variance added to every statistic, so that a covariance has an inverse.
+RIDGE = 0.02 ** 2
 #: Documents from which a group's own estimate counts alone.
 MIN_GROUP = 10 * P
 _SYMBOLS = b"#*$%&|<>"
@@ -147,7 +153,7 @@ def grouped(stats: DataFrame) -> DataFrame:
                               "g0": F.lit("all")})
 
 
-def chi2_quantile(z: float, p: int = P) -> float:
+def chi2_quantile(z: float, p: float | Column = P) -> float | Column:
     """Wilson-Hilferty quantile of the chi-square law at normal score z."""
     a = 2 / (9 * p)
     return p * (1 - a + z * a ** 0.5) ** 3
@@ -170,17 +176,21 @@ def _moments(rows: DataFrame) -> DataFrame:
         F.array(*(F.sum(x[i] * x[j]) for i in range(P) for j in range(P))).alias("ss"))
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        floor = np.diag([f * f for _, f in DIMS])
+        ridge = RIDGE * np.eye(P)
         for f in frames:
-            mu, inv = [], []
+            mu, inv, dof = [], [], []
             for n, s, ss in zip(f["n"], f["s"], f["ss"]):
                 m = np.asarray(s, float) / n
                 cov = np.asarray(ss, float).reshape(P, P) / n - np.outer(m, m)
                 mu.append(m)
-                inv.append(np.linalg.inv((cov + cov.T) / 2 + floor).ravel())
-            yield pd.DataFrame({"g": f["g"], "n": f["n"], "mu": mu, "inv": inv})
+                cov = (cov + cov.T) / 2
+                inv.append(np.linalg.inv(cov + ridge).ravel())
+                # statistics that vary: a constant one adds nothing to the distance
+                dof.append(max(1.0, float(np.trace(cov @ inv[-1].reshape(P, P)))))
+            yield pd.DataFrame({"g": f["g"], "n": f["n"], "mu": mu, "inv": inv, "dof": dof})
 
-    return sums.mapInPandas(solve, "g string, n long, mu array<double>, inv array<double>")
+    return sums.mapInPandas(
+        solve, "g string, n long, mu array<double>, inv array<double>, dof double")
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -190,9 +200,9 @@ def _start(rows: DataFrame) -> DataFrame:
         for i in range(P))).alias("q"))
     mu = F.transform("q", lambda v: v[1])
     inv = [F.lit(0.0)] * (P * P)
-    for i, (_, floor) in enumerate(DIMS):
+    for i in range(P):
         spread = (F.get(F.get("q", F.lit(i)), F.lit(2)) - F.get(F.get("q", F.lit(i)), F.lit(0)))
-        inv[i * P + i] = F.lit(1.0) / (F.pow(spread / 1.349, F.lit(2)) + F.lit(floor * floor))
+        inv[i * P + i] = F.lit(1.0) / (F.pow(spread / 1.349, F.lit(2)) + F.lit(RIDGE))
     return q.select("g", "n", mu.alias("mu"), F.array(*inv).alias("inv"))
 
 
@@ -208,21 +218,22 @@ def estimates(rows: DataFrame) -> DataFrame:
         params = written(_moments(inner), f"mcd-{step + 1}")
     params = written(_scaled(rows, params), "mcd-scaled")
     near = rows.join(params, "g").where(
-        _distance() / F.col("scale") <= chi2_quantile(1.96)).select("g", "x")
-    return written(_scaled(rows, _moments(near)), "mcd")
+        _distance() <= F.col("scale") * chi2_quantile(1.96)).select("g", "x")
+    return written(_scaled(rows, written(_moments(near), "mcd-last")), "mcd")
 
 
 def _scaled(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """``scale`` brings the group's median distance to the chi-square median."""
+    """``scale`` brings the group's median distance to the chi-square median of
+    the statistics that vary in it."""
     d = rows.join(params.select("g", "mu", "inv"), "g").groupBy("g").agg(
         F.count("*").alias("n"), F.percentile_approx(_distance(), 0.5, 2000).alias("m"))
-    return params.drop("n").join(d, "g").select("g", "n", "mu", "inv", F.greatest(
-        F.col("m") / chi2_quantile(0.0), F.lit(1.0)).alias("scale"))
+    return params.drop("n").join(d, "g").select(
+        "g", "n", "mu", "inv", (F.col("m") / chi2_quantile(0.0, F.col("dof"))).alias("scale"))
 
 
 def _shrunk(names: DataFrame, params: DataFrame, min_group: int) -> DataFrame:
-    """Location and scaled inverse scatter per pair, leaning on its language and
-    on the whole table as far as documents are missing."""
+    """Location and scaled scatter per pair, leaning on its language and on the
+    whole table as far as documents are missing."""
     def level(g: str, tag: str) -> DataFrame:
         return params.select(F.col("g").alias(g), *(
             F.col(c).alias(c + tag) for c in ("n", "mu", "inv", "scale")))
@@ -232,20 +243,40 @@ def _shrunk(names: DataFrame, params: DataFrame, min_group: int) -> DataFrame:
 
     def lean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            mus, invs = [], []
+            mus, covs = [], []
             for r in f.itertuples(index=False):
                 mu = cov = 0.0
                 for tag in "012":
                     n = getattr(r, "n" + tag)
                     share = 1.0 if tag == "0" else min(1.0, n / min_group)
                     own = np.linalg.inv(np.reshape(getattr(r, "inv" + tag), (P, P)).astype(float))
+                    own -= RIDGE * np.eye(P)
                     mu = (1 - share) * mu + share * np.asarray(getattr(r, "mu" + tag), float)
                     cov = (1 - share) * cov + share * getattr(r, "scale" + tag) * own
                 mus.append(mu)
-                invs.append(np.linalg.inv(cov).ravel())
-            yield pd.DataFrame({"g": f["g"], "n": f["n0"], "mu": mus, "inv": invs})
-
-    return every.mapInPandas(lean, "g string, n long, mu array<double>, inv array<double>")
+                covs.append((cov + RIDGE * np.eye(P)).ravel())
+            yield pd.DataFrame({"g": f["g"], "n": f["n0"], "mu": mus, "cov": covs})
+
+    return every.mapInPandas(lean, "g string, n long, mu array<double>, cov array<double>")
+
+
+@F.pandas_udf(DoubleType())
+def _judged(x: pd.Series, mu: pd.Series, cov: pd.Series, n_words: pd.Series,
+            n_lines: pd.Series) -> pd.Series:
+    """Squared distances, each statistic's variance counting as its share's own
+    sampling variance at least (a square root's is 1 / 4n; a repeat is six words)."""
+    out = np.full(len(x), np.nan)
+    at = np.flatnonzero((x.notna() & mu.notna()).to_numpy())
+    if len(at):
+        gap = np.stack(x.iloc[at].to_list()) - np.stack(mu.iloc[at].to_list())
+        c = np.stack(cov.iloc[at].to_list()).reshape(-1, P, P).copy()
+        words, lines = n_words.to_numpy(float)[at], n_lines.to_numpy(float)[at]
+        least = np.outer(0.25 / words, (0, 1, 1, 0, 6, 1, 1))
+        least[:, DIMS.index("dup_lines")] = 0.25 / lines
+        i = np.arange(P)
+        c[:, i, i] += np.maximum(least - c[:, i, i], 0)
+        out[at] = (gap * np.linalg.solve(c, gap[:, :, None])[:, :, 0]).sum(axis=1)
+    return pd.Series(out).astype(object).where(~np.isnan(out), None)
 
 
 def verdicts(docs: DataFrame, min_group: int = MIN_GROUP, cutoff_z: float = CUTOFF_Z) -> DataFrame:
@@ -258,7 +289,8 @@ def verdicts(docs: DataFrame, min_group: int = MIN_GROUP, cutoff_z: float = CUTO
         return _shrunk(rows.select("g", "g1", "g0").distinct(), params, min_group)
 
     params = settled(docs.sparkSession, "mcd-final", build)
-    judged = full.join(params, "g", "left").withColumn("distance", _distance())
+    judged = full.join(params, "g", "left").withColumn(
+        "distance", _judged("x", "mu", "cov", "n_words", "n_lines"))
     far = (F.col("distance") > chi2_quantile(cutoff_z)) & (F.col("n") >= 10 * P)
     failed = base_failed()
     return judged.select(
