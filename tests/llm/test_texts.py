@@ -269,6 +269,56 @@ def test_network_finds_unlisted_secrets(spark):
     assert found >= 80 and wrong <= 5
 
 
+BASE62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def secret_rows(rng, n=800):
+    """(kind, run, text): listed and unlisted secrets and harmless runs in one table."""
+    def token(k, chars=BASE62):
+        return "".join(rng.choice(chars) for _ in range(k - 1)) + rng.choice("23456789")
+
+    out = []
+    for i in range(n):
+        kind = ("listed", "plain", "plain", "plain", "unlisted", "hex", "unlisted", "unlisted")[i % 8]
+        run = (token(rng.randint(20, 40)), f"555-0{rng.randint(100, 999)}-{rng.randint(1000, 9999)}",
+               f"{rng.randint(1990, 2030)}-01-{i % 28 + 1:02d}T10",
+               f"docs/chapter{i}/report2.html", "ghp_" + token(36), token(32, "0123456789abcdef"),
+               token(40, BASE62 + "+/"), token(28))[i % 8]
+        before = ('secret = "', "call ", "on ", "see ", "with ", "sum ", "key ", "Bearer ")[i % 8]
+        out.append((kind, run, f"{cases.sentence(rng, 8)} {before}{run} {cases.sentence(rng, 8)}"))
+    return out
+
+
+def test_unlisted_secrets_inside_the_fitted_table_are_found(spark):
+    rows = secret_rows(random.Random(12))
+    docs = cases.documents(spark, [(i, t) for i, (_, _, t) in enumerate(rows)])
+    got = secret_scan.scan_all([t for *_, t in rows], secret_scan.fit(docs))
+    hit = {k: [any(s[0] == "net" and t[s[1]:s[2]] == run for s in a)
+               for (kind, run, t), (_, a) in zip(rows, got) if kind == k]
+           for k in ("unlisted", "plain")}
+    assert np.mean(hit["unlisted"]) >= 0.85 and np.mean(hit["plain"]) <= 0.03
+
+
+def test_unlisted_runs_have_no_label():
+    for kind, run, text in secret_rows(random.Random(13), 160):
+        labels = {y for s, e, y in secret_scan.labelled(text) if run in text[s:e] or text[s:e] in run}
+        assert labels == {"listed": {1}, "hex": {1}, "plain": {0}, "unlisted": set()}[kind], run
+
+
+def test_thresholds_keep_the_recall_on_held_out_positives_per_shape():
+    """Few positives that the network cannot tell apart: the recall holds all the same."""
+    rng = np.random.default_rng(5)
+    net = secret_scan.CharCNN()
+    x = rng.integers(1, 97, (40_000, secret_scan.WIDTH)).astype(np.uint8)
+    y = (rng.random(40_000) < 0.2).astype(float)
+    shapes = rng.integers(0, 2, 40_000)
+    net.calibrate(x[:20_000], y[:20_000], shapes[:20_000])
+    p = net.probability(x[20_000:])
+    for s in (0, 1):
+        good = p[(y[20_000:] > 0) & (shapes[20_000:] == s)]
+        assert (good >= net.thresholds[s]).mean() >= 0.92
+
+
 def test_findings_on_awkward_rows(spark):
     rows = cases.texts(random.Random(5))
     docs = cases.documents(spark, rows)
