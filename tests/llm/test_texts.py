@@ -299,6 +299,44 @@ def test_unlisted_secrets_inside_the_fitted_table_are_found(spark):
     assert np.mean(hit["unlisted"]) >= 0.85 and np.mean(hit["plain"]) <= 0.03
 
 
+def test_every_run_is_a_candidate_and_seen_whole():
+    rng = random.Random(14)
+    parts = ["ab", "Zq", "7", "/", ".", "=", " ", "é", "AKIA" + "Q" * 16, "deadbeef01", "x" * 30, "\n"]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        base = secret_scan.base_spans(text)
+        assert secret_scan.candidates(text, base) == [
+            m.span() for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", text)
+            if m.end() - m.start() >= 12 and not any(s < m.end() and m.start() < e for _, s, e in base)]
+    for n in range(12, 400):
+        got = secret_scan.windows("=" * 500, 5, 5 + n)
+        assert {i for s, e in got for i in range(s, e)} == set(range(5, 5 + n))
+        assert all(e - s <= secret_scan.INSIDE for s, e in got)
+        # every key of up to half a window's length lies whole in one of them
+        assert all(any(s <= i and i + 24 <= e for s, e in got) for i in range(5, 5 + n - 23))
+
+
+def test_keys_of_letters_and_keys_inside_long_runs_are_found(spark):
+    rng = random.Random(15)
+    docs = cases.documents(spark, [(i, t) for i, (*_, t) in enumerate(secret_rows(rng))])
+    net = secret_scan.fit(docs)
+
+    def found(runs):
+        got = secret_scan.scan_all([f"{cases.sentence(rng, 5)} {r} end" for r in runs], net)
+        return np.mean([any(s[0] == "net" and s[2] - s[1] == len(r) for s in a)
+                        for r, (_, a) in zip(runs, got)])
+
+    def path(key):
+        return f"docs/chapter{rng.randint(1, 99)}/section/of/the/report/{key}/pages/index/report2.html"
+
+    letters = ["".join(rng.choice(BASE62[:52]) for _ in range(32)) for _ in range(200)]
+    keys = ["".join(rng.choice(BASE62) for _ in range(24)) for _ in range(200)]
+    assert (3, 15) in secret_scan.windows("/a/Key4Key4Key4/b", 0, 17)
+    assert found(letters) >= 0.8
+    assert found([path(k) for k in keys]) >= 0.7
+    assert found([path("introduction") for _ in keys]) <= 0.05
+
+
 def test_unlisted_runs_have_no_label():
     for kind, run, text in secret_rows(random.Random(13), 160):
         labels = {y for s, e, y in secret_scan.labelled(text) if run in text[s:e] or text[s:e] in run}
