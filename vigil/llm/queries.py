@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import (bpe, decontaminate, language, line_dedup, near_dup, outliers,
-                       quality, secret_scan, suffix_dedup, token_store)
+from vigil.llm import (bpe, cap_filters, collocations, decontaminate, language, line_dedup,
+                       near_dup, outliers, quality, secret_scan, spelling, suffix_dedup,
+                       token_store)
 from vigil.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +78,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_byte_bpe")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_documents(read_table(spark, sf_dir, "documents")))
+
+
+@query("op11_spelling", spelling.ORACLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
+@query("op12_cap_filters", cap_filters.ORACLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.dedup(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_collocations", collocations.ORACLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
