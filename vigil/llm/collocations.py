@@ -8,7 +8,7 @@ words that share a bit by chance only cost time).  Words are numbers there:
 or else they are drawn anew with another seed.
 
 Windows are counted by sorting, without hash tables: partial counts go into
-prefix order (first, second, third word), and one scan adds up equal
+the order of their prefixes (first two words, third word), and one scan adds up equal
 neighbours and at once the counts of the windows' first two words.  Equal first
 words stay together, so sums under ``MIN_COUNT`` go at once; a first word with
 more than a thousandth of all occurrences (there are at most a thousand) is
@@ -210,7 +210,9 @@ def count_streams(counts: DataFrame, least: int) -> DataFrame:
     order = ["h1", "h2", "h3"]
     place = (F.when(F.col("spread") == 0, F.xxhash64("h1")).when(
         F.col("spread") == 1, F.xxhash64("h1", "h2")).otherwise(F.xxhash64(*order)))
-    stream = counts.repartition(place).sortWithinPartitions(*order)
+    # the hash in front decides nearly every comparison of the sort
+    stream = counts.repartition(place).withColumn("prefix", F.xxhash64("h1", "h2")
+                                                  ).sortWithinPartitions("prefix", *order).drop("prefix")
     schema = schema_of(counts.sparkSession, _STREAM)
 
     def rows(keys: list, n: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
