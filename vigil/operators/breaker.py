@@ -221,21 +221,3 @@ def breaker_is_disabled(state: DataFrame, as_of,
     cool = F.make_dt_interval(secs=F.lit(float(cooldown_hours * 3600)))
     active = F.coalesce(F.col("disabled"), F.lit(False)) & (at.isNull() | (now - at < cool))
     return state.withColumn("is_disabled", active)
-
-
-# M04 ------------------------------------------------------------------------
-# Sources that never report failure (fixed values).
-NEVER_FAIL = ("google_news", "rss", "reddit", "hacker_news", "mastodon", "bluesky",
-              "slickdeals", "camelcamelcamel", "weather")
-
-
-def attempt_outcomes(landed: DataFrame) -> DataFrame:
-    """One attempt per (run, topic, source entry): failed iff the source can
-    report failure and any of its payloads failed (or it had none at all
-    because credentials were missing)."""
-    bad = F.col("status").isin("error", "malformed", "no_credentials", "exception")
-    reports = ~F.col("source").isin(*NEVER_FAIL) | (F.col("status") == "exception")
-    return (landed.groupBy("run_id", "topic_name", "source_ord", "source")
-            .agg(F.max("fetched_ts").alias("ts"),
-                 F.bool_or(bad & reports).alias("failed"),
-                 F.count("*").alias("n_payloads")))

@@ -1,4 +1,5 @@
-"""Escalation: M05 trigger match, M06 state fold, M07 effective urgency.
+"""Escalation: M05 trigger match, M06 state fold, M07 effective urgency, and
+the urgency in force at any time (interval join).
 
 M05  an item escalates its topic with the first trigger (config order)
      whose tag is among the item's tags.
@@ -26,6 +27,8 @@ from pyspark.sql import types as T
 from vigil.conventions import TRIGGER_DURATION_HOURS_DEFAULT, URGENCY_RANK
 from vigil.functions.lookups import urgency_rank
 from vigil.operators.folds import INIT_TS_US, blocked_fold
+from vigil.operators.intervals import interval_join
+from vigil.operators.positions import with_next
 
 KEYS = ("topic_name",)
 _HOUR_US = 3600 * 1_000_000
@@ -210,3 +213,28 @@ def effective_urgency(topics: DataFrame, state: DataFrame, as_of) -> DataFrame:
     return (j.withColumn("effective_urgency", eff)
             .withColumn("cleared", expired & F.coalesce(F.col("auto_revert"), F.lit(True)))
             .drop("_exp"))
+
+
+# §2.5 ------------------------------------------------------------------------
+def escalation_intervals(transitions: DataFrame, partitions: int | None = None) -> DataFrame:
+    """When each accepted escalation was in force: ``topic_name, start_at,
+    end_at, bumped_to, trigger_tag`` with ``end_at`` its expiry or the next
+    accepted one, whichever comes first (null: open)."""
+    kept = transitions.where(F.col("action").isin("set", "replace")).select(
+        "topic_name", "ts_us", "seq", "bumped_to", "expires_us", "trigger_tag")
+    kept = with_next(kept, KEYS, ["ts_us", "seq"], "ts_us", "next_us", partitions)
+    return kept.select("topic_name", F.timestamp_micros("ts_us").alias("start_at"),
+                       F.timestamp_micros(F.least("expires_us", "next_us")).alias("end_at"),
+                       "bumped_to", "trigger_tag")
+
+
+def urgency_at(points: DataFrame, intervals: DataFrame, topics: DataFrame, at: str,
+               width_hours: int = 6) -> DataFrame:
+    """Points (with ``topic_name``) and the escalation in force at their time:
+    ``bumped_to``, ``trigger_tag`` and ``effective_urgency``."""
+    got = interval_join(points, intervals, ["topic_name"], at, "start_at", "end_at", width_hours)
+    own = topics.select(F.col("name").alias("topic_name"), "urgency")
+    bump = F.coalesce("bumped_to", "urgency")
+    return got.join(own, "topic_name", "left").withColumn(
+        "effective_urgency", F.when(urgency_rank(bump) > urgency_rank(F.col("urgency")), bump)
+        .otherwise(F.col("urgency"))).drop("start_at", "end_at", "urgency")

@@ -20,10 +20,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from vigil.session import checkpoint_dir
 
@@ -119,3 +121,68 @@ def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
                .otherwise(F.lit(0)))
            .drop(_PID, _IDX, _LPOS, "first_key", "_off"))
     return out
+
+
+_BACK = "_back"
+
+
+def _local_previous(keys: list[str], value: str):
+    """The value of the row before, batch by batch; the first row of a
+    partition has none yet."""
+    def run(batches):
+        from pyspark import TaskContext
+
+        pid = TaskContext.get().partitionId()
+        held = None
+        idx = 0
+        for pdf in batches:
+            n = len(pdf)
+            if n == 0:
+                continue
+            kdf = pdf[keys].astype(object).where(pdf[keys].notna(), None)
+            v = pdf[value].to_numpy(np.int64)
+            same = np.zeros(n, bool)
+            same[1:] = ((kdf.iloc[1:].to_numpy() == kdf.iloc[:-1].to_numpy()).all(axis=1))
+            back = np.zeros(n, np.int64)
+            back[1:] = v[:-1]
+            first = tuple(kdf.iloc[0].tolist())
+            if held is not None and held[0] == first:
+                same[0], back[0] = True, held[1]
+            held = tuple(kdf.iloc[-1].tolist()), int(v[-1])
+            out = pdf.copy()
+            out[_PID] = pid
+            out[_IDX] = range(idx, idx + n)
+            out[_BACK] = pd.array(np.where(same, back, 0), dtype="Int64")
+            out.loc[~same, _BACK] = pd.NA
+            idx += n
+            yield out
+
+    return run
+
+
+def with_next(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
+              name: str = "next", partitions: int | None = None) -> DataFrame:
+    """Add ``name`` = ``value`` of the row that follows within ``keys`` by
+    ``order`` (null for the last one).  ``value`` is a long without nulls.
+
+    Equivalent to ``lead(value)`` over a window per key, but a hot key spans
+    many tasks: rows are sorted backwards by range, one streaming pass takes the
+    row before, and the first row of a partition gets the last one of the
+    partition before it (a table of one row per partition).
+    """
+    keys = list(keys)
+    checkpoint_dir(df.sparkSession)
+    back = range_sorted(df, keys, [F.col(c).desc() for c in order], partitions)
+    schema = T.StructType(df.schema.fields + [
+        T.StructField(_PID, T.IntegerType()), T.StructField(_IDX, T.LongType()),
+        T.StructField(_BACK, T.LongType())])
+    local = back.mapInPandas(_local_previous(keys, value), schema).checkpoint(eager=True)
+    key = F.struct(*[F.col(k) for k in keys])
+    last = local.groupBy(_PID).agg(F.max_by(F.struct(key.alias("k"), F.col(value).alias("v")),
+                                            F.col(_IDX)).alias("e"))
+    # at most one row per partition
+    edge = last.select(_PID, F.lag("e").over(Window.orderBy(_PID)).alias("_edge"))
+    joined = local.join(F.broadcast(edge), _PID, "left")
+    at_edge = (F.col(_IDX) == 0) & key.eqNullSafe(F.col("_edge.k"))
+    return joined.withColumn(name, F.when(at_edge, F.col("_edge.v")).otherwise(F.col(_BACK))).drop(
+        _PID, _IDX, _BACK, "_edge")

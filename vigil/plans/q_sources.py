@@ -289,7 +289,6 @@ for _s in FEED_SQL:
 
 
 # --- configuration scans (S32–S35) and attempt outcomes (M04) -------------------------
-from vigil.operators.breaker import attempt_outcomes as _outcomes  # noqa: E402
 from vigil.sources import config as CF  # noqa: E402
 from vigil.sources import fixtures as fxm  # noqa: E402
 from functools import reduce  # noqa: E402
@@ -373,22 +372,6 @@ def request_plan(spark, sf_dir):
         "unit", "value", "params")
 
 
-@query("attempt_outcomes", """
-SELECT run_id, topic_name, source, bool_or(bad AND reports) AS failed,
-       CAST(count(*) AS BIGINT) AS n_payloads
-FROM (SELECT 'run-' || CAST(pid % 7 AS VARCHAR) AS run_id,
-             'topic_' || lpad(CAST(pid % 13 AS VARCHAR), 2, '0') AS topic_name,
-             source, pid % 500 = 0 AS bad, source <> 'rss' AS reports
-      FROM (SELECT DISTINCT event_id - event_id % 10 AS pid, s.source
-            FROM events CROSS JOIN (VALUES ('gdelt'), ('rss')) s(source)))
-GROUP BY run_id, topic_name, source""")
-def attempt_outcomes(spark, sf_dir):
-    landed = FP.landed(spark, sf_dir, "gdelt").unionByName(FP.landed_feed(spark, sf_dir, "rss"))
-    out = _outcomes(landed.withColumn("source_ord", F.lit(0)))
-    return out.select("run_id", "topic_name", "source", "failed",
-                      F.col("n_payloads").cast("bigint").alias("n_payloads"))
-
-
 # --- jobs and papers: adzuna (S20), pubmed (S16), biorxiv (S18) ----------------------
 def _salary_sql(lo: str, hi: str) -> str:
     return (f"CASE WHEN {lo} IS NOT NULL AND {lo} <> 0 AND {hi} IS NOT NULL AND {hi} <> 0 "
@@ -713,6 +696,7 @@ def item_rejects(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+# In the fixture a malformed payload breaks off in the XML declaration.
 @query("indeed_failures", """
 SELECT payload_id, payload_id % 500 = 0 AS failed
 FROM (SELECT DISTINCT event_id - event_id % 10 AS payload_id FROM events)""")
@@ -741,3 +725,75 @@ def all_results(spark, sf_dir):
     return CF.union_results(*parts).select(
         F.col("source_rank").cast("int").alias("source_rank"), "payload_id", "item_pos", "url",
         "title", "source", "source_type")
+
+
+# --- attempt outcomes of all sources (M04) ---------------------------------------------
+from vigil.sources import outcomes as OC  # noqa: E402
+
+#: Payload ids of every source, as SQL: (table, key, keys per payload).
+_PAYLOADS = {
+    **dict.fromkeys(["gdelt", "guardian", "nytimes", "newsapi", "hacker_news", "mastodon",
+                     "bluesky", "youtube", "weather", "google_news", "rss", "slickdeals",
+                     "camelcamelcamel", "indeed", "reddit"], ("events", "event_id", 10)),
+    **dict.fromkeys(["ebay", "etsy", "grailed", "mercari"], ("orders", "o_orderkey", 10)),
+    **dict.fromkeys(["semantic_scholar", "pubmed", "biorxiv", "medrxiv", "arxiv"],
+                    ("documents", "doc_id", 10)),
+    **dict.fromkeys(["adzuna", "playbill_jobs", "usitt_jobs"], ("part", "p_partkey", 10)),
+    "email": ("conversations", f"(conv_id * {FP.MAIL_STRIDE} + turn)", 10),
+    "tmdb_search": ("part", "p_partkey", 12), "tmdb_discover": ("part", "p_partkey", 25),
+    "substack_feed": ("events", "event_id", 12), "substack_search": ("customer", "c_custkey", 10),
+}
+
+
+def _landed_everywhere(spark, sf_dir):
+    """The landed payloads of every source in ``_PAYLOADS``."""
+    def of(name):
+        if name in ("playbill_jobs",):
+            return FP.landed_pages(spark, sf_dir)
+        if name == "usitt_jobs":
+            return FP.landed_usitt(spark, sf_dir)
+        if name == "substack_search":
+            return FP.landed_substack_search(spark, sf_dir)
+        if name.startswith("tmdb"):
+            return FP.landed(spark, sf_dir, name).withColumn("source", F.lit("tmdb"))
+        if name == "medrxiv":
+            return FP.landed(spark, sf_dir, "biorxiv").withColumn("source", F.lit("medrxiv"))
+        if name in FP.FEEDS or name == "substack_feed":
+            return FP.landed_feed(spark, sf_dir, name.removesuffix("_feed"))
+        return FP.landed(spark, sf_dir, name)
+
+    parts = [of(n).select("payload_id", "run_id", "topic_name", "source_ord", "source", "term",
+                          F.lit("feed" if n == "substack_feed" else None).cast("string").alias("kind"),
+                          "fetched_ts", "status", "body") for n in _PAYLOADS]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+# arXiv bodies break off inside their first entry and so have one.
+@query("attempt_outcomes", "WITH p AS (" + " UNION ALL ".join(
+    f"SELECT DISTINCT '{n}' AS name, '{'substack' if n.startswith('substack') else 'tmdb' if n.startswith('tmdb') else n}'"
+    f" AS source, {k} - {k} % {per} AS pid, {per * 50} AS bad_every FROM {t}"
+    for n, (t, k, per) in _PAYLOADS.items()) + f"""),
+q AS (SELECT *, 'run-' || CAST(pid % 7 AS VARCHAR) AS run_id,
+             'topic_' || lpad(CAST(pid % 13 AS VARCHAR), 2, '0') AS topic_name,
+             source NOT IN ({", ".join(f"'{s}'" for s in OC.NEVER_FAIL)}) AS reports,
+             CASE WHEN name = 'tmdb_discover' THEN CASE WHEN pid % 2 = 0 THEN 'movie' ELSE 'tv' END
+                  ELSE 'term ' || CAST(pid % 7 AS VARCHAR) END AS term,
+             pid % bad_every = 0 AND name NOT IN ('arxiv', 'substack_feed') AS bad,
+             pid % 110 = 30 AS lost FROM p),
+req AS (SELECT DISTINCT run_id, topic_name, source, reports,
+               CASE WHEN lost THEN 'lost ' || CAST(pid AS VARCHAR) ELSE term END AS value, lost FROM q),
+asked AS (SELECT run_id, topic_name, source, count(*) AS n_requests,
+                 count(*) FILTER (WHERE lost) AS n_missing, bool_or(lost AND reports) AS gone
+          FROM req GROUP BY ALL),
+came AS (SELECT run_id, topic_name, source, count(*) AS n_payloads, bool_or(bad AND reports) AS bad
+         FROM q GROUP BY ALL)
+SELECT run_id, topic_name, source, bad OR gone AS failed, n_requests, n_missing, n_payloads
+FROM asked JOIN came USING (run_id, topic_name, source)""")
+def attempt_outcomes(spark, sf_dir):
+    """M04 over all sources; one planned request in eleven got no reply."""
+    landed = _landed_everywhere(spark, sf_dir)
+    pid = F.col("payload_id")
+    plan = landed.withColumn("value", F.when(
+        pid % 110 == 30, F.concat(F.lit("lost "), pid.cast("string"))).otherwise(F.col("term")))
+    return OC.attempt_outcomes(plan, landed).select(
+        "run_id", "topic_name", "source", "failed", "n_requests", "n_missing", "n_payloads")

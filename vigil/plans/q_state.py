@@ -231,3 +231,27 @@ def topic_hue(spark, sf_dir):
     from vigil.functions.lookups import topic_hue as hue
     names = fx.table(spark, sf_dir, "customer").select(F.col("c_name").alias("topic_name"))
     return names.select("topic_name", hue("topic_name").cast("int").alias("hue"))
+
+
+# --- scoring calls against the escalations in force -----------------------------------
+@query("score_urgency", with_views("o_esc_steps", "fx_items", "fx_topics") + f"""
+, kept AS (SELECT s.topic_name, i.fetched_at AS start_at, s.seq, s.lvl, s.exp, s.tag
+           FROM o_esc_steps s JOIN fx_items i ON i.event_id = s.seq
+           WHERE s.action IN ('set', 'replace')),
+span AS (SELECT *, least(exp, lead(start_at) OVER (PARTITION BY topic_name ORDER BY start_at, seq))
+           AS end_at FROM kept)
+SELECT p.event_id, p.topic_name, {ts_sql('p.fetched_at')} AS call_ts, x.lvl AS bumped_to,
+       x.tag AS trigger_tag,
+       CASE WHEN {_RANK_SQL.format(x="COALESCE(x.lvl, t.urgency)")} > {_RANK_SQL.format(x='t.urgency')}
+            THEN x.lvl ELSE t.urgency END AS effective_urgency
+FROM fx_items p JOIN fx_topics t ON t.name = p.topic_name
+LEFT JOIN span x ON x.topic_name = p.topic_name AND p.fetched_at >= x.start_at
+                AND p.fetched_at < x.end_at""")
+def score_urgency(spark, sf_dir):
+    """Every scoring call with the escalation of its topic at the call's time."""
+    trans, _ = _esc(spark, sf_dir)
+    calls = fx.fx_scores(spark, sf_dir).select("event_id", "call_ts").join(
+        fx.fx_items(spark, sf_dir).select("event_id", "topic_name"), "event_id")
+    out = E.urgency_at(calls, E.escalation_intervals(trans), fx.fx_topics(spark), "call_ts")
+    return out.select("event_id", "topic_name", ts_text("call_ts").alias("call_ts"), "bumped_to",
+                      "trigger_tag", "effective_urgency")

@@ -111,12 +111,18 @@ def normalise_indeed(landed: DataFrame, as_of=AS_OF) -> DataFrame:
                                           F.lit(as_of).cast("timestamp")))
 
 
+def feed_failed(body: str = "body") -> Column:
+    """A feed that is malformed and in which no entry even begins; a
+    well-formed one may be empty, and one that breaks off later has entries."""
+    parsed = F.from_xml(F.col(body), f"{FEED_SCHEMA}, _corrupt STRING",
+                        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    malformed = parsed.isNull() | parsed["_corrupt"].isNotNull()
+    return malformed & ~F.coalesce(F.col(body).rlike(r"<(item|entry)[\s/>]"), F.lit(False))
+
+
 def indeed_failed(landed: DataFrame) -> DataFrame:
-    """A payload that is malformed and has no entries marks the source failed."""
-    items = F.col("_p")["channel"]["item"]
-    return (landed.withColumn("_p", _xml("body", RSS_SCHEMA))
-            .withColumn("failed", F.col("_p").isNull() | F.coalesce(F.size(items) <= 0, F.lit(True)))
-            .drop("_p"))
+    """Adds ``failed`` per payload."""
+    return landed.withColumn("failed", feed_failed())
 
 
 def _atom(landed: DataFrame) -> DataFrame:
