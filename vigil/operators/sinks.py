@@ -1,13 +1,16 @@
-"""Sinks (K01–K04): archive, index snapshot, seen-state snapshot, record
-round-trip.  Writes are idempotent per run: a retried run replaces its own
-``run_id`` partition instead of appending twice."""
+"""Sinks (K01, K02, K04): archive, index snapshot, record round-trip.  Writes
+are commits per run (``commits.py``): a retried run never appends twice."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigil.operators.commits import commit, read_committed
+
 # Columns of a persisted result record, in record order.
 RECORD_FIELDS = ["url", "title", "snippet", "source", "source_type", "topic_name",
                  "fetched_at", "published_at", "price", "novelty_score", "summary", "tags",
@@ -49,12 +52,22 @@ def archive_rows(passed: DataFrame, written_at: Column) -> DataFrame:
         F.to_json(record(passed), RECORD_OPTIONS).alias("json"))
 
 
-def append_archive(passed: DataFrame, path: str, written_at: Column) -> None:
-    """Idempotent append: dynamic partition overwrite replaces only this
-    run's (month, run_id) partitions, so a retried run never duplicates."""
-    rows = archive_rows(passed, written_at).select("month", "run_id", "json")
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("month", "run_id").text(path))
+ARCHIVE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("run_id", "json", "month")])
+
+
+def commit_archive(passed: DataFrame, path: str, written_at: Column, run: str) -> bool:
+    """Append the rows of one run, all or none; a run that is there already
+    changes nothing."""
+    rows = archive_rows(passed, written_at).select(*ARCHIVE_SCHEMA.names)
+    return commit(rows, path, run, "month")
+
+
+def read_archive(spark: SparkSession, path: str, months: Sequence[str] | None = None) -> DataFrame:
+    """Archived records with their ``month`` and ``run_id``; with ``months``
+    only the files of those are read."""
+    rows = read_committed(spark, path, ARCHIVE_SCHEMA, "month", months)
+    return rows.select("month", "run_id", F.from_json("json", RECORD_SCHEMA, RECORD_OPTIONS)
+                       .alias("r")).select("month", "run_id", "r.*")
 
 
 # K02 -------------------------------------------------------------------------
@@ -66,15 +79,6 @@ def index_snapshot(index: DataFrame, key: str = "topic_name") -> DataFrame:
                     F.array_join(F.transform("_rows", lambda r: r["url"]), ",").alias("urls")))
 
 
-# K03 -------------------------------------------------------------------------
-def write_snapshot(df: DataFrame, path: str, run_id: str) -> str:
-    """Write a state snapshot under ``path/run_id=…`` (new folder per run; the
-    reader takes the latest complete run), never overwriting in place."""
-    target = f"{path.rstrip('/')}/run_id={run_id}"
-    df.write.mode("overwrite").parquet(target)
-    return target
-
-
 # K04 -------------------------------------------------------------------------
 def roundtrip(df: DataFrame, key: str = "event_id") -> DataFrame:
     """Each record written as JSON and parsed again: the key and the fields

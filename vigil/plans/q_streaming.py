@@ -179,3 +179,70 @@ def stream_seen_filter(spark, sf_dir):
         stream).writeStream.outputMode("append")
         .foreachBatch(S.idempotent_batch_writer(f"{base}/out", lambda b, i: b)))
     return spark.read.parquet(f"{base}/out").select("event_id", "url")
+
+
+def _changes_oracle() -> str:
+    from vigil.plans.oracle_views import ts_text as ts_sql
+    from vigil.plans.oracle_views import with_views
+    return with_views("o_esc_steps", "fx_items") + f"""
+, kept AS (SELECT s.topic_name, i.fetched_at AS since, s.seq, s.action, s.lvl, s.exp, s.tag
+           FROM o_esc_steps s JOIN fx_items i ON i.event_id = s.seq
+           WHERE s.action IN ('set', 'replace')),
+nxt AS (SELECT *, lead(since) OVER (PARTITION BY topic_name ORDER BY since, seq) AS later FROM kept),
+clock AS (SELECT max(run_at) AS now FROM fx_items)
+SELECT topic_name, {ts_sql('since')} AS changed_at, seq, action AS change, lvl AS bumped_to, tag AS trigger_tag
+FROM kept
+UNION ALL
+SELECT topic_name, {ts_sql('exp')}, seq, 'reverted', NULL, tag FROM nxt, clock
+WHERE exp <= now AND (later IS NULL OR exp <= later)"""
+
+
+@query("stream_escalation_changes", _changes_oracle())
+def stream_escalation_changes(spark, sf_dir):
+    """T04 with expiry: escalations set, replaced and over, week by week, with
+    the runs' times as the clock."""
+    from vigil.plans.q_state import _matches
+    m = _matches(spark, sf_dir).withColumn("ts", F.col("fetched_at")).withColumn("seq", F.col("event_id"))
+    ev = escalation_events(m)
+    cols = ["topic_name", "ts_us", "seq", "level", "rank", "dur_us", "tag", "auto"]
+    runs = fx.fx_items(spark, sf_dir).select("run_at").distinct()
+    rows = ev.select(*cols, F.timestamp_micros("ts_us").alias("ts")).unionByName(
+        runs.select(F.col("run_at").alias("ts"), F.unix_micros("run_at").alias("ts_us")),
+        allowMissingColumns=True)
+
+    def start(stream, base):
+        got = S.escalation_changes_stream(stream.where(F.col("topic_name").isNotNull()),
+                                          stream.where(F.col("topic_name").isNull()))
+        return got.writeStream.outputMode("append").foreachBatch(
+            S.idempotent_batch_writer(f"{base}/out", lambda b, i: b))
+
+    base = _poll_weekly(spark, "esc_changes", rows, F.col("ts"), start)
+    return spark.read.parquet(f"{base}/out").select(
+        "topic_name", ts_text(F.timestamp_micros("at_us")).alias("changed_at"), "seq", "change",
+        "bumped_to", "trigger_tag")
+
+
+#: Tiers of the sources before the first and before the second poll.
+_TIERS = ({"gdelt": "frequent", "arxiv": "frequent", "slickdeals": "discovery",
+           "weather": ("discovery", "broad")},
+          {"gdelt": "discovery", "arxiv": "frequent", "slickdeals": "discovery", "weather": "broad"})
+
+
+@query("stream_poll_tiers", " UNION ALL ".join(
+    f"SELECT payload_id, item_pos, url, title, '{s}' AS adapter FROM ({ORACLE['norm_' + s]})"
+    for s in _TIERS[0]))
+def stream_poll_tiers(spark, sf_dir):
+    """Two landings, a poll of every tier after each; a source moves to
+    another tier in between."""
+    from vigil.sources import fixture_payloads as FP
+    from vigil.streaming import tiers as P
+    base = _fresh_dir(spark, "tiers")
+    for part, tiers in enumerate(_TIERS):
+        for s in tiers:
+            rows = FP.landed_feed(spark, sf_dir, s) if s in FP.FEEDS else FP.landed(spark, sf_dir, s)
+            rows.where(F.pmod(F.floor(F.col("payload_id") / 10), F.lit(2)) == part).write.mode(
+                "append").parquet(f"{base}/in/source={s}")
+        for tier in ("frequent", "discovery", "broad"):
+            P.start_poll(spark, f"{base}/in", f"{base}/state", tier, tiers).awaitTermination()
+    return P.poll_results(spark, f"{base}/state").select(
+        "payload_id", F.col("item_pos").cast("bigint").alias("item_pos"), "url", "title", "adapter")

@@ -44,4 +44,4 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from vigil.plans import q_state  # noqa: F401  (registers views used below)
     from vigil.plans import (chain, q_core, q_functions, q_notify,  # noqa: F401
-                             q_sources, q_scoring, q_streaming)
+                             q_sources, q_scoring, q_sinks, q_streaming)

@@ -133,6 +133,96 @@ def escalation_stream(events: DataFrame) -> DataFrame:
         _esc_fn(EscalationMachine()), ESC_OUT, ESC_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+# T04, with its expiry ----------------------------------------------------------
+ESC_CHANGE = T.StructType([T.StructField("topic_name", T.StringType()),
+                           T.StructField("at_us", T.LongType()),
+                           T.StructField("seq", T.LongType()),
+                           T.StructField("change", T.StringType()),
+                           T.StructField("bumped_to", T.StringType()),
+                           T.StructField("expires_us", T.LongType()),
+                           T.StructField("trigger_tag", T.StringType())])
+ESC_TIMER = T.StructType([T.StructField("level", T.StringType()),
+                          T.StructField("rank", T.IntegerType()),
+                          T.StructField("exp", T.LongType()),
+                          T.StructField("tag", T.StringType()),
+                          T.StructField("seq", T.LongType()),
+                          T.StructField("auto", T.BooleanType()),
+                          T.StructField("over", T.BooleanType())])
+
+
+def _esc_timer_fn(machine: EscalationMachine):
+    def fn(key, pdfs, state):
+        held = state.get if state.exists else (None,) * 6 + (True,)
+        s = None if held[0] is None else [held[0], int(held[1]), held[2], held[3]]
+        seq, auto, over = held[4], held[5], bool(held[6])
+        out = []
+
+        def expire(now_us: int) -> None:
+            """The state's end, if it has come."""
+            nonlocal s, over
+            if s is not None and not over and s[2] is not None and s[2] <= now_us:
+                out.append((key[0], int(s[2]), int(seq), "reverted", None, int(s[2]), s[3]))
+                over = True
+                if auto:
+                    s = None
+
+        clock_us = state.getCurrentWatermarkMs() * 1000
+        if not state.hasTimedOut:
+            part = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts_us", "seq"])
+            for r in part.itertuples(index=False):
+                if r.topic_name is None or r.kind == "tick":
+                    continue
+                expire(int(r.ts_us))
+                s, act = machine._step(s, "match", int(r.ts_us), r.level, int(r.rank),
+                                       int(r.dur_us), r.tag, bool(r.auto), None)
+                if act in ("set", "replace"):
+                    seq, auto, over = int(r.seq), bool(r.auto), False
+                    out.append((key[0], int(r.ts_us), seq, act, s[0], int(s[2]), s[3]))
+        expire(clock_us)
+        if s is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((s[0], s[1], s[2], s[3], seq, auto, over))
+            if not over and s[2] is not None:
+                # fires once the clock has reached the expiry
+                state.setTimeoutTimestamp((int(s[2]) - 1) // 1000)
+        if out:
+            yield pd.DataFrame(out, columns=ESC_CHANGE.names)
+    return fn
+
+
+def escalation_changes_stream(events: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
+    """Streaming escalations with their expiry: one row whenever a topic's
+    escalation is set, replaced or over (``reverted`` at its ``expires_at``).
+
+    An event-time timer per topic ends an escalation when the stream's clock
+    (the watermark: the latest time of any event, or of ``ticks(ts)``, the
+    times of polls without matches) reaches its expiry, also if the topic gets
+    no more rows.  Without ``auto_revert`` the urgency reverts all the same,
+    but the state stays and keeps lower bumps out, as in the batch fold.  Each
+    poll's events are later than the clock of the poll before.
+    """
+    cols = ["topic_name", "ts_us", "seq", "level", "rank", "dur_us", "tag", "auto"]
+    ev = events.select(*cols, F.lit("match").alias("kind"))
+    if ticks is not None:
+        none = [F.lit(None).cast(t).alias(c) for c, t in dict(events.select(*cols).dtypes).items()
+                if c != "ts_us"]
+        tick = ticks.select(F.unix_micros(F.col("ts")).alias("ts_us"), *none)
+        ev = ev.unionByName(tick.select(*cols, F.lit("tick").alias("kind")))
+    return (ev.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", "0 seconds")
+            .groupBy("topic_name").applyInPandasWithState(
+        _esc_timer_fn(EscalationMachine()), ESC_CHANGE, ESC_TIMER, "append",
+        GroupStateTimeout.EventTimeTimeout))
+
+
+def in_force(changes: DataFrame) -> DataFrame:
+    """Per topic the last change: ``bumped_to`` is null once it is over."""
+    last = F.struct("at_us", F.when(F.col("change") == "reverted", 0).otherwise(1).alias("k"), "seq")
+    return changes.groupBy("topic_name").agg(F.max_by(F.struct(
+        "bumped_to", "expires_us", "trigger_tag"), last).alias("s")).select("topic_name", "s.*")
+
+
 # T05 / T07 -------------------------------------------------------------------
 def idempotent_batch_writer(path: str, build: Callable[[DataFrame, int], DataFrame]):
     """``foreachBatch`` body writing ``build(batch)`` to ``path/batch_id=N``
