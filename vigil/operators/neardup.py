@@ -134,21 +134,3 @@ def near_dup_cap(scored: DataFrame, dups: DataFrame, id_col: str = "doc_id",
     return (scored.join(d, id_col, "left")
             .withColumn(score, F.when(F.col("near_dup_of").isNotNull(),
                                       F.least(F.col(score), F.lit(cap))).otherwise(F.col(score))))
-
-
-def lexical_novelty(texts: DataFrame, terms: Column, dups: DataFrame, id_col: str = "doc_id",
-                    text: str = "text") -> DataFrame:
-    """Deterministic scorer (no external model).
-
-    relevance = share of the topic's terms found in the text (case-insensitive);
-    novelty   = 1 − Jaccard with the earliest earlier near duplicate, 1 when
-                the text has none (only pairs over the near-duplicate
-                threshold lower novelty, so no all-pairs maximum is needed).
-    """
-    low = F.lower(F.col(text))
-    hits = F.size(F.filter(terms, lambda t: F.contains(low, F.lower(t))))
-    rel = F.when(F.size(terms) > 0, hits / F.size(terms)).otherwise(F.lit(0.0))
-    d = dups.select(id_col, "near_dup_of", "jaccard")
-    return (texts.select(id_col, rel.alias("relevance")).join(d, id_col)
-            .withColumn("novelty", F.when(F.col("near_dup_of").isNotNull(),
-                                          1.0 - F.col("jaccard")).otherwise(F.lit(1.0))))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from vigil.operators import commits as C
 from vigil.operators import relational as R
+from vigil.operators import seen_filter as SF
 from vigil.operators import sinks as K
 from vigil.operators.index import index_top
 from vigil.plans import poll
@@ -85,3 +86,17 @@ def seen_committed(spark, sf_dir):
                  base, run)
     return C.read_latest(spark, base, seen.schema).select(
         "url", ts_text("seen_at").alias("seen_at"), "source_type")
+
+
+@query("new_items_filtered", ORACLE["new_items"])
+def new_items_filtered(spark, sf_dir):
+    """R01 behind the stored filter: built from the first half of the seen set,
+    extended by the rest, committed and read back."""
+    base, seen = _table(spark, "filter"), fx.fx_seen(spark, sf_dir)
+    old = F.col("event_id") % 2 == 0
+    held = SF.build(seen.where(old))
+    C.commit(held, base, "run-0")
+    C.commit(SF.extend(C.read_latest(spark, base, held.schema), seen.where(~old)), base, "run-1")
+    held = C.read_latest(spark, base, held.schema)
+    rows = SF.unseen(fx.fx_items(spark, sf_dir), seen, held, run_at="run_at")
+    return rows.select("event_id", "url", "topic_name")
