@@ -797,3 +797,95 @@ def attempt_outcomes(spark, sf_dir):
         pid % 110 == 30, F.concat(F.lit("lost "), pid.cast("string"))).otherwise(F.col("term")))
     return OC.attempt_outcomes(plan, landed).select(
         "run_id", "topic_name", "source", "failed", "n_requests", "n_missing", "n_payloads")
+
+
+# --- topic records with defaults (S32), requests whose dates run from the clock (S34) ----
+_RECORD_SQL = """
+SELECT c_custkey AS k, c_name AS nm, c_custkey % 3 = 0 AS bare, c_custkey % 4 = 1 AS partial,
+       c_custkey % 50 = 9 AS broken FROM customer"""
+
+
+def _raw_topics(spark, sf_dir):
+    """JSON topic records: some bare, some with empty sections, some cut off."""
+    k = F.col("c_custkey")
+    full = F.to_json(F.struct(
+        F.col("c_name").alias("name"), F.lit("high").alias("importance"), F.lit("low").alias("urgency"),
+        F.col("c_mktsegment").alias("description"), F.array(F.lit("a"), F.lit("b")).alias("source_categories"),
+        F.struct(F.lit(True).alias("push"), F.lit("immediate").alias("email"),
+                 F.when(k % 4 != 1, F.lit(0.5)).alias("novelty_push_threshold")).alias("notifications"),
+        F.when(k % 4 != 1, F.struct(F.lit(0.25).alias("novelty_threshold"),
+                                    F.array(F.lit("x")).alias("tags"))).alias("llm_filter"),
+        F.struct(F.when(k % 4 != 1, F.lit(False)).alias("auto_revert")).alias("escalation"),
+        F.create_map(F.lit("frequent"), F.array(F.struct(F.lit("gdelt").alias("source"))))
+        .alias("polling")))
+    bare = F.to_json(F.struct(F.when(k % 2 == 0, F.col("c_name")).alias("name"),
+                              F.lit("high").alias("importance"), F.lit("low").alias("urgency")))
+    body = F.when(k % 50 == 9, F.lit('{"name": "x')).when(k % 3 == 0, bare).otherwise(full)
+    return fxm.table(spark, sf_dir, "customer").select(k.alias("topic_id"), body.alias("json"))
+
+
+@query("topic_defaults", f"""
+SELECT k AS topic_id, CASE WHEN broken THEN '<unnamed>' WHEN bare AND k % 2 <> 0 THEN '<unnamed>' ELSE nm END AS name,
+       CASE WHEN NOT broken THEN 'high' END AS importance,
+       CAST(CASE WHEN broken OR bare THEN 0 ELSE 2 END AS INTEGER) AS n_categories,
+       NOT broken AND NOT bare AS push,
+       CASE WHEN NOT broken AND NOT bare THEN 'immediate' END AS email,
+       CASE WHEN broken OR bare OR partial THEN 0.7 ELSE 0.5 END AS push_threshold,
+       CASE WHEN broken OR bare OR partial THEN 0.65 ELSE 0.25 END AS novelty_threshold,
+       CAST(CASE WHEN broken OR bare OR partial THEN 0 ELSE 1 END AS INTEGER) AS n_tags,
+       broken OR bare OR partial AS auto_revert,
+       CAST(CASE WHEN broken OR bare THEN 0 ELSE 1 END AS INTEGER) AS n_sources
+FROM ({_RECORD_SQL})""")
+def topic_defaults(spark, sf_dir):
+    """Topic records with what they leave out filled in."""
+    t = CF.topic_records(_raw_topics(spark, sf_dir))
+    frequent = F.coalesce(F.try_element_at("polling", F.lit("frequent")),
+                          F.array().cast(f"array<{CF.ENTRY_TYPE}>"))
+    return t.select(
+        "topic_id", "name", "importance", F.size("source_categories").alias("n_categories"), "push",
+        "email", "push_threshold", "novelty_threshold", F.size("tags").alias("n_tags"), "auto_revert",
+        F.size(frequent).alias("n_sources"))
+
+
+@query("request_windows", f"""
+WITH c AS (SELECT c_custkey AS k, c_name AS nm, c_custkey % 6 AS kind, CAST(c_custkey % 40 AS INTEGER) AS d,
+                  CAST({AS_OF_SQL} AS DATE) AS today FROM customer)
+SELECT k AS topic_id, 'tmdb' AS source, 0 AS request_pos, 'discover' AS unit, 'movie' AS value,
+       'language=en-US&page=1&primary_release_date.gte=' || strftime(today, '%Y-%m-%d')
+       || '&primary_release_date.lte=' || strftime(today + CASE WHEN d % 2 = 0 THEN d ELSE 90 END, '%Y-%m-%d')
+       || '&region=US&sort_by=primary_release_date.asc' AS params
+FROM c WHERE kind IN (0, 1)
+UNION ALL
+SELECT k, 'tmdb', CASE WHEN kind = 0 THEN 1 ELSE 0 END, 'discover', 'tv',
+       'first_air_date.gte=' || strftime(today, '%Y-%m-%d') || '&first_air_date.lte='
+       || strftime(today + CASE WHEN d % 2 = 0 THEN d ELSE 90 END, '%Y-%m-%d')
+       || '&language=en-US&page=1&sort_by=first_air_date.asc'
+FROM c WHERE kind IN (0, 2)
+UNION ALL
+SELECT k, 'tmdb', 0, 'term', 'word', 'language=en-US&page=1' FROM c WHERE kind = 3
+UNION ALL
+SELECT k, 'biorxiv', 0, 'interval',
+       strftime(today - CASE WHEN d % 2 = 0 THEN d ELSE 7 END, '%Y-%m-%d') || '/' || strftime(today, '%Y-%m-%d'), ''
+FROM c WHERE kind = 4
+UNION ALL
+SELECT k, 'email', 0, 'mailbox', 'unseen', 'limit=' || CASE WHEN d % 2 = 0 THEN CAST(d AS VARCHAR) ELSE '20' END
+FROM c WHERE kind = 5""")
+def request_windows(spark, sf_dir):
+    """Date windows from the clock, mail limits, kinds of upcoming titles."""
+    k = F.col("c_custkey")
+    kind, d = k % 6, (k % 40).cast("string")
+    given = lambda name: F.when(k % 40 % 2 == 0, F.create_map(F.lit(name), d)).otherwise(
+        F.create_map().cast("map<string,string>"))
+    media = F.create_map(F.lit("media_type"), F.when(kind == 1, "movie").when(kind == 2, "tv")
+                         .otherwise("both"))
+    source = F.when(kind < 4, "tmdb").when(kind == 4, "biorxiv").otherwise("email")
+    filters = F.when(kind < 4, F.map_concat(media, given("days_ahead"))).when(
+        kind == 4, given("days_back")).otherwise(given("max_emails"))
+    terms = F.when(kind == 3, F.array(F.lit("word"))).when(
+        kind == 4, F.array(F.lit("one"), F.lit("two"))).otherwise(F.array().cast("array<string>"))
+    topics = fxm.table(spark, sf_dir, "customer").select(
+        k.alias("topic_id"), F.col("c_name").alias("name"),
+        F.create_map(F.lit("broad"), F.array(CF.entry(source, terms, filters))).alias("polling"))
+    return CF.request_plan(CF.sources_for_tier(topics, "broad")).select(
+        "topic_id", "source", F.col("request_pos").cast("int").alias("request_pos"), "unit", "value",
+        "params")
