@@ -6,10 +6,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vigil.conventions import AS_OF
 from vigil.functions.dates import parse_feed_date, parse_iso
 from vigil.functions.text import author_line, strip_html, strip_ws, truncate_ellipsis
+from vigil.operators.positions import with_positions
+from vigil.session import checkpoint_dir
 from vigil.sources.json_api import _results, SOURCE_TYPES
 from vigil.sources.landing import explode_items
 
@@ -179,6 +182,9 @@ SEARCH_SCHEMA = f"publications {_PUBLICATIONS}"
 SOURCE_TYPES["substack"] = "feeds"
 
 
+_ENTRY = ["run_id", "topic_name", "source_ord"]
+
+
 def substack_discovery(landed: DataFrame, max_pubs: int = 5) -> DataFrame:
     """Feed URLs to read, per source entry (run, topic, source_ord): terms in
     order (``payload_id``), publications in response order; a handle is
@@ -186,43 +192,62 @@ def substack_discovery(landed: DataFrame, max_pubs: int = 5) -> DataFrame:
     earlier publication of the entry is skipped; at most ``max_pubs`` (or the
     entry's ``filters.max_pubs``) new handles per term.  A reply is an object
     with ``publications`` or the list itself.  An entry with its own
-    ``filters.feeds`` reads these and searches nothing.  The per-entry list is
-    bounded by terms × page size."""
+    ``filters.feeds`` reads these and searches nothing.
+
+    No entry is gathered: what each term takes is a fixpoint (see ``_claims``),
+    and positions come from a sort that splits a large entry."""
     options = {"mode": "PERMISSIVE"}
     pubs = F.when(F.ltrim("body").startswith("["), F.from_json("body", _PUBLICATIONS, options)) \
         .otherwise(F.from_json("body", SEARCH_SCHEMA, options)["publications"])
     most = F.coalesce(_filter("max_pubs").try_cast("int"), F.lit(max_pubs))
-    pubs = (landed.where(_filter("feeds").isNull())
-            .select("run_id", "topic_name", "source_ord", "payload_id", most.alias("most"),
-                    F.posexplode(pubs).alias("pos", "pub"))
-            .select("run_id", "topic_name", "source_ord",
-                    F.struct(F.col("payload_id").alias("term_ord"), F.col("pos"), F.col("most"),
-                             F.coalesce(F.nullif(F.col("pub.subdomain"), F.lit("")),
-                                        F.nullif(F.col("pub.handle"), F.lit("")),
-                                        F.nullif(F.col("pub.slug"), F.lit("")),
-                                        F.lit("")).alias("handle")).alias("x")))
-    init = F.struct(F.array().cast("array<string>").alias("seen"),
-                    F.lit(None).cast("bigint").alias("term"), F.lit(0).alias("cnt"),
-                    F.array().cast("array<struct<term_ord:bigint,pos:int,most:int,handle:string>>")
-                    .alias("out"))
-
-    def step(acc, x):
-        cnt = F.when(x["term_ord"] == acc["term"], acc["cnt"]).otherwise(F.lit(0))
-        ok = (x["handle"] != "") & ~F.array_contains(acc["seen"], x["handle"]) & (cnt < x["most"])
-        return F.struct(
-            F.when(ok, F.concat(acc["seen"], F.array(x["handle"]))).otherwise(acc["seen"]).alias("seen"),
-            x["term_ord"].alias("term"),
-            F.when(ok, cnt + 1).otherwise(cnt).alias("cnt"),
-            F.when(ok, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"))
-
-    folded = (pubs.groupBy("run_id", "topic_name", "source_ord")
-              .agg(F.sort_array(F.collect_list("x")).alias("xs"))
-              .select("run_id", "topic_name", "source_ord",
-                      F.posexplode(F.aggregate("xs", init, step, lambda a: a["out"]))
-                      .alias("feed_pos", "f")))
-    return folded.select("run_id", "topic_name", "source_ord", "feed_pos", "f.term_ord", "f.handle",
-                         F.concat(F.lit("https://"), F.col("f.handle"), F.lit(".substack.com/feed"))
-                         .alias("feed_url"))
+    handle = F.coalesce(*[F.nullif(F.col(f"pub.{c}"), F.lit("")) for c in (
+        "subdomain", "handle", "slug")])
+    offers = (landed.where(_filter("feeds").isNull())
+              .select(*_ENTRY, F.col("payload_id").alias("term_ord"), most.alias("most"),
+                      F.posexplode(pubs).alias("pos", "pub"))
+              .select(*_ENTRY, "term_ord", "most", "pos", handle.alias("handle"))
+              .where(F.col("handle").isNotNull()))
+    taken = with_positions(_claims(offers), _ENTRY, ["term_ord", "pos"], "feed_pos")
+    return taken.select(*_ENTRY, (F.col("feed_pos") - 1).cast("int").alias("feed_pos"), "term_ord",
+                        "handle", F.concat(F.lit("https://"), F.col("handle"),
+                                           F.lit(".substack.com/feed")).alias("feed_url"))
+
+
+def _claims(offers: DataFrame) -> DataFrame:
+    """What each term takes: its first ``most`` handles that no earlier term of
+    the entry has taken.
+
+    Each round gives every term its first free handles, given which term each
+    handle was taken by first in the round before; only terms that offer a handle
+    whose taker changed are worked out again.  A term is final once all earlier
+    ones are, so rounds end; few are needed, as caps seldom free a handle."""
+    checkpoint_dir(offers.sparkSession)
+    term, by = [*_ENTRY, "term_ord"], [*_ENTRY, "handle"]
+    offers = offers.groupBy(*term, "handle").agg(
+        F.min("pos").alias("pos"), F.max("most").alias("most")).dropna(subset=_ENTRY).checkpoint()
+    page = Window.partitionBy(*term).orderBy("pos")  # one reply
+
+    def take(some: DataFrame, taker: DataFrame | None) -> DataFrame:
+        if taker is not None:
+            some = some.join(taker, by, "left").where(
+                F.col("taker").isNull() | (F.col("taker") >= F.col("term_ord"))).drop("taker")
+        return some.withColumn("_r", F.row_number().over(page)).where(F.col("_r") <= F.col("most")).drop("_r")
+
+    def takers(claims: DataFrame) -> DataFrame:
+        return claims.groupBy(*by).agg(F.min("term_ord").alias("taker")).checkpoint()
+
+    claims = take(offers, None).checkpoint()
+    taker, before = takers(claims), None
+    while True:
+        changed = taker if before is None else taker.withColumnRenamed("taker", "now").join(
+            before, by, "full").where(~F.col("now").eqNullSafe(F.col("taker")))
+        again = offers.join(changed.select(*by), by, "left_semi").select(*term).distinct().checkpoint()
+        if again.isEmpty():
+            return claims
+        redone = take(offers.join(again, term, "left_semi"), taker)
+        claims = claims.join(again, term, "left_anti").select(*offers.columns).unionByName(
+            redone.select(*offers.columns)).checkpoint()
+        before, taker = taker, takers(claims)
 
 
 def substack_direct(landed: DataFrame) -> DataFrame:
