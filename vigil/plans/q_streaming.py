@@ -246,3 +246,23 @@ def stream_poll_tiers(spark, sf_dir):
             P.start_poll(spark, f"{base}/in", f"{base}/state", tier, tiers).awaitTermination()
     return P.poll_results(spark, f"{base}/state").select(
         "payload_id", F.col("item_pos").cast("bigint").alias("item_pos"), "url", "title", "adapter")
+
+
+@query("stream_breaker_folded", ORACLE["breaker_state"])
+def stream_breaker_folded(spark, sf_dir):
+    """T03 for hot keys: each week's attempts folded by the blocked scan."""
+    from vigil.streaming import folded as FO
+    base = _poll_weekly(spark, "attempts_folded", fx.fx_attempts(spark, sf_dir), F.col("ts"),
+                        lambda stream, base: stream.writeStream.foreachBatch(FO.breaker_batches(base)))
+    return FO.state(spark, base, FO.BREAKER).withColumn("disabled_at", ts_text("disabled_at"))
+
+
+@query("stream_seen_folded", _seen_oracle())
+def stream_seen_folded(spark, sf_dir):
+    """T02 for hot URLs: each week's items folded by the blocked scan."""
+    from vigil.streaming import folded as FO
+    rows = fx.fx_over(spark, sf_dir).select("event_id", "url", "source_type",
+                                            F.col("fetched_at").alias("ts"))
+    base = _poll_weekly(spark, "seen_folded", rows, F.col("ts"),
+                        lambda stream, base: stream.writeStream.foreachBatch(FO.seen_batches(base)))
+    return FO.output(spark, base, FO.PASSED).select("event_id", "url")
