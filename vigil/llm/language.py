@@ -39,8 +39,10 @@ SAMPLE = 4000
 CALIBRATE = 5
 #: Share of calibration rows that the threshold may reject, and its ceiling.
 REJECT, CEILING = 0.002, 0.5
-#: Bytes of text handled at once inside a task.
-CHUNK = 2 << 20
+#: Characters of text handled at once (some 100 bytes of arrays each).
+CHUNK = 1 << 18
+#: Temperatures that the calibration tries.
+TEMPERATURES = np.geomspace(0.002, 20, 90)
 
 
 @lru_cache(maxsize=1)
@@ -52,33 +54,38 @@ def _letters() -> np.ndarray:
     return table
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash bucket, text number) of each n-gram: 1 to 4 letters within a
-    word, its edges marked by a blank."""
+def gram_sets(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash bucket, text number) of each n-gram, one length after the other:
+    1 to 4 letters within a word, its edges marked by a blank."""
     lower = [t.lower() for t in texts]
     data = " " + " ".join(lower) + " "
-    codes = np.frombuffer(data.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    letter = _letters()[codes.astype(np.int64)]
-    codes[~letter] = 32
+    codes = np.frombuffer(data.encode("utf-32-le", "surrogatepass"), "<u4")
+    letter = _letters()[codes]
+    codes = np.where(letter, codes, 32).astype(np.uint64)
     # each text owns its characters and the blank before them
-    owner = np.repeat(np.arange(len(lower)), [len(t) + 1 for t in lower])
-    buckets, owners = [], []
+    owner = np.repeat(np.arange(len(lower), dtype=np.int32), [len(t) + 1 for t in lower])
     for n in GRAMS:
         m = len(codes) - n + 1
         if not lower or m <= 0:
             continue
         h = np.full(m, n, np.uint64)
         for k in range(n):
-            h = h * np.uint64(0x100000001B3) + codes[k:k + m]
+            h *= np.uint64(0x100000001B3)
+            h += codes[k:k + m]
         ok = letter[:m] | letter[n - 1:]
         for k in range(1, n - 1):  # only the first and last place may be an edge
             ok = (ok if k > 1 else True) & letter[k:k + m]
         ok[len(owner):] = False
-        buckets.append((mix64(h[ok]) & np.uint64(BUCKETS - 1)).astype(np.int64))
-        owners.append(owner[:m][ok[:len(owner)]])
-    if not buckets:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(buckets), np.concatenate(owners)
+        yield ((mix64(h[ok]) & np.uint64(BUCKETS - 1)).astype(np.int32),
+               owner[:m][ok[:len(owner)]])
+
+
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams of some texts: (hash bucket, text number)."""
+    parts = list(gram_sets(texts))
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 @dataclass
@@ -93,20 +100,23 @@ class Model:
         names, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not self.langs:
             return names, best
-        for a, b in parts_by_bytes([len(t) for t in texts], CHUNK):
-            z, has = self._logits(texts[a:b])
-            p = softmax(z / self.temperature)
-            top = p.argmax(axis=1)
-            for i in np.flatnonzero(has):
-                names[a + i] = self.langs[top[i]]
-                best[a + i] = p[i, top[i]]
+        z, has = self.logits(texts)
+        p = softmax(z / self.temperature)
+        top = p.argmax(axis=1)
+        for i in np.flatnonzero(has):
+            names[i] = self.langs[top[i]]
+            best[i] = p[i, top[i]]
         return names, best
 
-    def _logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        bucket, owner = grams(texts)
-        count = np.bincount(owner, minlength=len(texts))
-        z = np.stack([np.bincount(owner, self.scores[bucket, k], minlength=len(texts))
-                      for k in range(len(self.langs))], axis=1)
+    def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Class scores of each text, and whether it has a letter."""
+        z = np.zeros((len(texts), len(self.langs)))
+        count = np.zeros(len(texts))
+        for a, b in parts_by_bytes([len(t) for t in texts], CHUNK):
+            for bucket, owner in gram_sets(texts[a:b]):
+                count[a:b] += np.bincount(owner, minlength=b - a)
+                for k in range(len(self.langs)):
+                    z[a:b, k] += np.bincount(owner, self.scores[bucket, k], minlength=b - a)
         return z / np.maximum(count, 1)[:, None] + self.bias, count > 0
 
 
@@ -147,14 +157,19 @@ def train(rows: list[tuple[int, str, str]], seed: int = 7) -> Model:
             # rare buckets get a full step each, weighted by their share
             E[at] -= rate * 20 * w[:, None] * back[None, :]
     model = Model(langs, (E @ W).astype(np.float32), bias, 1.0, 0.0)
-    z, has = model._logits([r[1] for r in held])
+    z, has = model.logits([r[1] for r in held])
     y = np.array([place[r[2]] for r in held])
     z, y = z[has], y[has]
     if len(y):
+        # as many right answers promise one wrong one in n + 2 (Platt's targets),
+        # so that a faultless sample does not ask for endless certainty
+        target = np.full(z.shape, 1 / (len(y) + 2) / max(len(langs) - 1, 1))
+        target[np.arange(len(y)), y] = 1 - 1 / (len(y) + 2)
+
         def loss(t: float) -> float:
-            return -np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean()
+            return -(target * np.log(softmax(z / t) + 1e-12)).sum(axis=1).mean()
 
-        model.temperature = min(np.geomspace(0.05, 20, 60), key=loss)
+        model.temperature = min(TEMPERATURES, key=loss)
         top = np.sort(softmax(z / model.temperature).max(axis=1))
         model.threshold = float(min(top[int(REJECT * len(top))], CEILING))
     return model

@@ -61,7 +61,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return language.predictions(docs, language.fit(docs)).select(
-        "doc_id", "held_out", "lang_pred", "score")
+        "doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 @query("op8_outliers")

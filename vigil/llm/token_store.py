@@ -55,7 +55,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings are ordinary text
+        # texts with the string of an added token go to the library whole
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         blank = [i for t, i in self.tok.get_vocab().items() if t.startswith("Ġ")]
@@ -86,7 +87,8 @@ class PieceEncoder:
                                   strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [t.split(" ") if regular(t) else None for t in texts]
+        plain = [t.split(" ") if regular(t) and not any(a in t for a in self.added) else None
+                 for t in texts]
         if len(self.known) > REMEMBERED:
             self.old, self.known = self.known, {}
         seen: set[str] = set()
