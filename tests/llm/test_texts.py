@@ -6,12 +6,14 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
+import tokenizers
 
 from tests.conftest import SF_SMALL
 from tests.llm import cases
 from vigil.llm import bpe, decontaminate, language, outliers, secret_scan, token_store
-from vigil.llm.common import read_table
+from vigil.llm.common import mix64, read_table
 
 
 def sha(data):
@@ -137,9 +139,20 @@ def test_encode_documents(spark, reference_bpe):
 
 # --- id shards ----------------------------------------------------------------
 
-def library_ids(text):
-    tok = token_store.piece_encoder(None).tok
-    return tok.encode(text, add_special_tokens=False).ids + [token_store.END_ID]
+def library_ids(text, held=[]):
+    """By a library object of its own."""
+    if not held:
+        held.append(tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+    return held[0].encode(text, add_special_tokens=False).ids + [token_store.END_ID]
+
+
+def test_strings_of_special_tokens():
+    enc = token_store.piece_encoder(None)
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>b c", "<|endoftext|", " <|endoftext|>",
+             "many words before the <|endoftext|> and after it", "plain words here"]
+    for t, ids in zip(texts, enc.encode(texts)):
+        assert np.frombuffer(ids, enc.dtype).tolist() == library_ids(t)[:-1], repr(t)
+    assert 50256 in library_ids(texts[1])
 
 
 def test_piece_encoder_equals_library():
@@ -407,6 +420,35 @@ def test_language_depends_on_text_alone(spark):
         str(r.doc_id) for r in got if not r.rejected)
 
 
+def test_language_scores_equal_a_plain_loop():
+    rng = random.Random(11)
+    texts = [*(t or "" for _, t in cases.texts(rng)), "İstanbul ß\u0301a", "a", "1", "ab-cd e\nf"]
+    model = language.train([(i, cases.sentence(rng, 9), "en") for i in range(20)]
+                           + [(50 + i, cases.sentence(rng, 9).replace("e", "ü"), "xx") for i in range(20)])
+    assert language.TEMPERATURES[0] < model.temperature < language.TEMPERATURES[-1]
+
+    def buckets(text):
+        chars = [c if c.isalpha() else " " for c in f" {text.lower()} "]
+        for n in language.GRAMS:
+            for i in range(len(chars) - n + 1):
+                w = chars[i:i + n]
+                if all(c != " " for c in w[1:-1]) and (w[0] != " " or w[-1] != " "):
+                    h = n
+                    for c in w:
+                        h = (h * 0x100000001B3 + ord(c)) % 2 ** 64
+                    yield int(mix64(np.array([h], np.uint64))[0]) % language.BUCKETS
+
+    z, has = model.logits(texts)
+    for i, t in enumerate(texts):
+        if len(t) > 2000:
+            continue
+        found = list(buckets(t))
+        assert has[i] == bool(found)
+        if found:
+            plain = model.scores[found].astype(float).mean(axis=0) + model.bias
+            assert np.allclose(z[i], plain), repr(t[:40])
+
+
 def test_language_without_labels(spark):
     model = language.fit(cases.empty(spark))
     got = language.predictions(cases.documents(spark), model).collect()
