@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import arrow_map
+from vigil.llm.common import arrow_map, claim, remembers
 
 #: Unicode White_Space, which is what the split pattern means by \s.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -208,12 +208,16 @@ def encoder(path: str | None = None, pattern: str | None = None) -> TextEncoder:
                        pattern or public_tokenizers.PATTERN)
 
 
+remembers("bpe", encoder.cache_clear)
+
+
 def encode_documents(docs: DataFrame, path: str | None = None,
                      pattern: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded``: the ids (binary, little-endian
     unsigned 32-bit) of each text and the bytes they decode to."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        claim("bpe")
         enc = encoder(path, pattern)
         ids = [enc.encode(t or "") for t in batch.column("text").to_pylist()]
         yield {"doc_id": batch.column("doc_id"), "n_tokens": [len(i) // 4 for i in ids],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -129,3 +131,29 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x * np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+#: What each operator remembers in a Python worker from task to task: its name
+#: and how to forget it.
+_CACHES: dict[str, Callable[[], None]] = {}
+_HOLDER: list[str] = []
+
+
+def remembers(name: str, forget: Callable[[], None]) -> None:
+    _CACHES[name] = forget
+
+
+def claim(name: str) -> None:
+    """Call at the start of a task: workers are used again for the next
+    operator, which must not pay for the memory of the one before."""
+    if _HOLDER == [name]:
+        return
+    _HOLDER[:] = [name]
+    for other, forget in _CACHES.items():
+        if other != name:
+            forget()
+    gc.collect()
+    try:  # hand freed memory back to the system
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

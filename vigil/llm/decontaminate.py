@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import id_col, keyed, public_id, schema_of, uid_col
+from vigil.llm.common import claim, id_col, keyed, public_id, schema_of, uid_col
 
 #: Words per benchmark window.
 WINDOW = 13
@@ -125,6 +125,7 @@ def _search_block(docs: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
     schema = schema_of(docs.sparkSession, _FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("decontaminate")
         found = searchers(held.value)
         for batch in batches:
             got = [search(t, found) for t in batch.column("text").to_pylist()]
@@ -191,6 +192,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("decontaminate")
         found = searchers(held.value)
         for batch in batches:
             keep = []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import arrow_map, mix64, parts_by_bytes
+from vigil.llm.common import arrow_map, claim, mix64, parts_by_bytes
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -203,6 +203,7 @@ def predictions(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        claim("language")
         texts = [t or "" for t in batch.column("text").to_pylist()]
         names, score = held.value.predict(texts)
         yield {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
@@ -221,6 +222,7 @@ def drop_rejected(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language")
         m = held.value
         for batch in batches:
             names, score = m.predict([t or "" for t in batch.column("text").to_pylist()])

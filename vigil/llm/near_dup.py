@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vigil.llm.bpe import Remembered
-from vigil.llm.common import (ID, UID, arrow_map, id_col, keyed, mix64, parts_by_bytes,
-                              public_id, schema_of, settled, uid_col, written)
+from vigil.llm.common import (ID, UID, arrow_map, claim, id_col, keyed, mix64, parts_by_bytes,
+                              public_id, remembers, schema_of, settled, uid_col, written)
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -48,7 +48,7 @@ GROUPS = 64
 #: Members of a bucket's largest class that all others are compared with.
 HUBS = 3
 #: Shingles of parsed texts that a verifying task remembers.
-HELD = 3_000_000
+HELD = 1_000_000
 #: Text characters handled at once inside a task.
 CHUNK = 1 << 20
 
@@ -72,6 +72,14 @@ _DRAW = [np.uint64(int(v) | 1) for v in _rng.integers(1 << 60, 1 << 62, BANDS *
 _hashes: Remembered | None = None
 
 
+def _forget() -> None:
+    global _hashes
+    _hashes = None
+
+
+remembers("near_dup", _forget)
+
+
 def word_hashes(text: str) -> np.ndarray:
     global _hashes
     if _hashes is None:
@@ -145,6 +153,7 @@ def word_idf(texts: DataFrame) -> np.ndarray:
     schema = schema_of(texts.sparkSession, "slot int, n long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near_dup")
         count, docs = np.zeros(SLOTS, np.int64), 0
         for batch in batches:
             for t in batch.column("text").to_pylist():
@@ -175,6 +184,7 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                   F.xxhash64(F.lit(5), "text").alias("c2"))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        claim("near_dup")
         texts = [t or "" for t in batch.column("text").to_pylist()]
         out: list = [None] * len(texts)
         seen: dict[str, int] = {}
@@ -226,6 +236,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     held = texts.sparkSession.sparkContext.broadcast(idf)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        claim("near_dup")
         got = similarities(list(zip(batch.column("text_b").to_pylist(),
                                     batch.column("text_a").to_pylist())), held.value)
         yield {"a": batch.column("a"), "b": batch.column("b"),

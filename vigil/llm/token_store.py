@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vigil.llm.bpe import REMEMBERED, regular
-from vigil.llm.common import ID, UID, arrow_map, keyed, mix64, public_id, schema_of, written
+from vigil.llm.common import (ID, UID, arrow_map, claim, keyed, mix64, public_id, remembers,
+                              schema_of, written)
 
 MAGIC = b"IDSHARD1"
 #: Id appended to every document.
@@ -112,6 +113,9 @@ def piece_encoder(path: str | None) -> PieceEncoder:
     return PieceEncoder(path or public_tokenizers.path("byte_bpe_50k.json"))
 
 
+remembers("pieces", piece_encoder.cache_clear)
+
+
 # --- minimal perfect hash ---------------------------------------------------
 
 def key_hash(ids: np.ndarray, uids: np.ndarray, copies: np.ndarray) -> np.ndarray:
@@ -221,6 +225,7 @@ def write_shards(docs: DataFrame, path: str | None = None,
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        claim("pieces")
         enc = piece_encoder(path)
         width, end = enc.dtype.itemsize, np.array([END_ID], enc.dtype).tobytes()
         part, seq, size = TaskContext.get().partitionId(), 0, 0
