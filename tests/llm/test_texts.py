@@ -163,6 +163,19 @@ def test_piece_encoder_equals_library():
             assert np.frombuffer(ids, enc.dtype).tolist() == library_ids(t)[:-1], repr(t)
 
 
+def test_parts_cut_after_a_word_equal_library(monkeypatch):
+    words = ["don't", "we'll", "x'", "a.\nB", "end.\n\nNext", "né,", "naïve1", "aβ,", "αb.", "a\u0301b",
+             "x²", "ª.", "×a", "a×b", "Ǆa!", "a_b", "A1b2", "[a]", "1a.", "wo\u200brd,", "ÿ&&&", "日a,", "a日,"]
+    rng, enc = random.Random(8), token_store.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(token_store, "REMEMBERED", 9)  # parts are forgotten and come back
+    monkeypatch.setattr(token_store, "TEXT_BLOCK", 50)
+    for _ in range(60):
+        some = [" ".join(rng.choices(words, k=rng.randint(0, 12))) for _ in range(8)]
+        for t, ids in zip(some, enc.encode(some)):
+            assert np.frombuffer(ids, enc.dtype).tolist() == library_ids(t)[:-1], repr(t)
+    assert enc.encode([]) == []
+
+
 def test_perfect_hash_index():
     rng = np.random.default_rng(1)
     for n in (1, 2, 7, 1000, 20_000):

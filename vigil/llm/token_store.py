@@ -23,10 +23,12 @@ the text, copy number), so repeated rows are stored and found one by one.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -35,22 +37,64 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vigil.llm.bpe import REMEMBERED, regular
-from vigil.llm.common import (ID, UID, arrow_map, claim, keyed, mix64, public_id, remembers,
-                              schema_of, written)
+from vigil.llm.common import (ID, UID, arrow_map, claim, keyed, mix64, parts_by_bytes, public_id,
+                              remembers, schema_of, written)
 
 MAGIC = b"IDSHARD1"
 #: Id appended to every document.
 END_ID = 2
 #: Ids per shard (a longer document has a shard of its own).
 SHARD_IDS = 4 << 20
+#: Characters of text that are encoded at once (a longer document is alone).
+TEXT_BLOCK = 1 << 20
 #: Keys per bucket of the hash, on average.
 BUCKET = 4
 
 
 # --- encoding ---------------------------------------------------------------
 
+class Numbered(dict):
+    """Numbers parts in order of first sight; ids of all parts in one array."""
+
+    def __init__(self, dtype: np.dtype) -> None:
+        super().__init__()
+        self.new: list[str] = []  # numbered, their ids still to be added
+        self.ids, self.at = np.zeros(0, dtype), np.zeros(1, np.int64)
+
+    def __missing__(self, part: str) -> int:
+        number = self[part] = len(self)
+        self.new.append(part)
+        return number
+
+    def add(self, found: list[bytes]) -> None:
+        data = np.frombuffer(b"".join(found), self.ids.dtype)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.ids.itemsize
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, data])
+        self.new = []
+
+    def of(self, number: int) -> bytes:
+        return self.ids[self.at[number]:self.at[number + 1]].tobytes()
+
+    def joined(self, numbers: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """(ids of the parts one after the other, first byte of each and the end)."""
+        first = self.at[numbers]
+        size = self.at[numbers + 1] - first
+        ends = np.concatenate([[0], np.cumsum(size)])
+        places = np.repeat(first - ends[:-1], size) + np.arange(ends[-1])
+        return self.ids[places].tobytes(), ends * self.ids.itemsize
+
+
 class PieceEncoder:
-    """The library's ids of a text, remembered by blank-separated part."""
+    """The library's ids of a text, remembered by blank-separated part.
+
+    A part that begins with Latin letters and goes on with another ASCII
+    character is cut there: the split pattern ends a run of letters at that
+    place, whatever follows.  So a word with a comma costs no new word.
+    """
+
+    HEAD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)"
+                      r"([\x00-@\[-`{-\x7f].*)?", re.DOTALL)
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -63,44 +107,65 @@ class PieceEncoder:
         blank = [i for t, i in self.tok.get_vocab().items() if t.startswith("Ġ")]
         self.starts = np.zeros(size, bool)
         self.starts[blank] = True  # tokens that begin with a blank
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known, self.old = Numbered(self.dtype), Numbered(self.dtype)
+        self.words: dict[str, bytes] = {}  # ids with a blank in front
+        self.rests: dict[str, bytes] = {"": b""}
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype)
                 for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, parts: set[str]) -> None:
-        """Encode unseen parts, many per call: joined by blanks they are a
-        regular text, in which each part starts at a token with a blank."""
-        todo = []
-        for p in parts:
-            if (v := self.old.get(p)) is None:
-                todo.append(p)
-            else:
-                self.known[p] = v
-        for at in range(0, len(todo), 2000):
-            some = todo[at:at + 2000]
+    def learn_words(self, todo: list[str]) -> None:
+        """Many per call: joined by blanks they are a regular text, in which
+        each word starts at a token with a blank."""
+        for at in range(0, len(todo), 20000):
+            some = todo[at:at + 20000]
             ids = self.library([" " + " ".join(some)])[0]
             data, size = ids.tobytes(), self.dtype.itemsize
             cuts = [*(np.flatnonzero(self.starts[ids]) * size).tolist(), len(data)]
-            self.known.update(zip(some, map(data.__getitem__, map(slice, cuts, cuts[1:])),
+            self.words.update(zip(some, map(data.__getitem__, map(slice, cuts, cuts[1:])),
                                   strict=True))
 
+    def learn(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts (with a blank in front)."""
+        if len(self.words) > REMEMBERED:
+            self.words = {}
+        if len(self.rests) > REMEMBERED:
+            self.rests = {"": b""}
+        words, rests = [], []
+        for p in parts:
+            m = None if p.isalpha() else self.HEAD.fullmatch(p)
+            words.append(p if m is None else m[1])
+            rests.append("" if m is None else m[2] or "")
+        self.learn_words(list(set(words).difference(self.words)))
+        todo = list(set(rests).difference(self.rests))
+        self.rests.update(zip(todo, (i.tobytes() for i in self.library(todo))))
+        return list(map(add, map(self.words.__getitem__, words),
+                        map(self.rests.__getitem__, rests)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        return [ids for a, b in parts_by_bytes([len(t) for t in texts], TEXT_BLOCK)
+                for ids in self.encode_block(texts[a:b])]
+
+    def encode_block(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.old, self.known = self.known, Numbered(self.dtype)
         plain = [t.split(" ") if regular(t) and not any(a in t for a in self.added) else None
                  for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.old, self.known = self.known, {}
-        seen: set[str] = set()
+        later: list[str] = []
+        ends = [0]
         for p in plain:
             if p:
-                seen.update(p[1:])
-        self.learn(seen.difference(self.known))
-        rest = iter(self.library([t if p is None else p[0] for t, p in zip(texts, plain)]))
-        look = self.known.__getitem__
-        return [head.tobytes() + (b"".join(map(look, p[1:])) if p else b"")
-                for p, head in zip(plain, rest)]
+                later += p[1:]
+            ends.append(len(later))
+        numbers = np.fromiter(map(self.known.__getitem__, later), np.int64, len(later))
+        again = [self.old.get(p) for p in self.known.new]
+        fresh = iter(self.learn([p for p, o in zip(self.known.new, again) if o is None]))
+        self.known.add([next(fresh) if o is None else self.old.of(o) for o in again])
+        data, at = self.known.joined(numbers)
+        cuts = at[ends].tolist()
+        heads = self.library([t if p is None else p[0] for t, p in zip(texts, plain)])
+        return [head.tobytes() + data[a:b] for head, a, b in zip(heads, cuts, cuts[1:])]
 
 
 @lru_cache(maxsize=2)
