@@ -122,12 +122,14 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, block, sort_block,
     rows = suffix_rows()
     expected = brute_suffixes(rows)
     if block < 1 << 20:  # small blocks inside the tasks, too
-        check_blocks(rows, block, sort_block)
+        for part in (17, 250, 1 << 30):
+            for size in (100, sort_block, 20000):
+                check_blocks(rows, size, part)
     got = suffix_dedup.digest(cases.documents(spark, rows)).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == expected
 
 
-def check_blocks(rows, block, sort_block):
+def check_blocks(rows, sort_block, part):
     """Sorting in small blocks and comparing across them finds the same."""
     stretches = []
     for d, t in rows:
@@ -139,14 +141,14 @@ def check_blocks(rows, block, sort_block):
             stretches.append((0, int(h[p].astype(np.int64)), d, 0, a, p - a, data[a:b].tobytes()))
     stretches.sort()
     cover, open_ = defaultdict(set), defaultdict(list)
-    at = 0
-    while at < len(stretches):
-        some, size = [], 0
-        while at < len(stretches) and size < sort_block:
-            some.append(stretches[at])
-            size += len(stretches[at][6])
-            at += 1
-        out = suffix_dedup.sort_block(some, {some[0][:2], some[-1][:2]})
+    blocks = []
+    for at in range(0, len(stretches), part):  # partitions may cut a token as well
+        blocks += suffix_dedup.token_blocks(iter(stretches[at:at + part]), sort_block)
+    assert [r for some, _ in blocks for r in some] == stretches
+    longest = max(len(r[6]) for r in stretches)
+    assert max(sum(len(r[6]) for r in some) for some, _ in blocks) <= 2 * sort_block + longest
+    for some, edges in blocks:
+        out = suffix_dedup.sort_block(some, edges)
         for kind, d, _, s, e, w1, w2 in zip(*out.values()):
             if kind == 0:
                 cover[d] |= set(range(s, e))

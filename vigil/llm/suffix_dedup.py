@@ -14,12 +14,13 @@ bytes each would be a hundred times the corpus, so they travel in groups:
 3. The remaining stretches are range-partitioned by splitters that Spark
    samples from their keys: the token's first bytes, its hash, and the place,
    so that one token with any number of copies spreads over partitions.
-4. Each partition is read in blocks of bounded size.  A block sorts its
+4. Each partition is read in blocks of bounded size, which end between two
+   tokens unless one token alone passes the bound.  A block sorts its
    suffixes by multikey quicksort, eight bytes per step and only among those
    still equal, and marks all but the earliest of equal ones.
-5. A token whose stretches may go on in another block or partition (the first
-   and the last of a block) sends its distinct suffixes' 128-bit hashes to a
-   comparison across the boundaries, a grouped minimum.
+5. A token whose stretches may go on elsewhere (the first and the last of a
+   partition, and one that a block's end cuts) sends its distinct suffixes'
+   128-bit hashes to a comparison across the boundaries, a grouped minimum.
 
 Documents are ordered by (doc_id, hash of the text); null and empty texts have
 no bytes; rows equal in doc_id and text are one document and get equal rows.
@@ -41,7 +42,7 @@ from vigil.llm.common import (ID, UID, arrow_map, keyed, mix64, parts_by_bytes,
 LENGTH = 100
 TOKEN = 32
 #: Text bytes per block of the numpy passes, and stretch bytes per sorted block.
-BLOCK, SORT_BLOCK = 1 << 20, 3 << 20
+BLOCK, SORT_BLOCK = 1 << 20, 2 << 20
 #: Text bytes per hash bucket of the token count.
 BUCKET_BYTES = 16 << 20
 
@@ -320,6 +321,38 @@ def sort_block(rows: list[tuple], edges: set[tuple[int, int]]) -> dict:
     return out
 
 
+def token_blocks(stretches: Iterator[tuple], bound: int
+                 ) -> Iterator[tuple[list[tuple], set[tuple[int, int]]]]:
+    """Blocks of a partition's sorted stretches (under twice ``bound`` bytes and
+    one stretch), each with its edges: the tokens that may go on in another block
+    or partition.  A block ends between two tokens; a token alone is cut only
+    where it passes the bound by itself."""
+    rows, size, since = [], 0, 0  # ``since``: where the last token begins in ``rows``
+    first: tuple[int, int] | None = None
+    cut: set[tuple[int, int]] = set()
+    for r in stretches:
+        token = r[:2]
+        first = first or token
+        if rows and rows[-1][:2] != token:
+            if size >= bound:
+                yield rows, {first} | cut
+                rows, size, cut = [], 0, set()
+            since = len(rows)
+        elif size >= 2 * bound:
+            if since:  # the tokens before this one are whole
+                yield rows[:since], {first} | cut
+                rows, cut, since = rows[since:], set(), 0
+                size = sum(len(a[6]) for a in rows)
+            if size >= bound:
+                cut.add(token)
+                yield rows, {first} | cut
+                rows, size = [], 0
+        rows.append(r)
+        size += len(r[6])
+    if rows:
+        yield rows, {first, rows[-1][:2]} | cut
+
+
 def marks(runs: DataFrame) -> DataFrame:
     """Byte ranges to remove and suffixes to compare across blocks."""
     names = [c.split()[0] for c in _STRETCH.split(", ")]
@@ -328,20 +361,10 @@ def marks(runs: DataFrame) -> DataFrame:
     parts = runs.repartitionByRange(*key).sortWithinPartitions(*key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settle() -> pa.RecordBatch:
-            ends = {(rows[0][0], rows[0][1]), (rows[-1][0], rows[-1][1])}
-            return pa.RecordBatch.from_pydict(sort_block(rows, ends), schema=schema)
-
-        rows, size = [], 0
-        for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in names)):
-                rows.append(r)
-                size += len(r[6])
-                if size >= SORT_BLOCK:
-                    yield settle()
-                    rows, size = [], 0
-        if rows:
-            yield settle()
+        rows = (r for batch in batches
+                for r in zip(*(batch.column(c).to_pylist() for c in names)))
+        for block, edges in token_blocks(rows, SORT_BLOCK):
+            yield pa.RecordBatch.from_pydict(sort_block(block, edges), schema=schema)
 
     return parts.mapInArrow(run, _MARKS)
 
@@ -351,7 +374,8 @@ def across_boundaries(found: DataFrame) -> DataFrame:
     rows = found.where(F.col("kind") == 1)
     here = F.struct(ID, UID, "s")
     first = rows.groupBy("w1", "w2").agg(F.min(here).alias("first"), F.count("*").alias("n"))
-    return rows.join(first.where(F.col("n") > 1), ["w1", "w2"]).where(
+    shared = written(first.where(F.col("n") > 1), "suffix-firsts")  # Spark then knows its size
+    return rows.join(shared, ["w1", "w2"]).where(
         here > F.col("first")).select(ID, UID, "s", "e")
 
 
