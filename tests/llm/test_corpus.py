@@ -149,11 +149,13 @@ def check_blocks(rows, sort_block, part):
     assert max(sum(len(r[6]) for r in some) for some, _ in blocks) <= 2 * sort_block + longest
     for some, edges in blocks:
         out = suffix_dedup.sort_block(some, edges)
-        for kind, d, _, s, e, w1, w2 in zip(*out.values()):
+        for kind, d, _, s, e, prints in zip(*out.values()):
             if kind == 0:
                 cover[d] |= set(range(s, e))
             else:
-                open_[w1, w2].append((d, s))
+                assert len(prints) == 16 * (e - s - 99)
+                for k in range(len(prints) // 16):
+                    open_[prints[16 * k:16 * k + 16]].append((d, s + k))
     for places in open_.values():
         for d, s in sorted(places)[1:]:
             cover[d] |= set(range(s, s + 100))

@@ -19,8 +19,10 @@ bytes each would be a hundred times the corpus, so they travel in groups:
    suffixes by multikey quicksort, eight bytes per step and only among those
    still equal, and marks all but the earliest of equal ones.
 5. A token whose stretches may go on elsewhere (the first and the last of a
-   partition, and one that a block's end cuts) sends its distinct suffixes'
-   128-bit hashes to a comparison across the boundaries, a grouped minimum.
+   partition, and one that a block's end cuts) has its distinct suffixes
+   compared across the boundaries by 128-bit hashes.  Half of each hash
+   travels packed first, to tell which ones other blocks have too; only
+   those become rows, for a grouped minimum.
 
 Documents are ordered by (doc_id, hash of the text); null and empty texts have
 no bytes; rows equal in doc_id and text are one document and get equal rows.
@@ -262,20 +264,22 @@ def equal_suffixes(data: np.ndarray, at: np.ndarray, kind: np.ndarray,
     return out
 
 
-_MARKS = f"kind int, {ID} long, {UID} long, s int, e int, w1 long, w2 long"
+_MARKS = f"kind int, {ID} long, {UID} long, s int, e int, prints binary"
 
 
 def sort_block(rows: list[tuple], edges: set[tuple[int, int]]) -> dict:
     """Marks of one block of stretches in key order: kind 0, a byte range to
-    remove; kind 1, a suffix that must be compared with other blocks."""
+    remove; kind 1, neighbouring suffixes from ``s`` on that must be compared
+    with other blocks, as their 16-byte hashes."""
     docs = np.array([(r[2], r[3], r[4]) for r in rows], np.int64).reshape(-1, 3)
     first: dict[tuple[int, bytes], int] = {}
     work: list[int] = []
     out: dict[str, list] = {c.split()[0]: [] for c in _MARKS.split(", ")}
 
-    def mark(kind: int, r: int, s: int, e: int, w1: int = 0, w2: int = 0) -> None:
-        for c, v in zip(out, (kind, docs[r, 0], docs[r, 1], s, e, w1, w2)):
+    def mark(kind: int, r: int, s: int, e: int, prints: bytes | None = None) -> None:
+        for c, v in zip(out, (kind, docs[r, 0], docs[r, 1], s, e)):
             out[c].append(int(v))
+        out["prints"].append(prints)
 
     for i, r in enumerate(rows):  # equal strings: the first stands for all
         j = first.setdefault((r[1], r[6]), i)
@@ -312,12 +316,13 @@ def sort_block(rows: list[tuple], edges: set[tuple[int, int]]) -> dict:
     for k, i in enumerate(work):
         if (rows[i][0], rows[i][1]) in edges:
             lo = int(np.searchsorted(row, k))
-            for x in range(lo, lo + int(counts[k])):
-                if cls[x] == x:
-                    d = hashlib.blake2b(raw[at[x]:at[x] + LENGTH], digest_size=16).digest()
-                    s = rows[i][4] + int(within[x])
-                    mark(1, i, s, s + LENGTH, int.from_bytes(d[:8], "little", signed=True),
-                         int.from_bytes(d[8:], "little", signed=True))
+            mine = lo + np.flatnonzero(cls[lo:lo + counts[k]] == np.arange(lo, lo + counts[k]))
+            for near in np.split(mine, np.flatnonzero(np.diff(mine) > 1) + 1):
+                if len(near):
+                    s = rows[i][4] + int(within[near[0]])
+                    mark(1, i, s, s + len(near) - 1 + LENGTH, b"".join(
+                        hashlib.blake2b(raw[x:x + LENGTH], digest_size=16).digest()
+                        for x in at[near].tolist()))
     return out
 
 
@@ -369,14 +374,66 @@ def marks(runs: DataFrame) -> DataFrame:
     return parts.mapInArrow(run, _MARKS)
 
 
+def shared_prints(runs: DataFrame, buckets: int) -> DataFrame:
+    """``w1``: first halves of the hashes that several rows send.  They travel
+    packed, each once per task's batch and hash bucket."""
+    def send(batch: pa.RecordBatch) -> Iterator[dict]:
+        h = np.frombuffer(b"".join(batch.column("prints").to_pylist()), np.uint64)[::2]
+        h, n = np.unique(h, return_counts=True)
+        bucket = (h % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cut = np.flatnonzero(np.diff(bucket[order])) + 1
+        groups = np.split(order, cut) if len(order) else []
+        yield {"bucket": [int(bucket[g[0]]) for g in groups],
+               "once": [h[g][n[g] == 1].tobytes() for g in groups],
+               "again": [h[g][n[g] > 1].tobytes() for g in groups]}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle() -> pa.RecordBatch:
+            h = np.sort(np.frombuffer(b"".join(held), np.uint64))
+            return pa.RecordBatch.from_pydict(
+                {"w1": np.unique(h[1:][h[1:] == h[:-1]]).view(np.int64)}, schema=schema)
+
+        now, held = None, []
+        for batch in batches:  # sorted by bucket
+            for k, once, again in zip(*(batch.column(c).to_pylist()
+                                        for c in ("bucket", "once", "again"))):
+                if k != now and held:
+                    yield settle()
+                    held = []
+                now = k
+                held += [once, again, again]
+        if held:
+            yield settle()
+
+    schema = schema_of(runs.sparkSession, "w1 long")
+    sent = arrow_map(runs.select("prints"), send, "bucket long, once binary, again binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "w1 long")
+
+
 def across_boundaries(found: DataFrame) -> DataFrame:
     """Ranges of the suffixes of kind 1 that start earlier in another block."""
-    rows = found.where(F.col("kind") == 1)
+    runs = found.where(F.col("kind") == 1).select(ID, UID, "s", "prints")
+    size = runs.agg(F.sum(F.octet_length("prints").cast("long"))).first()[0] or 0
+    shared = written(shared_prints(runs, max(1, size // BUCKET_BYTES)), "suffix-shared")
+
+    def expand(batch: pa.RecordBatch) -> Iterator[dict]:
+        prints = batch.column("prints").to_pylist()
+        count = np.array([len(p) // 16 for p in prints], np.int64)
+        row = np.repeat(np.arange(len(prints)), count)
+        w = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
+        ids, uids, s = (np.array(batch.column(c).to_pylist(), np.int64) for c in (ID, UID, "s"))
+        step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        yield {ID: ids[row], UID: uids[row], "s": (s[row] + step).astype(np.int32),
+               "w1": w[:, 0], "w2": w[:, 1]}
+
+    every = arrow_map(runs, expand, f"{ID} long, {UID} long, s int, w1 long, w2 long")
+    # Spark knows the size of the written table and broadcasts it while it is small
+    rows = written(every.join(shared, "w1"), "suffix-rows")
     here = F.struct(ID, UID, "s")
-    first = rows.groupBy("w1", "w2").agg(F.min(here).alias("first"), F.count("*").alias("n"))
-    shared = written(first.where(F.col("n") > 1), "suffix-firsts")  # Spark then knows its size
-    return rows.join(shared, ["w1", "w2"]).where(
-        here > F.col("first")).select(ID, UID, "s", "e")
+    first = written(rows.groupBy("w1", "w2").agg(F.min(here).alias("first")), "suffix-firsts")
+    return rows.join(first, ["w1", "w2"]).where(here > F.col("first")).select(
+        ID, UID, "s", (F.col("s") + LENGTH).cast("int").alias("e"))
 
 
 # --- the operator --------------------------------------------------------------
