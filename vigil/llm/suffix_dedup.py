@@ -389,9 +389,13 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
 def _repeated_ranges(docs: DataFrame) -> DataFrame:
     texts = keyed(docs, "text").where(F.octet_length("text") >= LENGTH)
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    runs = written(stretches(texts, repeated_tokens(texts, max(1, total // BUCKET_BYTES))),
-                   "suffix-runs")
-    found = written(marks(runs), "suffix-marks")
+    spark = docs.sparkSession
+
+    def runs() -> DataFrame:
+        return stretches(texts, repeated_tokens(texts, max(1, total // BUCKET_BYTES)))
+
+    # each table goes as soon as the next one is written
+    found = settled(spark, "suffix-marks", lambda: marks(settled(spark, "suffix-runs", runs)))
     ranges = found.where(F.col("kind") == 0).select(ID, UID, "s", "e").unionByName(
         across_boundaries(found))
     return ranges.groupBy(ID, UID).agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
