@@ -383,6 +383,43 @@ def test_thresholds_keep_the_recall_on_held_out_positives_per_shape():
         assert (good >= net.thresholds[s]).mean() >= 0.92
 
 
+def test_all_findings_train_and_set_the_thresholds(spark, monkeypatch):
+    """More findings than one shard holds: every one trains or calibrates, and
+    the thresholds are ranks over all that calibrate."""
+    rng = random.Random(19)
+    rows = [(i, " and ".join(
+        f'secret = "{"".join(rng.choice(BASE62) for _ in range(20))}7" of '
+        f"10.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}:8080" if j % 2 else
+        f"{rng.getrandbits(96):024x} by 555-0{rng.randint(100, 999)}-{rng.randint(1000, 9999)}"
+        for j in range(8))) for i in range(900)]
+    docs = cases.documents(spark, rows)
+    seen = {}
+    train, cuts = secret_scan._round, secret_scan._thresholds
+
+    def count(spark, shards, net, passes):
+        seen["learn"] = sum(r["count"] for r in shards.count().collect())
+        train(spark, shards, net, passes)
+
+    def keep(scored, net):
+        seen["scores"] = scored.toPandas()
+        return cuts(scored, net)
+
+    monkeypatch.setattr(secret_scan, "_round", count)
+    monkeypatch.setattr(secret_scan, "_thresholds", keep)
+    net = secret_scan.fit(docs)
+    s = seen["scores"]
+    found = {(secret_scan.encode(t, a, b, w).tobytes(), y) for _, t in rows
+             for a, b, y in secret_scan.labelled(t) for w in secret_scan.windows(t, a, b)
+             if not (y and b - a > w[1] - w[0] and secret_scan.harmless(t[w[0]:w[1]]))}
+    assert seen["learn"] + len(s) == len(found) > 12_000
+    for k in (0, 1):
+        good = np.sort(s.z[(s.label == 1) & (s["shape"] == k)])
+        z = good[int((1 - secret_scan.RECALL) * len(good))]
+        assert abs(net.thresholds[k] - 1 / (1 + np.exp(-(net.slope * z + net.offset)))) < 1e-12
+    p = 1 / (1 + np.exp(-(net.slope * s.z + net.offset)))
+    assert p[s.label == 1].mean() > 0.9 and p[s.label == 0].mean() < 0.1
+
+
 def test_findings_on_awkward_rows(spark):
     rows = cases.texts(random.Random(5))
     docs = cases.documents(spark, rows)
