@@ -64,3 +64,11 @@ def test_pairs_of_a_large_group_are_not_formed(spark, monkeypatch):
     got = {r.doc_id: r.near_dup_of for r in ND.near_duplicates(df).collect()}
     assert got == {i: None if i == 0 else 0 for i in range(200)}
     assert sum(pairs) < 400
+
+
+def test_nothing_and_no_group(spark):
+    schema = "doc_id long, topic string, text string"
+    assert ND.near_duplicates(spark.createDataFrame([], schema)).collect() == []
+    df = spark.createDataFrame([(1, None, "a b c d"), (2, None, "a b c d"), (3, "g", "a b c d")], schema)
+    assert sorted((r.doc_id, r.near_dup_of) for r in ND.near_duplicates(df).collect()) == [
+        (1, None), (2, None), (3, None)]
