@@ -141,3 +141,25 @@ def test_positions_hot_key(spark, parts):
         grp = sorted([r for r in rows if r[0] == key], key=lambda r: (-r[2], r[1]))
         for i, r in enumerate(grp, 1):
             assert got[r[1]] == i
+
+
+def test_replay_of_many_keys_is_a_frame_per_batch():
+    """Keys with few events cost no frame each; keys go on from batch to batch."""
+    import json
+
+    import pandas as pd
+
+    from vigil.operators.folds import replay
+    from vigil.operators.seen_state import DAY_US, SeenMachine
+
+    m = SeenMachine({"x": 1}, 1)
+    rows = [(f"u{i // 3:05d}", (i % 3) * DAY_US, i, "item", "x", None) for i in range(3000)]
+    pdf = pd.DataFrame(rows, columns=m.input_columns(["url"]))
+    pdf["entry"] = [json.dumps([-DAY_US, "x"]) if i < 3 else None for i in range(3000)]
+    batches = [pdf.iloc[i:i + 700].reset_index(drop=True) for i in range(0, 3000, 700)]
+    names = ["url", "ts_us", "seq", "action", "seen_us", "stype"]
+    frames = list(replay(iter(batches), ["url"], m, names))
+    assert [len(f) for f in frames] == [len(b) for b in batches]
+    got = pd.concat(frames)
+    assert got["seq"].tolist() == list(range(3000))
+    assert got["action"].tolist() == ["seen", "pass", "seen"] + ["pass", "seen", "pass"] * 999

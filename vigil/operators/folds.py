@@ -19,7 +19,9 @@ The engine here runs it as a *blocked scan*:
    table): replays every partition forward from its real entry state and
    emits per-event transitions; final states are the last portion's exit.
 
-A *machine* supplies ``initial``, ``step``, ``summarise`` and ``apply``.
+Pass B reads batch by batch and appends the rows of many keys to one frame, so a
+key with few events costs little.  A *machine* supplies ``initial``, ``steps``,
+``summarise`` and ``apply``.
 """
 
 from __future__ import annotations
@@ -41,33 +43,72 @@ _PID = "_pid"
 INIT_TS_US = -2208988800 * 1_000_000
 
 
-def _key_tuple(row: Sequence) -> tuple:
-    return tuple(None if (isinstance(v, float) and np.isnan(v)) else v for v in row)
-
-
-def _portions(pdf: pd.DataFrame, keys: list[str]):
-    """(key tuple, start, stop) runs of equal keys in a sorted frame."""
-    if len(pdf) == 0:
-        return
-    kv = pdf[keys].astype(object).where(pdf[keys].notna(), None).to_numpy()
-    start = 0
-    cur = _key_tuple(kv[0])
-    for i in range(1, len(kv)):
-        k = _key_tuple(kv[i])
-        if k != cur:
-            yield cur, start, i
-            start, cur = i, k
-    yield cur, start, len(kv)
-
-
-def _concat(batches) -> pd.DataFrame:
-    frames = [b for b in batches if len(b)]
-    return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame()
+def _key(pdf: pd.DataFrame, keys: list[str], row: int) -> tuple:
+    return tuple(None if pd.isna(v) else v for v in (pdf[k].iat[row] for k in keys))
+
+
+def _starts(pdf: pd.DataFrame, keys: list[str], before: tuple | None) -> list[int]:
+    """Rows of a sorted frame at which a key begins; ``before`` is the key of the
+    row in front of the frame."""
+    new = np.zeros(len(pdf), bool)
+    for k in keys:
+        v, null = pdf[k].to_numpy(), pdf[k].isna().to_numpy()
+        new[1:] |= (v[1:] != v[:-1]) & ~(null[1:] & null[:-1])
+    new[0] = _key(pdf, keys, 0) != before
+    return np.flatnonzero(new).tolist()
+
+
+def columns(pdf: pd.DataFrame) -> dict[str, list]:
+    """The columns as lists, null as None."""
+    out = {}
+    for c in pdf.columns:
+        null = pdf[c].isna()
+        out[c] = (pdf[c].astype(object).where(~null, None) if null.any() else pdf[c]).tolist()
+    return out
+
+
+class Machine:
+    """``steps(cols, a, b, begun, state, key, rows)`` replays the events ``a`` to
+    ``b`` of columns as lists, appends a row for each to ``rows`` (unless None)
+    and returns the state; ``begun`` is what ``begin(cols, a)`` said at the
+    first event of the portion."""
+
+    def begin(self, cols: dict[str, list], a: int):
+        return None
+
+    def run(self, part: pd.DataFrame, state, emit: bool = False):
+        if not len(part):
+            return [], state
+        cols, rows = columns(part), [] if emit else None
+        own = set(self.input_columns([])) | {"entry", _PID}
+        key = [cols[c][0] for c in part.columns if c not in own]
+        state = self.steps(cols, 0, len(part), self.begin(cols, 0), state, key, rows)
+        return rows or [], state
+
+
+def replay(batches, keys: list[str], machine, names: list[str]):
+    """Rows of all events of a sorted partition, a frame per batch.  ``entry`` is
+    the state at the beginning of a portion, null where it is the initial one."""
+    last = state = begun = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        starts, cols, rows = _starts(pdf, keys, last), columns(pdf), []
+        if not starts or starts[0]:  # the portion before goes on
+            state = machine.steps(cols, 0, starts[0] if starts else len(pdf), begun, state, last, rows)
+        for a, b in zip(starts, starts[1:] + [len(pdf)]):
+            last, entry = tuple(cols[k][a] for k in keys), cols["entry"][a]
+            state = machine.initial() if entry is None else json.loads(entry)
+            begun = machine.begin(cols, a)
+            state = machine.steps(cols, a, b, begun, state, last, rows)
+        yield pd.DataFrame(rows, columns=names)
 
 
 def blocked_fold(events: DataFrame, keys: Sequence[str], order: Sequence[str], machine,
-                 partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Run ``machine`` over ``events`` per key in ``order``.
+                 partitions: int | None = None, keep: bool = False
+                 ) -> tuple[DataFrame, DataFrame]:
+    """Run ``machine`` over ``events`` per key in ``order``; ``keep`` checkpoints
+    the transitions, for callers that use them and the states.
 
     Returns ``(transitions, final)``: one output row per event (schema
     ``machine.event_schema``) and the final state per key
@@ -89,17 +130,27 @@ def blocked_fold(events: DataFrame, keys: Sequence[str], order: Sequence[str], m
     def pass_a(batches):
         from pyspark import TaskContext
 
-        pid = TaskContext.get().partitionId()
-        pdf = _concat(batches)
-        rows = []
-        runs = list(_portions(pdf, keys))
-        for i, (k, a, b) in enumerate(runs):
-            part = pdf.iloc[a:b]
-            if i == 0:
-                rows.append((pid, *k, "first", json.dumps(machine.summarise(part))))
-            elif i == len(runs) - 1:
-                exit_state = machine.run(part, machine.initial())[1]
-                rows.append((pid, *k, "last", json.dumps(exit_state)))
+        pid, last, portions = TaskContext.get().partitionId(), None, 0
+        rows, first, tail = [], [], []  # frames of the first and of the current portion
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            starts = _starts(pdf, keys, last)
+            if not starts or starts[0]:
+                (first if portions == 1 else tail).append(pdf.iloc[:starts[0] if starts else None])
+            if not portions:
+                first.append(pdf.iloc[:starts[1] if len(starts) > 1 else None])
+            portions += len(starts)
+            if starts and portions > 1:
+                tail = [pdf.iloc[starts[-1]:]]
+            last = _key(pdf, keys, len(pdf) - 1)
+        if first:
+            part = pd.concat(first, ignore_index=True)
+            rows.append((pid, *_key(part, keys, 0), "first", json.dumps(machine.summarise(part))))
+        if tail:
+            part = pd.concat(tail, ignore_index=True)
+            exit_state = machine.run(part, machine.initial())[1]
+            rows.append((pid, *last, "last", json.dumps(exit_state)))
         yield pd.DataFrame(rows, columns=[f.name for f in sum_schema.fields])
 
     summaries = sorted_df.mapInPandas(pass_a, sum_schema)
@@ -120,7 +171,8 @@ def blocked_fold(events: DataFrame, keys: Sequence[str], order: Sequence[str], m
                 state = json.loads(rec["summary"])
         return pd.DataFrame(out, columns=[f.name for f in carry_schema.fields])
 
-    entries = summaries.groupBy(*keys).applyInPandas(carry, carry_schema)
+    # at most one row per partition, read by every later use of the transitions
+    entries = summaries.groupBy(*keys).applyInPandas(carry, carry_schema).checkpoint(eager=True)
 
     # ---- pass B: replay with real entry states --------------------------------
     with_pid = sorted_df.withColumn(_PID, F.spark_partition_id())
@@ -132,16 +184,11 @@ def blocked_fold(events: DataFrame, keys: Sequence[str], order: Sequence[str], m
     out_schema = machine.event_schema(key_fields)
 
     def pass_b(batches):
-        pdf = _concat(batches)
-        for k, a, b in _portions(pdf, keys):
-            part = pdf.iloc[a:b]
-            entry = part["entry"].iloc[0]
-            state = json.loads(entry) if isinstance(entry, str) else machine.initial()
-            rows, _ = machine.run(part, state, emit=True)
-            if rows:
-                yield pd.DataFrame(rows, columns=[f.name for f in out_schema.fields])
+        return replay(batches, keys, machine, [f.name for f in out_schema.fields])
 
     # keep the sort order of each partition into pass B (broadcast join streams
     # the big side in order)
     transitions = joined.mapInPandas(pass_b, out_schema)
+    if keep:
+        transitions = transitions.checkpoint(eager=True)
     return transitions, machine.final_from(transitions, keys)

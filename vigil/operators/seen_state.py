@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.conventions import RETENTION_DAYS, RETENTION_DEFAULT_DAYS
-from vigil.operators.folds import INIT_TS_US, blocked_fold
+from vigil.operators.folds import INIT_TS_US, Machine, blocked_fold, columns
 
 KEYS = ("url",)
 DAY_US = 86_400 * 1_000_000
 
 
-class SeenMachine:
+class SeenMachine(Machine):
     """State = ``None | [seen_us, type]``."""
 
     def __init__(self, retention: dict | None = None, default_days: int = RETENTION_DEFAULT_DAYS):
@@ -46,27 +46,25 @@ class SeenMachine:
         days = self.keep.get(s[1] if s[1] is not None else "news", self.default)
         return int(s[0]) + (days + 1) * DAY_US
 
-    def _cols(self, part: pd.DataFrame):
-        stype = [None if pd.isna(v) else v for v in part["stype"].tolist()]
-        seen = [None if pd.isna(v) else int(v) for v in part["seen_us"].tolist()]
-        return part["kind"].tolist(), part["ts_us"].tolist(), part["seq"].tolist(), stype, seen
-
-    def run(self, part: pd.DataFrame, state, emit: bool = False):
-        kv = part[list(KEYS)].iloc[0].tolist() if emit and len(part) else []
-        rows, s = [], state
-        for kind, ts, seq, stype, seen in zip(*self._cols(part)):
-            if kind == "init":
-                s, action = [seen, stype], "init"
-            elif s is None or ts >= self.ends(s):
-                s, action = [int(ts), stype], "pass"
+    def steps(self, cols, a, b, begun, s, key, rows):
+        end = None if s is None else self.ends(s)
+        for i in range(a, b):
+            ts, stype = int(cols["ts_us"][i]), cols["stype"][i]
+            if cols["kind"][i] == "init":
+                s, action = [int(cols["seen_us"][i]), stype], "init"
+                end = self.ends(s)
+            elif s is None or ts >= end:
+                s, action = [ts, stype], "pass"
+                end = self.ends(s)
             else:
                 action = "seen"
-            if emit:
-                rows.append((*kv, int(ts), int(seq), action, s[0], s[1]))
-        return rows, s
+            if rows is not None:
+                rows.append((*key, ts, int(cols["seq"][i]), action, s[0], s[1]))
+        return s
 
     def summarise(self, part: pd.DataFrame):
-        kinds, ts, _, stype, _ = self._cols(part)
+        cols = columns(part)
+        kinds, ts, stype = cols["kind"], cols["ts_us"], cols["stype"]
         if "init" in kinds:
             return {"fixed": self.run(part, None)[1]}
         n = len(ts)
@@ -101,8 +99,8 @@ class SeenMachine:
 
 
 def seen_fold(items: DataFrame, init: DataFrame | None = None, retention: dict | None = None,
-              default_days: int = RETENTION_DEFAULT_DAYS, partitions: int | None = None
-              ) -> tuple[DataFrame, DataFrame]:
+              default_days: int = RETENTION_DEFAULT_DAYS, partitions: int | None = None,
+              keep: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(transitions, state)`` after ``items(event_id, url, source_type, ts)``
     in (ts, event_id) order; ``init(url, seen_at, source_type)`` are stored
     sightings.  Items that pass have the action ``pass``.  A null URL is a URL."""
@@ -115,4 +113,5 @@ def seen_fold(items: DataFrame, init: DataFrame | None = None, retention: dict |
         ev = ev.unionByName(init.select(
             "url", start.alias("ts_us"), start.alias("seq"), F.lit("init").alias("kind"),
             F.col("source_type").alias("stype"), F.unix_micros("seen_at").alias("seen_us")))
-    return blocked_fold(ev, KEYS, ["ts_us", "seq"], SeenMachine(retention, default_days), partitions)
+    return blocked_fold(ev, KEYS, ["ts_us", "seq"], SeenMachine(retention, default_days), partitions,
+                        keep)

@@ -75,8 +75,8 @@ def breaker_batches(base: str, partitions: int | None = None):
     keys = ["topic_name", "adapter"]
 
     def fold(batch: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
-        trans, final = breaker_fold(batch, init=stored, partitions=partitions)
-        trans = trans.where(F.col("action") != "init").checkpoint()
+        trans, final = breaker_fold(batch, init=stored, partitions=partitions, keep=True)
+        trans = trans.where(F.col("action") != "init")
         counts = trans.groupBy(*keys).agg(
             F.count_if(F.col("action") == "skip").alias("n_skipped"),
             F.count_if(F.col("action") == "trip").alias("n_trips"),
@@ -98,7 +98,8 @@ def seen_batches(base: str, retention: dict | None = None, default_days: int | N
     pass, the state is the seen set."""
     def fold(batch: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
         more = {} if default_days is None else {"default_days": default_days}
-        trans, final = seen_fold(batch, stored, retention, partitions=partitions, **more)
+        trans, final = seen_fold(batch, stored, retention, partitions=partitions, keep=True,
+                                 **more)
         passed = trans.where(F.col("action") == "pass")
         return passed.select("url", F.col("seq").alias("event_id")), final
 
