@@ -114,3 +114,33 @@ def test_seen_ends_after_whole_days():
     assert SeenMachine({"x": 3}, 1).ends([0, "x"]) == 4 * DAY_US
     assert SeenMachine({"news": 3}, 1).ends([0, None]) == 4 * DAY_US
     assert SeenMachine({"x": 3}, 1).ends([0, "y"]) == 2 * DAY_US
+
+
+def test_state_function_passes_on_its_frames():
+    """The URL-keyed state function builds no frame per URL: rows that pass are
+    rows of the frames it got, in any order over several frames."""
+    import pandas as pd
+
+    from vigil.streaming import poll_stream as S
+
+    class State:
+        exists, hasTimedOut, get, until = False, False, None, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def setTimeoutTimestamp(self, ms):
+            self.until = ms
+
+    def frame(*days):
+        return pd.DataFrame({"event_id": list(days), "url": "u", "source_type": "short",
+                             "ts": [pd.Timestamp(T0) + pd.Timedelta(days=d) for d in days]})
+
+    fn, state = S._seen_fn(KEEP, 9), State()
+    one = frame(0)
+    assert next(fn(("u",), iter([one]), state))["event_id"].tolist() == [0]
+    late, early = frame(8, 7), frame(3, 2)
+    got = list(fn(("u",), iter([late, early]), state))
+    assert [f["event_id"].tolist() for f in got] == [[7], [3]]
+    assert state.get[0] == int((pd.Timestamp(T0) + pd.Timedelta(days=7)).value // 1000)
+    assert state.until == state.get[0] // 1000 + 3 * 86_400_000

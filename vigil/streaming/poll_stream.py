@@ -267,33 +267,40 @@ SEEN_STATE = T.StructType([T.StructField("seen_us", T.LongType()),
 _DAY_US = 86_400 * 1_000_000
 
 
+def _micros(ts: pd.Series) -> list[int]:
+    return ts.to_numpy().astype("datetime64[us]").astype("int64").tolist()
+
+
 def _seen_fn(retention: dict, default_days: int):
-    def keep_days(stype):
-        return retention.get(stype if stype is not None else "news", default_days)
+    def _until(seen) -> int:
+        """The time from which on a URL with this sighting passes again."""
+        days = retention.get(seen[1] if seen[1] is not None else "news", default_days)
+        return int(seen[0]) + (days + 1) * _DAY_US
 
     def fn(key, pdfs, state):
         if state.hasTimedOut:
             state.remove()
             return
-        part = pd.concat(list(pdfs), ignore_index=True)
-        part["us"] = pd.to_datetime(part["ts"]).astype("int64") // 1000
-        part = part.sort_values(["us", "event_id"])
+        # most URLs have few rows: plain lists, and the passing rows of the given frames
+        frames = [p for p in pdfs if len(p)]
+        rows = sorted((us, ev, f, i, stype) for f, p in enumerate(frames) for i, (us, ev, stype) in
+                      enumerate(zip(_micros(p["ts"]), p["event_id"].tolist(),
+                                    p["source_type"].tolist())))
         seen = state.get if state.exists else None
-        out = []
-        for ev, us, stype, ts in zip(part["event_id"].tolist(), part["us"].tolist(),
-                                     part["source_type"].tolist(), part["ts"].tolist()):
-            if seen is not None:
-                age_days = (int(us) - int(seen[0])) // _DAY_US
-                if age_days <= keep_days(seen[1]):
-                    continue
-            seen = (int(us), stype)
-            out.append((int(ev), key[0], stype, ts))
+        until = None if seen is None else _until(seen)
+        passed = [[] for _ in frames]
+        for us, _, f, i, stype in rows:
+            if seen is None or us >= until:
+                seen = (us, stype)
+                until = _until(seen)
+                passed[f].append(i)
         if seen is not None:
             state.update(seen)
             # drop the state once it can no longer suppress anything
-            state.setTimeoutTimestamp(int(seen[0] // 1000) + (keep_days(seen[1]) + 1) * 86_400_000)
-        if out:
-            yield pd.DataFrame(out, columns=[f.name for f in SEEN_OUT.fields])
+            state.setTimeoutTimestamp(until // 1000)
+        for p, places in zip(frames, passed):
+            if places:
+                yield (p if len(places) == len(p) else p.iloc[places])[SEEN_OUT.names]
     return fn
 
 
