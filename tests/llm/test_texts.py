@@ -616,3 +616,19 @@ def test_one_planted_outlier_per_statistic_is_rejected(spark):
         assert not r.base_failed and not r.kept, (name, r)
     assert all(got[d].kept for d in (500, 501, 502))
     assert sum(not got[d].kept for d in range(200)) <= 4
+
+
+def test_first_parts_are_remembered():
+    """Texts that begin alike do not ask the library again; same ids as its own."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, asked = token_store.PieceEncoder(path), []
+    library = enc.library
+    enc.library = lambda texts: asked.extend(texts) or library(texts)
+    texts = ["The first", "The second", "", "  two blanks", "The", "Caf\u00e9, x"]
+    for _ in range(2):
+        got = enc.encode(texts)
+    want = [i.tobytes() for i in library(texts)]
+    assert got == want
+    assert asked.count("The") == 1 and asked.count("  two blanks") == 2

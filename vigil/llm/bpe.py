@@ -14,6 +14,7 @@ so repeated rows get equal rows.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -29,7 +30,7 @@ from vigil.llm.common import arrow_map, claim, remembers
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space other than blank and line feed, and the separators that some
 #: engines count as white space.
-_OTHER_SPACE = regex.compile(
+_OTHER_SPACE = re.compile(
     r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Pieces and words remembered per worker (two generations of each).
 REMEMBERED = 300_000

@@ -110,6 +110,7 @@ class PieceEncoder:
         self.known, self.old = Numbered(self.dtype), Numbered(self.dtype)
         self.words: dict[str, bytes] = {}  # ids with a blank in front
         self.rests: dict[str, bytes] = {"": b""}
+        self.firsts: dict[str, bytes] = {}  # ids of a text's first part, no blank in front
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype)
@@ -164,8 +165,15 @@ class PieceEncoder:
         self.known.add([next(fresh) if o is None else self.old.of(o) for o in again])
         data, at = self.known.joined(numbers)
         cuts = at[ends].tolist()
-        heads = self.library([t if p is None else p[0] for t, p in zip(texts, plain)])
-        return [head.tobytes() + data[a:b] for head, a, b in zip(heads, cuts, cuts[1:])]
+        if len(self.firsts) > REMEMBERED:
+            self.firsts = {}
+        firsts = list({p[0] for p in plain if p}.difference(self.firsts))
+        whole = [t for t, p in zip(texts, plain) if p is None]
+        found = [i.tobytes() for i in self.library(firsts + whole)]
+        self.firsts.update(zip(firsts, found))
+        rest = iter(found[len(firsts):])
+        heads = [next(rest) if p is None else self.firsts[p[0]] for p in plain]
+        return [head + data[a:b] for head, a, b in zip(heads, cuts, cuts[1:])]
 
 
 @lru_cache(maxsize=2)
