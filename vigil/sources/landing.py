@@ -35,19 +35,26 @@ def is_bad_payload(pid: Column, per: int = PER_PAYLOAD) -> Column:
     return pid % (per * BAD_EVERY) == 0
 
 
-def land(items: DataFrame, key: str, item: Column, wrap: Callable[[Column], Column],
-         source: str, as_of=AS_OF, to_text: Callable[[Column], Column] | None = None,
+def pack(items: DataFrame, key: str, columns: list[str], per: int = PER_PAYLOAD) -> DataFrame:
+    """The rows of each payload as one array in key order.
+
+    It is dealt out once more after it is built: sources of one table then read
+    one and the same shuffle, and rows are gathered and ordered once for all."""
+    row = F.struct(key, *columns)
+    return (items.select(payload_of(F.col(key), per).alias("payload_id"), row.alias("row"))
+            .groupBy("payload_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+            .repartition(F.xxhash64("payload_id")))
+
+
+def land(packed: DataFrame, item: Callable[[Callable[[str], Column]], Column],
+         wrap: Callable[[Column], Column], source: str, as_of=AS_OF,
+         to_text: Callable[[Column], Column] | None = None,
          filters: Callable[[Column], Column] | None = None,
          term: Callable[[Column], Column] | None = None, per: int = PER_PAYLOAD) -> DataFrame:
-    """Pack ``item`` structs ten per payload into a body (``wrap`` builds the
-    API envelope around the ordered item array)."""
-    pid = payload_of(F.col(key), per)
-    packed = (items.select(pid.alias("payload_id"), F.struct(F.col(key).alias("k"), item.alias("v"))
-                           .alias("e"))
-              .groupBy("payload_id")
-              .agg(F.array_sort(F.collect_list("e"), lambda a, b: F.when(a["k"] < b["k"], -1)
-                                .when(a["k"] > b["k"], 1).otherwise(0)).alias("es"))
-              .withColumn("arr", F.transform("es", lambda e: e["v"])))
+    """Make an item of each row of a payload (``item`` is told how to get a
+    column of it) and a body of the items (``wrap`` builds the API envelope
+    around the ordered item array)."""
+    packed = packed.select("payload_id", F.transform("rows", lambda r: item(r.getField)).alias("arr"))
     body = (to_text or F.to_json)(wrap(F.col("arr")))
     bad = is_bad_payload(F.col("payload_id"), per)
     return packed.select(
