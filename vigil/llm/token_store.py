@@ -32,6 +32,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,7 +47,7 @@ END_ID = 2
 #: Ids per shard (a longer document has a shard of its own).
 SHARD_IDS = 4 << 20
 #: Characters of text that are encoded at once (a longer document is alone).
-TEXT_BLOCK = 1 << 20
+TEXT_BLOCK = 1 << 22
 #: Keys per bucket of the hash, on average.
 BUCKET = 4
 
@@ -151,15 +152,19 @@ class PieceEncoder:
     def encode_block(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.old, self.known = self.known, Numbered(self.dtype)
-        plain = [t.split(" ") if regular(t) and not any(a in t for a in self.added) else None
-                 for t in texts]
-        later: list[str] = []
-        ends = [0]
-        for p in plain:
-            if p:
-                later += p[1:]
-            ends.append(len(later))
-        numbers = np.fromiter(map(self.known.__getitem__, later), np.int64, len(later))
+        plain = [regular(t) and not any(a in t for a in self.added) for t in texts]
+        # parts are split and told apart by Arrow; only different ones become strings
+        split = pc.split_pattern(pa.array([t for t, p in zip(texts, plain) if p], pa.string()), " ")
+        first = split.offsets.to_numpy()
+        rest = np.ones(first[-1] - first[0], bool)
+        rest[first[:-1] - first[0]] = False
+        later = split.flatten().filter(pa.array(rest)).dictionary_encode()
+        counts = np.zeros(len(texts), np.int64)
+        counts[plain] = np.diff(first) - 1
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        parts = later.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))[
+            later.indices.to_numpy()]
         again = [self.old.get(p) for p in self.known.new]
         fresh = iter(self.learn([p for p, o in zip(self.known.new, again) if o is None]))
         self.known.add([next(fresh) if o is None else self.old.of(o) for o in again])
@@ -167,12 +172,13 @@ class PieceEncoder:
         cuts = at[ends].tolist()
         if len(self.firsts) > REMEMBERED:
             self.firsts = {}
-        firsts = list({p[0] for p in plain if p}.difference(self.firsts))
-        whole = [t for t, p in zip(texts, plain) if p is None]
+        began = [t.partition(" ")[0] if p else None for t, p in zip(texts, plain)]
+        firsts = list({b for b in began if b is not None}.difference(self.firsts))
+        whole = [t for t, p in zip(texts, plain) if not p]
         found = [i.tobytes() for i in self.library(firsts + whole)]
         self.firsts.update(zip(firsts, found))
-        rest = iter(found[len(firsts):])
-        heads = [next(rest) if p is None else self.firsts[p[0]] for p in plain]
+        others = iter(found[len(firsts):])
+        heads = [next(others) if b is None else self.firsts[b] for b in began]
         return [head + data[a:b] for head, a, b in zip(heads, cuts, cuts[1:])]
 
 
