@@ -23,16 +23,13 @@ the text, copy number), so repeated rows are stored and found one by one.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from operator import add
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,54 +45,127 @@ END_ID = 2
 SHARD_IDS = 4 << 20
 #: Characters of text that are encoded at once (a longer document is alone).
 TEXT_BLOCK = 1 << 22
+#: Ids of pieces remembered per worker, if the pieces are long (two generations).
+REMEMBERED_IDS = 1 << 23
 #: Keys per bucket of the hash, on average.
 BUCKET = 4
 
 
 # --- encoding ---------------------------------------------------------------
 
+# Kinds of bytes.  Letters are those of ASCII and both bytes of U+00C0 to
+# U+023F without the two signs among them; OTHER is not told apart.
+BLANK, LINE, LETTER, DIGIT, SIGN, QUOTE, OTHER = range(7)
+
+
+def _kinds() -> np.ndarray:
+    kinds = np.full(256, OTHER, np.uint8)
+    kinds[[c for c in range(128) if not 9 <= c <= 13 and not 28 <= c <= 31]] = SIGN
+    kinds[[c for c in range(128) if chr(c).isalpha()]] = LETTER
+    kinds[48:58] = DIGIT
+    kinds[[ord(c) for c in " \n'"]] = BLANK, LINE, QUOTE
+    return kinds
+
+
+def _cuts() -> np.ndarray:
+    cuts = np.zeros((7, 7), bool)
+    cuts[LETTER:, :LETTER] = True  # a blank or line feed after something else
+    cuts[LINE, LETTER:] = True
+    cuts[LETTER, [DIGIT, SIGN, QUOTE]] = True
+    cuts[DIGIT, [LETTER, SIGN, QUOTE]] = True
+    cuts[SIGN, [LETTER, DIGIT]] = True
+    cuts[QUOTE, DIGIT] = True  # a letter may belong to the quote: 's
+    return cuts.ravel()
+
+
+KINDS, CUTS = _kinds(), _cuts()
+
+
+def pieces_of(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """(pieces of all texts, number of pieces before each text and the end).
+
+    Cuts regular texts where the split pattern does for certain: it ends a
+    run of letters, digits or signs at a known byte of another kind and before
+    white space, and takes the last of several line feeds alone if a text goes
+    on.  Places beside a byte of kind OTHER are left to the library.
+    """
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+    if offsets[0] == offsets[-1]:
+        return pa.array([], pa.string()), np.zeros(len(texts) + 1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+    bounds = offsets - offsets[0]
+    starts = bounds[:-1][bounds[:-1] < bounds[1:]]
+    kinds = KINDS[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC8))
+    lead = lead[(data[lead] != 0xC3) | ((data[lead + 1] & 0xDF) != 0x97)]  # not \u00d7, \u00f7
+    kinds[lead] = kinds[lead + 1] = LETTER
+    cut = np.zeros(len(data), bool)
+    cut[1:] = CUTS[kinds[:-1] * 7 + kinds[1:]]
+    line = kinds == LINE
+    goes_on = ~np.append(line[1:], True)
+    goes_on[starts[1:] - 1] = False
+    cut[1:] |= line[:-1] & line[1:] & goes_on[1:]
+    cut[starts] = True
+    at = np.flatnonzero(cut)
+    return (pa.StringArray.from_buffers(
+        len(at), pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(data)),
+        np.searchsorted(at, bounds))
+
+
+def gathered(ids: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``ids`` that begin at ``first``, one after the other."""
+    return ids[np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+
+
 class Numbered(dict):
-    """Numbers parts in order of first sight; ids of all parts in one array."""
+    """Numbers pieces in order of first sight; ids of all pieces in one array."""
 
     def __init__(self, dtype: np.dtype) -> None:
         super().__init__()
         self.new: list[str] = []  # numbered, their ids still to be added
         self.ids, self.at = np.zeros(0, dtype), np.zeros(1, np.int64)
+        self.old: Numbered | None = None  # the generation before, to learn from
 
-    def __missing__(self, part: str) -> int:
-        number = self[part] = len(self)
-        self.new.append(part)
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        self.new.append(piece)
         return number
 
-    def add(self, found: list[bytes]) -> None:
-        data = np.frombuffer(b"".join(found), self.ids.dtype)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.ids.itemsize
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, data])
-        self.new = []
-
-    def of(self, number: int) -> bytes:
-        return self.ids[self.at[number]:self.at[number + 1]].tobytes()
+    def trim(self) -> None:
+        """Call between blocks."""
+        if len(self) > REMEMBERED or len(self.ids) > REMEMBERED_IDS:
+            old = Numbered(self.ids.dtype)
+            old.update(self)
+            old.ids, old.at = self.ids, self.at
+            self.clear()
+            self.ids, self.at, self.old = self.ids[:0].copy(), self.at[:1].copy(), old
 
-    def joined(self, numbers: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """(ids of the parts one after the other, first byte of each and the end)."""
-        first = self.at[numbers]
-        size = self.at[numbers + 1] - first
-        ends = np.concatenate([[0], np.cumsum(size)])
-        places = np.repeat(first - ends[:-1], size) + np.arange(ends[-1])
-        return self.ids[places].tobytes(), ends * self.ids.itemsize
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def runs(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first id, number of ids) of pieces."""
+        return self.at[numbers], self.at[numbers + 1] - self.at[numbers]
+
+    def find(self, pieces: list[str], learn: Callable) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of pieces; those that are new are learned."""
+        numbers = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+        new, self.new = self.new, []
+        if self.old is None:
+            self.add(*learn(new))
+            return self.runs(numbers)
+        again = np.fromiter((self.old.get(p, -1) for p in new), np.int64, len(new))
+        fresh = again < 0
+        ids, more = learn([p for p, f in zip(new, fresh.tolist()) if f])
+        first, sizes = self.old.runs(np.maximum(again, 0))
+        first[fresh], sizes[fresh] = len(self.old.ids) + np.cumsum(more) - more, more
+        self.add(gathered(np.concatenate([self.old.ids, ids]), first, sizes), sizes)
+        return self.runs(numbers)
 
 
 class PieceEncoder:
-    """The library's ids of a text, remembered by blank-separated part.
-
-    A part that begins with Latin letters and goes on with another ASCII
-    character is cut there: the split pattern ends a run of letters at that
-    place, whatever follows.  So a word with a comma costs no new word.
-    """
-
-    HEAD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)"
-                      r"([\x00-@\[-`{-\x7f].*)?", re.DOTALL)
+    """The library's ids of a text, remembered by piece."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -108,78 +178,56 @@ class PieceEncoder:
         blank = [i for t, i in self.tok.get_vocab().items() if t.startswith("Ġ")]
         self.starts = np.zeros(size, bool)
         self.starts[blank] = True  # tokens that begin with a blank
-        self.known, self.old = Numbered(self.dtype), Numbered(self.dtype)
-        self.words: dict[str, bytes] = {}  # ids with a blank in front
-        self.rests: dict[str, bytes] = {"": b""}
-        self.firsts: dict[str, bytes] = {}  # ids of a text's first part, no blank in front
+        self.known = Numbered(self.dtype)  # pieces that begin with a blank
+        self.loose = Numbered(self.dtype)  # other pieces
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype)
                 for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn_words(self, todo: list[str]) -> None:
-        """Many per call: joined by blanks they are a regular text, in which
-        each word starts at a token with a blank."""
+    def learn(self, todo: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of each) of pieces with a blank.  Many per call: they
+        make a regular text, in which each starts at a token with a blank."""
+        found, sizes = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
         for at in range(0, len(todo), 20000):
-            some = todo[at:at + 20000]
-            ids = self.library([" " + " ".join(some)])[0]
-            data, size = ids.tobytes(), self.dtype.itemsize
-            cuts = [*(np.flatnonzero(self.starts[ids]) * size).tolist(), len(data)]
-            self.words.update(zip(some, map(data.__getitem__, map(slice, cuts, cuts[1:])),
-                                  strict=True))
-
-    def learn(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts (with a blank in front)."""
-        if len(self.words) > REMEMBERED:
-            self.words = {}
-        if len(self.rests) > REMEMBERED:
-            self.rests = {"": b""}
-        words, rests = [], []
-        for p in parts:
-            m = None if p.isalpha() else self.HEAD.fullmatch(p)
-            words.append(p if m is None else m[1])
-            rests.append("" if m is None else m[2] or "")
-        self.learn_words(list(set(words).difference(self.words)))
-        todo = list(set(rests).difference(self.rests))
-        self.rests.update(zip(todo, (i.tobytes() for i in self.library(todo))))
-        return list(map(add, map(self.words.__getitem__, words),
-                        map(self.rests.__getitem__, rests)))
+            ids = self.library(["".join(todo[at:at + 20000])])[0]
+            found.append(ids)
+            sizes.append(np.diff(np.flatnonzero(self.starts[ids]), append=len(ids)))
+        sizes = np.concatenate(sizes)
+        if len(sizes) != len(todo):
+            raise ValueError("pieces do not start at tokens with a blank")
+        return np.concatenate(found), sizes
+
+    def learn_loose(self, todo: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.library(todo)
+        return (np.concatenate([np.zeros(0, self.dtype), *found]),
+                np.fromiter(map(len, found), np.int64, len(found)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [ids for a, b in parts_by_bytes([len(t) for t in texts], TEXT_BLOCK)
                 for ids in self.encode_block(texts[a:b])]
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.old, self.known = self.known, Numbered(self.dtype)
+        self.known.trim()
+        self.loose.trim()
         plain = [regular(t) and not any(a in t for a in self.added) for t in texts]
-        # parts are split and told apart by Arrow; only different ones become strings
-        split = pc.split_pattern(pa.array([t for t, p in zip(texts, plain) if p], pa.string()), " ")
-        first = split.offsets.to_numpy()
-        rest = np.ones(first[-1] - first[0], bool)
-        rest[first[:-1] - first[0]] = False
-        later = split.flatten().filter(pa.array(rest)).dictionary_encode()
-        counts = np.zeros(len(texts), np.int64)
-        counts[plain] = np.diff(first) - 1
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        parts = later.dictionary.to_numpy(zero_copy_only=False).tolist()
-        numbers = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))[
-            later.indices.to_numpy()]
-        again = [self.old.get(p) for p in self.known.new]
-        fresh = iter(self.learn([p for p, o in zip(self.known.new, again) if o is None]))
-        self.known.add([next(fresh) if o is None else self.old.of(o) for o in again])
-        data, at = self.known.joined(numbers)
-        cuts = at[ends].tolist()
-        if len(self.firsts) > REMEMBERED:
-            self.firsts = {}
-        began = [t.partition(" ")[0] if p else None for t, p in zip(texts, plain)]
-        firsts = list({b for b in began if b is not None}.difference(self.firsts))
-        whole = [t for t, p in zip(texts, plain) if not p]
-        found = [i.tobytes() for i in self.library(firsts + whole)]
-        self.firsts.update(zip(firsts, found))
-        others = iter(found[len(firsts):])
-        heads = [next(others) if b is None else self.firsts[b] for b in began]
-        return [head + data[a:b] for head, a, b in zip(heads, cuts, cuts[1:])]
+        cut, bounds = pieces_of(pa.array([t for t, p in zip(texts, plain) if p], pa.string()))
+        # pieces are told apart by Arrow; only different ones become strings
+        cut = cut.dictionary_encode()
+        different = cut.dictionary.to_numpy(zero_copy_only=False).tolist()
+        blank = np.fromiter((p[0] == " " for p in different), bool, len(different))
+        first, sizes = np.zeros((2, len(different)), np.int64)
+        first[~blank], sizes[~blank] = self.loose.find(
+            [p for p in different if p[0] != " "], self.learn_loose)
+        first[blank], sizes[blank] = self.known.find(
+            [p for p in different if p[0] == " "], self.learn)
+        first[~blank] += len(self.known.ids)
+        at = cut.indices.to_numpy()
+        ids = gathered(np.concatenate([self.known.ids, self.loose.ids]), first[at], sizes[at])
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])[bounds].tolist()
+        ready = (ids[a:b].tobytes() for a, b in zip(ends, ends[1:]))
+        whole = (i.tobytes() for i in self.library([t for t, p in zip(texts, plain) if not p]))
+        return [next(ready if p else whole) for p in plain]
 
 
 @lru_cache(maxsize=2)
