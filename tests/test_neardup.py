@@ -1,8 +1,11 @@
 """Near duplicates: equal to brute force; sets verified grow with the texts."""
 
+import glob
+import os
 import random
 
 from vigil.operators import neardup as ND
+from vigil.session import checkpoint_dir
 
 
 def grams(t):
@@ -72,3 +75,44 @@ def test_nothing_and_no_group(spark):
     df = spark.createDataFrame([(1, None, "a b c d"), (2, None, "a b c d"), (3, "g", "a b c d")], schema)
     assert sorted((r.doc_id, r.near_dup_of) for r in ND.near_duplicates(df).collect()) == [
         (1, None), (2, None), (3, None)]
+
+
+def test_too_few_common_prefix_shingles_are_no_candidate(spark, monkeypatch):
+    """Texts with one frequent passage, which ends each prefix: what they have in
+    common there and what lies behind it cannot make them similar."""
+    pairs = []
+    verified = ND._verified
+
+    def count(now, *rest):
+        pairs.append(now.count())
+        return verified(now, *rest)
+
+    monkeypatch.setattr(ND, "_verified", count)
+    rows = [(i, "g", " ".join([f"x{i}y{j}" for j in range(16)] + [f"w{j}" for j in range(100)]))
+            for i in range(40)]
+    rows += [(40, "g", rows[7][2] + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, topic string, text string")
+    got = {r.doc_id: (r.n, r.near_dup_of, r.jaccard) for r in ND.near_duplicates(df).collect()}
+    assert got == brute(rows) and got[40][1] == 7
+    assert sum(pairs) < 5
+
+
+def test_tables_and_shuffles_go(spark):
+    """Only the result stays in the shared folder, and no shuffle files of what was
+    written on the way."""
+    rng = random.Random(5)
+    rows = [(i, "g", t) for i, t in enumerate(corpus(rng, 60))]
+    df = spark.createDataFrame(rows, "doc_id long, topic string, text string")
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    dirs = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager()
+            .diskBlockManager().localDirs()]
+
+    def shuffled():
+        return {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
+
+    before, files = set(os.listdir(folder)), shuffled()
+    got = ND.near_duplicates(df)
+    assert [n.split("-")[1] for n in set(os.listdir(folder)) - before] == ["result"]
+    assert not shuffled() - files
+    assert {r.doc_id: r.near_dup_of for r in got.collect()} == {
+        i: v[1] for i, v in brute(rows).items()}
