@@ -144,3 +144,87 @@ def test_state_function_passes_on_its_frames():
     assert [f["event_id"].tolist() for f in got] == [[7], [3]]
     assert state.get[0] == int((pd.Timestamp(T0) + pd.Timedelta(days=7)).value // 1000)
     assert state.until == state.get[0] // 1000 + 3 * 86_400_000
+
+
+class BucketState:
+    exists, hasTimedOut, get, until, clock = False, False, None, None, 0
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def remove(self):
+        self.exists, self.get, self.until = False, None, None
+
+    def setTimeoutTimestamp(self, ms):
+        assert ms > self.clock
+        self.until = ms
+
+    def getCurrentWatermarkMs(self):
+        return self.clock
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_seen_buckets_equal_the_sequential_rule(seed):
+    """All URLs of a bucket in one call, hot ones, empty and null ones among them,
+    in any order over several frames and batches."""
+    import pandas as pd
+
+    from vigil.streaming import poll_stream as S
+
+    rng = random.Random(seed)
+    rows = items(rng, 400)
+    want, seen = passing(rows)
+    fn, state, got = S._seen_bucket_fn(KEEP, 9), BucketState(), []
+    for a in range(0, 400, 80):
+        part = rows[a:a + 80]  # in order of time from batch to batch
+        rng.shuffle(part)
+        frames = [pd.DataFrame(part[i:i + 30], columns=S.SEEN_OUT.names) for i in range(0, 80, 30)]
+        frames[0]["ts"] = frames[0]["ts"].astype("datetime64[ns]")
+        got += [i for f in fn((0,), iter([frames[0].head(0), *frames]), state) for i in f["event_id"]]
+    assert sorted(got) == want
+    held = {r["url"]: (r["seen_us"], r["stype"]) for r in S._unpacked(state.get[0]).to_pylist()}
+    assert held == {u: (int(pd.Timestamp(ts).value // 1000), k) for u, (ts, k) in seen.items()}
+
+
+def test_sightings_of_a_bucket_go_one_by_one():
+    import pandas as pd
+
+    from vigil.streaming import poll_stream as S
+
+    def urls():
+        return sorted(r["url"] for r in S._unpacked(state.get[0]).to_pylist())
+
+    fn, state = S._seen_bucket_fn(KEEP, 9), BucketState()
+    rows = [(1, "a", "short", T0), (2, "b", "long", T0), (3, "c", "short", T0 + dt.timedelta(days=1))]
+    assert len(next(fn((0,), iter([pd.DataFrame(rows, columns=S.SEEN_OUT.names)]), state))) == 3
+    start = int(pd.Timestamp(T0).value // 10 ** 6)
+    day = 86_400_000
+    assert urls() == ["a", "b", "c"] and state.until == start + 3 * day
+    for clock, left, then in ((3, ["b", "c"], 4), (4, ["b"], 31), (31, [], None)):
+        state.clock, state.hasTimedOut = start + clock * day, True
+        assert list(fn((0,), iter([]), state)) == []
+        assert state.until == (then and start + then * day)
+        assert (urls() if state.exists else []) == left
+
+
+def test_seen_filter_keeps_a_state_per_bucket(spark):
+    """The stream's states do not grow with the URLs, and both forms pass the
+    rows of the sequential rule."""
+    from vigil.streaming import poll_stream as S
+
+    rng = random.Random(11)
+    rows = items(rng, 300) + [(1000 + i, f"v{i % 2000}", "short", T0 + dt.timedelta(hours=i % 7))
+                              for i in range(2500)]
+    want = passing(rows)[0]
+    for buckets in (64, None):
+        base = tempfile.mkdtemp(prefix="seen-")
+        spark.createDataFrame(rows, ITEM).repartition(3).write.parquet(f"{base}/in")
+        stream = spark.readStream.schema(ITEM).parquet(f"{base}/in")
+        q = (S.seen_filter_stream(stream, KEEP, 9, buckets=buckets).writeStream.outputMode("append")
+             .option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+             .foreachBatch(S.idempotent_batch_writer(f"{base}/out", lambda b, i: b)).start())
+        q.awaitTermination()
+        got = sorted(r.event_id for r in spark.read.parquet(f"{base}/out").collect())
+        assert got == want
+        states = max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress)
+        assert states <= 64 if buckets else states > 2000

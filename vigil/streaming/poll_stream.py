@@ -13,7 +13,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -265,6 +267,10 @@ SEEN_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField(
 SEEN_STATE = T.StructType([T.StructField("seen_us", T.LongType()),
                            T.StructField("stype", T.StringType())])
 _DAY_US = 86_400 * 1_000_000
+#: URLs are dealt out by hash; the sightings of a bucket are one state.
+SEEN_BUCKETS = 256
+SEEN_BUCKET_STATE = T.StructType([T.StructField("sightings", T.BinaryType())])
+_SIGHTINGS = pa.schema([("url", pa.string()), ("seen_us", pa.int64()), ("stype", pa.string())])
 
 
 def _micros(ts: pd.Series) -> list[int]:
@@ -304,19 +310,108 @@ def _seen_fn(retention: dict, default_days: int):
     return fn
 
 
+def _packed(sightings: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _SIGHTINGS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(sightings)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes | None) -> pa.RecordBatch:
+    if data is None:
+        return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in _SIGHTINGS], schema=_SIGHTINGS)
+    return pa.ipc.open_stream(pa.BufferReader(data)).read_next_batch()
+
+
+def _joined(parts: list, kind: pa.DataType) -> pa.Array:
+    return pa.chunked_array([x if isinstance(x, pa.Array) else pa.array(x, kind, from_pandas=True)
+                             for x in parts], kind).combine_chunks()
+
+
+def _first_from(ts: np.ndarray, lo: np.ndarray, hi: np.ndarray, until: np.ndarray) -> np.ndarray:
+    """For each stretch ``lo`` to ``hi`` of ``ts`` its first place with a time of
+    ``until`` or later, ``hi`` if there is none."""
+    lo, hi = lo.copy(), hi.copy()
+    while (left := np.flatnonzero(lo < hi)).size:
+        mid = (lo[left] + hi[left]) // 2
+        less = ts[mid] < until[left]
+        lo[left[less]] = mid[less] + 1
+        hi[left[~less]] = mid[~less]
+    return lo
+
+
+def _seen_bucket_fn(retention: dict, default_days: int):
+    """The rule of :func:`_seen_fn` for all URLs of a bucket at once: in each step
+    every URL goes on to its next row that passes."""
+    def spans(kinds: pa.Array) -> np.ndarray:
+        codes = kinds.dictionary_encode(null_encoding="encode")
+        days = [retention.get(k if k is not None else "news", default_days)
+                for k in codes.dictionary.to_pylist()]
+        return ((np.array(days, np.int64) + 1) * _DAY_US)[codes.indices.to_numpy()]
+
+    def fn(key, pdfs, state):
+        clock = state.getCurrentWatermarkMs()
+        frames = [] if state.hasTimedOut else [p for p in pdfs if len(p)]
+        held = _unpacked(state.get[0] if state.exists else None)
+        h = len(held)
+        urls = _joined([held["url"], *(p["url"] for p in frames)],
+                       pa.string()).dictionary_encode(null_encoding="encode")
+        kinds = _joined([held["stype"], *(p["source_type"] for p in frames)], pa.string())
+        us = np.concatenate([held["seen_us"].to_numpy(), *(_micros(p["ts"]) for p in frames)]).astype(np.int64)
+        ends_us = us + spans(kinds)  # from then on a URL with this sighting passes again
+        code, n = urls.indices.to_numpy()[h:], len(urls.dictionary)  # held URLs come first
+        last = np.arange(n)  # the row of each URL's sighting; a new URL has none yet
+        until = np.full(n, np.iinfo(np.int64).min)
+        until[:h] = ends_us[:h]
+        passed = np.zeros(len(us), bool)
+        if len(code):
+            seq = np.concatenate([p["event_id"].to_numpy() for p in frames])
+            order = np.lexsort((seq, us[h:], code)) + h
+            ts, size = us[order], np.bincount(code, minlength=n)
+            stop = np.cumsum(size)
+            at, some = stop - size, np.flatnonzero(size)
+            while len(some):
+                place = _first_from(ts, at[some], stop[some], until[some])
+                more = place < stop[some]
+                some, place = some[more], place[more]
+                row = order[place]
+                passed[row], last[some], until[some], at[some] = True, row, ends_us[row], place + 1
+        # a sighting goes once it can no longer suppress anything
+        alive = np.flatnonzero(until // 1000 > clock)
+        if len(alive):
+            rows = pa.array(last[alive])
+            state.update((_packed(pa.RecordBatch.from_arrays(
+                [urls.dictionary.take(pa.array(alive)), pa.array(us).take(rows), kinds.take(rows)],
+                schema=_SIGHTINGS)),))
+            state.setTimeoutTimestamp(int(until[alive].min()) // 1000)
+        elif state.exists:
+            state.remove()
+        a = h
+        for p in frames:
+            mask = passed[a:a + len(p)]
+            a += len(p)
+            if mask.any():
+                yield (p if mask.all() else p[mask])[SEEN_OUT.names]
+    return fn
+
+
 def seen_filter_stream(items: DataFrame, retention: dict | None = None,
-                       default_days: int | None = None, watermark: str = "366 days") -> DataFrame:
+                       default_days: int | None = None, watermark: str = "366 days",
+                       buckets: int | None = SEEN_BUCKETS) -> DataFrame:
     """The seen set as streaming state keyed by URL.  An item passes when
     its URL has no sighting, or the last one is older (whole days) than the
     retention of that sighting's type; passing items become the new sighting.
-    An event-time timeout at ``seen + (days + 1)`` drops expired state.  The
-    watermark lies beyond the longest retention, so that only rows that every
+    An event-time timeout at ``seen + (days + 1)`` drops expired state.  URLs are
+    dealt out to ``buckets`` by hash, and a call folds the URLs of a bucket
+    together; without ``buckets`` each URL is a call and a state.  The watermark lies beyond the longest retention, so that only rows that every
     retention would have forgotten can be late for it."""
     from vigil.conventions import RETENTION_DAYS, RETENTION_DEFAULT_DAYS
-    fn = _seen_fn(retention or RETENTION_DAYS,
-                  default_days if default_days is not None else RETENTION_DEFAULT_DAYS)
-    return (items.select("event_id", "url", "source_type", "ts")
-            .withWatermark("ts", watermark)
-            .groupBy("url")
-            .applyInPandasWithState(fn, SEEN_OUT, SEEN_STATE, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+    rule = (retention or RETENTION_DAYS,
+            default_days if default_days is not None else RETENTION_DEFAULT_DAYS)
+    rows = items.select("event_id", "url", "source_type", "ts").withWatermark("ts", watermark)
+    if buckets is None:
+        return rows.groupBy("url").applyInPandasWithState(
+            _seen_fn(*rule), SEEN_OUT, SEEN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    bucket = F.pmod(F.xxhash64("url"), F.lit(buckets))
+    return rows.withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(
+        _seen_bucket_fn(*rule), SEEN_OUT, SEEN_BUCKET_STATE, "append", GroupStateTimeout.EventTimeTimeout)
